@@ -27,8 +27,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 2)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokentally.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokentally.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_best_fit_packing": op2_best_fit_packing, "op10_token_files": op10_token_files}
+    return {f.__name__: f for f in (op2_best_fit_packing, op4_toxicity, op7_quality, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
