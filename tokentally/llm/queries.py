@@ -33,6 +33,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokentally.llm.ppm import language_model_scores
+
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokentally.llm.quality import quality_scores
 
@@ -40,7 +46,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op4_toxicity, op7_quality, op10_token_files)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op4_toxicity, op6_language_model, op7_quality, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
