@@ -21,6 +21,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 2048, 0)
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokentally.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokentally.llm.binpack import token_files
 
@@ -46,7 +52,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op4_toxicity, op6_language_model, op7_quality, op10_token_files)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op4_toxicity, op6_language_model, op7_quality, op8_minhash_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
