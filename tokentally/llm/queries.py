@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tokentally.llm.shared import table
 
 
+#: The queries' key.  Whoever runs the operator on real data passes a secret of their own.
+PII_KEY = b"key of the registered queries"
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -27,6 +31,12 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokentally.llm.pii import pseudonyms
+
+    return pseudonyms(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokentally.llm.binpack import token_files
 
@@ -39,6 +49,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokentally.llm.decontam import find_items
+
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokentally.llm.ppm import language_model_scores
 
@@ -52,7 +68,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op4_toxicity, op6_language_model, op7_quality, op8_minhash_dedup, op10_token_files)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op4_toxicity, op5_decontamination, op6_language_model, op7_quality, op8_minhash_dedup, op9_pii_pseudonyms, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

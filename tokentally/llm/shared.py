@@ -80,10 +80,9 @@ def remainder(doc_id: Column, k: int) -> Column:
 
 def lower_ascii(text: str) -> str:
     """Lower-case A-Z and nothing else."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
 #: Word separators of the contracts: space and U+0009 to U+000D.
 _SEPARATORS = "\t\n\x0b\x0c\r"
 _TO_SPACE = str.maketrans(_SEPARATORS, " " * len(_SEPARATORS))
