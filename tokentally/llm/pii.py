@@ -224,7 +224,7 @@ KINDS: dict[str, tuple[str, Callable[[str, Feistel, bool], str | None]]] = {
     "date": (r"(?<![0-9./-])(?:[0-9]{4}([-./])[0-9]{2}\1[0-9]{2}|[0-9]{2}([./])[0-9]{2}\2[0-9]{4})(?![0-9])(?![./-][0-9])", date),
     "ip": (r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])(?!\.[0-9])", ip),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", ssn),
-    "card": (r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", card),
+    "card": (r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])", card),
 }
 
 
@@ -252,13 +252,17 @@ def pseudonymise_text(text: str, f: Feistel, back: bool = False) -> tuple[str, d
         return text, counts
     out, at, since = [], 0, 0
     while m := _ANY.search(text, at):
-        new = KINDS[m.lastgroup if m.lastgroup in KINDS else "date"][1](m.group(), f, back)
+        kind = m.lastgroup if m.lastgroup in KINDS else "date"
+        value = m.group()
+        new = KINDS[kind][1](value, f, back)
+        while new is None and kind in ("iban", "phone") and " " in value:  # a following word or number may have been taken along
+            value = value.rpartition(" ")[0]
+            new = KINDS[kind][1](value, f, back)
         if new is None:
             at = m.start() + 1
             continue
-        kind = m.lastgroup if m.lastgroup in KINDS else "date"
         out += [text[since : m.start()], new]
-        at = since = m.end()
+        at = since = m.start() + len(value)
         counts[kind] = counts.get(kind, 0) + 1
     return "".join([*out, text[since:]]), counts
 
