@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tokentally.llm.shared import table
 
 
+#: Exact search; larger factors prune more.
+ANN_FACTOR = 1.0
 #: The queries' key.  Whoever runs the operator on real data passes a secret of their own.
 PII_KEY = b"key of the registered queries"
 
@@ -19,6 +21,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_vp_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokentally.llm.vptree import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), every=100, k=10, factor=ANN_FACTOR)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokentally.llm.packing import pack_documents
 
@@ -68,8 +76,17 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op4_toxicity, op5_decontamination, op6_language_model, op7_quality, op8_minhash_dedup, op9_pii_pseudonyms, op10_token_files)}
+    return {f.__name__: f for f in (op1_vp_tree_neighbours, op2_best_fit_packing, op4_toxicity, op5_decontamination, op6_language_model, op7_quality, op8_minhash_dedup, op9_pii_pseudonyms, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_vp_tree_neighbours": OP1_SQL}
+
+
+_VALID = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+OP1_SQL = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id IS NOT NULL AND {_VALID}),
+d AS (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, q.e AS a, v.e AS b, list_distance(q.e, v.e) AS near FROM v AS q JOIN v ON v.vec_id <> q.vec_id AND len(v.e) = len(q.e) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY near, vec_id) AS INTEGER) AS rank FROM d)
+SELECT query_id, rank, vec_id, sqrt(list_reduce(list_transform(list_zip(a, b), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda x, y: x + y)) AS score FROM r WHERE rank <= 10
+"""
