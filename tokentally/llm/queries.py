@@ -51,6 +51,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 2)
 
 
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokentally.llm.toolcalls import tool_calls_query
+
+    return tool_calls_query(spark, sf_dir)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokentally.llm.toxicity import toxicity_scores
 
@@ -75,12 +81,20 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_vp_tree_neighbours, op2_best_fit_packing, op4_toxicity, op5_decontamination, op6_language_model, op7_quality, op8_minhash_dedup, op9_pii_pseudonyms, op10_token_files)}
+    return {f.__name__: f for f in (op1_vp_tree_neighbours, op2_best_fit_packing, op3_tool_calls, op4_toxicity, op5_decontamination, op6_language_model, op7_quality, op8_minhash_dedup, op9_pii_pseudonyms, op10_token_files, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_vp_tree_neighbours": OP1_SQL}
+    from tokentally.llm.toolcalls import SQL
+
+    return {"op1_vp_tree_neighbours": OP1_SQL, "op3_tool_calls": SQL}
 
 
 _VALID = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
