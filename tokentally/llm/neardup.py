@@ -2,9 +2,9 @@
 
 A document's set is its distinct 5-word shingles, as 64-bit hashes.  Its
 signature has 128 registers; each keeps, of a minimum hash, the number of
-leading zeros (6 bits) and the ten bits after the leading one.  Sets of 512 and more
-shingles are dealt to 128 buckets by their hashes' top bits; sets of up to 683,
-which would leave buckets empty, take the minimum under 128 permutations.
+leading zeros (6 bits) and the ten bits after the leading one.  Sets of 256 and more
+shingles are dealt to 128 buckets by their hashes' top bits; sets of up to 341,
+which would leave many buckets empty, take the minimum under 128 permutations.
 Two sets of similarity 0.75 differ in size by a third at most, so each such pair
 shares a level.  Bands of four registers (64 bits as they are) give candidates; the
 share of equal registers, corrected for chance collisions, estimates the
@@ -28,18 +28,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokentally.llm.components import components
-from tokentally.llm.shared import Codes, drop_scratch, hash64, lower_ascii, materialize, mix64, per_process, prepare, split_words
+from tokentally.llm.shared import drop_scratch, materialize, mix64, prepare, word_hashes
 
 WORDS, REGISTERS, ROWS, MANTISSA = 5, 128, 4, 10
 BANDS = REGISTERS // ROWS
-LARGE_FROM, SMALL_TO = 512, 683
+LARGE_FROM, SMALL_TO = 256, 341
 PERCENT = 75
 #: An estimate has a standard error of at most 0.0385 at 0.75; pairs 4.5 of them below are not verified.
 LEAST_ESTIMATE = 0.75 - 4.5 * 0.0385
 BLOCK = 64
 #: Candidate ids up to this many are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-EMPTY = np.uint16(0xFFFF)
+EMPTY, _NO_BAND = np.uint16(0xFFFF), np.uint64(0xFFFFFFFFFFFFFFFF)
 _RNG = np.random.default_rng(20240607)
 _MULT = _RNG.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
@@ -48,13 +48,10 @@ _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(WORDS)]
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """Each text's sorted distinct shingle hashes; a text of fewer words has its whole sequence, one without words nothing."""
-    codes = per_process("word hashes", lambda: Codes(hash64))
-    words = [split_words(lower_ascii(t or "")) for t in texts]
-    flat = codes.of([w for x in words for w in x])
+    flat, counts = word_hashes(texts)
     out, at = [], 0
     with np.errstate(over="ignore"):
-        for x in words:
-            n = len(x)
+        for n in counts.tolist():
             c = flat[at : at + n]
             at += n
             if n >= WORDS:
@@ -89,11 +86,11 @@ def signature_large(h: np.ndarray) -> np.ndarray:
 
 
 def band_keys(signature: bytes, level: int) -> np.ndarray:
-    """A band's four registers are its 64-bit key, mixed with the band's number."""
+    """A band's four registers are its 64-bit key, mixed with the band's number; bands of empty buckets alone tell nothing and are left out."""
     bands = np.frombuffer(signature, dtype="<u8")
     seeds = np.arange(BANDS, dtype=np.uint64) + np.uint64(level * BANDS + 1)
     with np.errstate(over="ignore"):
-        return mix64(bands + seeds * np.uint64(0x9E3779B97F4A7C15))
+        return mix64(bands + seeds * np.uint64(0x9E3779B97F4A7C15))[bands != _NO_BAND]
 
 
 def chance(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -105,7 +102,8 @@ def chance(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, large: np.ndarray) -> np.ndarray:
     """Similarity from signatures (rows of registers), corrected for chance collisions."""
-    equal = (a == b).mean(axis=1)
+    told = (a != EMPTY) | (b != EMPTY)  # a bucket that is empty in both says nothing
+    equal = ((a == b) & told).sum(axis=1) / np.maximum(told.sum(axis=1), 1)
     scale = np.where(large, REGISTERS, 1)
     lost = chance(np.maximum(n_a / scale, 1), np.maximum(n_b / scale, 1))
     return (equal - lost) / (1 - lost)
@@ -138,9 +136,9 @@ def _bands(reps: DataFrame) -> DataFrame:
                 for level, s in enumerate((small, large)):
                     if s is not None:
                         keys.append(band_keys(s, level))
-                        ids.append(rep)
+                        ids += [rep] * len(keys[-1])
             k = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.repeat(np.array(ids, np.int64), BANDS))], names=["band", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.array(ids, np.int64))], names=["band", "rep"])
 
     return reps.select("rep", "small", "large").mapInArrow(run, "band long, rep long")
 
@@ -197,24 +195,71 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _across(collided: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket that may reach the threshold, found in blocks of about BLOCK classes."""
+    """Pairs of different components in one bucket that may reach the threshold.
+
+    In each bucket the largest component's classes need comparing with the others
+    alone.  Both sides are cut into blocks of about BLOCK; each block of others meets each
+    block of the largest component, and the others' blocks meet each other.  Where one
+    component holds nearly all of a bucket, as in a large group of near copies, that is
+    linear in the bucket's size.
+    """
     own = collided.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = own.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low != high").select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    cut = own.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "rep", "comp", "block").join(reps, "rep")
-
-    def pairs(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("rep")
-        comp, block, rep = f["comp"].to_numpy(), f["block"].to_numpy(), f["rep"].to_numpy()
-        p, q = f["p"].iloc[0], f["q"].iloc[0]
-        i, j = np.triu_indices(len(f), 1)
-        some = (comp[i] != comp[j]) & ((block[i] != block[j]) | (p == q))
-        i, j = i[some], j[some]
-        g = pd.DataFrame({f"{c}_{s}": f[c].to_numpy()[at] for s, at in (("a", i), ("b", j)) for c in ("n", "small", "large")})
-        ok = _likely(g)
-        return pd.DataFrame({"a": rep[i][ok], "b": rep[j][ok]})
-
-    return dealt.groupBy("band", "p", "q").applyInPandas(pairs, "a long, b long").distinct()
+    per = own.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    mixed = per.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("comps")).where("comps > 1")
+    mixed = mixed.select("band", F.col("top.comp").alias("main"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("main_blocks"), F.ceil((F.col("size") - F.col("top.n")) / BLOCK).cast("int").alias("other_blocks"))
+    cut = own.join(mixed, "band").withColumn("is_main", F.col("comp") == F.col("main"))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("other_blocks"))).cast("int"))
+    # (p, q): block p of the largest component (or -1 - p of the others) with block q of the others.
+    others = F.sequence(F.lit(0), F.col("other_blocks") - 1)
+    at_main = F.transform(others, lambda q: F.struct(F.col("block").alias("p"), q.cast("int").alias("q")))
+    at_other = F.concat(F.transform(F.sequence(F.lit(0), F.col("main_blocks") - 1), lambda p: F.struct(p.cast("int").alias("p"), F.col("block").alias("q"))), F.transform(others, lambda q: F.struct((-1 - F.least(q, F.col("block"))).cast("int").alias("p"), F.greatest(q, F.col("block")).cast("int").alias("q"))))
+    dealt = cut.withColumn("to", F.explode(F.when(F.col("is_main"), at_main).otherwise(at_other))).select("band", "to.p", "to.q", "rep", "comp", "block", "is_main").join(reps, "rep")
+    n = int(collided.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = dealt.repartition(n, "band", "p", "q").sortWithinPartitions("band", "p", "q", "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            key = np.column_stack([t.column(c).to_numpy() for c in ("band", "p", "q")])
+            last = int(np.flatnonzero((key != key[-1]).any(axis=1)).max(initial=-1)) + 1  # the last group may go on in the next batch
+            held = t.slice(last)
+            if last:
+                yield _compared(t.slice(0, last), key[:last])
+        if held is not None and len(held):
+            yield _compared(held, np.column_stack([held.column(c).to_numpy() for c in ("band", "p", "q")]))
+
+    return sorted_.mapInArrow(run, "a long, b long").distinct()
+
+
+def _compared(t: pa.Table, key: np.ndarray) -> pa.RecordBatch:
+    """Likely pairs of different components within each group of equal ``key``."""
+    comp, block, main, rep = (t.column(c).to_numpy() for c in ("comp", "block", "is_main", "rep"))
+    edges = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
+    left, right = [], []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        i, j = np.triu_indices(b - a, 1)
+        i, j = i + a, j + a
+        p, q = int(key[a, 1]), int(key[a, 2])
+        meet = main[i] != main[j] if p >= 0 else (block[i] != block[j]) | (-1 - p == q)
+        some = meet & (comp[i] != comp[j])
+        left.append(i[some])
+        right.append(j[some])
+    i, j = np.concatenate(left), np.concatenate(right)
+    ok = np.zeros(len(i), dtype=bool)
+    n = t.column("n").to_numpy().astype(float)
+    for name in ("small", "large"):
+        col = t.column(name).to_pylist()
+        have = np.array([c is not None for c in col])
+        at = np.cumsum(have) - 1
+        sig = np.frombuffer(b"".join(c for c in col if c is not None), dtype="<u2").reshape(-1, REGISTERS)
+        both = np.flatnonzero(have[i] & have[j])
+        for k in range(0, len(both), 50_000):
+            x, y = i[both[k : k + 50_000]], j[both[k : k + 50_000]]
+            ok[both[k : k + 50_000]] |= estimate(sig[at[x]], sig[at[y]], n[x], n[y], np.full(len(x), name == "large")) >= LEAST_ESTIMATE
+    a, b = rep[i[ok]], rep[j[ok]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -144,6 +144,59 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+_SEPARATOR_BYTES = np.zeros(256, dtype=bool)
+_SEPARATOR_BYTES[[9, 10, 11, 12, 13, 32]] = True
+_BYTE_CODES = np.random.default_rng(90210).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0xD1342543DE82EF97  # 3 modulo 4, so that differences of its powers keep nearly all bits
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64, at least n of each."""
+    held = _PROCESS.get("powers")
+    if held is None or len(held[0]) < n:
+        size = max(1 << 20, 1 << (n - 1).bit_length())
+        held = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            out = np.ones(size, dtype=np.uint64)
+            done = 1
+            with np.errstate(over="ignore"):
+                while done < size:
+                    out[done : 2 * done] = out[:done] * np.uint64(pow(base, done, 1 << 64))
+                    done *= 2
+            held.append(out)
+        _PROCESS["powers"] = held
+    return held[0], held[1]
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (A-Z lower-cased, see split_words()) in order, and the number of words of each text.
+
+    A word's hash is a polynomial in random codes of its bytes, taken from prefix
+    sums over the whole batch, so no word is looked at alone.
+    """
+    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    out, counts, at = [], np.zeros(len(raw), dtype=np.int64), 0
+    while at < len(raw):  # parts of about a megabyte bound the memory
+        to, size = at, 0
+        while to < len(raw) and (to == at or size + len(raw[to]) < 1_000_000):
+            size += len(raw[to]) + 1
+            to += 1
+        b = np.frombuffer(b"\n".join(raw[at:to]) + b"\n", dtype=np.uint8)
+        gap = _SEPARATOR_BYTES[b]
+        edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        if not gap[0]:
+            edges = np.concatenate([[0], edges])
+        first, end = edges[0::2], edges[1::2]
+        up, down = _powers(len(b))
+        with np.errstate(over="ignore"):
+            prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_CODES[b] * up[: len(b)], dtype=np.uint64)])
+            out.append(mix64((prefix[end] - prefix[first]) * down[first] + (end - first).astype(np.uint64), 5))
+        bounds = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw[at:to]])])
+        counts[at:to] = np.diff(np.searchsorted(first, bounds))
+        at = to
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), counts
+
+
 def segments(lengths: Iterable[int]) -> np.ndarray:
     """Start positions of consecutive segments, with the end appended."""
     return np.concatenate([[0], np.cumsum(np.asarray(list(lengths), dtype=np.int64))])
