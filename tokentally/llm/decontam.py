@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokentally.llm.shared import Codes, hash64, lower_ascii, mix64, per_process, prepare, split_words
+from tokentally.llm.shared import lower_ascii, mix64, prepare, split_words, word_hashes
 
 MAX_ERROR, MIN_WORDS, TARGET_RECALL = 0.25, 8, 0.999
 WALKS, SAMPLED, MOST_TABLES = 4, 2, 512
@@ -96,20 +96,24 @@ class Items:
     allowed: list[int]
     tables: int
     anchors: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
+    sorted_anchors: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     keys: list[np.ndarray] = field(default_factory=list)
 
 
 def build_items(rows: list[tuple[int, str]], max_error: float = MAX_ERROR, min_words: int = MIN_WORDS, target_recall: float = TARGET_RECALL) -> Items:
-    known = [(i, np.array([hash64(w) for w in ws], dtype=np.uint64)) for i, t in rows if len(ws := split_words(lower_ascii(t or ""))) >= min_words]
+    flat, counts = word_hashes([t for _, t in rows])
+    ends = np.cumsum(counts).tolist()
+    known = [(i, flat[b - n : b]) for (i, _), b, n in zip(rows, ends, counts.tolist(), strict=True) if n >= min_words]
     items = Items([i for i, _ in known], [w for _, w in known], [int(len(w) * max_error + 1e-9) for _, w in known], 0)
     if not known:
         return items
-    text = {hash64(w): len(w) for _, t in rows for w in split_words(lower_ascii(t or ""))}
+    text = {h: len(w) for h, w in zip(flat.tolist(), (w for _, t in rows for w in split_words(lower_ascii(t or ""))), strict=True)}
     common = Counter(int(w) for ws in items.words for w in set(ws.tolist()))
     for n, ws in enumerate(items.words):
         order = sorted(range(len(ws)), key=lambda o: (common[int(ws[o])], -text[int(ws[o])], o))
         for o in order[: items.allowed[n] + 1]:
             items.anchors.setdefault(int(ws[o]), []).append((n, o))
+    items.sorted_anchors = np.array(sorted(items.anchors), dtype=np.uint64)
     items.tables = tables_for(items, target_recall)
     flat = np.concatenate(items.words)
     lengths = np.array([len(w) for w in items.words], dtype=np.int64)
@@ -119,7 +123,7 @@ def build_items(rows: list[tuple[int, str]], max_error: float = MAX_ERROR, min_w
     return items
 
 
-def tables_for(items: Items, target_recall: float, trials: int = 300, seed: int = 3) -> int:
+def tables_for(items: Items, target_recall: float, trials: int = 1000, seed: int = 3) -> int:
     """Tables of each walk so that windows with all allowed edits collide with the target probability, by simulation.
 
     Each trial edits an item at random as often as is allowed.  The least number of
@@ -155,21 +159,19 @@ def tables_for(items: Items, target_recall: float, trials: int = 300, seed: int
 
 def search(items: Items, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
     """(text number, item number, distance, first word, number of words of the document's run) of every item found in each text."""
-    words = [split_words(lower_ascii(t or "")) for t in texts]
-    spans = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-    flat_words = [w for ws in words for w in ws]
-    is_anchor = items.__dict__.setdefault("_words", {})  # an anchor's hash, else 0, for each word this worker met
-    if len(is_anchor) > 300_000:
-        is_anchor.clear()
-    for w in set(flat_words).difference(is_anchor):
-        is_anchor[w] = h if (h := hash64(w)) in items.anchors else 0
-    hits = np.flatnonzero(np.fromiter(map(is_anchor.__getitem__, flat_words), np.uint64, len(flat_words)))
+    codes, counts = word_hashes(texts)
+    spans = np.concatenate([[0], np.cumsum(counts)])
+    sorted_anchors = items.sorted_anchors
+    if not len(codes) or not len(sorted_anchors):
+        return []
+    near = np.minimum(np.searchsorted(sorted_anchors, codes), len(sorted_anchors) - 1)
+    hits = np.flatnonzero(sorted_anchors[near] == codes)
     if not len(hits):
         return []
     doc = np.searchsorted(spans, hits, side="right") - 1
     which, first, owner = [], [], []
-    for p, d in zip(hits.tolist(), doc.tolist(), strict=True):
-        for n, o in items.anchors[is_anchor[flat_words[p]]]:
+    for p, d, c in zip(hits.tolist(), doc.tolist(), codes[hits].tolist(), strict=True):
+        for n, o in items.anchors[c]:
             which.append(n)
             first.append(max(p - o, int(spans[d])))
             owner.append(d)
@@ -180,12 +182,6 @@ def search(items: Items, texts: list[str | None]) -> list[tuple[int, int, int, i
     inside = np.minimum(length, spans[owner + 1] - first)
     allowed = np.array(items.allowed, dtype=np.int64)[which]
     low, high = np.maximum(spans[owner], first - allowed), np.minimum(spans[owner + 1], first + length + allowed)
-    near = np.zeros(len(flat_words) + 1, dtype=np.int64)
-    np.add.at(near, low, 1)
-    np.add.at(near, high, -1)
-    at = np.flatnonzero(np.cumsum(near)[:-1])
-    codes = np.zeros(len(flat_words), dtype=np.uint64)
-    codes[at] = per_process("word hashes", lambda: Codes(hash64)).of([flat_words[i] for i in at.tolist()])
     hit = np.zeros(len(which), dtype=bool)
     for part in range(0, len(which), 4096):
         s = slice(part, part + 4096)
