@@ -15,20 +15,19 @@ distinct byte string of ORDER + 1); shorter contexts are sums of these.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokentally.llm.shared import hash64, lower_ascii, materialize, prepare, remainder, segment_sums, split_words
+from tokentally.llm.shared import materialize, prepare, remainder, segment_sums, word_hashes
 
 ORDER, BITS, END, SYMBOLS = 5, 9, 257, 257
 FOLDS, HELD_OUT = 10, 0
 MASK = (1 << BITS) - 1
 #: Rows of one broadcast; beyond it the tables are split and the documents scored once for each part.
-LARGEST_WORDS, LARGEST_TRIE = 8_000_000, 4_000_000
+LARGEST_WORDS, LARGEST_TRIE = 1 << 22, 1 << 22
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -110,8 +109,14 @@ class Trie:
     """Fixed code lengths (log10) of one part of the trie: the contexts whose last byte is in it, and the empty one."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, roots: np.ndarray):
-        """``keys``: grams of ORDER + 1 symbols; ``roots``: how often each symbol occurs at all, in the whole corpus."""
-        self.levels = []
+        """``keys``: grams of ORDER + 1 symbols; ``roots``: how often each symbol occurs at all, in the whole corpus.  Only these travel; levels are built where they are used."""
+        self.given, self.levels = (keys, counts, roots), []
+
+    def __getstate__(self) -> dict:
+        return {"given": self.given, "levels": []}
+
+    def _build(self) -> None:
+        keys, counts, roots = self.given
         table = np.unique(keys, return_inverse=True)
         tables = {ORDER: (table[0], np.bincount(table[1], weights=counts, minlength=len(table[0])).astype(np.int64))}
         for k in range(ORDER - 1, 0, -1):
@@ -144,6 +149,8 @@ class Trie:
 
     def score(self, g: np.ndarray) -> np.ndarray:
         """log10 of each symbol's probability after its context."""
+        if not self.levels:
+            self._build()
         top = self.levels[ORDER]
         row = top["gram"].find(g)
         out = top["first"][np.maximum(row, 0)]
@@ -179,33 +186,25 @@ class Trie:
 
 
 class Words:
-    """Counts of the training tokens whose hash is in [low, high], by their sorted hashes; a worker remembers the words it met."""
+    """Counts of the training tokens whose hash is in [low, high]; the look-up table is built where it is used."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, low: int, high: int, n: int, v: int):
-        order = np.argsort(keys)
-        self.keys, self.counts = keys[order], np.append(counts[order], 0)  # the last row stands for unknown words
-        self.low, self.high, self.n, self.v, self.known = low, high, n, v, {}
+        self.keys, self.counts = keys, np.append(counts, 0)  # the last row stands for unknown words
+        self.low, self.high, self.n, self.v, self.lookup = low, high, n, v, None
 
     def rows(self, hashes: np.ndarray) -> np.ndarray:
         """The row of each hash, -1 for words of other parts."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), max(0, len(self.keys) - 1))
-        hit = self.keys[at] == hashes if len(self.keys) else np.zeros(len(hashes), bool)
+        if self.lookup is None:
+            self.lookup = Lookup(self.keys)
+        at = self.lookup.find(hashes)
         signed = hashes.view(np.int64)
-        return np.where(hit, at, np.where((signed >= self.low) & (signed <= self.high), len(self.keys), -1))
-
-    def of(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > 300_000:
-            known.clear()
-        new = list(set(words).difference(known))
-        known.update(zip(new, self.rows(np.fromiter(map(hash64, new), np.uint64, len(new))).tolist(), strict=True))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return np.where(at >= 0, at, np.where((signed >= self.low) & (signed <= self.high), len(self.keys), -1))
 
     def logs(self, rows: np.ndarray) -> np.ndarray:
         return np.where(rows < 0, 0.0, np.log10(self.counts[rows] + 0.1))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"lookup": None}
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
@@ -222,39 +221,29 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n[i : i + 100_000].astype(np.int64))], names=["kind", "key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        ends, held, waiting = 0, [], []
-
-        def word_rows() -> Iterator[pa.RecordBatch]:
-            keys = np.fromiter(map(hash64, words), np.uint64, len(words))
-            yield from rows(0, keys, np.fromiter(words.values(), np.int64, len(words)))
-            words.clear()
+        ends = 0
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]  # by kind: the sum so far, then parts to be added
 
-        def count_waiting() -> None:
-            if waiting:
-                held.append(count_grams(waiting))
-                waiting.clear()
-                if len(held) > 1:
-                    held[:] = [merge_counts(held)]
+        def merged(kind: int) -> None:
+            if len(held[kind]) > 1:
+                held[kind] = [merge_counts(held[kind])]
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                t = lower_ascii(t or "")
-                words.update(split_words(t))
-                ends += 1
-                waiting.append(t.encode("utf-8", "surrogatepass"))
-                if len(waiting) >= 512 or len(waiting[-1]) > 4_000_000:
-                    count_waiting()
-            if len(words) > 400_000:
-                yield from word_rows()
-            if held and len(held[0][0]) > 3_000_000:
-                yield from rows(1, *held.pop())
-        count_waiting()
-        yield from word_rows()
+            texts = batch.column(0).to_pylist()
+            ends += len(texts)
+            held[0].append(np.unique(word_hashes(texts)[0], return_counts=True))
+            held[1].append(count_grams([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]))
+            for kind, limit in ((0, 1_000_000), (1, 3_000_000)):
+                if len(held[kind]) >= 8 or sum(len(k) for k, _ in held[kind]) > limit:
+                    merged(kind)
+                    if len(held[kind][0][0]) > limit:
+                        yield from rows(kind, *held[kind].pop())
+        for kind in (0, 1):
+            merged(kind)
+            for part in held[kind]:
+                yield from rows(kind, *part)
         if ends:
             yield from rows(0, np.zeros(1, np.uint64), np.array([ends]))
-        for h in held:
-            yield from rows(1, *h)
 
     return docs.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
@@ -324,13 +313,13 @@ def _scored(ids: DataFrame, words: Words | None, trie: tuple[Trie, np.ndarray |
     shared = ids.sparkSession.sparkContext.broadcast((words, trie))
     key = ["row"] if "row" in ids.columns else []
 
-    def base(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def base(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         m = shared.value[0]
-        tokens = [split_words(t) for t in texts]
-        n = np.array([len(x) + 1 for x in tokens], dtype=np.int64)
+        hashes, n = word_hashes(texts)
+        n = n + 1
         if m is None:
             return n, np.zeros(len(n), np.int64), np.zeros(len(n))
-        row = m.of([x for t in tokens for x in t])
+        row = m.rows(hashes)
         starts = np.concatenate([[0], np.cumsum(n - 1)])
         total, known = segment_sums(m.logs(row), starts), segment_sums((m.counts[row] * (row >= 0) > 0).astype(np.float64), starts)
         if m.low <= 0 <= m.high:  # the part that has the end also takes every token's denominator
@@ -339,12 +328,12 @@ def _scored(ids: DataFrame, words: Words | None, trie: tuple[Trie, np.ndarray |
             known += m.counts[end[0]] > 0
         return n, known.astype(np.int64), total
 
-    def ppm(texts: list[str]) -> np.ndarray:
+    def ppm(texts: list[str | None]) -> np.ndarray:
         if shared.value[1] is None:
             return np.zeros(len(texts))
         model, own = shared.value[1]
         out, at = np.zeros(len(texts)), 0
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
         while at < len(raw):  # parts of about two million bytes bound the memory
             to, size = at, 0
             while to < len(raw) and (to == at or size + len(raw[to]) < 2_000_000):
@@ -363,7 +352,7 @@ def _scored(ids: DataFrame, words: Words | None, trie: tuple[Trie, np.ndarray |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [lower_ascii(t or "") for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
             n, known, total = base(texts)
             arrays = [batch.column(0), pa.array(n), pa.array(known), pa.array(total), pa.array(ppm(texts))]
             names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
