@@ -1,0 +1 @@
+"""Token-usage analytics on Spark: logs in, priced and aggregated reports out."""
