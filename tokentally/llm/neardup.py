@@ -36,7 +36,7 @@ LARGE_FROM, SMALL_TO = 256, 341
 PERCENT = 75
 #: An estimate has a standard error of at most 0.0385 at 0.75; pairs 4.5 of them below are not verified.
 LEAST_ESTIMATE = 0.75 - 4.5 * 0.0385
-BLOCK = 64
+BLOCK = 256
 #: Candidate ids up to this many are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 EMPTY, _NO_BAND = np.uint16(0xFFFF), np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -85,12 +85,14 @@ def signature_large(h: np.ndarray) -> np.ndarray:
     return np.where(full, registers(first << np.uint64(7)), EMPTY)
 
 
-def band_keys(signature: bytes, level: int) -> np.ndarray:
-    """A band's four registers are its 64-bit key, mixed with the band's number; bands of empty buckets alone tell nothing and are left out."""
+def band_keys(signature: bytes, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and numbers of the bands: a band's four registers are its 64-bit key, mixed with its number; bands of empty buckets alone tell nothing and are left out."""
     bands = np.frombuffer(signature, dtype="<u8")
     seeds = np.arange(BANDS, dtype=np.uint64) + np.uint64(level * BANDS + 1)
     with np.errstate(over="ignore"):
-        return mix64(bands + seeds * np.uint64(0x9E3779B97F4A7C15))[bands != _NO_BAND]
+        keys = mix64(bands + seeds * np.uint64(0x9E3779B97F4A7C15))
+    told = np.flatnonzero(bands != _NO_BAND)
+    return keys[told], told + level * BANDS
 
 
 def chance(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -131,16 +133,17 @@ def _sign(docs: DataFrame) -> DataFrame:
 def _bands(reps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids = [], []
+            keys, numbers, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
             for rep, small, large in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 for level, s in enumerate((small, large)):
                     if s is not None:
-                        keys.append(band_keys(s, level))
-                        ids += [rep] * len(keys[-1])
-            k = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.array(ids, np.int64))], names=["band", "rep"])
+                        k, n = band_keys(s, level)
+                        keys.append(k)
+                        numbers.append(n)
+                        ids += [rep] * len(k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(numbers).astype(np.int32)), pa.array(np.array(ids, np.int64))], names=["band", "number", "rep"])
 
-    return reps.select("rep", "small", "large").mapInArrow(run, "band long, rep long")
+    return reps.select("rep", "small", "large").mapInArrow(run, "band long, number int, rep long")
 
 
 def _likely(f: pd.DataFrame) -> np.ndarray:
@@ -165,6 +168,19 @@ def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
 
 
+def _short_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """rep, short: the sorted distinct 32-bit hashes of the sets of some documents."""
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = [np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s in shingle_sets(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], names=["rep", "short"])
+
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "rep long, short binary")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b; a written table) whose full sets reach the threshold."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
@@ -194,8 +210,13 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
-def _across(collided: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket that may reach the threshold.
+def _across(collided: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs of different components in one bucket that reach the threshold but for hash collisions.
+
+    What the estimate lets through is compared by the sets' 32-bit hashes within the
+    block; collisions can only raise that count, so no link is lost, and pairs below
+    the threshold are never written.  A pair that shares several bands is compared
+    in the first.
 
     In each bucket the largest component's classes need comparing with the others
     alone.  Both sides are cut into blocks of about BLOCK; each block of others meets each
@@ -203,17 +224,19 @@ def _across(collided: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame
     component holds nearly all of a bucket, as in a large group of near copies, that is
     linear in the bucket's size.
     """
-    own = collided.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
+    own = collided.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "number", "rep", F.coalesce("component", "rep").alias("comp"))
     per = own.groupBy("band", "comp").agg(F.count("*").alias("n"))
     mixed = per.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("comps")).where("comps > 1")
     mixed = mixed.select("band", F.col("top.comp").alias("main"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("main_blocks"), F.ceil((F.col("size") - F.col("top.n")) / BLOCK).cast("int").alias("other_blocks"))
-    cut = own.join(mixed, "band").withColumn("is_main", F.col("comp") == F.col("main"))
+    own = materialize(own.join(mixed, "band"), "mixed")
+    short = _short_sets(own.select(F.col("rep").alias("doc_id")).distinct(), docs)
+    cut = own.withColumn("is_main", F.col("comp") == F.col("main"))
     cut = cut.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("other_blocks"))).cast("int"))
     # (p, q): block p of the largest component (or -1 - p of the others) with block q of the others.
     others = F.sequence(F.lit(0), F.col("other_blocks") - 1)
     at_main = F.transform(others, lambda q: F.struct(F.col("block").alias("p"), q.cast("int").alias("q")))
     at_other = F.concat(F.transform(F.sequence(F.lit(0), F.col("main_blocks") - 1), lambda p: F.struct(p.cast("int").alias("p"), F.col("block").alias("q"))), F.transform(others, lambda q: F.struct((-1 - F.least(q, F.col("block"))).cast("int").alias("p"), F.greatest(q, F.col("block")).cast("int").alias("q"))))
-    dealt = cut.withColumn("to", F.explode(F.when(F.col("is_main"), at_main).otherwise(at_other))).select("band", "to.p", "to.q", "rep", "comp", "block", "is_main").join(reps, "rep")
+    dealt = cut.withColumn("to", F.explode(F.when(F.col("is_main"), at_main).otherwise(at_other))).select("band", "number", "to.p", "to.q", "rep", "comp", "block", "is_main").join(reps, "rep").join(short, "rep")
     n = int(collided.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.repartition(n, "band", "p", "q").sortWithinPartitions("band", "p", "q", "rep")
 
@@ -248,7 +271,7 @@ def _compared(t: pa.Table, key: np.ndarray) -> pa.RecordBatch:
         right.append(j[some])
     i, j = np.concatenate(left), np.concatenate(right)
     ok = np.zeros(len(i), dtype=bool)
-    n = t.column("n").to_numpy().astype(float)
+    n, number = t.column("n").to_numpy().astype(float), t.column("number").to_numpy()
     for name in ("small", "large"):
         col = t.column(name).to_pylist()
         have = np.array([c is not None for c in col])
@@ -258,6 +281,18 @@ def _compared(t: pa.Table, key: np.ndarray) -> pa.RecordBatch:
         for k in range(0, len(both), 50_000):
             x, y = i[both[k : k + 50_000]], j[both[k : k + 50_000]]
             ok[both[k : k + 50_000]] |= estimate(sig[at[x]], sig[at[y]], n[x], n[y], np.full(len(x), name == "large")) >= LEAST_ESTIMATE
+        at_level = np.flatnonzero(ok & (number[i] // BANDS == (name == "large")))
+        if len(at_level):  # only in the first band that both share
+            words = sig.view("<u8")
+            x, y = words[at[i[at_level]]], words[at[j[at_level]]]
+            ok[at_level] &= ((x == y) & (x != _NO_BAND)).argmax(axis=1) == number[i[at_level]] % BANDS
+    sets = t.column("short").to_pylist()
+    for k in np.flatnonzero(ok).tolist():
+        x, y = (np.frombuffer(sets[r], dtype="<u4") for r in (i[k], j[k]))
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        # Hashes that fall together within one set make it smaller: the full sizes stand in the bound, the lost ones are added.
+        spare = int(n[i[k]]) - len(x) + int(n[j[k]]) - len(y)
+        ok[k] = 100 * (both + spare) >= PERCENT * (n[i[k]] + n[j[k]] - both - spare)
     a, b = rep[i[ok]], rep[j[ok]]
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -285,7 +320,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = materialize(_estimated(first, reps), "pairs")
     links = _verified(first, docs)
     found = materialize(components(links), "components")
-    again = materialize(_across(collided.select("band", "rep"), found, reps).join(first, ["a", "b"], "left_anti"), "pairs")
+    again = materialize(_across(collided.select("band", "number", "rep"), found, reps, docs), "pairs")
     more = _verified(again, docs)
     if not more.isEmpty():
         found = materialize(components(links.unionByName(more)), "components")
