@@ -146,11 +146,11 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 _SEPARATOR_BYTES = np.zeros(256, dtype=bool)
 _SEPARATOR_BYTES[[9, 10, 11, 12, 13, 32]] = True
-_BYTE_CODES = np.random.default_rng(90210).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE_CODES = np.random.default_rng(90210).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0xD1342543DE82EF97  # 3 modulo 4, so that differences of its powers keep nearly all bits
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2 ** 64, at least n of each."""
     held = _PROCESS.get("powers")
     if held is None or len(held[0]) < n:
@@ -187,9 +187,9 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if not gap[0]:
             edges = np.concatenate([[0], edges])
         first, end = edges[0::2], edges[1::2]
-        up, down = _powers(len(b))
+        up, down = powers(len(b))
         with np.errstate(over="ignore"):
-            prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_CODES[b] * up[: len(b)], dtype=np.uint64)])
+            prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_CODES[b] * up[: len(b)], dtype=np.uint64)])
             out.append(mix64((prefix[end] - prefix[first]) * down[first] + (end - first).astype(np.uint64), 5))
         bounds = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw[at:to]])])
         counts[at:to] = np.diff(np.searchsorted(first, bounds))

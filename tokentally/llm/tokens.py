@@ -2,9 +2,10 @@
 
 A tokenizer whose pre-tokenizer never joins characters across a space gives the
 same ids for a text as for its pieces one after the other.  Words repeat, so a
-worker encodes each distinct piece once (in batches) and joins the bytes of
-the rest.  Texts where a space touches other white space, or that hold the
-string of an added token, are encoded whole.
+worker encodes each distinct piece once and looks the rest up: the pieces' hashes
+come from prefix sums over a whole batch, a table gives each piece's run of ids,
+and the runs are gathered at once.  Texts where white space touches white space, or
+that hold the string of an added token, are encoded whole.
 """
 
 from __future__ import annotations
@@ -15,17 +16,85 @@ import re
 
 import numpy as np
 
-from tokentally.llm.shared import per_process
+from tokentally.llm.shared import BYTE_CODES, mix64, per_process, powers
 
 _TOUCHING = re.compile(r"\s\s")
 #: A letter run and one of these are always pre-tokens of their own.
-_AFTER_LETTERS = frozenset(".,;:!?")
+_MARKS = frozenset(".,;:!?")
+_END = 0xFF  # a byte that no UTF-8 text holds
+
+
+class Runs:
+    """Runs of ids by 64-bit key: open addressing, grown and probed by whole arrays."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.bits, self.n = 16, 0
+        self.keys, self.rows = np.zeros(1 << 16, np.uint64), np.full(1 << 16, -1, np.int32)
+        self.own = np.zeros(1 << 15, np.uint64)  # each row's key
+        self.start, self.size = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32)
+        self.ids, self.used = np.zeros(1 << 17, np.uint32), 0
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        row = self.rows[at]
+        left = np.flatnonzero((row >= 0) & (self.keys[at] != keys))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & (len(self.rows) - 1)
+            r = self.rows[at]
+            row[left] = r
+            on = (r >= 0) & (self.keys[at] != keys[left])
+            left, at = left[on], at[on]
+        return row
+
+    def _place(self, rows: np.ndarray) -> None:
+        left, at = rows, self._slot(self.own[rows])
+        while len(left):
+            free = self.rows[at] < 0
+            self.rows[at[free]] = left[free]
+            won = free & (self.rows[at] == left)
+            self.keys[at[won]] = self.own[left[won]]
+            left, at = left[~won], (at[~won] + 1) & (len(self.rows) - 1)
+
+    def add(self, keys: np.ndarray, runs: list[bytes]) -> None:
+        """New distinct keys and their runs (unsigned 32-bit bytes)."""
+        k, flat = len(keys), np.frombuffer(b"".join(runs), "<u4")
+        while len(self.own) < self.n + k:
+            self.own, self.start, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.own, self.start, self.size))
+        while len(self.ids) < self.used + len(flat):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        sizes = np.fromiter(map(len, runs), np.int64, k) // 4
+        new = slice(self.n, self.n + k)
+        self.own[new], self.size[new], self.start[new] = keys, sizes, self.used + np.cumsum(sizes) - sizes
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.n, self.used = self.n + k, self.used + len(flat)
+        if 2 * self.n > len(self.rows):
+            while 2 * self.n > 1 << self.bits:
+                self.bits += 1
+            self.keys, self.rows = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+            self._place(np.arange(self.n, dtype=np.int32))
+        else:
+            self._place(np.arange(self.n - k, self.n, dtype=np.int32))
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows' runs end to end, and where each ends."""
+        sizes = self.size[rows]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = np.repeat(self.start[rows] - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        return self.ids[at], ends
 
 
 class PieceEncoder:
-    """ids as little-endian unsigned 32-bit bytes."""
+    """ids as little-endian unsigned 32-bit bytes; ``limit`` bounds the pieces that are remembered."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -43,95 +112,118 @@ class PieceEncoder:
         else:
             self.kind = "whole"
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        edge = (lambda t: t.startswith("\u0120")) if self.kind == "space-led" else (lambda t: t.endswith("</w>"))
+        edge = (lambda t: t.startswith(("Ġ", "Ċ"))) if self.kind == "space-led" else (lambda t: t.endswith("</w>"))
         self.edge = np.zeros(self.size, dtype=bool)
         self.edge[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items() if edge(t)]] = True
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-        self.marks = dict(zip(sorted(_AFTER_LETTERS), self._encode(sorted(_AFTER_LETTERS)), strict=True))
+        self.known = Runs()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_pieces(self, pieces: list[str], lead: str) -> list[bytes]:
-        """As _encode of ``lead`` plus each piece, in one call: the ids tell where a piece begins (or ends).
+    def _joined(self, pieces: list[str], lead: str, edges: np.ndarray | None = None) -> list[bytes]:
+        """As _alone of ``lead`` plus each piece, in one call: the ids tell where a piece begins or ends.
 
-        A piece led by a space begins with the only id whose token starts with
-        the space mark; a letter run without white space ends with the only id
-        whose token has the word-end suffix.  Should the counts differ, each
-        piece is encoded alone.
+        A piece led by a space (or a newline) begins with the only id whose token
+        starts with that mark.  Without a lead, ``edges`` tells how many ids of
+        each piece end a word.  Should the counts differ, each piece is encoded alone.
         """
         if not pieces:
             return []
-        ids = np.asarray(self.tokenizer.encode_batch_fast([lead + " ".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = np.asarray(self.tokenizer.encode_batch_fast([lead + (lead or " ").join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
         at = np.flatnonzero(self.edge[ids])
-        if len(at) != len(pieces):
-            return self._encode([lead + p for p in pieces])
-        ends = 4 * (at + 1 if not lead else np.append(at[1:], len(ids)))
+        if lead and len(at) == len(pieces):
+            ends = np.append(at[1:], len(ids))
+        elif not lead and len(at) == edges.sum() and at[-1] == len(ids) - 1:
+            ends = at[np.cumsum(edges) - 1] + 1
+        else:
+            return self._alone([lead + p for p in pieces])
         raw, start, out = ids.tobytes(), 0, []
-        for end in ends.tolist():
+        for end in (4 * ends).tolist():
             out.append(raw[start:end])
             start = end
         return out
 
-    def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        new = pieces.difference(known)
-        if not new:
-            return
-        composed = [w for w in new if w[-1:] in _AFTER_LETTERS and (w[1:-1] if w[0] == "\n" else w[:-1]).isalpha()]
-        new.difference_update(composed)
-        new.update(w[:-1] for w in composed if w[:-1] not in known)
-        plain = list(new)
-        for i in range(0, len(plain), 20_000):
-            part = plain[i : i + 20_000]
-            joined = [p for p in part if p and p[0] != "\n"] if lead else [p for p in part if p.isalpha()]
-            known.update(zip(joined, self._encode_pieces(joined, lead), strict=True))
-            alone = [p for p in part if p not in known]
-            known.update(zip(alone, self._encode([p if p[:1] == "\n" else lead + p for p in alone]), strict=True))
-        for w in composed:
-            known[w] = known[w[:-1]] + self.marks[w[-1]]
-
-    def _forget(self, known: dict[str, bytes]) -> None:
-        """Beyond the limit keep the short pieces, which return most often."""
-        if len(known) > self.limit:
-            short = {k: v for k, v in known.items() if len(k) <= 9}
-            known.clear()
-            if len(short) < self.limit // 2:
-                known.update(short)
+    def _learn(self, pieces: list[str], kinds: np.ndarray) -> list[bytes]:
+        """Runs of new pieces; kinds: 0 led by a space, 1 first of a text, 2 beginning with a newline."""
+        out: list[bytes | None] = [None] * len(pieces)
+
+        def put(at: list[int], runs: list[bytes]) -> None:
+            for i, r in zip(at, runs, strict=True):
+                out[i] = r
+
+        for a in range(0, len(pieces), 20_000):
+            some = range(a, min(a + 20_000, len(pieces)))
+            if self.kind == "space-led":
+                led = [i for i in some if kinds[i] == 0 and pieces[i]]
+                put(led, self._joined([pieces[i] for i in led], " "))
+                lines = [i for i in some if kinds[i] == 2 and len(pieces[i]) > 1]
+                put(lines, self._joined([pieces[i][1:] for i in lines], "\n"))
+            else:
+                count = {i: 1 if pieces[i].isalpha() else 2 if pieces[i][-1:] in _MARKS and pieces[i][:-1].isalpha() else 0 for i in some}
+                plain = [i for i in some if count[i]]
+                put(plain, self._joined([pieces[i] for i in plain], "", np.array([count[i] for i in plain])))
+            rest = [i for i in some if out[i] is None]
+            put(rest, self._alone([" " + pieces[i] if self.kind == "space-led" and kinds[i] == 0 else pieces[i] for i in rest]))
+        return out
+
+    def _part(self, raw: list[bytes]) -> list[bytes]:
+        """The ids of some texts, all safe to cut at spaces."""
+        joined = b"\xff".join(raw) + b"\xff"
+        b = np.frombuffer(joined, dtype=np.uint8)
+        cut = np.flatnonzero((b == 32) | (b == 10) | (b == _END))
+        what = b[cut]
+        led = self.kind == "space-led"
+        first = np.concatenate([[0], cut[:-1] + 1])
+        kinds = np.zeros(len(cut), dtype=np.int8)
+        if led:  # a newline belongs to the piece that it begins
+            kinds[1:][what[:-1] == 10] = 2
+            kinds[1:][what[:-1] == _END] = 1
+            kinds[0] = 1
+            first -= kinds == 2
+        up, down = powers(len(b) + 1)
+        with np.errstate(over="ignore"):
+            prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_CODES[b] * up[: len(b)], dtype=np.uint64)])
+            keys = mix64((prefix[cut] - prefix[first]) * down[first] + (cut - first).astype(np.uint64) + ((kinds == 1).astype(np.uint64) << np.uint64(40)), 6)
+        rows = self.known.find(keys)
+        miss = np.flatnonzero(rows < 0)
+        if len(miss):
+            new, at = np.unique(keys[miss], return_index=True)
+            at = miss[at]
+            self.known.add(new, self._learn([joined[i:j].decode("utf-8", "surrogatepass") for i, j in zip(first[at].tolist(), cut[at].tolist(), strict=True)], kinds[at]))
+            rows[miss] = self.known.find(keys[miss])
+        ids, ends = self.known.gather(rows)
+        data, start, out = ids.tobytes(), 0, []
+        for end in (4 * ends[what == _END]).tolist():
+            out.append(data[start:end])
+            start = end
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null text counts as empty."""
-        self._forget(self.first)
-        self._forget(self.rest)
-        split: list[list[str] | None] = []
-        heads: set[str] = set()
-        tails: set[str] = set()
-        for t in texts:
+        if self.known.n > self.limit:
+            self.known.clear()
+        out: list[bytes] = [b""] * len(texts)
+        some: list[int] = []
+        raw: list[bytes] = []
+        size = 0
+
+        def flush() -> None:
+            for i, data in zip(some, self._part(raw) if raw else [], strict=True):
+                out[i] = data
+            some.clear(), raw.clear()
+
+        for i, t in enumerate(texts):
             t = t or ""
-            if self.kind == "whole" or any(a in t for a in self.added):
-                split.append(None)
-            elif self.kind == "space-free":
-                p = t.replace("\n", " ").split(" ")
-                tails.update(p)
-                split.append(p)
-            elif _TOUCHING.search(t):
-                split.append(None)
-            else:
-                p = t.replace("\n", " \n").split(" ")
-                heads.add(p[0])
-                tails.update(p[1:])
-                split.append(p)
-        lead = " " if self.kind == "space-led" else ""
-        self._learn(self.first, heads, "")
-        self._learn(self.rest, tails, lead)
-        out = []
-        for t, p in zip(texts, split, strict=True):
-            if p is None:
-                out.append(self._encode([t or ""])[0])
-            elif lead:
-                out.append(self.first[p[0]] + b"".join(map(self.rest.__getitem__, p[1:])))
-            else:
-                out.append(b"".join(map(self.rest.__getitem__, p)))
+            if self.kind == "whole" or _TOUCHING.search(t) or any(a in t for a in self.added):
+                out[i] = self._alone([t])[0]
+                continue
+            some.append(i)
+            raw.append(t.encode("utf-8", "surrogatepass"))
+            size += len(raw[-1])
+            if size > 1_000_000:  # parts of about a megabyte bound the memory
+                flush()
+                size = 0
+        flush()
         return out
 
 
