@@ -43,17 +43,46 @@ def parse_results(messages: DataFrame) -> DataFrame:
 def levels(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, level: the longest chain of calls that a call depends on.
 
-    Each round takes the calls that depend on none of the remaining ones; there are as many
-    rounds as the longest chain has calls.  Dependencies on calls that don't exist count for
-    nothing; calls on a cycle, or behind one, get no row.
+    Dependencies on calls that don't exist count for nothing; calls on a cycle, or
+    behind one, have a null level.  Conversations in which each call depends on one
+    other at most are walked by doubling (see _by_doubling()), so a chain of
+    thousands of calls takes a dozen rounds; the others are peeled off (see _by_peeling()).
     """
     keys = ["conv_id", "call_id"]
-    left = calls.where("call_id IS NOT NULL").select(*keys)
-    needs = calls.where("call_id IS NOT NULL").select(*keys, F.explode(F.array_distinct("depends_on")).alias("needed"))
-    known = left.withColumnRenamed("call_id", "needed")
-    needs = materialize(needs.join(known, ["conv_id", "needed"], "left_semi"), "needs")
-    left = materialize(left, "left")
-    out, level = None, 0
+    known = materialize(calls.where("call_id IS NOT NULL").select(*keys), "known")
+    needs = calls.where("call_id IS NOT NULL AND size(depends_on) > 0").select(*keys, F.explode(F.array_distinct("depends_on")).alias("needed"))
+    needs = materialize(needs.join(known.withColumnRenamed("call_id", "needed"), ["conv_id", "needed"], "left_semi"), "needs")
+    several = materialize(needs.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select("conv_id").distinct(), "several")
+    single = _by_doubling(known.join(several, "conv_id", "left_anti"), needs.join(several, "conv_id", "left_anti"))
+    if several.isEmpty():
+        return single
+    return single.unionByName(_by_peeling(known.join(several, "conv_id", "left_semi"), needs.join(several, "conv_id", "left_semi")))
+
+
+def _by_doubling(known: DataFrame, needs: DataFrame) -> DataFrame:
+    """Chains: each call knows a call so many steps up; each round every call jumps to where that one points, twice as far.
+
+    After as many rounds as the number of calls has binary digits, whoever hasn't
+    reached an end is on a cycle or behind one.
+    """
+    keys = ["conv_id", "call_id"]
+    done = materialize(known.join(needs.select(*keys), keys, "left_anti").withColumn("level", F.lit(0)), "done")
+    left = materialize(needs.select(*keys, "needed", F.lit(1).alias("level")), "left")
+    for _ in range(known.count().bit_length() + 1):
+        if left.isEmpty():
+            break
+        up = done.withColumn("next", F.lit(None).cast("string")).unionByName(left.withColumnRenamed("needed", "next"))
+        up = up.select("conv_id", F.col("call_id").alias("needed"), "next", F.col("level").alias("more"))
+        jumped = materialize(left.join(up, ["conv_id", "needed"]).select(*keys, F.col("next").alias("needed"), (F.col("level") + F.col("more")).alias("level")), "jumped")
+        done = done.unionByName(jumped.where("needed IS NULL").select(*keys, "level"))
+        left = jumped.where("needed IS NOT NULL")
+    return done.unionByName(left.select(*keys, F.lit(None).cast("int").alias("level")))
+
+
+def _by_peeling(left: DataFrame, needs: DataFrame) -> DataFrame:
+    """Each round takes the calls that depend on none of the remaining ones; there are as many rounds as the longest chain has calls."""
+    keys = ["conv_id", "call_id"]
+    left, needs, out, level = materialize(left, "left"), materialize(needs, "needs"), None, 0
     while True:
         ready = materialize(left.join(needs.select(*keys).distinct(), keys, "left_anti"), "ready")
         if ready.isEmpty():
@@ -63,7 +92,8 @@ def levels(calls: DataFrame) -> DataFrame:
         needs = materialize(needs.join(ready.withColumnRenamed("call_id", "needed"), ["conv_id", "needed"], "left_anti"), "needs")
         left = materialize(left.join(ready, keys, "left_anti"), "left")
         level += 1
-    return out if out is not None else left.withColumn("level", F.lit(0)).limit(0)
+    cyclic = left.withColumn("level", F.lit(None).cast("int"))
+    return cyclic if out is None else out.unionByName(cyclic)
 
 
 def json_type(value) -> F.Column:
