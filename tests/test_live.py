@@ -1,0 +1,54 @@
+from __future__ import annotations
+
+import datetime
+import os
+import uuid
+
+from tokentally.streaming import live
+
+SCHEMA = "agent string, ts timestamp, date string, message_id string, request_id string, input_tokens long, output_tokens long, cost double"
+
+
+def row(minute, mid="m", tokens=1):
+    t = datetime.datetime(2025, 1, 10) + datetime.timedelta(minutes=minute)
+    return ("a", t, t.date().isoformat(), mid, "r", tokens, 0, 0.5)
+
+
+def stream(spark, tmp_path, batches):
+    """A file for each batch, taken in order, one at a time."""
+    for i, rows in enumerate(batches):
+        f = tmp_path / f"in{i}"
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(f))
+        part = next(f.glob("part-*"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        part.rename(tmp_path / "in" / f"{i}.parquet")
+        os.utime(tmp_path / "in" / f"{i}.parquet", (1_000_000 + i, 1_000_000 + i))
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
+def drained(df, mode, tmp_path):
+    return live.run_to_table(df, mode, f"t{uuid.uuid4().hex}", str(tmp_path / "ck"))
+
+
+def test_daily(spark, tmp_path):
+    out = drained(live.daily(stream(spark, tmp_path, [[row(0), row(1)], [row(2, tokens=5), row(1500)]])), "complete", tmp_path).collect()
+    assert sorted((r.date, r.records, r.input_tokens) for r in out) == [("2025-01-10", 3, 7), ("2025-01-11", 1, 1)]
+
+
+def test_blocks(spark, tmp_path):
+    out = drained(live.blocks(stream(spark, tmp_path, [[row(0), row(20)], [row(35), row(120)], [row(10_000)]]), gap="30 minutes", watermark="1 hour"), "append", tmp_path).collect()
+    assert sorted(((r.block_end - r.block_start).seconds // 60, r.records) for r in out) == [(0, 1), (35, 3)]
+
+
+def test_first_and_best(spark, tmp_path):
+    batches = [[row(0, "a", 3), row(1, "b", 1)], [row(2, "a", 9), row(3, "b", 1)], [row(4, "a", 2)]]
+    assert sorted((r.message_id, r.input_tokens) for r in drained(live.deduplicated(stream(spark, tmp_path, batches)), "append", tmp_path).collect()) == [("a", 3), ("b", 1)]
+    (tmp_path / "x").mkdir()
+    best = drained(live.best_records(stream(spark, tmp_path / "x", batches)), "update", tmp_path / "x").collect()
+    assert sorted((r.message_id, r.input_tokens) for r in best) == [("a", 3), ("a", 9), ("b", 1)]
+
+
+def test_watch(spark, tmp_path):
+    seen = []
+    live.watch(stream(spark, tmp_path, [[row(0)], [row(1)]]), lambda df, n: seen.append(df.first().records), str(tmp_path / "ck"), once=True).awaitTermination()
+    assert seen == [1, 2]
