@@ -31,10 +31,11 @@ def deduplicated(stream: DataFrame, keys: tuple[str, ...] = ("message_id", "requ
     return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(list(keys))
 
 
-def best_records(stream: DataFrame, keys: tuple[str, ...] = ("message_id", "request_id")) -> DataFrame:
+def best_records(stream: DataFrame, keys: tuple[str, ...] = ("message_id", "request_id"), watermark: str = "1 day") -> DataFrame:
     """The best record of each key so far (most tokens, ties to the earlier), emitted whenever it changes; update mode.
 
-    State is one record for each key, dropped a day after the key's last change.
+    State is one number for each key, dropped once the watermark is a day past the
+    key's last record.
     """
     schema = stream.schema
     columns = schema.names
@@ -45,24 +46,32 @@ def best_records(stream: DataFrame, keys: tuple[str, ...] = ("message_id", "requ
             return
         held = state.get if state.exists else (None,)
         best = held[0]
-        out = None
+        out, last = None, 0
         for f in frames:
             f = f.sort_values("ts", kind="stable")
+            last = max(last, int(f["ts"].max().timestamp() * 1000))
             total = f["input_tokens"].fillna(0) + f["output_tokens"].fillna(0)
             at = int(total.to_numpy().argmax())
             if best is None or int(total.iloc[at]) > best:
                 best, out = int(total.iloc[at]), f.iloc[[at]]
         if out is not None:
             state.update((best,))
-            state.setTimeoutDuration(86_400_000)
+            state.setTimeoutTimestamp(max(last + 86_400_000, state.getCurrentWatermarkMs() + 1))
             yield out[columns]
 
-    return stream.groupBy(*keys).applyInPandasWithState(step, schema, "best long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.withWatermark("ts", watermark).groupBy(*keys).applyInPandasWithState(step, schema, "best long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def watch(stream: DataFrame, show: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "30 seconds", once: bool = False) -> StreamingQuery:
     """Run ``show`` on the daily sums after each interval (at least a second); micro-batches never overlap.  Stop with query.stop()."""
-    writer = daily(stream).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(show)
+
+    def whole(sums: DataFrame, batch: int) -> None:
+        sums.persist()
+        sums.count()  # state is committed by reading all partitions, which ``show`` may not do
+        show(sums, batch)
+        sums.unpersist()
+
+    writer = daily(stream).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(whole)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 
