@@ -145,6 +145,10 @@ class Trie:
                 level["left_escape"] = np.where(kinds > 0, np.log10(np.maximum(kinds, 1) / 2) - level["left"], 0.0)
             self.levels.append(level)
             shorter = level
+        for level in self.levels:  # row -1 stands for what a level doesn't know, also where it is empty
+            for name in ("n", "first", "escape", "left", "left_escape"):
+                if name in level:
+                    level[name] = np.append(level[name], 1.0)
         self.uniform = -np.log10(max(1, SYMBOLS - len(seen)))
 
     def score(self, g: np.ndarray) -> np.ndarray:
@@ -153,7 +157,7 @@ class Trie:
             self._build()
         top = self.levels[ORDER]
         row = top["gram"].find(g)
-        out = top["first"][np.maximum(row, 0)]
+        out = top["first"][row]
         left = np.flatnonzero(row < 0)
         if len(left):
             out[left] = self._fall(g[left])
@@ -298,7 +302,7 @@ def score_documents(docs: DataFrame, train: DataFrame, largest_words: int = LARG
             keys, k = _arrays(words.where((F.col("key") >= F.lit(edges[i])) & (F.col("key") <= F.lit(edges[i + 1] - 1))))
             part_words = Words(keys, k, edges[i], edges[i + 1] - 1, int(n), int(v))
         if i < len(groups):
-            part_trie = (Trie(*_arrays(strings.where(last.isin(groups[i]) if passes > 1 else F.lit(True))), roots), np.array(groups[i], dtype=np.int64) if passes > 1 else None)
+            part_trie = (Trie(*_arrays(strings.where(last.isin(groups[i]) if passes > 1 else F.lit(True))), roots), _share(groups, i) if passes > 1 else None)
         own = _scored(ids, part_words, part_trie)
         scored = own if scored is None else scored.unionByName(own)
     if passes > 1:
@@ -309,7 +313,12 @@ def score_documents(docs: DataFrame, train: DataFrame, largest_words: int = LARG
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _scored(ids: DataFrame, words: Words | None, trie: tuple[Trie, np.ndarray | None] | None) -> DataFrame:
+def _share(groups: list[list[int]], i: int) -> tuple[np.ndarray, bool]:
+    """(bytes, whether they are meant or all others): a part's last bytes of contexts; the first part also has those that training never saw."""
+    return (np.array(groups[i], dtype=np.int64), True) if i else (np.array([b for g in groups[1:] for b in g], dtype=np.int64), False)
+
+
+def _scored(ids: DataFrame, words: Words | None, trie: tuple[Trie, tuple[np.ndarray, bool] | None] | None) -> DataFrame:
     shared = ids.sparkSession.sparkContext.broadcast((words, trie))
     key = ["row"] if "row" in ids.columns else []
 
@@ -343,7 +352,7 @@ def _scored(ids: DataFrame, words: Words | None, trie: tuple[Trie, np.ndarray |
             g = grams(s)
             real = _real(g)
             if own is not None:
-                real &= np.isin((g >> np.uint64(BITS)).astype(np.int64) & MASK, own)
+                real &= np.isin((g >> np.uint64(BITS)).astype(np.int64) & MASK, own[0]) == own[1]
             score = np.zeros(len(g))
             score[real] = model.score(g[real])
             out[at:to] = segment_sums(score, np.maximum(starts - ORDER, 0))
