@@ -94,7 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from tokentally.llm.toolcalls import SQL
 
-    return {"op1_vp_tree_neighbours": OP1_SQL, "op3_tool_calls": SQL}
+    return {"op1_vp_tree_neighbours": OP1_SQL, "op3_tool_calls": SQL, "op8_minhash_dedup": OP8_SQL}
 
 
 _VALID = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
@@ -104,3 +104,15 @@ d AS (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, q.e AS a, v.e AS b, list_
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY near, vec_id) AS INTEGER) AS rank FROM d)
 SELECT query_id, rank, vec_id, sqrt(list_reduce(list_transform(list_zip(a, b), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda x, y: x + y)) AS score FROM r WHERE rank <= 10
 """
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS h FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT p.a, p.b FROM p JOIN n AS x ON x.doc_id = p.a JOIN n AS y ON y.doc_id = p.b WHERE 100 * p.c >= 75 * (x.n + y.n - p.c)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS d, doc_id AS m FROM documents UNION SELECT u.a, r.m FROM r JOIN u ON u.b = r.d)
+SELECT r.d AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.m) AS component_id, r.d = min(r.m) AS kept FROM r LEFT JOIN n ON n.doc_id = r.d GROUP BY r.d
+"""
