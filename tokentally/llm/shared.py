@@ -22,11 +22,11 @@ def prepare(spark: SparkSession) -> None:
     """Make this package importable on the executors and keep Arrow batches small.
 
     The package is sent through Spark's own file server, so that executors need
-    no shared folder for code.  512 rows a batch bound a worker's memory also
+    no shared folder for code.  256 rows a batch bound a worker's memory also
     where every text is very long.
     """
     sc = spark.sparkContext
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     if sc.applicationId in _SHIPPED:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -129,8 +129,10 @@ _PROCESS: dict = {}
 
 
 def per_process(key, make: Callable):
-    """A value that is made once per worker process and kept for its later tasks."""
+    """A value that is made once per worker process and kept for its later tasks, until another one is asked for: a worker serves one operator after the other, and what earlier ones remembered would fill its memory."""
     if key not in _PROCESS:
+        for old in [k for k in _PROCESS if k != "powers"]:
+            del _PROCESS[old]
         _PROCESS[key] = make()
     return _PROCESS[key]
 

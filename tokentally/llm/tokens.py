@@ -94,7 +94,7 @@ class Runs:
 class PieceEncoder:
     """ids as little-endian unsigned 32-bit bytes; ``limit`` bounds the pieces that are remembered."""
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
