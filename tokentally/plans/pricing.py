@@ -272,9 +272,12 @@ def cached_cost(p: str = "", fast: bool = False) -> Column:
 def with_prices(records: DataFrame, prices: DataFrame, model: str = "price_model", match_dated_models: bool = False, prefix: str = "price_") -> DataFrame:
     """``records`` left-joined with their models' prices, columns prefixed."""
     names = {c: f"{prefix}{c}" for c in NAMES if c != "model"}
-    known = resolve(records.select(model), prices, match_dated_models).join(prices.withColumnRenamed("model", "key"), "key").select(F.col("model").alias("_m"), *[F.col(a).alias(b) for a, b in names.items()], F.lit(True).alias(f"{prefix}known"))
-    # Distinct models are counted before they are broadcast.
-    known = F.broadcast(known) if records.select(model).distinct().limit(BROADCAST_MODELS + 1).count() <= BROADCAST_MODELS else known
+    # One pass over the model column tells whether the distinct models are few enough to be broadcast.
+    found = records.select(F.col(model).alias("model")).distinct().limit(BROADCAST_MODELS + 1).collect()
+    few = len(found) <= BROADCAST_MODELS
+    models = records.sparkSession.createDataFrame([(r.model,) for r in found], "model string") if few else records.select(F.col(model).alias("model"))
+    known = resolve(models, prices, match_dated_models).join(prices.withColumnRenamed("model", "key"), "key").select(F.col("model").alias("_m"), *[F.col(a).alias(b) for a, b in names.items()], F.lit(True).alias(f"{prefix}known"))
+    known = F.broadcast(known) if few else known
     return records.join(known, records[model] == F.col("_m"), "left").drop("_m")
 
 
