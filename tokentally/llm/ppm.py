@@ -38,7 +38,7 @@ class Lookup:
         self.bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())
         self.keys = np.full(1 << self.bits, _EMPTY, dtype=np.uint64)
         self.rows = np.full(1 << self.bits, -1, dtype=np.int32)
-        left, at = np.arange(len(keys)), self._slot(keys)
+        left, at = np.arange(len(keys), dtype=np.int32), self._slot(keys)
         while len(left):
             free = self.keys[at] == _EMPTY
             self.rows[at[free]] = left[free]
@@ -113,25 +113,32 @@ class Trie:
         self.given, self.levels = (keys, counts, roots), []
 
     def __getstate__(self) -> dict:
-        return {"given": self.given, "levels": []}
+        return {"given": self.given, "levels": []}  # made on the driver, which never builds it
 
     def _build(self) -> None:
         keys, counts, roots = self.given
-        table = np.unique(keys, return_inverse=True)
-        tables = {ORDER: (table[0], np.bincount(table[1], weights=counts, minlength=len(table[0])).astype(np.int64))}
+        self.given = None
+        order = np.argsort(keys)
+        tables = {ORDER: (keys[order], counts[order])}
+        del keys, counts, order
         for k in range(ORDER - 1, 0, -1):
             short = tables[k + 1][0] & np.uint64((1 << BITS * (k + 1)) - 1)
-            u, back = np.unique(short, return_inverse=True)
-            tables[k] = (u, np.bincount(back, weights=tables[k + 1][1], minlength=len(u)).astype(np.int64))
+            order = np.argsort(short)
+            short = short[order]
+            first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]])) if len(short) else np.zeros(0, np.int64)
+            tables[k] = (short[first], np.add.reduceat(tables[k + 1][1][order], first) if len(first) else np.zeros(0, np.int64))
+            del short, order, first
         seen = np.flatnonzero(roots).astype(np.uint64)
         tables[0] = (seen, roots[seen.astype(np.int64)].astype(np.int64))
         shorter = None
         for k in range(ORDER + 1):
-            gram, n = tables[k]
-            ctx, at = np.unique(gram >> np.uint64(BITS), return_inverse=True)
+            gram, n = tables.pop(k)
+            ctx = gram >> np.uint64(BITS)  # sorted as the grams are: a context's symbols are a run
+            new = np.concatenate([[True], ctx[1:] != ctx[:-1]]) if len(ctx) else np.zeros(0, bool)
+            ctx, at = ctx[new], np.cumsum(new, dtype=np.int32) - 1
             total = np.bincount(at, weights=n, minlength=len(ctx))
             distinct = np.bincount(at, minlength=len(ctx)).astype(np.float64)
-            level = {"gram": Lookup(gram), "ctx": Lookup(ctx), "n": n.astype(np.float64), "of": at.astype(np.int32), "escape": np.log10(np.maximum(distinct, 1) / 2) - np.log10(np.maximum(total, 1)), "total": total, "distinct": distinct}
+            level = {"gram": Lookup(gram), "ctx": Lookup(ctx), "n": n.astype(np.float64), "of": at, "escape": np.log10(np.maximum(distinct, 1) / 2) - np.log10(np.maximum(total, 1)), "total": total, "distinct": distinct}
             level["first"] = np.log10(n - 0.5) - np.log10(np.maximum(total, 1))[at]
             if k:  # what is left in the shorter context without what this one has seen
                 low = np.uint64((1 << BITS * k) - 1)
@@ -145,6 +152,8 @@ class Trie:
                 level["left_escape"] = np.where(kinds > 0, np.log10(np.maximum(kinds, 1) / 2) - level["left"], 0.0)
             self.levels.append(level)
             shorter = level
+        for level in self.levels:
+            del level["total"], level["distinct"], level["of"]
         for level in self.levels:  # row -1 stands for what a level doesn't know, also where it is empty
             for name in ("n", "first", "escape", "left", "left_escape"):
                 if name in level:
@@ -190,26 +199,26 @@ class Trie:
 
 
 class Words:
-    """Counts of the training tokens whose hash is in [low, high]; the look-up table is built where it is used."""
+    """Counts of the training tokens whose hash is in [low, high], by their sorted hashes: no larger than what was broadcast."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, low: int, high: int, n: int, v: int):
-        self.keys, self.counts = keys, np.append(counts, 0)  # the last row stands for unknown words
-        self.low, self.high, self.n, self.v, self.lookup = low, high, n, v, None
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], np.append(counts[order], 0)  # the last row stands for unknown words
+        self.low, self.high, self.n, self.v = low, high, n, v
 
     def rows(self, hashes: np.ndarray) -> np.ndarray:
         """The row of each hash, -1 for words of other parts."""
-        if self.lookup is None:
-            self.lookup = Lookup(self.keys)
-        at = self.lookup.find(hashes)
+        known = np.zeros(len(hashes), dtype=bool)
+        at = np.zeros(len(hashes), dtype=np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+            known = self.keys[at] == hashes
         signed = hashes.view(np.int64)
-        return np.where(at >= 0, at, np.where((signed >= self.low) & (signed <= self.high), len(self.keys), -1))
+        return np.where(known, at, np.where((signed >= self.low) & (signed <= self.high), len(self.keys), -1))
 
     def logs(self, rows: np.ndarray) -> np.ndarray:
         return np.where(rows < 0, 0.0, np.log10(self.counts[rows] + 0.1))
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"lookup": None}
-
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
     """kind, key, n over all rows of ``docs`` (text): kind 0 words by their hash (the end is key 0), 1 byte strings of ORDER + 1 symbols.
@@ -343,9 +352,9 @@ def _scored(ids: DataFrame, words: Words | None, trie: tuple[Trie, tuple[np.ndar
         model, own = shared.value[1]
         out, at = np.zeros(len(texts)), 0
         raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-        while at < len(raw):  # parts of about two million bytes bound the memory
+        while at < len(raw):  # parts of about a million bytes bound the memory
             to, size = at, 0
-            while to < len(raw) and (to == at or size + len(raw[to]) < 2_000_000):
+            while to < len(raw) and (to == at or size + len(raw[to]) < 1_000_000):
                 size += len(raw[to])
                 to += 1
             s, starts = symbols(raw[at:to])
