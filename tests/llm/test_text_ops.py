@@ -291,6 +291,14 @@ def test_invalid_values_stay(value):
     assert pii.pseudonymise_text(f"so {value} x", pii.Feistel(b"k")) == (f"so {value} x", {})
 
 
+@pytest.mark.parametrize("value", ["+1 (017) 555-7713", "+1 (132) 555-1352", "+1 (504) 155-2652", "+1 (188) 055-2485"])
+def test_all_ten_digit_numbers_are_replaced(value):
+    f = pii.Feistel(b"k")
+    out, n = pii.pseudonymise_text(f"so {value} x", f)
+    assert n == {"phone": 1} and out != f"so {value} x" and pii.pseudonymise_text(out, f, True)[0] == f"so {value} x"
+    assert [c if not c.isdigit() else "d" for c in out] == [c if not c.isdigit() else "d" for c in f"so {value} x"]
+
+
 def test_one_date_has_one_pseudonym():
     f = pii.Feistel(b"k")
     a, b, c = (pii.pseudonymise_text(t, f)[0] for t in ("2024-02-29", "29.02.2024", "02/29/2024"))

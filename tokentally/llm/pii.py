@@ -126,13 +126,13 @@ def iban(text: str, f: Feistel, back: bool) -> str | None:
 
 
 def phone(text: str, f: Feistel, back: bool) -> str | None:
-    """A country code and 7 to 12 further digits; for +1 area and exchange start with 2 to 9."""
+    """A country code and 7 to 12 further digits, for +1 ten; there a first digit of area or exchange stays in its set, 0 and 1 or 2 to 9."""
     code, rest = re.match(r"\+(\d{1,3})(.*)", text, re.S).groups()
     d = re.sub(r"\D", "", rest)
     if code == "1":
-        if len(d) != 10 or d[0] < "2" or d[3] < "2":
+        if len(d) != 10:
             return None
-        sets = ["23456789" if i in (0, 3) else _DIGITS for i in range(10)]
+        sets = [_DIGITS if i not in (0, 3) else "01" if c < "2" else "23456789" for i, c in enumerate(d)]
     else:
         if not 7 <= len(d) <= 12:
             return None
