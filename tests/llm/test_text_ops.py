@@ -299,6 +299,20 @@ def test_all_ten_digit_numbers_are_replaced(value):
     assert [c if not c.isdigit() else "d" for c in out] == [c if not c.isdigit() else "d" for c in f"so {value} x"]
 
 
+SECRETS = ['TOKEN = "9233A8ECF7C5B09F"', "Password: hunter2x", "API_KEY=58c1801e2a82", "api-key: Ab12-cd34", '{"token": "40ba077d62935af6"}', "{'Client-Secret': 'Zz9aaa11'}", "my_token_=abcdef1", "token: A1B2C3D4", "secret=1234567", "secret=g12345"]
+
+
+@pytest.mark.parametrize("value", SECRETS)
+def test_secrets_of_all_writings(value):
+    for key in range(20):  # the image must stay in the value's own set under any key
+        f = pii.Feistel(b"%d" % key)
+        out, n = pii.pseudonymise_text(f"so {value} x", f)
+        at = max(value.find("="), value.find(":")) + 4
+        assert n == {"secret": 1} and out[:at] == f"so {value} x"[:at] and out != f"so {value} x" and len(out) == len(value) + 5
+        assert pii.pseudonymise_text(out, f, True)[0] == f"so {value} x"
+        assert not value.startswith("TOKEN") or out == out.upper().replace("SO ", "so ").replace(" X", " x")
+
+
 def test_one_date_has_one_pseudonym():
     f = pii.Feistel(b"k")
     a, b, c = (pii.pseudonymise_text(t, f)[0] for t in ("2024-02-29", "29.02.2024", "02/29/2024"))

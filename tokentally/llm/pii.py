@@ -209,14 +209,26 @@ def access_key(text: str, f: Feistel, back: bool) -> str | None:
 
 
 def secret(text: str, f: Feistel, back: bool) -> str | None:
-    """The value after password=, token = and their like; hexadecimal ones stay so."""
+    """The value after password=, token = and their like; hexadecimal ones stay so, in their case.
+
+    What falls into another set of values is walked on, so that it can be undone.
+    """
     head, value, tail = re.fullmatch(r"(.*?[=:]\s*[\"']?)([^\s\"']+)([\"']?)", text, re.S).groups()
-    sets = [_HEX] * len(value) if re.fullmatch("[0-9a-f]+", value) else _alphabets(value)
-    return head + _by_alphabet(value, sets, f, "secret", back) + tail
+    hexa = _hexadecimal(value)
+    sets = [hexa] * len(value) if hexa else _alphabets(value)
+    while True:
+        value = _by_alphabet(value, sets, f, "secret", back)
+        if _hexadecimal(value) == hexa:
+            return head + value + tail
+
+
+def _hexadecimal(value: str) -> str:
+    """The alphabet of a hexadecimal value, digits alone counting as lower-case; else empty."""
+    return _HEX if re.fullmatch("[0-9a-f]+", value) else _HEX.upper() if re.fullmatch("[0-9A-F]+", value) else ""
 
 
 KINDS: dict[str, tuple[str, Callable[[str, Feistel, bool], str | None]]] = {
-    "secret": (r"(?<![A-Za-z0-9])(?:password|passwd|token|secret|api_?key)\s*[=:]\s*(?:\"[^\s\"']{6,}\"|'[^\s\"']{6,}'|[^\s\"',;]{6,})", secret),
+    "secret": (r"(?<![A-Za-z0-9])(?i:password|passwd|token|secret|api[-_]?key)[-_]*[\"']?\s*[=:]\s*(?:\"[^\s\"']{6,}\"|'[^\s\"']{6,}'|[^\s\"',;]{6,})", secret),
     "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
     "access_key": (r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])", access_key),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", iban),
