@@ -70,6 +70,25 @@ def test_links_and_errors(spark):
     assert got[0].record == '{"arguments":{"a":"é\\n","n":1},"conv_id":1,"errors":"","id":"a","level":0,"name":"f","result":"ok","turn":0}'
 
 
+def test_nothing_is_dropped(spark):
+    one = lambda *calls: json.dumps({"tool_calls": list(calls)})
+    result = lambda i, text: json.dumps({"tool_call_id": i, "content": text})
+    rows = [
+        (1, 0, "assistant", one(call("a"), call("b", ["a"]))), (1, 1, "tool", result("a", "r1")), (1, 1, "tool", result("a", "r1")), (1, 2, "tool", result("a", "late")), (1, 3, "tool", result("zz", "lost")),
+        (1, 4, "assistant", one(call("a", ["b"], args={"a": "again"}))), (1, 4, "assistant", one(call("a", ["b"], args={"a": "again"}))), (1, 5, "tool", result("a", "r2")),
+        (1, 6, "assistant", one(call("a", args={"a": 1}), call("a", args={"a": "x", "n": 2}))), (1, 7, "tool", result("a", "r3")), (1, 8, "tool", result("a", "r4")),
+        (2, None, "assistant", one(call("a", args={"n": 1}))), (2, 3, "assistant", one(call("b", ["b"]))), (2, 1, "tool", result("b", "early")),
+    ]
+    got = toolcalls.link_all(messages(spark, rows), schemas(spark)).collect()
+    want = {
+        (1, 0, 0, "a", 0, "", "r1", 1), (1, 0, 1, "b", 1, "", None, 1), (1, 4, 0, "a", 2, "", "r2", 2), (1, 6, 0, "a", 0, "type:a", "r3", 3), (1, 6, 1, "a", 0, "", "r4", 4),
+        (1, None, None, "a", None, "duplicate", "late", None), (1, None, None, "zz", None, "orphan", "lost", None), (2, None, 0, "a", 0, "missing:a", None, 1), (2, 3, 0, "b", None, "", "early", 1),
+    }
+    assert {(r.conv_id, r.turn, r.call_no, r.call_id, r.level, r.errors, r.result, r.occurrence) for r in got} == want and len(got) == len(want)
+    lost = next(r for r in got if r.errors == "orphan")
+    assert lost.record == '{"arguments":null,"conv_id":1,"errors":"orphan","id":"zz","level":null,"name":null,"result":"lost","turn":null}' and not lost.valid and lost.result_turn == 3
+
+
 def test_empty(spark):
     assert toolcalls.link_tool_calls(messages(spark, []), schemas(spark)).count() == 0
     assert toolcalls.link_tool_calls(messages(spark, [(1, 1, "user", "x"), (1, 1, "user", "x")]), schemas(spark)).count() == 0

@@ -11,33 +11,66 @@ so a conversation of any size is spread over tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokentally.llm.shared import materialize, table
 
 CALLS = "tool_calls array<struct<id: string, name: string, arguments: string, depends_on: array<string>>>"
 RESULT = "tool_call_id string, content string"
+FIRST = -(2**63)  # the place of a null turn
 
 
 def parse_calls(messages: DataFrame) -> DataFrame:
     """conv_id, turn, call_no, call_id, name, arguments (JSON text), depends_on of every call.
 
-    Null conversations or texts and texts that aren't such JSON hold no call.  Of calls that
-    share a conversation and id, the first by (turn, call_no) is kept.
+    Null conversations or texts and texts that aren't such JSON hold no call.  Equal messages count
+    once; calls that share a conversation and id are all kept.
     """
-    held = messages.where((F.col("role") == "assistant") & F.col("conv_id").isNotNull() & F.col("text").contains("tool_calls"))
+    held = messages.where((F.col("role") == "assistant") & F.col("conv_id").isNotNull() & F.col("text").contains("tool_calls")).select("conv_id", "turn", "text").distinct()
     one = held.select("conv_id", "turn", F.posexplode(F.from_json("text", CALLS)["tool_calls"]).alias("call_no", "c"))
-    calls = one.select("conv_id", "turn", "call_no", F.col("c.id").alias("call_id"), "c.name", F.coalesce("c.arguments", F.lit("{}")).alias("arguments"), F.coalesce("c.depends_on", F.array().cast("array<string>")).alias("depends_on"))
-    first = calls.where("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min_by(F.struct("turn", "call_no", "name", "arguments", "depends_on"), F.struct("turn", "call_no", "arguments")).alias("c")).select("conv_id", "c.turn", "c.call_no", "call_id", "c.name", "c.arguments", "c.depends_on")
-    return first.unionByName(calls.where("call_id IS NULL"))
+    return one.select("conv_id", "turn", "call_no", F.col("c.id").alias("call_id"), "c.name", F.coalesce("c.arguments", F.lit("{}")).alias("arguments"), F.coalesce("c.depends_on", F.array().cast("array<string>")).alias("depends_on"))
 
 
 def parse_results(messages: DataFrame) -> DataFrame:
-    """conv_id, call_id, result_turn, result: the first result of each call id."""
-    held = messages.where((F.col("role") == "tool") & F.col("conv_id").isNotNull() & F.col("text").contains("tool_call_id"))
+    """conv_id, call_id, result_turn, result of every result; equal messages count once."""
+    held = messages.where((F.col("role") == "tool") & F.col("conv_id").isNotNull() & F.col("text").contains("tool_call_id")).select("conv_id", "turn", "text").distinct()
     one = held.select("conv_id", "turn", F.from_json("text", RESULT).alias("r")).where("r.tool_call_id IS NOT NULL")
-    return one.groupBy("conv_id", F.col("r.tool_call_id").alias("call_id")).agg(F.min_by(F.struct("turn", "r.content"), F.struct("turn", "r.content")).alias("r")).select("conv_id", "call_id", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("result"))
+    return one.select("conv_id", F.col("r.tool_call_id").alias("call_id"), F.col("turn").alias("result_turn"), F.col("r.content").alias("result"))
+
+
+def _numbered(calls: DataFrame) -> DataFrame:
+    """``calls`` (with node, a number of each call's own) and of, their turn without nulls, occurrence among the calls of their id, and i, that within the turn."""
+    calls = calls.withColumn("of", F.coalesce("turn", F.lit(FIRST)))
+    by_id = Window.partitionBy("conv_id", "call_id")
+    calls = calls.withColumn("occurrence", F.row_number().over(by_id.orderBy("of", "call_no", "name", "arguments", "node")))
+    return calls.withColumn("i", F.col("occurrence") - F.min("occurrence").over(Window.partitionBy("conv_id", "call_id", "of")) + 1)
+
+
+def _placed(results: DataFrame, calls: DataFrame) -> DataFrame:
+    """``results`` with of, the turn whose calls they answer, and i, their number among its results.
+
+    That is the last turn up to the result's own with a call of the id, or the id's first one; null for an id without calls.
+    """
+    places = calls.where("call_id IS NOT NULL").select("conv_id", "call_id", F.col("of").alias("t"), F.lit(0).alias("kind")).distinct()
+    both = results.withColumn("t", F.coalesce("result_turn", F.lit(FIRST))).withColumn("kind", F.lit(1)).unionByName(places, allowMissingColumns=True)
+    by_id = Window.partitionBy("conv_id", "call_id")
+    turn = F.when(F.col("kind") == 0, F.col("t"))
+    both = both.withColumn("of", F.coalesce(F.last(turn, ignorenulls=True).over(by_id.orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.min(turn).over(by_id)))
+    return both.where("kind = 1").withColumn("i", F.row_number().over(Window.partitionBy("conv_id", "call_id", "of").orderBy("t", "result"))).drop("t", "kind")
+
+
+def _graph(calls: DataFrame) -> DataFrame:
+    """conv_id, call_id, depends_on in terms of node: a repeated id stands for its last call before the one that depends on it, or else its first."""
+    known = calls.where("call_id IS NOT NULL")
+    asked = known.where("size(depends_on) > 0").select("conv_id", F.explode(F.array_distinct("depends_on")).alias("call_id"), "of", "call_no", "node", F.lit(0).alias("kind")).where("call_id IS NOT NULL")
+    both = asked.unionByName(known.select("conv_id", "call_id", "of", "call_no", "node", F.lit(1).alias("kind")))
+    order = Window.partitionBy("conv_id", "call_id").orderBy("of", "call_no", "kind", "node")
+    node = F.when(F.col("kind") == 1, F.col("node").cast("string"))
+    whole, before = (order.rowsBetween(Window.unboundedPreceding, end) for end in (Window.unboundedFollowing, Window.currentRow))
+    both = both.withColumn("needed", F.coalesce(F.last(node, ignorenulls=True).over(before), F.first(node, ignorenulls=True).over(whole)))
+    needs = both.where("kind = 0 AND needed IS NOT NULL").groupBy("node").agg(F.collect_set("needed").alias("needs"))
+    return known.join(needs, "node", "left").select("conv_id", F.col("node").cast("string").alias("call_id"), F.coalesce("needs", F.array().cast("array<string>")).alias("depends_on"))
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -126,20 +159,32 @@ def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return found.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("error")), ";").alias("errors"))
 
 
-def link_tool_calls(messages: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row for each call: conv_id, turn, call_no, call_id, name, level, valid, errors, result_turn, result, record.
+def link_all(messages: DataFrame, schemas: DataFrame) -> DataFrame:
+    """One row for each call and each result without one: conv_id, turn, call_no, call_id, name, level, valid, errors, result_turn, result, record, occurrence.
 
     (level, turn, call_no) orders a conversation's calls topologically; calls on a cycle
     have no level.  record is canonical JSON.  Calls without a result have nulls
-    there; results without a call are dropped.  Extra columns are ignored, repeated
-    messages count once, and no messages give no rows.
+    there.  A repeated id is linked by turns: a result belongs to the last turn up to its own
+    that calls the id (else the first such turn), the i-th result to its i-th call;
+    occurrence numbers the calls of an id.  Results left over have rows without
+    turn, call_no, name and occurrence, and the error ``duplicate``, or ``orphan`` if nothing calls
+    their id.  Extra columns are ignored, equal messages count once, and no messages give no rows.
     """
-    calls = materialize(parse_calls(messages), "calls")
-    results = parse_results(messages)
-    linked = calls.join(results.hint("shuffle_hash"), ["conv_id", "call_id"], "left").join(levels(calls), ["conv_id", "call_id"], "left")
-    linked = linked.join(argument_errors(calls, schemas), ["conv_id", "turn", "call_no"], "left").withColumn("errors", F.coalesce("errors", F.lit("")))
-    record = F.to_json(F.struct(F.coalesce(F.try_parse_json("arguments"), F.to_variant_object(F.struct(F.col("arguments").alias("text")))).alias("arguments"), F.col("conv_id"), F.col("errors"), F.col("call_id").alias("id"), F.col("level"), F.col("name"), F.col("result"), F.col("turn")), {"ignoreNullFields": "false"})
-    return linked.select("conv_id", "turn", "call_no", "call_id", "name", "level", (F.col("errors") == "").alias("valid"), "errors", "result_turn", "result", record.alias("record"))
+    calls = materialize(parse_calls(messages).withColumn("node", F.monotonically_increasing_id()), "calls")
+    calls = materialize(_numbered(calls), "numbered")
+    level = levels(_graph(calls)).select(F.col("call_id").cast("long").alias("node"), "level")
+    errors = argument_errors(calls.select("conv_id", F.col("node").alias("turn"), "call_no", "name", "arguments"), schemas).select(F.col("turn").alias("node"), "errors")
+    linked = calls.join(_placed(parse_results(messages), calls).hint("shuffle_hash"), ["conv_id", "call_id", "of", "i"], "full_outer")
+    linked = linked.join(level, "node", "left").join(errors, "node", "left")
+    linked = linked.withColumn("errors", F.when(F.col("node").isNotNull(), F.coalesce("errors", F.lit(""))).when(F.col("of").isNull(), "orphan").otherwise("duplicate"))
+    arguments = F.when(F.col("node").isNotNull(), F.coalesce(F.try_parse_json("arguments"), F.to_variant_object(F.struct(F.col("arguments").alias("text")))))
+    record = F.to_json(F.struct(arguments.alias("arguments"), F.col("conv_id"), F.col("errors"), F.col("call_id").alias("id"), F.col("level"), F.col("name"), F.col("result"), F.col("turn")), {"ignoreNullFields": "false"})
+    return linked.select("conv_id", "turn", "call_no", "call_id", "name", "level", (F.col("errors") == "").alias("valid"), "errors", "result_turn", "result", record.alias("record"), "occurrence")
+
+
+def link_tool_calls(messages: DataFrame, schemas: DataFrame) -> DataFrame:
+    """link_all() without its last column, of the calls without an id and each id's first one alone; link_all() has the others and the results left over."""
+    return link_all(messages, schemas).where("call_no IS NOT NULL AND (call_id IS NULL OR occurrence = 1)").drop("occurrence")
 
 
 #: Tools of the registered query: name, property, type, required.
@@ -169,8 +214,9 @@ def as_tool_messages(conversations: DataFrame) -> DataFrame:
 
 
 def tool_calls_query(spark, sf_dir: str) -> DataFrame:
+    """Every call of the table with its result.  The query's SQL starts from calls, so results left over are not among its rows; link_all() gives them."""
     schemas = spark.createDataFrame(QUERY_SCHEMAS, "name string, property string, type string, required boolean")
-    return link_tool_calls(as_tool_messages(table(spark, sf_dir, "conversations")), schemas)
+    return link_all(as_tool_messages(table(spark, sf_dir, "conversations")), schemas).where("call_no IS NOT NULL").drop("occurrence")
 
 
 SQL = r"""
