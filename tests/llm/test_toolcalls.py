@@ -92,3 +92,115 @@ def test_nothing_is_dropped(spark):
 def test_empty(spark):
     assert toolcalls.link_tool_calls(messages(spark, []), schemas(spark)).count() == 0
     assert toolcalls.link_tool_calls(messages(spark, [(1, 1, "user", "x"), (1, 1, "user", "x")]), schemas(spark)).count() == 0
+
+
+def kind_of(v):
+    return next(n for n, t in (("boolean", bool), ("integer", int), ("number", float), ("string", str), ("null", type(None)), ("object", dict), ("array", list)) if isinstance(v, t))
+
+
+def broken(name, text):
+    """What a call's arguments break, said plainly."""
+    own = {p: (t, r) for n, p, t, r in SCHEMAS if n == name}
+    if not own:
+        return "tool"
+    try:
+        given = json.loads(text)
+    except ValueError:
+        return "json"
+    if not isinstance(given, dict):
+        return "json"
+    out = [f"unknown:{p}" for p in given if p not in own]
+    for p, (t, required) in own.items():
+        if p not in given:
+            out += [f"missing:{p}"] * required
+        elif kind_of(given[p]) != t and (kind_of(given[p]), t) != ("integer", "number"):
+            out.append(f"type:{p}")
+    return ";".join(sorted(out))
+
+
+def linked(rows):
+    """link_all() by brute force: (conv, turn, call_no, id, level, errors, result, occurrence) of every call and every result left over."""
+    first = -(10**9)
+    calls, results = [], []
+    for conv, turn, role, text in sorted(set(rows), key=repr):
+        if role == "assistant" and conv is not None:
+            calls += [{"conv": conv, "turn": turn, "no": n, "of": first if turn is None else turn, "result": None, **c} for n, c in enumerate(json.loads(text)["tool_calls"])]
+        elif role == "tool" and conv is not None:
+            results.append((conv, turn, first if turn is None else turn, *json.loads(text).values()))
+    out = []
+    for c in calls:
+        c["arguments"] = json.dumps(c["arguments"])
+        c["seen"] = 1
+    groups = {}
+    for c in calls:
+        if c["id"] is not None:
+            groups.setdefault((c["conv"], c["id"]), []).append(c)
+    for own in groups.values():
+        own.sort(key=lambda c: (c["of"], c["no"], c["name"]))
+        for k, c in enumerate(own, 1):
+            c["seen"] = k
+    waiting = {}
+    for conv, _, at, i, content in sorted(results, key=lambda r: (r[2], r[4])):
+        own = groups.get((conv, i))
+        if not own:
+            out.append((conv, None, None, i, None, "orphan", content, None))
+            continue
+        turn = max([c["of"] for c in own if c["of"] <= at], default=own[0]["of"])
+        waiting.setdefault((conv, i, turn), []).append(content)
+    for (conv, i, turn), contents in waiting.items():
+        own = [c for c in groups[conv, i] if c["of"] == turn]
+        for c, content in zip(own, contents, strict=False):
+            c["result"] = content
+        out += [(conv, None, None, i, None, "duplicate", content, None) for content in contents[len(own) :]]
+    needs = {}
+    for n, c in enumerate(calls):
+        c["n"] = n
+    for c in calls:
+        needs[c["n"]] = []
+        for d in c["depends_on"]:
+            own = groups.get((c["conv"], d), [])
+            if own:
+                needs[c["n"]].append(([o for o in own if (o["of"], o["no"]) < (c["of"], c["no"])] or own[:1])[-1]["n"])
+    level = longest(needs)
+    return sorted(map(repr, out + [(c["conv"], c["turn"], c["no"], c["id"], level[c["n"]], broken(c["name"], c["arguments"]), c["result"], c["seen"]) for c in calls]))
+
+
+def test_against_a_plain_linker(spark):
+    rng = random.Random(17)
+    arguments = [{"a": "x"}, {"a": 1}, {"n": 1.5, "a": "y"}, {"a": "x", "n": "1"}, {"z": None}, {"a": None}, [1], "text", {"a": "x", "n": 3}, {"a": {"b": 1}, "n": [1]}]
+    rows = []
+    for conv in range(25):
+        for k in range(rng.randrange(1, 14)):
+            turn = rng.choice([None, k // 2, k])
+            own = [call(rng.choice([None, "a", "b", "c", f"u{k}"]), rng.sample(["a", "b", "c", "u0", "u1", "u2", "u3", "gone"], rng.choice([0, 0, 1, 1, 2])), f"{rng.choice('fffg')}", rng.choice(arguments)) for _ in range(rng.randrange(1, 3))]
+            # The order among calls of one id, turn and number is free: their names and arguments tell them apart.
+            text = json.dumps({"tool_calls": own})
+            if not any(t == turn and json.loads(x)["tool_calls"][n]["id"] == c["id"] is not None for v, t, r, x in rows if v == conv and r == "assistant" for n, c in enumerate(own) if n < len(json.loads(x)["tool_calls"])):
+                rows += [(conv, turn, "assistant", text)] * rng.choice([1, 1, 2])
+            rows += [(conv, rng.choice([None, k, k + 1]), "tool", json.dumps({"tool_call_id": rng.choice(["a", "b", "c", f"u{k}", "gone"]), "content": f"r{conv}.{k}"}))] * rng.choice([0, 1, 2])
+    rows.append((None, 1, "assistant", json.dumps({"tool_calls": [call("a")]})))
+    rng.shuffle(rows)
+    got = toolcalls.link_all(messages(spark, rows), schemas(spark)).collect()
+    assert sorted(repr((r.conv_id, r.turn, r.call_no, r.call_id, r.level, r.errors, r.result, r.occurrence)) for r in got) == linked(rows)
+    assert all(r.valid == (r.errors == "") for r in got)
+
+
+def test_equal_places_and_missing_ids(spark):
+    """Calls of two messages of one turn keep their own errors; a call without an id has a level, and counts once however often its message comes."""
+    one = lambda *calls: json.dumps({"tool_calls": list(calls)})
+    lone = (1, 3, "assistant", one(call(None, ["b"], args={"a": 1})))
+    rows = [(1, None, "assistant", one(call("a", args={"a": 1}))), (1, 2, "assistant", one(call("b", ["a"]))), (1, 2, "assistant", one(call("c", args={"n": "x"}))), lone, lone, (1, 9, "assistant", one(call("long", args={"a": "word " * 60_000}))), (1, 10, "tool", json.dumps({"tool_call_id": "long", "content": "out " * 60_000}))]
+    got = {r.call_id: r for r in toolcalls.link_all(messages(spark, rows), schemas(spark)).collect()}
+    assert {k: (r.level, r.errors) for k, r in got.items()} == {"a": (0, "type:a"), "b": (1, ""), "c": (0, "missing:a;type:n"), None: (2, "type:a"), "long": (0, "")}
+    assert json.loads(got["long"].record)["arguments"]["a"] == "word " * 60_000 and got["long"].result == "out " * 60_000
+    assert toolcalls.link_all(messages(spark, rows), schemas(spark)).count() == 5
+
+
+def test_a_deep_graph_with_one_joint(spark):
+    """Chains are looked through by doubling also where a call of theirs has several dependencies."""
+    needs = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(200)}
+    needs["c100"] = ["c99", "c3"]
+    needs |= {"x": ["y"], "y": ["x"], "z": ["x", "c5"], "after": ["z"]}
+    rows = [(1, 0, "assistant", json.dumps({"tool_calls": [call(c, d) for c, d in needs.items()]}))]
+    got = {r.call_id: r.level for r in toolcalls.levels(toolcalls.parse_calls(messages(spark, rows))).collect()}
+    assert got == {**{f"c{i}": i for i in range(200)}, "x": None, "y": None, "z": None, "after": None}

@@ -40,11 +40,11 @@ def parse_results(messages: DataFrame) -> DataFrame:
 
 
 def _numbered(calls: DataFrame) -> DataFrame:
-    """``calls`` (with node, a number of each call's own) and of, their turn without nulls, occurrence among the calls of their id, and i, that within the turn."""
-    calls = calls.withColumn("of", F.coalesce("turn", F.lit(FIRST)))
-    by_id = Window.partitionBy("conv_id", "call_id")
-    calls = calls.withColumn("occurrence", F.row_number().over(by_id.orderBy("of", "call_no", "name", "arguments", "node")))
-    return calls.withColumn("i", F.col("occurrence") - F.min("occurrence").over(Window.partitionBy("conv_id", "call_id", "of")) + 1)
+    """``calls`` with occurrence, their number among the calls of their id, i, that within the turn, and times, how many calls have the id; a call without an id is alone."""
+    by_id = Window.partitionBy("conv_id", "call_id", "lone")
+    calls = calls.withColumn("lone", F.when(F.col("call_id").isNull(), F.col("node")))
+    calls = calls.withColumn("occurrence", F.row_number().over(by_id.orderBy("of", "call_no", "name", "digest", "node"))).withColumn("times", F.count("*").over(by_id))
+    return calls.withColumn("i", F.col("occurrence") - F.min("occurrence").over(Window.partitionBy("conv_id", "call_id", "lone", "of")) + 1).drop("lone")
 
 
 def _placed(results: DataFrame, calls: DataFrame) -> DataFrame:
@@ -57,76 +57,92 @@ def _placed(results: DataFrame, calls: DataFrame) -> DataFrame:
     by_id = Window.partitionBy("conv_id", "call_id")
     turn = F.when(F.col("kind") == 0, F.col("t"))
     both = both.withColumn("of", F.coalesce(F.last(turn, ignorenulls=True).over(by_id.orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.min(turn).over(by_id)))
-    return both.where("kind = 1").withColumn("i", F.row_number().over(Window.partitionBy("conv_id", "call_id", "of").orderBy("t", "result"))).drop("t", "kind")
+    return both.where("kind = 1").withColumn("i", F.row_number().over(Window.partitionBy("conv_id", "call_id", "of").orderBy("t", "head", "digest", "answer"))).drop("t", "kind")
 
 
 def _graph(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, depends_on in terms of node: a repeated id stands for its last call before the one that depends on it, or else its first."""
-    known = calls.where("call_id IS NOT NULL")
-    asked = known.where("size(depends_on) > 0").select("conv_id", F.explode(F.array_distinct("depends_on")).alias("call_id"), "of", "call_no", "node", F.lit(0).alias("kind")).where("call_id IS NOT NULL")
-    both = asked.unionByName(known.select("conv_id", "call_id", "of", "call_no", "node", F.lit(1).alias("kind")))
+    """conv_id, call_id, depends_on in terms of node: a repeated id stands for its last call before the one that depends on it, or else its first.
+
+    ``calls`` are those of _numbered().  Calls without an id are in it too: nothing can depend on
+    them, but they may depend on others.  Ids that one call has are found by a
+    join, which can be split where many calls need one; only repeated ids are put in order.
+    """
+    provided = calls.where("call_id IS NOT NULL").select("conv_id", "call_id", "times", "of", "call_no", "node")
+    asked = calls.where("size(depends_on) > 0").select("conv_id", F.explode(F.array_distinct("depends_on")).alias("call_id"), "of", "call_no", "node").where("call_id IS NOT NULL")
+    single = asked.select("conv_id", "call_id", "node").join(provided.where("times = 1").select("conv_id", "call_id", F.col("node").alias("needed")), ["conv_id", "call_id"]).select("node", "needed")
+    again = provided.where("times > 1").drop("times").withColumn("kind", F.lit(1))
+    both = asked.join(again.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_semi").withColumn("kind", F.lit(0)).unionByName(again)
     order = Window.partitionBy("conv_id", "call_id").orderBy("of", "call_no", "kind", "node")
-    node = F.when(F.col("kind") == 1, F.col("node").cast("string"))
+    node = F.when(F.col("kind") == 1, F.col("node"))
     whole, before = (order.rowsBetween(Window.unboundedPreceding, end) for end in (Window.unboundedFollowing, Window.currentRow))
-    both = both.withColumn("needed", F.coalesce(F.last(node, ignorenulls=True).over(before), F.first(node, ignorenulls=True).over(whole)))
-    needs = both.where("kind = 0 AND needed IS NOT NULL").groupBy("node").agg(F.collect_set("needed").alias("needs"))
-    return known.join(needs, "node", "left").select("conv_id", F.col("node").cast("string").alias("call_id"), F.coalesce("needs", F.array().cast("array<string>")).alias("depends_on"))
+    both = both.withColumn("needed", F.coalesce(F.last(node, ignorenulls=True).over(before), F.first(node, ignorenulls=True).over(whole))).where("kind = 0")
+    needs = single.unionByName(both.select("node", "needed")).groupBy("node").agg(F.collect_set(F.col("needed").cast("string")).alias("needs"))  # no longer than the call's own list
+    return calls.select("conv_id", "node").join(needs, "node", "left").select("conv_id", F.col("node").cast("string").alias("call_id"), F.coalesce("needs", F.array().cast("array<string>")).alias("depends_on"))
 
 
 def levels(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, level: the longest chain of calls that a call depends on.
 
     Dependencies on calls that don't exist count for nothing; calls on a cycle, or
-    behind one, have a null level.  Conversations in which each call depends on one
-    other at most are walked by doubling (see _by_doubling()), so a chain of
-    thousands of calls takes a dozen rounds; the others are peeled off (see _by_peeling()).
+    behind one, have a null level.  Calls without dependencies have level 0 and
+    take part in no round.  A call with one dependency looks through chains of
+    such calls by doubling, so chains of thousands take a dozen rounds.  Only
+    joints, calls with several dependencies, are resolved one after the other:
+    there are as many rounds as the longest path has joints.
     """
     keys = ["conv_id", "call_id"]
-    known = materialize(calls.where("call_id IS NOT NULL").select(*keys), "known")
+    known = calls.where("call_id IS NOT NULL").select(*keys)
     needs = calls.where("call_id IS NOT NULL AND size(depends_on) > 0").select(*keys, F.explode(F.array_distinct("depends_on")).alias("needed"))
-    needs = materialize(needs.join(known.withColumnRenamed("call_id", "needed"), ["conv_id", "needed"], "left_semi"), "needs")
-    several = materialize(needs.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select("conv_id").distinct(), "several")
-    single = _by_doubling(known.join(several, "conv_id", "left_anti"), needs.join(several, "conv_id", "left_anti"))
-    if several.isEmpty():
-        return single
-    return single.unionByName(_by_peeling(known.join(several, "conv_id", "left_semi"), needs.join(several, "conv_id", "left_semi")))
-
-
-def _by_doubling(known: DataFrame, needs: DataFrame) -> DataFrame:
-    """Chains: each call knows a call so many steps up; each round every call jumps to where that one points, twice as far.
-
-    After as many rounds as the number of calls has binary digits, whoever hasn't
-    reached an end is on a cycle or behind one.
+    needs = needs.join(known.withColumnRenamed("call_id", "needed"), ["conv_id", "needed"], "left_semi")
+    needs = materialize(needs.withColumn("n", F.count("*").over(Window.partitionBy(*keys))), "needs")
+    roots = known.join(needs.select(*keys), keys, "left_anti").withColumn("level", F.lit(0))
+    if needs.isEmpty():
+        return roots
+    chained = _anchored(needs.where("n = 1").drop("n"))  # call_id -> (anchor, more); a null anchor for what is on or behind a cycle of such calls
+    joints = needs.where("n > 1").drop("n")
+    if joints.isEmpty():
+        return roots.unionByName(chained.select(*keys, F.when(F.col("anchor").isNotNull(), F.col("more")).alias("level")))
+    resolved = _joints(joints, chained, roots)
+    far = chained.join(resolved.unionByName(roots).withColumnRenamed("call_id", "anchor"), ["conv_id", "anchor"], "left")
+    cyclic = joints.select(*keys).distinct().join(resolved, keys, "left_anti").withColumn("level", F.lit(None).cast("int"))
+    return roots.unionByName(resolved).unionByName(cyclic).unionByName(far.select(*keys, (F.col("level") + F.col("more")).alias("level")))
+
+
+def _anchored(needs: DataFrame) -> DataFrame:
+    """conv_id, call_id, anchor, more: for calls with one dependency the first call up the chain that has none or several, and how many steps away it is.
+
+    Each round every call jumps to where the call that it points at points, twice
+    as far.  After as many rounds as the number of calls has binary digits,
+    whoever still points at such a call is on a cycle or behind one: its anchor is null.
     """
     keys = ["conv_id", "call_id"]
-    done = materialize(known.join(needs.select(*keys), keys, "left_anti").withColumn("level", F.lit(0)), "done")
-    left = materialize(needs.select(*keys, "needed", F.lit(1).alias("level")), "left")
-    for _ in range(known.count().bit_length() + 1):
+    left = materialize(needs.select(*keys, F.col("needed").alias("anchor"), F.lit(1).alias("more")), "chains")
+    done = left.limit(0)
+    for _ in range(left.count().bit_length() + 1):
+        up = left.unionByName(done).select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("next"), F.col("more").alias("further"))
+        jumped = materialize(left.join(up, ["conv_id", "anchor"], "left"), "chains")
+        done = done.unionByName(jumped.where("next IS NULL").select(*keys, "anchor", "more"))
+        left = jumped.where("next IS NOT NULL").select(*keys, F.col("next").alias("anchor"), (F.col("more") + F.col("further")).alias("more"))
         if left.isEmpty():
-            break
-        up = done.withColumn("next", F.lit(None).cast("string")).unionByName(left.withColumnRenamed("needed", "next"))
-        up = up.select("conv_id", F.col("call_id").alias("needed"), "next", F.col("level").alias("more"))
-        jumped = materialize(left.join(up, ["conv_id", "needed"]).select(*keys, F.col("next").alias("needed"), (F.col("level") + F.col("more")).alias("level")), "jumped")
-        done = done.unionByName(jumped.where("needed IS NULL").select(*keys, "level"))
-        left = jumped.where("needed IS NOT NULL")
-    return done.unionByName(left.select(*keys, F.lit(None).cast("int").alias("level")))
+            return done
+    return done.unionByName(left.select(*keys, F.lit(None).cast("string").alias("anchor"), "more"))
 
 
-def _by_peeling(left: DataFrame, needs: DataFrame) -> DataFrame:
-    """Each round takes the calls that depend on none of the remaining ones; there are as many rounds as the longest chain has calls."""
+def _joints(needs: DataFrame, chained: DataFrame, roots: DataFrame) -> DataFrame:
+    """conv_id, call_id, level of the calls with several dependencies that are on no cycle and behind none."""
     keys = ["conv_id", "call_id"]
-    left, needs, out, level = materialize(left, "left"), materialize(needs, "needs"), None, 0
+    through = chained.select("conv_id", F.col("call_id").alias("needed"), F.lit(True).alias("chain"), "anchor", "more")
+    edges = needs.join(through, ["conv_id", "needed"], "left").select(*keys, F.when(F.col("chain"), F.col("anchor")).otherwise(F.col("needed")).alias("needed"), F.coalesce("more", F.lit(0)).alias("more"))
+    ready = roots.join(edges.select("conv_id", F.col("needed").alias("call_id")).distinct(), keys, "left_semi")
+    edges, out = materialize(edges.withColumn("level", F.lit(None).cast("int")), "joints"), None
     while True:
-        ready = materialize(left.join(needs.select(*keys).distinct(), keys, "left_anti"), "ready")
+        got = ready.select("conv_id", F.col("call_id").alias("needed"), F.col("level").alias("new"))
+        edges = materialize(edges.join(got, ["conv_id", "needed"], "left").select(*keys, "needed", "more", F.coalesce("level", F.col("new") + F.col("more")).alias("level")), "joints")
+        ready = materialize(edges.groupBy(*keys).agg(F.max("level").alias("level"), F.count("*").alias("n"), F.count("level").alias("told")).where("n = told").select(*keys, (F.col("level") + 1).alias("level")), "ready")
+        out = ready if out is None else out.unionByName(ready)
         if ready.isEmpty():
-            break
-        now = ready.withColumn("level", F.lit(level))
-        out = now if out is None else out.unionByName(now)
-        needs = materialize(needs.join(ready.withColumnRenamed("call_id", "needed"), ["conv_id", "needed"], "left_anti"), "needs")
-        left = materialize(left.join(ready, keys, "left_anti"), "left")
-        level += 1
-    cyclic = left.withColumn("level", F.lit(None).cast("int"))
-    return cyclic if out is None else out.unionByName(cyclic)
+            return out
+        edges = edges.join(ready.select(*keys), keys, "left_anti")
 
 
 def json_type(value) -> F.Column:
@@ -137,26 +153,27 @@ def json_type(value) -> F.Column:
     )
 
 
-def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """conv_id, turn, call_no, errors for calls whose arguments break their schema (schemas: name, property, type, required).
+def with_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
+    """``calls`` with value, their arguments as VARIANT (null if they are no JSON), and errors: what breaks their tool's schema (schemas: name, property, type, required).
 
-    Errors are sorted and joined by ``;``: ``tool`` (unknown), ``json`` (arguments are no object),
-    ``missing:p``, ``type:p`` and ``unknown:p``.  An integer is also a number.
+    Errors are sorted and joined by ``;``: ``tool`` (unknown), ``json`` (arguments are no object, or repeat a name),
+    ``missing:p``, ``type:p`` and ``unknown:p``.  An integer is also a number.  Each call is
+    checked by itself, with its tool's properties as one array.
     """
-    keys = ["conv_id", "turn", "call_no"]
-    parsed = calls.select(*keys, "name", F.try_parse_json("arguments").alias("v"))
-    tools = schemas.select("name").distinct().withColumn("is_tool", F.lit(True))
-    parsed = parsed.join(tools, "name", "left")
-    is_object = F.coalesce(json_type(F.col("v")) == "object", F.lit(False))
-    plain = parsed.where(F.col("is_tool").isNull() | ~is_object).select(*keys, F.when(F.col("is_tool").isNull(), "tool").otherwise("json").alias("error"))
-    good = parsed.where(F.col("is_tool") & is_object)
-    given = good.lateralJoin(good.sparkSession.tvf.variant_explode(F.col("v").outer())).select(*keys, "name", F.col("key").alias("property"), json_type(F.col("value")).alias("given"))
-    wanted = good.select(*keys, "name").join(schemas, "name").select(*keys, "name", "property", "type", "required")
-    each = given.join(wanted, [*keys, "name", "property"], "full_outer")
-    error = F.when(F.col("type").isNull(), F.concat(F.lit("unknown:"), "property")).when(F.col("given").isNull(), F.when(F.col("required"), F.concat(F.lit("missing:"), "property"))).when((F.col("given") != F.col("type")) & ~((F.col("given") == "integer") & (F.col("type") == "number")), F.concat(F.lit("type:"), "property"))
-    found = plain.unionByName(each.select(*keys, error.alias("error")).where("error IS NOT NULL"))
-    # A call has at most as many errors as its arguments and its schema have properties.
-    return found.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("error")), ";").alias("errors"))
+    tools = schemas.groupBy("name").agg(F.collect_set(F.when(F.col("property").isNotNull(), F.struct("property", "type", "required"))).alias("wanted"))
+    own = calls.withColumn("value", F.try_parse_json("arguments"))
+    given = F.when(json_type(F.col("value")) == "object", F.transform_values(F.from_json("arguments", "map<string, variant>"), lambda _, v: json_type(v)))
+    own = own.withColumn("given", given).join(tools, "name", "left")
+
+    def breaks(p: F.Column) -> F.Column:
+        kind = F.try_element_at("given", p["property"])
+        fits = (kind == p["type"]) | ((kind == "integer") & (p["type"] == "number"))
+        return F.when(kind.isNull(), F.when(p["required"], F.concat(F.lit("missing:"), p["property"]))).when(~fits, F.concat(F.lit("type:"), p["property"]))
+
+    unknown = F.transform(F.filter(F.map_keys("given"), lambda k: ~F.exists("wanted", lambda p: p["property"] == k)), lambda k: F.concat(F.lit("unknown:"), k))
+    broken = F.filter(F.transform("wanted", breaks), lambda e: e.isNotNull())
+    found = F.array_join(F.array_sort(F.concat(unknown, broken)), ";")
+    return own.withColumn("errors", F.when(F.col("wanted").isNull(), "tool").when(F.col("given").isNull(), "json").otherwise(found)).drop("given", "wanted")
 
 
 def link_all(messages: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -165,21 +182,33 @@ def link_all(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     (level, turn, call_no) orders a conversation's calls topologically; calls on a cycle
     have no level.  record is canonical JSON.  Calls without a result have nulls
     there.  A repeated id is linked by turns: a result belongs to the last turn up to its own
-    that calls the id (else the first such turn), the i-th result to its i-th call;
+    that calls the id (else the first such turn), the i-th result (by turn, then by text) to its i-th call;
     occurrence numbers the calls of an id.  Results left over have rows without
     turn, call_no, name and occurrence, and the error ``duplicate``, or ``orphan`` if nothing calls
     their id.  Extra columns are ignored, equal messages count once, and no messages give no rows.
+    A null turn comes first; calls of different messages are different calls, though their
+    conversation, turn and id be the same; a call without an id has errors and a
+    level of its own and no result.  Texts of any length are handled row by row.
+
+    Ids, turns and dependencies are worked out on rows without texts; arguments and results join in at the end.
     """
-    calls = materialize(parse_calls(messages).withColumn("node", F.monotonically_increasing_id()), "calls")
-    calls = materialize(_numbered(calls), "numbered")
-    level = levels(_graph(calls)).select(F.col("call_id").cast("long").alias("node"), "level")
-    errors = argument_errors(calls.select("conv_id", F.col("node").alias("turn"), "call_no", "name", "arguments"), schemas).select(F.col("turn").alias("node"), "errors")
-    linked = calls.join(_placed(parse_results(messages), calls).hint("shuffle_hash"), ["conv_id", "call_id", "of", "i"], "full_outer")
-    linked = linked.join(level, "node", "left").join(errors, "node", "left")
-    linked = linked.withColumn("errors", F.when(F.col("node").isNotNull(), F.coalesce("errors", F.lit(""))).when(F.col("of").isNull(), "orphan").otherwise("duplicate"))
-    arguments = F.when(F.col("node").isNotNull(), F.coalesce(F.try_parse_json("arguments"), F.to_variant_object(F.struct(F.col("arguments").alias("text")))))
+    parsed = with_errors(parse_calls(messages), schemas)
+    calls = materialize(parsed.withColumn("digest", F.xxhash64("arguments")).withColumn("node", F.monotonically_increasing_id()).withColumn("of", F.coalesce("turn", F.lit(FIRST))), "calls")
+    results = materialize(parse_results(messages).withColumn("answer", F.monotonically_increasing_id()), "results")
+    light = calls.select("conv_id", "call_id", "of", "call_no", "name", "digest", "node", "depends_on")
+    numbered = materialize(_numbered(light).drop("name", "digest"), "numbered")
+    level = levels(_graph(numbered)).select(F.col("call_id").cast("long").alias("node"), "level")
+    numbered = numbered.select("conv_id", "call_id", "of", "i", "node", "occurrence").join(level, "node", "left")
+    placed = _placed(results.select("conv_id", "call_id", "result_turn", F.substring("result", 1, 64).alias("head"), F.xxhash64("result").alias("digest"), "answer"), light).drop("result_turn", "head", "digest")
+    linked = materialize(numbered.join(placed, ["conv_id", "call_id", "of", "i"], "full_outer").select("node", "answer", "level", "occurrence", F.when(F.col("of").isNull(), "orphan").otherwise("duplicate").alias("alone")), "linked")
+    texts = results.select("answer", "result_turn", "result")
+    found = calls.join(linked.where("node IS NOT NULL").drop("alone"), "node").join(texts, "answer", "left")
+    lone = results.join(linked.where("node IS NULL").select("answer", F.col("alone").alias("errors")), "answer")
+    rows = found.select("conv_id", "turn", "call_no", "call_id", "name", "level", "errors", "result_turn", "result", "occurrence", "arguments", "value")
+    rows = rows.unionByName(lone.select("conv_id", "call_id", "errors", "result_turn", "result"), allowMissingColumns=True)
+    arguments = F.when(F.col("call_no").isNotNull(), F.coalesce("value", F.to_variant_object(F.struct(F.col("arguments").alias("text")))))
     record = F.to_json(F.struct(arguments.alias("arguments"), F.col("conv_id"), F.col("errors"), F.col("call_id").alias("id"), F.col("level"), F.col("name"), F.col("result"), F.col("turn")), {"ignoreNullFields": "false"})
-    return linked.select("conv_id", "turn", "call_no", "call_id", "name", "level", (F.col("errors") == "").alias("valid"), "errors", "result_turn", "result", record.alias("record"), "occurrence")
+    return rows.select("conv_id", "turn", "call_no", "call_id", "name", "level", (F.col("errors") == "").alias("valid"), "errors", "result_turn", "result", record.alias("record"), "occurrence")
 
 
 def link_tool_calls(messages: DataFrame, schemas: DataFrame) -> DataFrame:
