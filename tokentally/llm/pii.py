@@ -1,5 +1,8 @@
 """Operator 9: format-preserving pseudonyms for personal data.
 
+Kinds: secrets after a key word, mail addresses, access keys, IBANs, phone numbers (with a
+country code, or ten digits in groups), dates, IPv4 and IPv6 addresses, social security numbers and cards.
+
 A value that its kind's validation accepts is read as a number in the set of
 all valid values of its own format, permuted in that set by a keyed Feistel
 network with cycle walking, and written back in the same format (separators, digit
@@ -10,9 +13,10 @@ valid, and whoever has the key can undo it.
 
 from __future__ import annotations
 
-import calendar
 import datetime
+import functools
 import hashlib
+import ipaddress
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -25,6 +29,9 @@ from pyspark.sql import types as T
 from tokentally.llm.shared import prepare
 
 ROUNDS = 10
+# Calling codes of one and two digits; all others have three.
+_CODES_1 = frozenset("1 7".split())
+_CODES_2 = frozenset("20 27 28 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 83 84 86 89 90 91 92 93 94 95 98".split())
 _DIGITS, _LOWER, _UPPER, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
 
@@ -125,19 +132,35 @@ def iban(text: str, f: Feistel, back: bool) -> str | None:
     return _put(text, d[:2] + iban_check(d[:2], body) + body)
 
 
+def calling_code(digits: str) -> str:
+    """The country's code, which the digits after the + begin with, however they are grouped."""
+    return digits[:1] if digits[:1] in _CODES_1 else digits[:2] if digits[:2] in _CODES_2 else digits[:3]
+
+
 def phone(text: str, f: Feistel, back: bool) -> str | None:
-    """A country code and 7 to 12 further digits, for +1 ten; there a first digit of area or exchange stays in its set, 0 and 1 or 2 to 9."""
-    code, rest = re.match(r"\+(\d{1,3})(.*)", text, re.S).groups()
-    d = re.sub(r"\D", "", rest)
+    """The country code stays; of the 7 to 12 further digits all are permuted as one number, so separators and grouping don't matter.
+
+    For +1 they are ten, and the first digit of area and exchange stays in its set,
+    0 and 1 or 2 to 9.
+    """
+    digits = re.sub(r"\D", "", text)
+    code = calling_code(digits)
+    d = digits[len(code) :]
     if code == "1":
-        if len(d) != 10:
-            return None
-        sets = [_DIGITS if i not in (0, 3) else "01" if c < "2" else "23456789" for i, c in enumerate(d)]
+        new = _ten_digits(d, f, back)
     else:
-        if not 7 <= len(d) <= 12:
-            return None
-        sets = [_DIGITS] * len(d)
-    return "+" + code + _put(rest, _by_alphabet(d, sets, f, "phone" + code, back))
+        new = _by_alphabet(d, [_DIGITS] * len(d), f, "phone" + code, back) if 7 <= len(d) <= 12 else None
+    return None if new is None else _put(text, code + new)
+
+
+def _ten_digits(d: str, f: Feistel, back: bool) -> str | None:
+    sets = [_DIGITS if i not in (0, 3) else "01" if c < "2" else "23456789" for i, c in enumerate(d)]
+    return _by_alphabet(d, sets, f, "phone1", back) if len(d) == 10 else None
+
+
+def national_phone(text: str, f: Feistel, back: bool) -> str | None:
+    """Ten digits without a code, as (988) 555-2485 or 988-555-2485: linked with the same number after +1."""
+    return _put(text, _ten_digits(re.sub(r"\D", "", text), f, back))
 
 
 def ip(text: str, f: Feistel, back: bool) -> str | None:
@@ -151,6 +174,33 @@ def ip(text: str, f: Feistel, back: bool) -> str | None:
     return ".".join(str(v + a) for v, a in zip(new, low, strict=True))
 
 
+def ip6(text: str, f: Feistel, back: bool) -> str | None:
+    """Eight groups; zero ones stay, each other one keeps its number of digits, so all ways to write an address are linked.
+
+    Addresses of decimal digits alone are permuted among themselves, so that the
+    letters' case can be told from the pseudonym.
+    """
+    try:
+        packed = ipaddress.IPv6Address(text).packed
+    except ValueError:
+        return None
+    groups = [f"{int.from_bytes(packed[i : i + 2], 'big'):x}" for i in range(0, 16, 2)]
+    if len([g for g in text.split(":") if g]) < 2 or not re.search("[0-9]", text):
+        return None
+    some = [g for g in groups if g != "0"]
+    base = 10 if "".join(groups).isdecimal() else 16
+    low = [base ** (len(g) - 1) for g in some]
+    values, tweak = [int(g, base) - a for g, a in zip(some, low, strict=True)], f"ip6 {base} " + "".join(str(len(g)) if g != "0" else "0" for g in groups)
+    while True:
+        values = _mixed(values, [(base - 1) * a for a in low], f, tweak, back)
+        new = [f"{v + a:{'x' if base == 16 else 'd'}}" for v, a in zip(values, low, strict=True)]
+        if base == 10 or not "".join(new).isdecimal():
+            break
+    left, upper = iter(new), any(c.isupper() for c in text)
+    out = ":".join(next(left).rjust(len(g), "0") if g.strip("0") else g for g in text.split(":"))
+    return out.upper() if upper else out
+
+
 def ssn(text: str, f: Feistel, back: bool) -> str | None:
     area, group, serial = (int(x) for x in text.split("-"))
     if area in (0, 666) or area >= 900 or not group or not serial:
@@ -159,43 +209,56 @@ def ssn(text: str, f: Feistel, back: bool) -> str | None:
     return f"{a + 1 + (a + 1 >= 666):03d}-{g + 1:02d}-{s + 1:04d}"
 
 
+@functools.lru_cache(maxsize=32)
+def _century(start: int) -> dict[tuple[bool, int], list[datetime.date]]:
+    """The dates of 100 years by class: whether the month has one digit, and whether the day has one, is up to 12, or beyond."""
+    out: dict[tuple[bool, int], list[datetime.date]] = {}
+    day, last = datetime.date(max(1, start), 1, 1).toordinal(), datetime.date(start + 99, 12, 31).toordinal()
+    for n in range(day, last + 1):
+        d = datetime.date.fromordinal(n)
+        out.setdefault(_class(d), []).append(d)
+    return out
+
+
+def _class(d: datetime.date) -> tuple[bool, int]:
+    return d.month < 10, 0 if d.day < 10 else 1 if d.day <= 12 else 2
+
+
 def date(text: str, f: Feistel, back: bool) -> str | None:
-    """A calendar date (y-m-d, d.m.y, m/d/y, else d/m/y) moves within its own century; one date has one pseudonym in all orders.
+    """A calendar date (y-m-d, d.m.y, m/d/y or m-d-y, else d/m/y or d-m-y) moves within its century and class; one date has one pseudonym in all orders, padded or not.
 
-    Only written forms whose digits stay as many are taken: month and day have
-    two digits each, the year four.
+    Its class (see _century()) keeps every way to write it as long as it is, and
+    what can be read only as d/m/y stays so.  The year has four digits; with a
+    month or day of one digit it must be of 1900 to 2099, since numbers with dots
+    look alike.
     """
-    a, b, c = (int(x) for x in re.split(r"[-./]", text))
-    order = "ymd" if text[4] in "-./" else "dmy" if text[2] == "." else "mdy"
-    for o in (order, "dmy") if order == "mdy" else (order,):
-        v = dict(zip(o, (a, b, c), strict=True))
-        if v["y"] >= 1 and 1 <= v["m"] <= 12 and 1 <= v["d"] <= calendar.monthrange(v["y"], v["m"])[1]:
-            break
+    parts, sep = re.split(r"[-./]", text), re.findall(r"[-./]", text)
+    a, b, c = (int(x) for x in parts)
+    orders = ["ymd"] if len(parts[0]) == 4 else ["dmy"] if sep[0] == "." else ["mdy", "dmy"]
+    for order in orders:
+        v = dict(zip(order, (a, b, c), strict=True))
+        try:
+            day = datetime.date(v["y"], v["m"], v["d"])
+        except ValueError:
+            continue
+        break
     else:
         return None
-    start = max(1, v["y"] // 100 * 100)
-    first = datetime.date(start, 1, 1).toordinal()
-    last = datetime.date(v["y"] // 100 * 100 + 99, 12, 31).toordinal()
-    day = datetime.date.fromordinal(first + f.permute(datetime.date(v["y"], v["m"], v["d"]).toordinal() - first, last - first + 1, f"date{start}", back))
-    new = {"y": f"{day.year:04d}", "m": f"{day.month:02d}", "d": f"{day.day:02d}"}
-    if o == "dmy" and order == "mdy" and day.day <= 12:  # would be read as m/d/y: walk on to a date that is not
-        return _walk(text, v, f, back, start, first, last)
-    return _put_date(text, o, new)
-
+    if min(map(len, parts)) < 2 and not 1900 <= day.year < 2100:
+        return None
+    start = day.year // 100 * 100
+    kind = _class(day)
+    own = _century(start)[kind]
+    new = own[f.permute(_place(own, day), len(own), f"date{start}{kind}", back)]
+    fields = {"y": new.year, "m": new.month, "d": new.day}
+    out = [str(fields[o]).rjust(len(p), "0") for o, p in zip(order, parts, strict=True)]
+    return out[0] + sep[0] + out[1] + sep[1] + out[2]
 
-def _put_date(text: str, order: str, new: dict[str, str]) -> str:
-    sep = re.findall(r"[-./]", text)
-    return new[order[0]] + sep[0] + new[order[1]] + sep[1] + new[order[2]]
 
+def _place(own: list[datetime.date], day: datetime.date) -> int:
+    import bisect
 
-def _walk(text: str, v: dict[str, int], f: Feistel, back: bool, start: int, first: int, last: int) -> str:
-    """d/m/y dates after the 12th are permuted among themselves, so that they can be read only so."""
-    at = datetime.date(v["y"], v["m"], v["d"]).toordinal() - first
-    while True:
-        at = f.permute(at, last - first + 1, f"date{start}", back)
-        day = datetime.date.fromordinal(first + at)
-        if day.day > 12:
-            return _put_date(text, "dmy", {"y": f"{day.year:04d}", "m": f"{day.month:02d}", "d": f"{day.day:02d}"})
+    return bisect.bisect_left(own, day)
 
 
 def email(text: str, f: Feistel, back: bool) -> str | None:
@@ -233,7 +296,9 @@ KINDS: dict[str, tuple[str, Callable[[str, Feistel, bool], str | None]]] = {
     "access_key": (r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])", access_key),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", iban),
     "phone": (r"(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}(?![.-]?[0-9])", phone),
-    "date": (r"(?<![0-9./-])(?:[0-9]{4}([-./])[0-9]{2}\1[0-9]{2}|[0-9]{2}([./])[0-9]{2}\2[0-9]{4})(?![0-9])(?![./-][0-9])", date),
+    "national": (r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9])(?![.-][0-9])", national_phone),
+    "date": (r"(?<![0-9./-])(?:[0-9]{4}([-./])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./])[0-9]{1,2}\2[0-9]{4})(?![0-9])(?![./-][0-9])", date),
+    "ip6": (r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])(?!\.[0-9])", ip6),
     "ip": (r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])(?!\.[0-9])", ip),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", ssn),
     "card": (r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])", card),
@@ -245,7 +310,7 @@ def _pattern() -> re.Pattern:
     parts = []
     for name, (p, _) in KINDS.items():
         if name == "date":
-            p = p.replace("([-./])", "(?P<s1>[-./])").replace("\\1", "(?P=s1)").replace("([./])", "(?P<s2>[./])").replace("\\2", "(?P=s2)")
+            p = p.replace("([-./])", "(?P<s1>[-./])", 1).replace("\\1", "(?P=s1)").replace("([-./])", "(?P<s2>[-./])").replace("\\2", "(?P=s2)")
         parts.append(f"(?P<{name}>{p})")
     return re.compile("|".join(parts))
 
