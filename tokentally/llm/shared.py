@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -44,9 +45,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder of spark.checkpoint.dir.  Where it is unset, a temporary one if driver and executors are one process, else an error: executors don't see each other's folders."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master is {master})")
         base = "file://" + tempfile.mkdtemp(prefix="tokentally-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
         atexit.register(shutil.rmtree, base.removeprefix("file://"), True)
@@ -60,6 +64,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str = "inner", rows: int = 20_000) -> DataFrame:
+    """``left`` joined with ``right`` by ``key``, of which left may hold any number of rows: beyond ``rows`` of them they are dealt to several tasks by ``spread``, other columns of left.
+
+    Right has a row for each key, which goes to each of its tasks.  Only keys that
+    are that frequent are listed, so the list has a ``rows``-th of left's rows at
+    most; adaptive execution decides how it is sent.
+    """
+    many = left.groupBy(key).agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("_parts")).where("_parts > 1")
+    part = F.pmod(F.xxhash64(*spread), F.coalesce("_parts", F.lit(1))).cast("int")
+    dealt = left.join(many, key, "left").withColumn("_part", part).drop("_parts")
+    copied = right.join(many, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copied, [key, "_part"], how).drop("_part")
+
+
 def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
     """Delete a table that materialize() wrote, once nothing reads it any more."""
     jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc

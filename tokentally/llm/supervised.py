@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokentally.llm.shared import prepare, remainder
+from tokentally.llm.shared import materialize, prepare, remainder
 
 
 @dataclass
@@ -24,6 +24,11 @@ class Sample:
     labels: np.ndarray
     totals: tuple[int, int]
 
+    def weights(self) -> tuple[float, float]:
+        """How many training labels each sample document stands for, by label."""
+        n = [max(1, int((self.labels == k).sum())) for k in (0, 1)]
+        return max(1, self.totals[0]) / n[0], max(1, self.totals[1]) / n[1]
+
     def shift(self) -> float:
         """What a logit fitted on the sample needs for the labels' true odds."""
         n = [max(1, int((self.labels == k).sum())) for k in (0, 1)]
@@ -31,13 +36,14 @@ class Sample:
         return math.log(t[1] / t[0]) - math.log(n[1] / n[0])
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int = 2000, max_chars: int = 100_000) -> Sample:
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int = 2000, max_chars: int = 100_000, class_chars: int = 25_000_000) -> Sample:
     """The labelled documents with the smallest hashes of their ids, outside the held-out fold.
 
     The bound is ``per_class`` documents of each label, each of at most ``max_chars``
-    characters; longer ones are only left out of the sample, never of scoring.
-    Null ids and labels are skipped; of several labels of one id the largest
-    holds.
+    characters and together of ``class_chars``; longer ones are only left out of the
+    sample, never of scoring.  Null ids and labels are skipped; of several labels of
+    one id the largest holds; of several rows with one id the smallest text, so
+    that repeated ids don't count more.  What comes to the driver is bounded by that.
     """
     prepare(docs.sparkSession)
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (remainder(F.col("doc_id"), folds) != held_out))
@@ -47,8 +53,21 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     chosen = told.where("label = 0").orderBy(*order).limit(per_class).unionByName(told.where("label = 1").orderBy(*order).limit(per_class))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(lang.cast("string"), F.lit("")).alias("lang"))
-    # At most 2 * per_class ids: a broadcast of bounded size.
-    rows = texts.join(F.broadcast(chosen), "doc_id").where(F.length("text") <= max_chars).collect()
+    # At most 2 * per_class ids: a broadcast of bounded size.  One row for each id, summed up before the shuffle.
+    own = texts.join(F.broadcast(chosen), "doc_id").where(F.length("text") <= max_chars)
+    own = own.groupBy("doc_id", "label").agg(F.min(F.struct("text", "lang")).alias("t")).select("doc_id", "label", "t.text", "t.lang", order[0].alias("place"))
+    own = materialize(own, "sample")
+    last: list = []  # for each label the last place that the characters allow
+    for k in (0, 1):
+        size, at = 0, None
+        for r in sorted(own.where(F.col("label") == k).select("place", "doc_id", F.length("text").alias("n")).collect()):
+            size += r.n
+            if size > class_chars:
+                break
+            at = (r.place, r.doc_id)
+        if at:
+            last.append((F.col("label") == k) & ((F.col("place") < at[0]) | ((F.col("place") == at[0]) & (F.col("doc_id") <= at[1]))))
+    rows = own.where(last[0] if len(last) == 1 else last[0] | last[1]).collect() if last else []
     rows.sort(key=lambda r: (r.doc_id, r.text))
     return Sample([r.text for r in rows], [r.lang for r in rows], np.array([r.label for r in rows], dtype=np.int64), (totals.get(0, 0), totals.get(1, 0)))
 
@@ -58,7 +77,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def with_scores(docs: DataFrame, score: Callable[[list[str]], np.ndarray], name: str = "score") -> DataFrame:
-    """``docs`` without its text and with a score of each whole text; null texts count as empty."""
+    """``docs`` without its text and with a score of each whole text; null texts count as empty, a column of the score's name is replaced, all others stay."""
     prepare(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("text", name)]
 
