@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from tokentally.llm.shared import materialize, prepare
 
-SHARD_ROWS, BLOCK_QUERIES, LEAF = 8192, 256, 64
+#: Queries of a block meet a shard's tree together, so a tree is sent once a block; they are searched in groups that bound the memory.
+SHARD_ROWS, BLOCK_QUERIES, GROUP, LEAF = 8192, 4096, 256, 64
 
 
 class Tree:
@@ -69,14 +70,17 @@ class Tree:
         return out.getvalue()
 
     @classmethod
-    def load(cls, data: bytes) -> Tree:
-        with np.load(io.BytesIO(data)) as z:
+    def load(cls, data: bytes | pa.Buffer) -> Tree:
+        with np.load(io.BytesIO(memoryview(data))) as z:
             return cls(z["ids"], z["points"].astype(np.float64), z["order"], z["nodes"], z["ranges"])
 
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray, int]:
-        """The k best of each query: distances and ids by (distance, id), filled up with infinity and -1; and how many distances were computed."""
+        """The k best of each query: distances and rows of the tree by (distance, id), filled up with infinity and -1; and how many distances were computed.
+
+        Rows with the query's own id take no part; other rows that share an id are each found for themselves.
+        """
         n = len(queries)
-        best, who, seen = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max), 0
+        best, who, seen = np.full((n, k), np.inf), np.full((n, k), -1, dtype=np.int64), 0
         bound = np.full(n, np.inf)
         # First each query goes down to the leaf on its own side; the k-th distance there bounds it from the start.
         todo = [(0, np.arange(n))]
@@ -106,9 +110,9 @@ class Tree:
                 rows, d = rows[some], d[some]
                 if len(rows):
                     all_d = np.concatenate([best[rows], d], axis=1)
-                    all_i = np.concatenate([who[rows], np.broadcast_to(self.ids[self.order[a:b]], d.shape)], axis=1)
-                    top = np.lexsort((all_i, all_d), axis=1)[:, :k]
-                    best[rows], who[rows] = np.take_along_axis(all_d, top, 1), np.take_along_axis(all_i, top, 1)
+                    all_r = np.concatenate([who[rows], np.broadcast_to(self.order[a:b], d.shape)], axis=1)
+                    top = np.lexsort((all_r, self.ids[all_r], all_d), axis=1)[:, :k]
+                    best[rows], who[rows] = np.take_along_axis(all_d, top, 1), np.take_along_axis(all_r, top, 1)
                     bound[rows] = np.minimum(bound[rows], best[rows, -1])
                 continue
             d = _near(queries[rows], self.points[v : v + 1])[:, 0]
@@ -173,11 +177,15 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 10, factor: floa
 
     Nearest first, ties to the smaller vec_id; fewer rows where there are fewer
     candidates.  ``index`` is what build_index() made, best written to a table.
-    Invalid queries find nothing; a query id that repeats is answered once.
+    Invalid queries find nothing; a query id that repeats is answered once, for
+    its smallest vector of its shortest length.  Index rows that share an id are found each for
+    itself, with its own score; those with the query's id take no part.  An empty
+    index or no queries give no rows.
     """
     spark = index.sparkSession
     prepare(spark)
-    own = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & valid(F.col("embedding"))).dropDuplicates(["vec_id"])
+    own = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
+    own = own.groupBy("vec_id").agg(F.min(F.struct(F.size("embedding").alias("dim"), "embedding")).alias("v")).select("vec_id", "v.embedding")
     n = own.count()
     blocks = max(1, -(-n // block_queries))
     block = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks))
@@ -186,27 +194,35 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 10, factor: floa
     sent = grouped.join(F.broadcast(shards), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[bytes, Tree] | None = None
+        held: tuple[tuple[int, int], Tree] | None = None
         for batch in batches:
             for i in range(batch.num_rows):
-                data = batch.column("tree")[i].as_py()
-                if held is None or held[0] != data:
-                    held = (data, Tree.load(data))
-                ids = batch.column("ids")[i].values.to_numpy()
-                points = batch.column("points")[i].values.to_numpy().reshape(len(ids), -1)
-                best, who, _ = held[1].search(ids, points, k, factor)
-                full = ~np.isinf(best)
-                q, tree, who = np.nonzero(full)[0], held[1], who[full]
-                scores = exact_scores(points[q], tree.points[np.searchsorted(tree.ids, who)])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(who), pa.array(scores)], names=["query_id", "vec_id", "score"])
-
-    found = sent.join(index, ["dim", "shard"]).select("ids", "points", "tree").mapInArrow(run, "query_id long, vec_id long, score double")
+                at = (batch.column("dim")[i].as_py(), batch.column("shard")[i].as_py())
+                if held is None or held[0] != at:
+                    held = (at, Tree.load(batch.column("tree")[i].as_buffer()))
+                tree = held[1]
+                all_ids = batch.column("ids")[i].values.to_numpy()
+                all_points = batch.column("points")[i].values.to_numpy().reshape(len(all_ids), -1)
+                for g in range(0, len(all_ids), GROUP):
+                    ids, points = all_ids[g : g + GROUP], all_points[g : g + GROUP]
+                    best, who, _ = tree.search(ids, points, k, factor)
+                    full = ~np.isinf(best)
+                    q, rows = np.nonzero(full)[0], who[full]
+                    scores = exact_scores(points[q], tree.points[rows])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(tree.ids[rows]), pa.array(scores)], names=["query_id", "vec_id", "score"])
+
+    found = sent.join(index, ["dim", "shard"]).select("dim", "shard", "ids", "points", "tree").mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, factor: float = 1.0) -> DataFrame:
-    """Queries: the rows whose vec_id is divisible by ``every``; candidates: all rows."""
+    """query_id, rank, vec_id, score (see search_index()).  Queries: the rows of ``vectors`` (vec_id, embedding) whose vec_id is divisible by ``every``; candidates: all rows.
+
+    Null ids and vectors that are null, empty, zero or hold null or non-finite
+    components take no part; ties go to the smaller vec_id; further columns are
+    ignored; an empty table gives none.
+    """
     index = materialize(build_index(vectors), "trees")
     return search_index(index, vectors.where(F.col("vec_id") % every == 0), k, factor)
 
