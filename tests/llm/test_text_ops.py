@@ -112,7 +112,7 @@ def plain_base(train, text):
     return len(own), sum(c[w] > 0 for w in own), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own)
 
 
-@pytest.mark.parametrize("limits", [{}, {"largest_words": 60, "largest_trie": 400}])
+@pytest.mark.parametrize("limits", [{}, {"largest_words": 60, "largest_trie": 400}, {"largest_words": 1000, "largest_trie": 25}])
 def test_language_model(spark, documents, words, limits):
     rng = random.Random(9)
     train = [" ".join(rng.choices(words[:80], k=rng.randrange(1, 25))) for _ in range(40)] + ["", "Éa É"]
@@ -126,6 +126,30 @@ def test_language_model(spark, documents, words, limits):
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(plain_ppm(train, t or ""))
 
 
+def test_no_part_of_the_trie_exceeds_its_limit(spark, documents, words):
+    rng = random.Random(2)
+    strings = ppm.corpus_counts(documents([(i, " ".join(rng.choices(words, k=40))) for i in range(40)])).where("kind = 1").cache()
+    leaves, above = ppm.suffixes(strings, 50)
+    assert max(n for _, n in leaves) <= 50 and sum(n for _, n in leaves) == strings.count() and len(above) >= 2
+    assert strings.where(F.shiftright("key", ppm.BITS).bitwiseAND(ppm.MASK) == ord(" ") + 1).count() > 50
+
+
+def test_language_model_folds(spark, documents, words):
+    """The registered query's own folds: trained without the held-out tenth, for base and model alike."""
+    import zlib
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(words[:60], k=rng.randrange(0, 12)))) for i in range(60)] + [(70, None)]
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
+    train = [t or "" for i, t in rows if not held[i]]
+    got = ppm.language_model_scores(documents(rows)).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.held_out for r in got} == held and any(held.values())
+    for r in [x for x in got if x.held_out or x.doc_id in (0, 70)]:
+        text = dict(rows)[r.doc_id] or ""
+        n, known, total, base = plain_base(train, text)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total) and r.base_score == pytest.approx(base) and r.score == pytest.approx(plain_ppm(train, text))
+
+
 def test_language_model_without_data(spark, documents):
     none = documents([])
     assert ppm.score_documents(none, none).count() == 0

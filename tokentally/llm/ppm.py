@@ -16,9 +16,11 @@ distinct byte string of ORDER + 1); shorter contexts are sums of these.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokentally.llm.shared import materialize, prepare, remainder, segment_sums, word_hashes
@@ -106,17 +108,17 @@ def merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
 
 
 class Trie:
-    """Fixed code lengths (log10) of one part of the trie: the contexts whose last byte is in it, and the empty one."""
+    """Fixed code lengths (log10) of one part of the trie: the contexts that end with one of its suffixes, and the shorter ones above these."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, roots: np.ndarray):
-        """``keys``: grams of ORDER + 1 symbols; ``roots``: how often each symbol occurs at all, in the whole corpus.  Only these travel; levels are built where they are used."""
-        self.given, self.levels = (keys, counts, roots), []
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, roots: np.ndarray, above: dict[int, tuple[np.ndarray, np.ndarray]] | None = None):
+        """``keys``: grams of ORDER + 1 symbols; ``roots``: how often each symbol occurs at all, in the whole corpus; ``above``: for each length of contexts that are split among parts their grams and counts in the whole corpus.  Only these travel; levels are built where they are used."""
+        self.given, self.levels = (keys, counts, roots, above or {}), []
 
     def __getstate__(self) -> dict:
         return {"given": self.given, "levels": []}  # made on the driver, which never builds it
 
     def _build(self) -> None:
-        keys, counts, roots = self.given
+        keys, counts, roots, above = self.given
         self.given = None
         order = np.argsort(keys)
         tables = {ORDER: (keys[order], counts[order])}
@@ -127,6 +129,12 @@ class Trie:
             short = short[order]
             first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]])) if len(short) else np.zeros(0, np.int64)
             tables[k] = (short[first], np.add.reduceat(tables[k + 1][1][order], first) if len(first) else np.zeros(0, np.int64))
+            if k in above:  # this part has some of these contexts' strings only
+                whole, n = above[k]
+                own = ~np.isin(tables[k][0] >> np.uint64(BITS), np.unique(whole >> np.uint64(BITS)))
+                merged, counts = np.concatenate([tables[k][0][own], whole]), np.concatenate([tables[k][1][own], n])
+                sort = np.argsort(merged)
+                tables[k] = (merged[sort], counts[sort])
             del short, order, first
         seen = np.flatnonzero(roots).astype(np.uint64)
         tables[0] = (seen, roots[seen.astype(np.int64)].astype(np.int64))
@@ -274,8 +282,9 @@ def score_documents(docs: DataFrame, train: DataFrame, largest_words: int = LARG
     Without training rows every symbol has 1/257 and no token is known.
     Rows that repeat a doc_id are scored each for itself.  Words are known by
     a 64-bit hash.  A table of more than ``largest_words`` or ``largest_trie`` rows isn't broadcast
-    whole: words split by hash, the trie by a context's last byte, the
-    documents are scored for each part, and a document's parts add up.
+    whole: words split by hash, the trie by the contexts' last symbols (as many of them
+    as it takes, see suffixes()).  The documents are scored for one part after the other, each
+    written before the next is sent, and a document's parts add up.  Further columns are ignored.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -284,22 +293,21 @@ def score_documents(docs: DataFrame, train: DataFrame, largest_words: int = LARG
     symbol = F.col("key").bitwiseAND(MASK)
     w = words.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
     v, n = w.v, w.n or 0
-    last = F.shiftright("key", BITS).bitwiseAND(MASK)
-    by_last = {r.last: r.n for r in strings.groupBy(last.alias("last")).agg(F.count("*").alias("n")).collect()}  # at most 258 rows
+    leaves, above = suffixes(strings, largest_trie)
     roots = np.zeros(1 << BITS, dtype=np.int64)
     for r in strings.groupBy(symbol.alias("s")).agg(F.sum("n").alias("n")).collect():  # at most 257 rows
         roots[r.s] = r.n
     # Parts of at most so many rows: hash ranges of words, sets of last bytes of contexts.
     pieces = max(1, -(-v // largest_words))
     edges = [-(1 << 63) + (1 << 64) * i // pieces for i in range(pieces + 1)]
-    groups: list[list[int]] = [[]]
+    groups: list[list[tuple[int, int]]] = [[]]
     size = 0
-    for b in sorted(by_last):
-        if size and size + by_last[b] > largest_trie:
+    for leaf, many in leaves:
+        if size and size + many > largest_trie:
             groups.append([])
             size = 0
-        groups[-1].append(b)
-        size += by_last[b]
+        groups[-1].append(leaf)
+        size += many
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     passes = max(len(groups), pieces)
     if passes > 1:
@@ -311,8 +319,16 @@ def score_documents(docs: DataFrame, train: DataFrame, largest_words: int = LARG
             keys, k = _arrays(words.where((F.col("key") >= F.lit(edges[i])) & (F.col("key") <= F.lit(edges[i + 1] - 1))))
             part_words = Words(keys, k, edges[i], edges[i + 1] - 1, int(n), int(v))
         if i < len(groups):
-            part_trie = (Trie(*_arrays(strings.where(last.isin(groups[i]) if passes > 1 else F.lit(True))), roots), _share(groups, i) if passes > 1 else None)
-        own = _scored(ids, part_words, part_trie)
+            own_strings = strings
+            if passes > 1:
+                depths = {d: [s for k, s in groups[i] if k == d] for d, _ in groups[i]}
+                own_strings = strings.where(reduce(Column.__or__, [_suffix(d).isin(s) for d, s in depths.items()], F.lit(False)))
+            part_trie = (Trie(*_arrays(own_strings), roots, above), Shares(groups, i) if passes > 1 else None)
+        shared = spark.sparkContext.broadcast((part_words, part_trie))
+        own = _scored(ids, shared)
+        if passes > 1:
+            own = materialize(own, "scored")
+            shared.destroy()
         scored = own if scored is None else scored.unionByName(own)
     if passes > 1:
         # Equal rows (same id and text) have equal sums: count them once a pass and put them back.
@@ -322,13 +338,52 @@ def score_documents(docs: DataFrame, train: DataFrame, largest_words: int = LARG
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _share(groups: list[list[int]], i: int) -> tuple[np.ndarray, bool]:
-    """(bytes, whether they are meant or all others): a part's last bytes of contexts; the first part also has those that training never saw."""
-    return (np.array(groups[i], dtype=np.int64), True) if i else (np.array([b for g in groups[1:] for b in g], dtype=np.int64), False)
+def _suffix(depth: int) -> Column:
+    """The last ``depth`` symbols of a string's context."""
+    return F.shiftright("key", BITS).bitwiseAND((1 << BITS * depth) - 1)
+
 
+def suffixes(strings: DataFrame, largest: int) -> tuple[list[tuple[tuple[int, int], int]], dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Suffixes of contexts, each as (number of symbols, symbols), with at most ``largest`` strings each, and the counts of the contexts that were split.
 
-def _scored(ids: DataFrame, words: Words | None, trie: tuple[Trie, tuple[np.ndarray, bool] | None] | None) -> DataFrame:
-    shared = ids.sparkSession.sparkContext.broadcast((words, trie))
+    The strings are split by the context's last symbol, where these are too many by
+    the last two, and so on; a whole context has 257 strings at most.  The driver
+    sees 258 sums and 257 counts for each suffix that is split, of which there are as many as ``largest``
+    goes into the strings, times ORDER at most.  A split context's own counts
+    go to every part, since parts hold some of its strings only.
+    """
+    leaves, above, heavy = [], {}, None
+    for depth in range(1, ORDER + 1):
+        own = strings if heavy is None else strings.where(_suffix(depth - 1).isin(heavy))
+        sizes = [(r.s, r.n) for r in own.groupBy(_suffix(depth).alias("s")).agg(F.count("*").alias("n")).collect()]
+        heavy = sorted(s for s, n in sizes if n > largest) if depth < ORDER else []
+        leaves += [((depth, s), n) for s, n in sorted(sizes) if s not in set(heavy)]
+        if not heavy:
+            break
+        rows = strings.where(_suffix(depth).isin(heavy)).groupBy(F.col("key").bitwiseAND((1 << BITS * (depth + 1)) - 1).alias("key")).agg(F.sum("n").alias("n"))
+        above[depth] = _arrays(rows)
+    return leaves, above
+
+
+class Shares:
+    """Which symbols one of several parts scores: those whose context ends with one of its suffixes; the first part also those whose context training never saw."""
+
+    def __init__(self, groups: list[list[tuple[int, int]]], part: int):
+        self.part, self.depths = part, []
+        for depth in sorted({d for g in groups for d, _ in g}):
+            pairs = sorted((s, k) for k, g in enumerate(groups) for d, s in g if d == depth)
+            self.depths.append((depth, np.array([s for s, _ in pairs], dtype=np.uint64), np.array([k for _, k in pairs], dtype=np.int64)))
+
+    def own(self, g: np.ndarray) -> np.ndarray:
+        part = np.zeros(len(g), dtype=np.int64)
+        for depth, known, of in self.depths:  # suffixes of different lengths exclude each other
+            s = (g >> np.uint64(BITS)) & np.uint64((1 << BITS * depth) - 1)
+            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            part = np.where(known[at] == s, of[at], part)
+        return part == self.part
+
+
+def _scored(ids: DataFrame, shared) -> DataFrame:
     key = ["row"] if "row" in ids.columns else []
 
     def base(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -361,7 +416,7 @@ def _scored(ids: DataFrame, words: Words | None, trie: tuple[Trie, tuple[np.ndar
             g = grams(s)
             real = _real(g)
             if own is not None:
-                real &= np.isin((g >> np.uint64(BITS)).astype(np.int64) & MASK, own[0]) == own[1]
+                real &= own.own(g)
             score = np.zeros(len(g))
             score[real] = model.score(g[real])
             out[at:to] = segment_sums(score, np.maximum(starts - ORDER, 0))
