@@ -114,23 +114,26 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     """Pack the documents' token ids into as few sequences of at most ``capacity`` as minimum bin slack finds.
 
     Returns the pieces of token_pieces() with sequence_id and offset; a
-    sequence's pieces lie side by side from offset 0.  Rows with equal doc_id are packed
-    each for itself; null texts are empty documents; further columns are
-    ignored; an empty table gives no rows.
+    sequence's pieces lie side by side from offset 0.  Rows with equal doc_id, equal rows and such without
+    doc_id are packed each for itself; null texts are empty documents; texts of
+    any length are cut into pieces; pieces of one length are interchangeable; further
+    columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    pieces = materialize(token_pieces(docs, tokenizer_path, capacity, end_id, keep_ids), "pieces")
+    # Each piece is numbered as it is written, so that equal rows, however many, are dealt to different salts.
+    numbered = materialize(token_pieces(docs, tokenizer_path, capacity, end_id, keep_ids).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    pieces = numbered.drop("row")
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     total = sum(histogram.values())
     made = spark.sparkContext.broadcast(places(plan(histogram, capacity)))
     # A length's ranks: salted groups of at most about 100,000 rows, each numbered for itself from where the groups before it end.
     salts = max(64, -(-total // 100_000))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = numbered.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     firsts = sizes.select("length", "salt", F.coalesce(before, F.lit(0)).alias("first"))
-    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32"))
-    ranked = salted.withColumn("own", own).join(firsts, ["length", "salt"]).withColumn("rank", F.col("first") + F.col("own") - 1).drop("own", "first", "salt")
+    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row"))
+    ranked = salted.withColumn("own", own).join(firsts, ["length", "salt"]).withColumn("rank", F.col("first") + F.col("own") - 1).drop("own", "first", "salt", "row")
     schema = pieces.schema.simpleString()[7:-1]
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
