@@ -47,6 +47,25 @@ def test_token_files(spark, documents, words):
     assert binpack.token_files(documents([]), tokenizer_file("byte_bpe_50k.json"), 2).count() == 0
 
 
+def test_token_files_of_odd_width(spark, documents, words, tmp_path):
+    """17 bits an id: the packer itself, in files of a few documents; equal and null ids in any number."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 40)))) for i in range(40)] + [(None, None)] * 30 + [(3, "same")] * 30 + [(50, "long " * 30_000)]
+    rng.shuffle(rows)
+    files = binpack.write_packed(documents(rows), f"file://{tmp_path}/files", tokenizer_file("byte_bpe_50k.json"), 70_000, file_ids=200, block_ids=37).collect()
+    assert len(files) > 5
+    before, listed = 0, []
+    for f in sorted(files, key=lambda f: (f.part, f.seq)):
+        listed.append((f.file, before))
+        before += f.n_ids
+    assert binpack.PackedFile(open(files[0].file.removeprefix("file://"), "rb").read()).bits == 17
+    got = sorted(binpack.read_packed(spark, listed).collect(), key=lambda r: r.start)
+    enc = tokens.PieceEncoder(tokenizer_file("byte_bpe_50k.json"))
+    code = lambda t: enc.encode([t])[0] + np.array([70_000], "<u4").tobytes()
+    assert [r.doc_id for r in got] == sorted([d for d, _ in rows], key=lambda d: (d is not None, d)) and before == sum(r.n_tokens for r in got)
+    assert sorted((repr(r.doc_id), bytes(r.ids)) for r in got) == sorted((repr(d), code(t)) for d, t in rows) and all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in got)
+
+
 def test_fullest_is_the_best_subset():
     rng = random.Random(2)
     for _ in range(200):
@@ -61,7 +80,7 @@ def test_fullest_is_the_best_subset():
 
 def test_packing(spark, documents, words):
     rng = random.Random(8)
-    rows = [(i, " ".join(rng.choices(words, k=rng.choice([3, 20, 20, 90, 400])))) for i in range(150)] + [(200, None), (201, ""), (7, "twice"), (7, "twice"), (None, "none")]
+    rows = [(i, " ".join(rng.choices(words, k=rng.choice([3, 20, 20, 90, 400])))) for i in range(150)] + [(200, None), (201, ""), (7, "twice"), (7, "twice"), (None, "none"), (300, "word " * 40_000)]
     got = packing.pack_documents(documents(rows), tokenizer_file("word_bpe_49k.json"), 256, 0, keep_ids=True).toPandas()
     enc = tokens.PieceEncoder(tokenizer_file("word_bpe_49k.json"))
     want = sorted((repr(d), enc.encode([t])[0] + b"\0\0\0\0") for d, t in rows)
@@ -102,11 +121,19 @@ def test_neighbours(spark):
     q = vectors(spark, rows).where("vec_id % 10 = 0")
     exact = vptree.search_index(index, q, 10, block_queries=40).toPandas()
     assert set(zip(exact.query_id, exact["rank"], exact.vec_id, strict=True)) == brute(rows, 10, 10)
+    by_id = {i: np.array(v, np.float32).astype(float) for i, v, _ in rows if i is not None and i < 2000}
+    assert all(r.score == np.sqrt(((by_id[r.query_id] - by_id[r.vec_id]) ** 2).sum()) or abs(r.score - np.sqrt(((by_id[r.query_id] - by_id[r.vec_id]) ** 2).sum())) < 1e-12 for r in exact.itertuples() if r.query_id < 2000)
     loose = vptree.search_index(index, q, 10, factor=2.0).toPandas()
     assert 0.9 <= vptree.recall(loose, exact) <= 1
     assert vptree.nearest(vectors(spark, [])).count() == 0
 
 
+def test_repeated_ids_have_scores_of_their_own(spark):
+    rows = [(0, [0.0, 1.0], "s"), (5, [0.0, 2.0], "s"), (5, [5.0, 5.0], "s"), (5, [0.0, 2.0], "s"), (7, [1.0, 1.0], "s"), (0, [9.0, 9.0], "s")]
+    got = vptree.nearest(vectors(spark, rows)).orderBy("rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in got] == [(0, 1, 5, 1.0), (0, 2, 5, 1.0), (0, 3, 7, 1.0), (0, 4, 5, round(41**0.5, 6))]
+
+
 def test_pruning_visits_less():
     rng = np.random.default_rng(1)
     points = rng.normal(size=(4000, 3))

@@ -25,6 +25,7 @@ from tokentally.llm.tokens import encoder
 
 MAGIC = b"TKBP0001"
 BLOCK_IDS = 4096
+PIECE = 1 << 15
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -33,8 +34,11 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
         return b""
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
-    flags = ((ids[:, None] >> np.arange(bits, dtype=np.uint32)) & 1).astype(np.uint8)
-    return np.packbits(flags.ravel(), bitorder="little").tobytes()
+    out = []
+    for i in range(0, len(ids), PIECE):  # a piece ends at a whole byte; its bits as bytes are what memory holds
+        flags = ((ids[i : i + PIECE, None] >> np.arange(bits, dtype=np.uint32)) & 1).astype(np.uint8)
+        out.append(np.packbits(flags.ravel(), bitorder="little"))
+    return b"".join(p.tobytes() for p in out)
 
 
 def unpack(data: bytes | memoryview, n: int, bits: int, first: int = 0) -> np.ndarray:
@@ -63,37 +67,46 @@ def write_file(ids: np.ndarray, doc_ids: list[int | None], counts: list[int], bi
 
 
 class PackedFile:
-    """Random access to the ids of one file, from its bytes or any object with the buffer interface."""
-
-    def __init__(self, data: bytes | memoryview):
-        view = memoryview(data)
-        if bytes(view[:8]) != MAGIC:
+    """Random access to the ids of one file, from its bytes or an open file with read_at(bytes, offset); of the payload only what is asked for is read."""
+
+    def __init__(self, data):
+        if hasattr(data, "read_at"):
+            self._read = lambda at, n: memoryview(data.read_at(n, at))
+        else:
+            view = memoryview(data)
+            self._read = lambda at, n: view[at : at + n]
+        head = self._read(0, 48)
+        if bytes(head[:8]) != MAGIC:
             raise ValueError("not a bit-packed id file")
-        self.bits, self.block_ids, docs, self.n_ids, blocks = np.frombuffer(view, "<u8", 5, 8).astype(int).tolist()
-        at = 48
-        self.doc_ids = np.frombuffer(view, "<i8", docs, at)
-        self.null = np.frombuffer(view, np.uint8, docs, at + 8 * docs)
-        self.counts = np.frombuffer(view, "<u8", docs, at + 9 * docs).astype(np.int64)
-        self.offsets = np.frombuffer(view, "<u8", blocks + 1, at + 17 * docs).astype(np.int64)
+        self.bits, self.block_ids, docs, self.n_ids, blocks = np.frombuffer(head, "<u8", 5, 8).astype(int).tolist()
+        index = self._read(48, 17 * docs + 8 * (blocks + 1))
+        self.doc_ids = np.frombuffer(index, "<i8", docs, 0)
+        self.null = np.frombuffer(index, np.uint8, docs, 8 * docs)
+        self.counts = np.frombuffer(index, "<u8", docs, 9 * docs).astype(np.int64)
+        self.offsets = np.frombuffer(index, "<u8", blocks + 1, 17 * docs).astype(np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.counts)])
-        self.payload = view[at + 17 * docs + 8 * (blocks + 1) :]
+        self.payload = 48 + 17 * docs + 8 * (blocks + 1)
 
     def ids(self, start: int, n: int) -> np.ndarray:
-        """``n`` ids from ``start``; only the blocks that hold them are read."""
-        out, at, end = [], start, min(start + n, self.n_ids)
-        while at < end:
-            block, first = divmod(at, self.block_ids)
-            k = min(end - at, self.block_ids - first)
-            out.append(unpack(self.payload[self.offsets[block] : self.offsets[block + 1]], k, self.bits, first))
-            at += k
-        return np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
+        """``n`` ids from ``start``; only the blocks that hold them are read, at once."""
+        end = min(start + n, self.n_ids)
+        if start >= end:
+            return np.zeros(0, dtype=np.uint32)
+        low, high = start // self.block_ids, (end - 1) // self.block_ids
+        offsets = self.offsets[low : high + 2] - self.offsets[low]
+        data = self._read(self.payload + int(self.offsets[low]), int(offsets[-1]))
+        if self.block_ids * self.bits % 8 == 0:  # blocks without padding are one run of bits
+            return unpack(data, end - start, self.bits, start - low * self.block_ids)
+        out = []
+        for block in range(low, high + 1):
+            a, b = max(start, block * self.block_ids), min(end, (block + 1) * self.block_ids)
+            out.append(unpack(data[offsets[block - low] : offsets[block - low + 1]], b - a, self.bits, a - block * self.block_ids))
+        return np.concatenate(out)
 
     def document(self, i: int) -> np.ndarray:
         return self.ids(int(self.starts[i]), int(self.counts[i]))
 
     def all(self) -> np.ndarray:
-        if self.block_ids * self.bits % 8 == 0:
-            return unpack(self.payload, self.n_ids, self.bits)
         return self.ids(0, self.n_ids)
 
 
@@ -112,13 +125,15 @@ def write_packed(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
     file is closed at ``file_ids`` ids, which bounds a worker's memory.  A file is
     written under a name of its own and then moved, so a task that runs again
     replaces it whole.  Null texts count as empty; null doc_ids come first; rows
-    that share a doc_id are neighbours, ordered by text; further columns are
+    that share a doc_id are neighbours, ordered by the first 32 characters of their texts, then by the texts'
+    hashes, so that any number of them can be dealt to several tasks; further columns are
     ignored; an empty table gives no file.
     """
     spark = docs.sparkSession
     prepare(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, F.col("doc_id")).sortWithinPartitions("doc_id", "text")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.substring("text", 1, 32).alias("head"), F.xxhash64("text").alias("digest"), F.rand(11).alias("any"))
+    dealt = own.repartitionByRange(n, "doc_id", "head", "digest", "any").sortWithinPartitions("doc_id", "head", "digest").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -132,6 +147,7 @@ def write_packed(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
         raw: list[bytes] = []
         doc_ids: list[int | None] = []
         counts: list[int] = []
+        size = 0
 
         def close() -> None:
             name = f"part-{part:06d}-{len(made):04d}.tkbp"
@@ -148,8 +164,10 @@ def write_packed(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
                 raw += [data, end]
                 doc_ids.append(d)
                 counts.append(len(data) // 4 + 1)
-            if sum(counts) >= file_ids:
-                close()
+                size += counts[-1]
+                if size >= file_ids:
+                    close()
+                    size = 0
         if doc_ids:
             close()
         if made:
@@ -175,23 +193,26 @@ def read_packed(spark: SparkSession, files: list[tuple[str, int]], with_ids: boo
             for uri, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fs, path = _open(uri)
                 with fs.open_input_file(path) as f:
-                    packed = PackedFile(f.read())
-                ids = packed.all()
-                view, starts = memoryview(ids.astype("<u4", copy=False)).cast("B"), packed.starts.tolist()
-                for at in range(0, len(packed.counts), 1024):
-                    rows = range(at, min(at + 1024, len(packed.counts)))
-                    spans = [view[4 * starts[i] : 4 * starts[i + 1]] for i in rows]
-                    arrays = [
-                        pa.array(packed.doc_ids[at : rows.stop], pa.int64(), mask=packed.null[at : rows.stop].astype(bool)),
-                        pa.array([before + starts[i] for i in rows], pa.int64()),
-                        pa.array(packed.counts[at : rows.stop], pa.int64()),
-                        pa.array([zlib.crc32(s) for s in spans], pa.int64()),
-                    ]
-                    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
-                    if with_ids:
-                        arrays.append(pa.array([bytes(s) for s in spans], pa.binary()))
-                        names.append("ids")
-                    yield pa.RecordBatch.from_arrays(arrays, names=names)
+                    packed = PackedFile(f)
+                    starts, docs = packed.starts, len(packed.counts)
+                    at = 0
+                    while at < docs:  # documents of about a million ids, 1,024 at most
+                        to = min(at + 1024, docs, max(at + 1, int(np.searchsorted(starts, starts[at] + 1_000_000))))
+                        ids = packed.ids(int(starts[at]), int(starts[to] - starts[at]))
+                        view, edges = memoryview(ids.astype("<u4", copy=False)).cast("B"), (4 * (starts[at : to + 1] - starts[at])).tolist()
+                        spans = [view[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                        arrays = [
+                            pa.array(packed.doc_ids[at:to], pa.int64(), mask=packed.null[at:to].astype(bool)),
+                            pa.array(before + starts[at:to], pa.int64()),
+                            pa.array(packed.counts[at:to], pa.int64()),
+                            pa.array([zlib.crc32(s) for s in spans], pa.int64()),
+                        ]
+                        names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+                        if with_ids:
+                            arrays.append(pa.array([bytes(s) for s in spans], pa.binary()))
+                            names.append("ids")
+                        yield pa.RecordBatch.from_arrays(arrays, names=names)
+                        at = to
 
     return listed.mapInArrow(run, schema)
 
