@@ -262,7 +262,7 @@ def test_decontamination(spark, documents, words):
             p = rng.randrange(len(own) + 1)
             own[p:p] = [w.upper() if rng.random() < 0.3 else w for w in leak]
         rows.append((i, rng.choice([" ", "\n"]).join(own)))
-    rows += [(500, None), (501, ""), (1, rows[1][1]), (None, items[0][1])]
+    rows += [(500, None), (501, ""), (1, rows[1][1]), (None, items[0][1]), (502, "word " * 50_000 + items[1][1] + " word" * 50_000)]
     bench = spark.createDataFrame([(k, t, "x") for k, t in items], "item_id long, text string, doc_id string")
     got = {(r.doc_id, r.item_id): (r.distance, r.first_word, r.n_words) for r in decontam.find_items(documents(rows), bench).collect()}
     want = {}
@@ -285,6 +285,32 @@ def test_decontamination(spark, documents, words):
     assert decontam.find_items(documents(rows), bench.limit(0)).count() == 0 and decontam.drop_leaks(documents(rows), bench.limit(0)).count() == len(rows) and decontam.find_items(documents([]), bench).count() == 0
 
 
+def test_short_items_are_found_as_they_are(spark, documents):
+    items = [(1, "Alpha"), (2, "beta gamma"), (3, "one two three four five six seven"), (4, "x x"), (5, " ")]
+    rows = [(1, "an ALPHA here"), (2, "beta delta gamma beta"), (3, "so beta\n gamma"), (4, "zero one two three four five six seven"), (5, "one two three four five six"), (6, "x x x alpha"), (7, None), (8, "alphas")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance, r.first_word, r.n_words) for r in decontam.find_items(documents(rows), bench).collect()}
+    assert got == {(1, 1, 0, 1, 1), (3, 2, 0, 1, 2), (4, 3, 0, 1, 7), (6, 4, 0, 0, 2), (6, 1, 0, 3, 1)}
+    assert sorted(r.doc_id for r in decontam.drop_leaks(documents(rows), bench, items_a_pass=2).collect()) == [2, 5, 7, 8]
+
+
+def test_tables_reach_their_target_or_are_passed_by(words):
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choices(words, k=rng.choice([8, 20, 60])))) for k in range(12)]
+    items = decontam.build_items(rows)
+    assert items.recall >= decontam.TARGET_RECALL and not items.direct.any() and items.tables < decontam.MOST_TABLES
+    # Unrelated windows collide rarely: padding is no match.
+    codes = np.random.default_rng(1).integers(1, 1 << 62, 4000, dtype=np.uint64)
+    first = np.arange(0, 3900, 13)
+    which = np.arange(len(first)) % 12
+    equal = decontam._equal(items, items.keys, codes, np.array([0, 4000]), np.zeros(len(first), np.int64), which, first, items.tables)
+    assert equal.any(axis=1).mean() < 0.01
+    few = decontam.build_items(rows, most_tables=1)
+    assert few.recall < decontam.TARGET_RECALL and few.direct.all()
+    text = words[0] + " " + " ".join(["new", *rows[3][1].split()[1:]])
+    assert [r[:3] for r in decontam.search(few, [text])] == [r[:3] for r in decontam.search(items, [text])] == [(0, 3, 1)]
+
+
 # Pseudonyms.
 
 

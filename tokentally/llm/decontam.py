@@ -2,15 +2,18 @@
 
 An item is found in a document where some run of the document's words is within
 ``floor(n * max_error)`` word edits (insertions, deletions, substitutions) of the
-item's n words.  The CGK random walk embeds a word sequence into 3n positions so
+item's n words; items of fewer than EXACT_BELOW words must occur as they are.  The CGK
+random walk embeds a word sequence into 3n positions so
 that a small edit distance becomes a small Hamming distance; tables that sample
 positions of several walks collide for windows of the item's size with a
-probability that repetition raises to the target recall.  Every collision is
+probability that repetition raises to the target recall.  Positions at which a walk
+has run out of words tell nothing and never collide.  Every collision is
 verified by the exact edit distance.
 
 Windows need not be taken at every position: of any k + 1 words of an item, one stays
 unedited under k edits, so windows are laid where one of its k + 1 rarest words
-occurs.  This loses no match.
+occurs.  This loses no match.  Where no edits are allowed, or where the simulated recall
+misses its target even with MOST_TABLES tables, all these windows are verified.
 """
 
 from __future__ import annotations
@@ -26,12 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokentally.llm.shared import lower_ascii, mix64, prepare, split_words, word_hashes
+from tokentally.llm.shared import lower_ascii, materialize, mix64, prepare, split_words, word_hashes
 
-MAX_ERROR, MIN_WORDS, TARGET_RECALL = 0.25, 8, 0.999
+MAX_ERROR, EXACT_BELOW, TARGET_RECALL = 0.25, 8, 0.999
 WALKS, SAMPLED, MOST_TABLES = 4, 2, 512
-#: Items of one broadcast; more items are taken in several passes over the documents.
-ITEMS_A_PASS = 20_000
+#: Positions are sampled among the first so many for each word: later on most walks have run out of words.
+REACH = 1.75
+#: Items and their characters of one broadcast; more items are taken in several passes over the documents.
+ITEMS_A_PASS, CHARS_A_PASS = 20_000, 20_000_000
+#: Windows that are laid and compared at a time.
+CHUNK = 1 << 16
 _PAD = np.uint64(0x5BF0_3635_DCD1_A2B7)
 
 
@@ -54,15 +61,16 @@ def cgk(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, walk: int) -
     return out
 
 
-def sampled(embedded: np.ndarray, lengths: np.ndarray, walk: int, tables: int) -> np.ndarray:
-    """A key for each row and table: SAMPLED positions among the first 3 * length of the embedding."""
+def sampled(embedded: np.ndarray, lengths: np.ndarray, walk: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each row and table, of SAMPLED positions among the first REACH * length of the embedding, and whether it tells something: none of the positions is padding."""
     u = np.random.default_rng(1000 + walk).random((tables, SAMPLED))
-    at = (u[None] * (3 * lengths[:, None, None])).astype(np.int64)
+    at = np.minimum((u[None] * (REACH * lengths[:, None, None])).astype(np.int64), embedded.shape[1] - 1)
     picked = np.take_along_axis(embedded[:, None, :], at.reshape(len(at), 1, -1), axis=2).reshape(at.shape)
-    key = np.zeros(at.shape[:2], dtype=np.uint64)
+    key, told = np.zeros(at.shape[:2], dtype=np.uint64), np.ones(at.shape[:2], dtype=bool)
     for k in range(SAMPLED):
         key = mix64(key ^ picked[:, :, k], k + 1)
-    return key
+        told &= picked[:, :, k] != _PAD
+    return key, told
 
 
 def best_match(item: list[int], text: list[int]) -> tuple[int, int]:
@@ -94,46 +102,63 @@ class Items:
     ids: list[int]
     words: list[np.ndarray]
     allowed: list[int]
-    tables: int
-    anchors: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
-    sorted_anchors: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    keys: list[np.ndarray] = field(default_factory=list)
-
-
-def build_items(rows: list[tuple[int, str]], max_error: float = MAX_ERROR, min_words: int = MIN_WORDS, target_recall: float = TARGET_RECALL) -> Items:
+    tables: int = 0
+    recall: float = 1.0
+    #: Sorted anchor words; those of number i stand at places[first[i] : first[i + 1]] as (item, offset).
+    anchors: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    places: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int64))
+    #: Whether an item's windows are verified without asking the tables.
+    direct: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+    keys: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+
+
+def build_items(rows: list[tuple[int, str]], max_error: float = MAX_ERROR, target_recall: float = TARGET_RECALL, most_tables: int = MOST_TABLES) -> Items:
     flat, counts = word_hashes([t for _, t in rows])
     ends = np.cumsum(counts).tolist()
-    known = [(i, flat[b - n : b]) for (i, _), b, n in zip(rows, ends, counts.tolist(), strict=True) if n >= min_words]
-    items = Items([i for i, _ in known], [w for _, w in known], [int(len(w) * max_error + 1e-9) for _, w in known], 0)
+    known = [(i, flat[b - n : b]) for (i, _), b, n in zip(rows, ends, counts.tolist(), strict=True) if n]
+    items = Items([i for i, _ in known], [w for _, w in known], [int(len(w) * max_error + 1e-9) if len(w) >= EXACT_BELOW else 0 for _, w in known])
     if not known:
         return items
     text = {h: len(w) for h, w in zip(flat.tolist(), (w for _, t in rows for w in split_words(lower_ascii(t or ""))), strict=True)}
     common = Counter(int(w) for ws in items.words for w in set(ws.tolist()))
+    found: dict[int, list[tuple[int, int]]] = {}
     for n, ws in enumerate(items.words):
         order = sorted(range(len(ws)), key=lambda o: (common[int(ws[o])], -text[int(ws[o])], o))
         for o in order[: items.allowed[n] + 1]:
-            items.anchors.setdefault(int(ws[o]), []).append((n, o))
-    items.sorted_anchors = np.array(sorted(items.anchors), dtype=np.uint64)
-    items.tables = tables_for(items, target_recall)
+            found.setdefault(int(ws[o]), []).append((n, o))
+    items.anchors = np.array(sorted(found), dtype=np.uint64)
+    items.first = np.concatenate([[0], np.cumsum([len(found[a]) for a in items.anchors.tolist()])]).astype(np.int64)
+    items.places = np.array([p for a in items.anchors.tolist() for p in found[a]], dtype=np.int64)
+    items.direct = np.array(items.allowed) == 0
+    if items.direct.all():
+        return items
+    items.tables, items.recall = tables_for(items, target_recall, most_tables)
+    if items.recall < target_recall:
+        items.direct[:] = True
+    items.keys = _keys(items, items.tables)
+    return items
+
+
+def _keys(items: Items, tables: int) -> list[tuple[np.ndarray, np.ndarray]]:
     flat = np.concatenate(items.words)
     lengths = np.array([len(w) for w in items.words], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    for walk in range(WALKS):
-        items.keys.append(sampled(cgk(flat, starts, lengths, walk), lengths, walk, items.tables))
-    return items
+    return [sampled(cgk(flat, starts, lengths, walk), lengths, walk, tables) for walk in range(WALKS)]
 
 
-def tables_for(items: Items, target_recall: float, trials: int = 1000, seed: int = 3) -> int:
-    """Tables of each walk so that windows with all allowed edits collide with the target probability, by simulation.
+def tables_for(items: Items, target_recall: float, most_tables: int = MOST_TABLES, trials: int = 400, seed: int = 3) -> tuple[int, float]:
+    """Tables of each walk so that an item with all allowed edits is found with the target probability, by simulation, and the share that was found.
 
-    Each trial edits an item at random as often as is allowed.  The least number of
+    Each trial edits an item at random as often as is allowed, puts it between words that
+    occur nowhere else, and lays windows as search() does.  The least number of
     tables is taken with which the share of trials that collide nowhere is within the
-    target, at most MOST_TABLES.
+    target, at most ``most_tables``.
     """
     rng = np.random.default_rng(seed)
-    pairs = []
-    for _ in range(trials):
-        n = int(rng.integers(len(items.words)))
+    some = np.flatnonzero(np.array(items.allowed) > 0)
+    texts, meant = [], rng.choice(some, trials)
+    for n in meant.tolist():
         w = items.words[n].tolist()
         for _ in range(items.allowed[n]):
             kind, at = rng.integers(3), int(rng.integers(len(w)))
@@ -145,64 +170,93 @@ def tables_for(items: Items, target_recall: float, trials: int = 1000, seed: int
             elif len(w) > 1:
                 del w[at]
         size = len(items.words[n])
-        w = (w + rng.integers(1, 1 << 62, size).tolist())[:size]
-        pairs.append((items.words[n], np.array(w, dtype=np.uint64)))
-    lengths = np.array([len(a) for a, _ in pairs], dtype=np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    equal = []
+        texts.append(np.array([*rng.integers(1, 1 << 62, size).tolist(), *w, *rng.integers(1, 1 << 62, size).tolist()], dtype=np.uint64))
+    codes = np.concatenate(texts)
+    spans = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    keys, hit = _keys(items, most_tables), np.zeros((trials, most_tables), dtype=bool)
+    for owner, which, first in _windows(items, codes, spans):
+        own = which == meant[owner]
+        owner, which, first = owner[own], which[own], first[own]
+        for part in range(0, len(owner), 2048):
+            s = slice(part, part + 2048)
+            np.logical_or.at(hit, owner[s], _equal(items, keys, codes, spans, owner[s], which[s], first[s], most_tables))
+    share = np.maximum.accumulate(hit, axis=1).mean(axis=0)
+    return (int(np.argmax(share >= target_recall)) + 1 if share[-1] >= target_recall else most_tables), float(share[-1])
+
+
+def _windows(items: Items, codes: np.ndarray, spans: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, item, first word) of every window, about CHUNK at a time: one for each (item, start) at an anchor; starts before the text are moved to its first word."""
+    near = np.minimum(np.searchsorted(items.anchors, codes), len(items.anchors) - 1)
+    hits = np.flatnonzero(items.anchors[near] == codes)
+    if not len(hits):
+        return
+    kind = near[hits]
+    many = items.first[kind + 1] - items.first[kind]
+    total = np.cumsum(many)
+    at = 0
+    while at < len(hits):
+        base = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, base + CHUNK, side="right")))
+        p, n = hits[at:to], many[at:to]
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        place = items.places[np.repeat(items.first[kind[at:to]], n) + inner]
+        doc = np.repeat(np.searchsorted(spans, p, side="right") - 1, n)
+        first = np.maximum(np.repeat(p, n) - place[:, 1], spans[doc])
+        whole = np.unique(np.column_stack([doc, place[:, 0], first]), axis=0)
+        yield whole[:, 0], whole[:, 1], whole[:, 2]
+        at = to
+
+
+def _equal(items: Items, keys: list, codes: np.ndarray, spans: np.ndarray, owner: np.ndarray, which: np.ndarray, first: np.ndarray, tables: int) -> np.ndarray:
+    """For each window and table whether some walk's keys are equal; a window that leaves its text is padded by what CGK writes past its end."""
+    length = np.array([len(w) for w in items.words], dtype=np.int64)[which]
+    inside = np.minimum(length, spans[owner + 1] - first)
+    out = np.zeros((len(owner), tables), dtype=bool)
     for walk in range(WALKS):
-        a, b = (sampled(cgk(np.concatenate([p[s] for p in pairs]), starts, lengths, walk), lengths, walk, MOST_TABLES) for s in (0, 1))
-        equal.append(a == b)
-    hit = np.maximum.accumulate(np.any(np.stack(equal), axis=0), axis=1).mean(axis=0)
-    return int(np.argmax(hit >= target_recall)) + 1 if hit[-1] >= target_recall else MOST_TABLES
+        e = _padded(cgk(codes, first, inside, walk), 3 * int(length.max(initial=1)))
+        key, told = sampled(e, length, walk, tables)
+        out |= (key == keys[walk][0][which]) & told & keys[walk][1][which]
+    return out
 
 
 def search(items: Items, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
     """(text number, item number, distance, first word, number of words of the document's run) of every item found in each text."""
     codes, counts = word_hashes(texts)
     spans = np.concatenate([[0], np.cumsum(counts)])
-    sorted_anchors = items.sorted_anchors
-    if not len(codes) or not len(sorted_anchors):
+    if not len(codes) or not len(items.anchors):
         return []
-    near = np.minimum(np.searchsorted(sorted_anchors, codes), len(sorted_anchors) - 1)
-    hits = np.flatnonzero(sorted_anchors[near] == codes)
-    if not len(hits):
-        return []
-    doc = np.searchsorted(spans, hits, side="right") - 1
-    which, first, owner = [], [], []
-    for p, d, c in zip(hits.tolist(), doc.tolist(), codes[hits].tolist(), strict=True):
-        for n, o in items.anchors[c]:
-            which.append(n)
-            first.append(max(p - o, int(spans[d])))
-            owner.append(d)
-    # One window for each (item, start); a window that leaves its document is padded by what CGK writes past its end.
-    whole = np.unique(np.column_stack([owner, which, first]), axis=0)
-    owner, which, first = whole[:, 0], whole[:, 1], whole[:, 2]
-    length = np.array([len(w) for w in items.words], dtype=np.int64)[which]
-    inside = np.minimum(length, spans[owner + 1] - first)
-    allowed = np.array(items.allowed, dtype=np.int64)[which]
-    low, high = np.maximum(spans[owner], first - allowed), np.minimum(spans[owner + 1], first + length + allowed)
-    hit = np.zeros(len(which), dtype=bool)
-    for part in range(0, len(which), 4096):
-        s = slice(part, part + 4096)
-        for walk in range(WALKS):
-            e = _padded(cgk(codes, first[s], inside[s], walk), 3 * int(length[s].max()))
-            hit[s] |= (sampled(e, length[s], walk, items.tables) == items.keys[walk][which[s]]).any(axis=1)
+    lengths, edits = np.array([len(w) for w in items.words], dtype=np.int64), np.array(items.allowed, dtype=np.int64)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    bags = [frozenset(w.tolist()) for w in items.words] if hit.any() else []
-    for d, n, a, b in zip(*(x[hit].tolist() for x in (owner, which, low, high)), strict=True):
-        item, k = items.words[n].tolist(), items.allowed[n]
-        if (d, n) in best and best[d, n][0] == 0:
-            continue
-        seg = codes[a:b].tolist()
-        have = bags[n].intersection(seg)
-        if sum(w in have for w in item) < len(item) - k:  # each edit takes one of the item's words at most
-            continue
-        distance, end = best_match(item, seg)
-        if distance <= k:
-            back, size = best_match(item[::-1], seg[:end][::-1])  # the run's start: the shortest one that ends here
-            found = (distance, a + end - size - int(spans[d]), size)
-            best[d, n] = min(best.get((d, n), found), found)
+    bags: dict[int, frozenset] = {}
+    for owner, which, first in _windows(items, codes, spans):
+        hit = items.direct[which]
+        asked = np.flatnonzero(~hit)
+        for part in range(0, len(asked), 4096):
+            s = asked[part : part + 4096]
+            hit[s] = _equal(items, items.keys, codes, spans, owner[s], which[s], first[s], items.tables).any(axis=1)
+        owner, which, first = owner[hit], which[hit], first[hit]
+        low = np.maximum(spans[owner], first - edits[which])
+        high = np.minimum(spans[owner + 1], first + lengths[which] + edits[which])
+        for d, n, a, b in zip(owner.tolist(), which.tolist(), low.tolist(), high.tolist(), strict=True):
+            if (d, n) in best and best[d, n][0] == 0:
+                continue
+            k, seg = items.allowed[n], codes[a:b]
+            if k == 0:  # as it is, or not at all
+                w = items.words[n]
+                if len(seg) == len(w) and (seg == w).all():
+                    best[d, n] = (0, a - int(spans[d]), len(w))
+                continue
+            if n not in bags:
+                bags[n] = frozenset(items.words[n].tolist())
+            item, seg = items.words[n].tolist(), seg.tolist()
+            have = bags[n].intersection(seg)
+            if sum(w in have for w in item) < len(item) - k:  # each edit takes one of the item's words at most
+                continue
+            distance, end = best_match(item, seg)
+            if distance <= k:
+                back, size = best_match(item[::-1], seg[:end][::-1])  # the run's start: the shortest one that ends here
+                found = (distance, a + end - size - int(spans[d]), size)
+                best[d, n] = min(best.get((d, n), found), found)
     return [(d, n, *v) for (d, n), v in sorted(best.items())]
 
 
@@ -210,33 +264,38 @@ def _padded(e: np.ndarray, steps: int) -> np.ndarray:
     return e if e.shape[1] >= steps else np.concatenate([e, np.full((len(e), steps - e.shape[1]), _PAD)], axis=1)
 
 
-def _passes(benchmark: DataFrame, items_a_pass: int) -> Iterator[Items]:
+def _passes(benchmark: DataFrame, items_a_pass: int) -> Iterator[tuple[Items, bool]]:
+    """The items of each pass, and whether there are several; items are dealt by their hash."""
     own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    parts = max(1, math.ceil(own.count() / items_a_pass * 1.1))
+    size = own.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    parts = max(1, math.ceil(size.n / items_a_pass * 1.1), math.ceil((size.chars or 0) / CHARS_A_PASS * 1.1))
     for i in range(parts):
         rows = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i).collect()
-        yield build_items(sorted((r.item_id, r.text) for r in rows))
+        yield build_items(sorted((r.item_id, r.text) for r in rows)), parts > 1
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
     """doc_id, item_id, distance, first_word, n_words: the best run of each item found in each row of ``docs``.
 
-    Ties go to the earliest run.  Null and empty texts, items of fewer than
-    MIN_WORDS words, null items and an empty benchmark find nothing; items that
-    repeat an id and rows that repeat a doc_id are searched each for itself.
+    Ties go to the earliest run.  Null and empty texts, null items and such without
+    words and an empty benchmark find nothing; items that
+    repeat an id and rows that repeat a doc_id are searched each for itself; a text of any
+    length is searched whole; further columns are ignored.
     """
     prepare(docs.sparkSession)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for items in _passes(benchmark, items_a_pass):
-        own = _found(ids, items)
+    for items, several in _passes(benchmark, items_a_pass):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+        own = _found(ids, shared)
+        if several:  # one pass's items at a time
+            own = materialize(own, "found")
+            shared.destroy()
         out = own if out is None else out.unionByName(own)
     return out
 
 
-def _found(ids: DataFrame, items: Items) -> DataFrame:
-    shared = ids.sparkSession.sparkContext.broadcast(items)
-
+def _found(ids: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for batch in batches:
@@ -249,10 +308,14 @@ def _found(ids: DataFrame, items: Items) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no item is found."""
+    """The rows of ``docs``, all columns, in which no item is found.
+
+    Null and empty texts stay, so do repeated rows of a clean text, each for itself; an empty
+    benchmark keeps all rows.  With several passes over the items, what one keeps is written before the next.
+    """
     prepare(docs.sparkSession)
     at = docs.columns.index("text")
-    for items in _passes(benchmark, items_a_pass):
+    for items, several in _passes(benchmark, items_a_pass):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -264,4 +327,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, items_a_pass: int = ITEMS_
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if several:
+            docs = materialize(docs, "clean")
+            shared.destroy()
     return docs
