@@ -24,11 +24,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokentally.llm.components import components
-from tokentally.llm.shared import drop_scratch, materialize, mix64, prepare, word_hashes
+from tokentally.llm.shared import drop_scratch, materialize, mix64, prepare, salted_join, word_hashes
 
 WORDS, REGISTERS, ROWS, MANTISSA = 5, 128, 4, 10
 BANDS = REGISTERS // ROWS
@@ -165,7 +165,8 @@ def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
         for f in frames:
             yield f.loc[_likely(f), ["a", "b"]]
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
+    # A bucket's leader is in as many pairs as the bucket has classes.
+    return salted_join(pairs, side("a"), "a", ["b"]).join(side("b"), "b").mapInPandas(run, "a long, b long")
 
 
 def _short_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -181,8 +182,8 @@ def _short_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "rep long, short binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b; a written table) whose full sets reach the threshold."""
+def _verified(pairs: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
+    """The pairs (a, b; a written table) whose full sets reach the threshold; ``repeated``: whether some rows of ``docs`` share a doc_id, which hold the same set then."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     if pairs.count() * 2 <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -191,7 +192,8 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1).to_pylist())], pa.binary())], names=["doc_id", "set"])
 
-    held = materialize(docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set binary"), "sets")
+    held = docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set binary")
+    held = materialize(held.distinct() if repeated else held, "sets")
     side = lambda s: held.select(F.col("doc_id").alias(s), F.col("set").alias(f"set_{s}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +207,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             m = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]).filter(m)
 
-    out = materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long"), "links")
+    out = materialize(salted_join(pairs, side("a"), "a", ["b"], rows=2_000).join(side("b"), "b").mapInArrow(run, "a long, b long"), "links")
     drop_scratch(docs.sparkSession, held)
     return out
 
@@ -303,7 +305,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     A component's id is the smallest doc_id that links reach; kept marks the row that
     has it.  Null texts, empty ones and such without words have an empty set
     and stand alone; so do rows without doc_id (component_id null, kept true).
-    Rows that share a doc_id count as one document.  An empty table gives none.
+    Rows that share a doc_id count as one document, which links whatever any of them is near to.
+    Further columns are ignored; an empty table gives none.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -311,28 +314,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = materialize(_sign(docs), "signed")
     classes = signed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "classes")
-    reps = signed.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "small", "large")
-    reps = materialize(reps, "reps")
+    reps = signed.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"], "left_semi").groupBy("doc_id", "set_key").agg(F.first("n_shingles").alias("n"), F.first("small").alias("small"), F.first("large").alias("large"), F.count("*").alias("copies"))
+    reps = materialize(reps.withColumnRenamed("doc_id", "rep").drop("set_key"), "reps")
+    repeated = not reps.where("copies > 1").isEmpty()
+    reps = reps.drop("copies")
     bands = _bands(reps)
     buckets = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("leader")).where("size > 1").select("band", "leader")
     collided = materialize(bands.join(buckets, "band"), "collided")
     first = collided.where("leader != rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     first = materialize(_estimated(first, reps), "pairs")
-    links = _verified(first, docs)
+    links = _verified(first, docs, repeated)
     found = materialize(components(links), "components")
     again = materialize(_across(collided.select("band", "number", "rep"), found, reps, docs), "pairs")
-    more = _verified(again, docs)
+    more = _verified(again, docs, repeated)
     if not more.isEmpty():
         found = materialize(components(links.unionByName(more)), "components")
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    # Only rows that are in a class are joined, the rest stand alone; a class of very many copies is dealt to several tasks.
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    light = signed.select("doc_id", "n_shingles", "set_key")
+    out = salted_join(light.where(linked), named, "set_key", [F.rand(5)], "left").select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(light.where(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs``, all columns, with one document of each group: that with the smallest doc_id, once."""
+    """``docs``, all columns, with one document of each group: that with the smallest doc_id.
+
+    Rows that repeat its id and text are dropped but for one; rows with its id and
+    another text stay, since they may be no copies.  Rows without doc_id stay, so do
+    empty texts, each a document of its own.
+    """
     result = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept_id")).distinct()
-    one = F.row_number().over(Window.partitionBy("__kept_id").orderBy("text"))
-    kept = docs.join(result, docs["doc_id"].cast("long") == result["__kept_id"]).withColumn("__row", one).where("__row = 1").select(*[docs[c] for c in docs.columns])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = docs.join(result, docs["doc_id"].cast("long") == result["__kept_id"]).dropDuplicates(["__kept_id", "text"]).drop("__kept_id")
+    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

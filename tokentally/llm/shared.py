@@ -64,7 +64,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str = "inner", rows: int = 20_000) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: list[str | Column], how: str = "inner", rows: int = 20_000) -> DataFrame:
     """``left`` joined with ``right`` by ``key``, of which left may hold any number of rows: beyond ``rows`` of them they are dealt to several tasks by ``spread``, other columns of left.
 
     Right has a row for each key, which goes to each of its tasks.  Only keys that
