@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tokentally.llm import decontam, neardup, pii, ppm, quality, toxicity
+from tokentally.llm import decontam, neardup, pii, ppm, quality, supervised, toxicity
 from tokentally.llm.components import components
 from tokentally.llm.shared import lower_ascii, remainder, split_words, word_hashes
 
@@ -70,6 +70,129 @@ def test_toxicity(spark, documents, words):
     assert toxicity.toxicity_scores(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_toxicity_by_a_plain_forward_pass(words):
+    """Scores word by word, window by window; gradients by differences; thresholds by trying all."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(words[:40], k=rng.randrange(0, 30)) + ["vile"] * (i % 2)) for i in range(240)] + ["", "lone"]
+    y = np.array([*(i % 2 for i in range(240)), 0, 0])
+    sample = supervised.Sample(texts, ["en" if i % 3 else "rare" if i % 30 == 0 else "de" for i in range(242)], y, (1220, 120))
+    model = toxicity.fit(sample, epochs=2)
+
+    def score(text):
+        rows = [int(model.rows[toxicity._code(w)]) for w in split_words(text)] + [0] * (1 + toxicity._PAD)
+        total = model.bias
+        for m, parts in enumerate(model.tables):
+            for k in range(toxicity.FILTERS):
+                best = max(sum(float(parts[j][rows[i + j]][k]) for j in range(len(parts))) for i in range(len(rows) - toxicity._PAD))
+                at = m * toxicity.FILTERS + k
+                total += max(best + float(model.hidden[at]), 0.0) * float(model.out[at])
+        return 1 / (1 + math.exp(-total))
+
+    unseen = ["vile new words", "Vile! x", "", "a " * 3000 + "vile"]
+    assert model.score(texts + unseen) == pytest.approx([score(t) for t in texts + unseen], abs=1e-5)
+    r = np.random.default_rng(3)
+    emb, filters = r.normal(size=(12, toxicity.DIM)), [r.normal(0, 0.2, (w, toxicity.DIM, toxicity.FILTERS)) for w in toxicity.WIDTHS]
+    n = toxicity.FILTERS * len(toxicity.WIDTHS)
+    hidden, out, docs = r.normal(size=n), r.normal(0, 0.2, n), [r.integers(2, 12, k) for k in (5, 9, 4)]
+    labels = np.array([1.0, 0.0, 1.0])
+    loss = lambda: toxicity.gradients(docs, labels, emb, filters, hidden, out, 0.3)[0]
+    _, g_f, g_hidden, g_out, g_bias, rows, g_e = toxicity.gradients(docs, labels, emb, filters, hidden, out, 0.3)
+    for p, g, places in ((out, g_out, [(0,), (7,)]), (hidden, g_hidden, [(3,), (20,)]), *((f, gf, [(0, 1, 2), (len(f) - 1, 4, 7)]) for f, gf in zip(filters, g_f, strict=True)), (emb, dict(zip(rows.tolist(), g_e, strict=True)), [(rows[0], 1), (rows[-1], 5)])):
+        for at in places:
+            old = p[at]
+            p[at] = old + 1e-6
+            up = loss()
+            p[at] = old - 1e-6
+            down = loss()
+            p[at] = old
+            want = g[int(at[0])][at[1]] if isinstance(g, dict) else g[at]
+            assert (up - down) / 2e-6 == pytest.approx(want, abs=1e-5)
+    lift = toxicity.gradients(docs, labels, emb, filters, hidden, out, 0.3 + 1e-6)[0] - toxicity.gradients(docs, labels, emb, filters, hidden, out, 0.3 - 1e-6)[0]
+    assert lift / 2e-6 == pytest.approx(g_bias, abs=1e-5)
+    scores, told = r.random(60).round(2), r.integers(0, 2, 60)
+    for weight in ((1.0, 1.0), (12.0, 1.5)):
+
+        def f1(t, weight=weight):
+            right, wrong = weight[1] * ((scores >= t) & (told == 1)).sum(), weight[0] * ((scores >= t) & (told == 0)).sum()
+            return 2 * right / (right + wrong + weight[1] * (told == 1).sum())
+
+        assert f1(toxicity._threshold(scores, told, weight)) == pytest.approx(max(f1(t) for t in scores), abs=0.02)
+    assert set(model.thresholds) <= {"en", "de"} and "rare" not in model.thresholds and toxicity._threshold(scores, told * 0) == 0.3
+
+
+def test_classifiers_without_a_label_or_a_language(spark, documents, words):
+    rows = documents([(i, " ".join(words[i : i + 9])) for i in range(60)] + [(70, None), (71, ""), (72, "x " * 50_000)]).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.lit(None)))
+    ones = spark.createDataFrame([(i, 1, 1) for i in range(60)], "doc_id long, toxic int, quality int")
+    got = toxicity.toxicity_scores(rows, ones).collect()
+    assert len(got) == 63 and {r.lang_threshold for r in got} == {0.3} and all(r.flagged == (r.score >= 0.3) for r in got)
+    assert all(0 <= r.score <= 1 for r in quality.quality_scores(rows, ones).collect())
+    assert toxicity.toxicity_scores(rows.drop("lang"), ones.limit(0)).count() == 63
+
+
+def test_the_sample_is_bounded(spark, documents, words):
+    """A repeated id counts once, by its smallest text; long texts and those beyond the characters of a label are left out."""
+    rows = [(1, f"text {k:04d}") for k in range(500)] + [(i, words[i] * 10) for i in range(2, 60)] + [(90, "z" * 200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(1, 0)], "doc_id long, quality int")
+    sample = supervised.training_sample(documents(rows), labels, "quality", 5, 0, per_class=10, max_chars=150)
+    assert len(sample.texts) <= 20 and len(set(sample.texts)) == len(sample.texts)
+    whole = supervised.training_sample(documents(rows), labels, "quality", 5, 0, per_class=500, max_chars=150)
+    assert whole.texts.count("text 0000") == (remainder_of(1, 5) != 0) and not [t for t in whole.texts if t.startswith("text") and t != "text 0000" or len(t) > 150]
+    few = supervised.training_sample(documents(rows), labels, "quality", 5, 0, per_class=500, max_chars=150, class_chars=300)
+    assert 0 < len(few.texts) < len(whole.texts) and all(sum(len(t) for t, k in zip(few.texts, few.labels, strict=True) if k == v) <= 300 for v in (0, 1)) and few.totals == whole.totals
+
+
+def remainder_of(doc_id, k):
+    import zlib
+
+    return zlib.crc32(str(doc_id).encode()) % k
+
+
+def test_quality_by_plain_ftrl(words):
+    """Features word by word in dictionaries, FTRL-proximal weight by weight, dot products by dictionary."""
+    from tokentally.llm.shared import mix64
+
+    rng = random.Random(12)
+    texts = [" ".join(w.upper() + "!" if i % 2 else w for w in rng.choices(words[:50], k=rng.randrange(0, 25))) for i in range(60)] + ["", "same same same"]
+    y = np.array([i % 2 for i in range(62)])
+    model = quality.fit(supervised.Sample(texts, [""] * 62, y, (400, 100)), epochs=2)
+    m64 = 0xFFFFFFFFFFFFFFFF
+
+    def index(x, seed):
+        return int(mix64(np.array([x & m64], np.uint64), seed)[0]) >> (64 - quality.BITS)
+
+    def plain_features(text):
+        codes = [quality._code(w) for w in split_words(text)]
+        out = Counter()
+        for k, c in enumerate(codes):
+            out[index(c >> 16, 1)] += 1
+            out[index(c & 0xFFFF, 3)] += 1
+            if k:
+                b = codes[k - 1]
+                out[index((b >> 16) * 0x9E3779B97F4A7C15 + (c >> 16), 2)] += 1
+                out[index((b & 0xFFFF) << 16 | c & 0xFFFF, 4)] += 1
+                out[index(0, 5)] += b >> 16 == c >> 16
+        return {k: v / max(1, len(codes)) for k, v in out.items() if v}
+
+    alpha, beta, l1, l2 = 0.5, 1e-4, 1e-4, 1e-3
+    z, s, zb, sb, bias = Counter(), Counter(), 0.0, 0.0, 0.0
+    weight = lambda k: 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(s[k])) / alpha + l2)
+    rows, order = [plain_features(t) for t in texts], np.random.default_rng(11)
+    for _ in range(2):
+        for k in order.permutation(len(rows)):
+            g = 1 / (1 + math.exp(-(bias + sum(weight(f) * v for f, v in rows[k].items())))) - y[k]
+            for f, v in rows[k].items():
+                w, gv = weight(f), g * v
+                z[f] += gv - (math.sqrt(s[f] + gv * gv) - math.sqrt(s[f])) / alpha * w
+                s[f] += gv * gv
+            zb += g - (math.sqrt(sb + g * g) - math.sqrt(sb)) / alpha * bias
+            sb += g * g
+            bias = -zb / ((1 + math.sqrt(sb)) / alpha)
+    bias += math.log(100 / 400) - math.log(31 / 31)
+    assert model.bias == pytest.approx(bias) and np.count_nonzero(model.weights) == sum(weight(k) != 0 for k in list(z))
+    want = [1 / (1 + math.exp(-(bias + sum(weight(f) * v for f, v in plain_features(t).items())))) for t in [*texts, "new words", "A a! a"]]
+    assert model.score([*texts, "new words", "A a! a"]) == pytest.approx(want, abs=1e-5)
+
+
 # Language model.
 
 
@@ -208,6 +331,35 @@ def test_near_duplicates(spark, documents, words):
     assert neardup.near_duplicates(documents([])).count() == 0
 
 
+def test_a_hot_group_and_a_mixed_bucket(spark, documents, words, monkeypatch):
+    """Far more near copies of one text than a block or a join's share holds, far more exact copies, repeated rows, very long texts, and unrelated texts in the buckets of the copies."""
+    from tokentally.llm import shared
+
+    rng = random.Random(5)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    plain = shared.salted_join
+    monkeypatch.setattr(neardup, "salted_join", lambda *a, **k: plain(*a, **{**k, "rows": 10}))
+    base = rng.choices(words, k=80)
+    rows = []
+    for i in range(150):  # near copies of one text
+        own = list(base)
+        own[rng.randrange(80)] = rng.choice(words)
+        rows.append((i, " ".join(own)))
+    for i in range(60):  # texts that share half of their shingles with it and with each other
+        rows.append((1000 + i, " ".join([*base[:48], *rng.choices(words, k=26)])))
+    rows += [(2000 + i, "the same words again and again") for i in range(80)] + [(3000, "a b c d e f g")] * 40
+    long = rng.choices(words, k=30_000)
+    rows += [(4000, " ".join(long)), (4001, " ".join([*long[:29_000], *rng.choices(words, k=900)])), (4002, " ".join(long[::-1]))]
+    rng.shuffle(rows)
+    got = neardup.near_duplicates(documents(rows)).collect()
+    want = groups(sorted(set(rows)))
+    assert len(got) == len(rows) and {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(d, *v) for d, v in want.items()}
+    assert {c for d, (_, c) in want.items() if d < 150} == {0} and want[4001][1] == 4000 and want[4002][1] == 4002
+    kept = neardup.keep_one(documents([*rows, (3000, "quite another text")])).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id != 3000) == sorted({c for _, c in want.values()} - {3000})
+    assert sorted(r.text for r in kept if r.doc_id == 3000) == ["a b c d e f g", "quite another text"]
+
+
 def test_estimates(words):
     rng = random.Random(3)
     for n, make in ((200, neardup.signature_small), (2000, neardup.signature_large)):
