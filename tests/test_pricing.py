@@ -23,6 +23,25 @@ def test_matching(spark):
     assert resolved(spark, ["claude-sonnet-4-20250514"], keys, match_dated_models=True) == {"claude-sonnet-4-20250514": "claude-sonnet-4"}
 
 
+def test_matching_within_the_record(spark, monkeypatch):
+    """The expression, and the pass over distinct models that larger tables take, find what resolve() finds."""
+    keys = list(pricing._BUILT_IN) + ["claude-sonnet-4-5", "gpt-5-codex", "gpt-5.3-codex-spark", "a.b", "a-c@1"]
+    names = ["us.anthropic.claude-opus-4-6-v1:0", "anthropic/claude-sonnet-4.5", "claude-3-opus-20240229", "claude-sonnet-4-20250514", "gpt-5.1-codex-max", "gpt-5.9", "glm-4.5v", "", None, "gpt-5", "gpt-5.3-spark", "GPT-5", "x.b", "z/a.c.1", "5", "opus"]
+    df = spark.createDataFrame([(m,) for m in names], "m string")
+    for dated in (False, True):
+        want = resolved(spark, names, keys, match_dated_models=dated)
+        got = {r.m: r.k for r in df.select("m", pricing.price_key(F.col("m"), keys, dated).alias("k")).collect()}
+        assert {m: k for m, k in got.items() if k} == want
+    u = usage(spark, [(m, 1000) for m in names], "price_model string, input_tokens long")
+    cost = lambda: sorted(map(repr, ((r.price_model, r.cost, r.missing_pricing_model) for r in pricing.price_usage(u, pricing.built_in(spark)).collect())))
+    records = usage(spark, [("claude-sonnet-4.5", 10), ("k2p6", 10), ("nothing", 10)], "price_model string, input_tokens long").withColumn("provider", F.lit("anthropic"))
+    listed = lambda: sorted((r.price_model, r.cost) for r in pricing.price_by_candidates(records, pricing.built_in(spark)).collect())
+    small = cost(), listed()
+    monkeypatch.setattr(pricing, "MATCHED_KEYS", 1)
+    assert (cost(), listed()) == small
+    assert pricing.with_prices(u, pricing.built_in(spark).limit(0)).where("price_known").count() == 0
+
+
 def test_ties_are_alphabetical(spark):
     assert resolved(spark, ["gpt"], ["gpt-b", "gpt-a", "gpt-c"]) == {"gpt": "gpt-a"}
 

@@ -1,9 +1,9 @@
 """Price tables, model matching and cost expressions.
 
-A price table has a row for each model.  Records are priced by resolving their
-distinct models against it (exact name, else the longest key that contains, or is
-contained in, the name at word boundaries) and joining the result back by name,
-so the theta join touches distinct models only.
+A price table has a row for each model.  A record's model is matched with it: the
+exact name, else the longest key that contains, or is contained in, the name at word
+boundaries.  Tables of usual size are matched within the record; beyond that distinct
+models are resolved first and joined back by name, so the theta join touches these only.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
 TIER = 200_000
 #: A resolved price map of up to this many models is broadcast; a larger one is joined by a shuffle.
 BROADCAST_MODELS = 100_000
+#: Price tables of up to this many keys are matched record by record.
+MATCHED_KEYS = 512
 
 # Built-in prices in dollars for a million tokens (input, output, cache creation, cache reads).
 _BUILT_IN = {
@@ -237,7 +239,9 @@ def resolve(models: DataFrame, prices: DataFrame, match_dated_models: bool = Fal
     names = own.select("model", F.explode(F.filter(F.array(F.struct(F.lit(0).alias("turn"), F.col("model").alias("name")), F.struct(F.lit(1).alias("turn"), F.try_element_at(alias, F.col("model")).alias("name"))), lambda s: s["name"].isNotNull())).alias("s")).select("model", "s.turn", "s.name")
     exact = names.join(keys, F.col("name") == F.col("key")).select("model", "turn", F.lit(0).alias("fuzzy"), "key")
     plain = F.regexp_replace("name", r"-[0-9]{8}$", "") if match_dated_models else F.col("name")
-    fuzzy = names.withColumn("name", plain).join(F.broadcast(keys), matches(F.col("name"), F.col("key"))).select("model", "turn", F.lit(1).alias("fuzzy"), "key")
+    # A join by matching is a loop over pairs: the keys are on one side of it, broadcast if they are few, which the optimizer decides by their size.
+    few = small_table(prices) is not None
+    fuzzy = names.withColumn("name", plain).join(F.broadcast(keys) if few else keys, matches(F.col("name"), F.col("key"))).select("model", "turn", F.lit(1).alias("fuzzy"), "key")
     best = F.min(F.struct("turn", "fuzzy", (-F.length("key")).alias("short"), "key"))
     return exact.unionByName(fuzzy).groupBy("model").agg(best.alias("b")).select("model", F.col("b.key").alias("key"))
 
@@ -269,10 +273,44 @@ def cached_cost(p: str = "", fast: bool = False) -> Column:
     return F.coalesce(total * (F.when(c("multiplier") == 1, 2.0).otherwise(c("multiplier")) if fast else F.lit(1.0)), F.lit(0.0))
 
 
+def small_table(prices: DataFrame) -> dict[str, dict] | None:
+    """The price table on the driver, by model, if it has MATCHED_KEYS rows at most; price tables are configuration."""
+    found = prices.select(*NAMES).limit(MATCHED_KEYS + 1).collect()
+    return {r.model: r.asDict() for r in found} if len(found) <= MATCHED_KEYS else None
+
+
+def price_key(model: Column, keys: list[str], match_dated_models: bool = False) -> Column:
+    """What resolve() finds for a record's model among a few keys, as an expression: no pass over the distinct models, no shuffle.
+
+    Most names are keys themselves; others are compared with the keys that contain
+    them, or that they contain, longest first.
+    """
+    if not keys:
+        return F.lit(None).cast("string")
+    ranked = F.array(*[F.lit(k) for k in sorted(keys, key=lambda k: (-len(k), k))])
+
+    def fuzzy(name: Column) -> Column:
+        plain = F.regexp_replace(name, r"-[0-9]{8}$", "") if match_dated_models else name
+        flat = normalised(plain)
+        near = lambda k: F.contains(flat, normalised(k)) | F.contains(normalised(k), flat)
+        return F.try_element_at(F.filter(ranked, lambda k: near(k) & matches(plain, k)), F.lit(1))
+
+    own = F.coalesce(F.when(model.isin(keys), model), fuzzy(model), *[F.when(model == a, F.lit(t) if t in keys else fuzzy(F.lit(t))) for a, t in ALIASES.items()])
+    return F.when(model != "", own)
+
+
 def with_prices(records: DataFrame, prices: DataFrame, model: str = "price_model", match_dated_models: bool = False, prefix: str = "price_") -> DataFrame:
-    """``records`` left-joined with their models' prices, columns prefixed."""
+    """``records`` left-joined with their models' prices, columns prefixed.
+
+    The price table's own size decides: up to MATCHED_KEYS keys are matched within
+    the record and broadcast, so records are read once and not shuffled.  A larger table is
+    matched with the distinct models, which takes a pass over their column.
+    """
     names = {c: f"{prefix}{c}" for c in NAMES if c != "model"}
-    # One pass over the model column tells whether the distinct models are few enough to be broadcast.
+    table = small_table(prices)
+    if table is not None:
+        known = F.broadcast(prices.select(F.col("model").alias("_m"), *[F.col(a).alias(b) for a, b in names.items()], F.lit(True).alias(f"{prefix}known")))
+        return records.withColumn("_k", price_key(F.col(model), list(table), match_dated_models)).join(known, F.col("_k") == F.col("_m"), "left").drop("_k", "_m")
     found = records.select(F.col(model).alias("model")).distinct().limit(BROADCAST_MODELS + 1).collect()
     few = len(found) <= BROADCAST_MODELS
     models = records.sparkSession.createDataFrame([(r.model,) for r in found], "model string") if few else records.select(F.col(model).alias("model"))
@@ -314,14 +352,22 @@ def candidates(model: Column, provider: Column) -> Column:
 def price_by_candidates(records: DataFrame, prices: DataFrame, provider: str = "provider") -> DataFrame:
     """Cost of records whose model may be listed under several names: a logged cost above 0, else the first candidate's cost above 0, else 0.
 
-    ``records`` are canonical with the provider's column.  Each distinct (model,
-    provider) has few candidates; a record meets the prices of its own only.
+    ``records`` are canonical with the provider's column.  A model has at most four
+    candidates; a record meets the prices of its own only.
     """
-    pairs = records.select("price_model", provider).distinct().select("price_model", provider, F.posexplode(candidates(F.col("price_model"), F.col(provider))).alias("pos", "name"))
-    found = resolve(pairs.select("name"), prices).withColumnRenamed("model", "name").join(prices.withColumnRenamed("model", "key"), "key")
     rates = ["input", "output", "cache_create", "cache_read", "input_above", "output_above", "cache_create_above", "cache_read_above", "multiplier"]
-    listed = pairs.join(found, "name").groupBy("price_model", provider).agg(F.array_sort(F.collect_list(F.struct("pos", *rates))).alias("rates"))  # at most four
-    j = records.join(listed, ["price_model", provider], "left")
+    table = small_table(prices)
+    if table is not None:
+        schema = f"map<string, struct<{', '.join(f'{r}: double' for r in rates)}>>"
+        by_key = F.from_json(F.lit(json.dumps({k: {r: v[r] for r in rates} for k, v in table.items()})), schema)
+        keys = F.transform(candidates(F.col("price_model"), F.col(provider)), lambda c: price_key(c, list(table)))
+        listed = F.transform(F.filter(keys, lambda k: k.isNotNull()), lambda k: F.try_element_at(by_key, k))
+        j = records.withColumn("rates", F.when(F.size(listed) > 0, listed))
+    else:
+        pairs = records.select("price_model", provider).distinct().select("price_model", provider, F.posexplode(candidates(F.col("price_model"), F.col(provider))).alias("pos", "name"))
+        found = resolve(pairs.select("name"), prices).withColumnRenamed("model", "name").join(prices.withColumnRenamed("model", "key"), "key")
+        priced = pairs.join(found, "name").groupBy("price_model", provider).agg(F.array_sort(F.collect_list(F.struct("pos", *rates))).alias("rates"))  # at most four
+        j = records.join(priced, ["price_model", provider], "left")
     use = [F.col("input_tokens"), F.col("output_tokens") + F.col("extra_tokens"), F.col("cache_creation_tokens"), F.col("cache_read_tokens")]
 
     def cost(r: Column) -> Column:
