@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tokentally.operators import blocks, dedup, report, sequence
@@ -39,7 +40,9 @@ def fold(rows):
     return kept
 
 
-def test_best_records(spark):
+@pytest.mark.parametrize("fold_rows", [1000, 2])
+def test_best_records(spark, monkeypatch, fold_rows):
+    monkeypatch.setattr(dedup, "FOLD_ROWS", fold_rows)
     rng = random.Random(4)
     rows, want = [], set()
     for m in range(150):

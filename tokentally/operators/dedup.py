@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokentally.schema import ORDER
 
+#: Messages of up to this many records are merged as one array; others are read in order.
+FOLD_ROWS = 1_000
+
 
 def total_tokens() -> Column:
     return sum((F.col(c) for c in ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "extra_tokens")), F.lit(0))
@@ -24,19 +30,22 @@ def best_records(usage: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
     speed, then the earlier one.  Records without a message id all stay.  A side
     chain's record without a match of its own merges with the first side-chain
     record of its message; since that depends on the order, messages with a side chain and
-    several requests are folded in order, all others take a window.
+    several requests are folded in order, all others are a grouping that is summed up
+    before the shuffle.
     """
     keyed = usage.withColumn("_rid", F.coalesce("request_id", F.lit(""))).withColumn("_side", F.coalesce("is_sidechain", F.lit(False)))
     none = F.col("message_id").isNull() | (F.col("message_id") == "")
     some = keyed.where(~none)
-    mixed = some.groupBy("message_id").agg(F.bool_or("_side").alias("s"), F.min("_rid").alias("lo"), F.max("_rid").alias("hi")).where("s AND lo != hi").select("message_id")
-    plain = first_by(some.join(mixed, "message_id", "left_anti"), ["message_id", "_rid"], [F.col("_side").asc(), total_tokens().desc(), F.col("speed").isNotNull().desc(), *order])
-    folded = _fold(some.join(mixed, "message_id", "left_semi"), order)
-    return keyed.where(none).select(*usage.columns).unionByName(plain.select(*usage.columns)).unionByName(folded.select(*usage.columns))
+    mixed = some.groupBy("message_id").agg(F.bool_or("_side").alias("s"), F.min("_rid").alias("lo"), F.max("_rid").alias("hi"), F.count("*").alias("n")).where("s AND lo != hi").select("message_id", "n")
+    rank = F.struct(F.col("_side"), -total_tokens(), F.col("speed").isNull(), *order)
+    plain = some.join(mixed, "message_id", "left_anti").groupBy("message_id", "_rid").agg(F.min_by(F.struct(*usage.columns), rank).alias("r")).select("r.*")
+    folded = _fold(some.join(mixed.where(F.col("n") <= FOLD_ROWS).drop("n"), "message_id"), order)
+    long = _fold_in_order(some.join(mixed.where(F.col("n") > FOLD_ROWS).drop("n"), "message_id"), order, usage.columns)
+    return keyed.where(none).select(*usage.columns).unionByName(plain.select(*usage.columns)).unionByName(folded.select(*usage.columns)).unionByName(long)
 
 
 def _fold(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """The ordered merge of each message's records (a message has few) as one array aggregation."""
+    """The ordered merge of each message's records, FOLD_ROWS at most, as one array aggregation."""
     fields = [c for c in df.columns if c != "message_id"]
     row = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col("_rid").alias("rid"), F.col("_side").alias("side"), total_tokens().alias("total"), F.col("speed").isNotNull().alias("fast"), F.struct(*fields).alias("rec"))
     lists = df.groupBy("message_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
@@ -50,6 +59,44 @@ def _fold(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
     return folded.select("message_id", "r.rec.*")
 
 
+def _fold_in_order(df: DataFrame, order: tuple[str, ...], columns: list[str]) -> DataFrame:
+    """The same merge for messages of any number of records: they are read in order, and held are only the records kept so far, one for each request.
+
+    The merge depends on the order, so a message is one task's; Spark sorts, and spills, outside of Python's memory.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    facts = df.withColumn("_total", total_tokens()).withColumn("_fast", F.col("speed").isNotNull())
+    placed = facts.repartition(n, "message_id").sortWithinPartitions("message_id", *order)
+    names = ["message_id", "_rid", "_side", "_total", "_fast"]
+
+    def better(a: tuple, b: tuple) -> bool:
+        return not a[1] if a[1] != b[1] else a[2] > b[2] if a[2] != b[2] else a[3] and not b[3]
+
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        message, kept = None, []  # (request, side chain, tokens, known speed, record)
+
+        def out() -> pd.DataFrame:
+            return pd.concat([k[4] for k in kept])[columns]
+
+        for f in frames:
+            for i, (m, *r) in enumerate(f[names].itertuples(index=False, name=None)):
+                if m != message:
+                    if kept:
+                        yield out()
+                    message, kept = m, []
+                at = next((j for j, k in enumerate(kept) if k[0] == r[0]), None)
+                if at is None and r[1]:
+                    at = next((j for j, k in enumerate(kept) if k[1]), None)
+                if at is None:
+                    kept.append((*r, f.iloc[[i]]))
+                elif better(r, kept[at]):
+                    kept[at] = (*r, f.iloc[[i]])
+        if kept:
+            yield out()
+
+    return placed.mapInPandas(merge, placed.select(*columns).schema)
+
+
 def first_wins(df: DataFrame, key: str, order: list[Column | str]) -> DataFrame:
     """The first record of each id; records with a null or empty id all stay."""
     none = F.col(key).isNull() | (F.col(key) == "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,27 +26,23 @@ def row_total() -> Column:
     return entry_total() + F.col("reasoning_tokens")
 
 
-def summarize(usage: DataFrame, keys: list[str], breakdown: bool = True, extra: list[Column] | None = None) -> DataFrame:
+def summarize(usage: DataFrame, keys: list[str], breakdown: bool = True, extra: dict[str, tuple[Column, Callable[[str], Column]]] | None = None) -> DataFrame:
     """One row for each key: measures, total_tokens, models_used and, if asked for, model_breakdowns (by cost, dearest first).
 
     Records are summed by (key, model) first, so what is gathered by key has a row
     for each model.  A null model counts in the sums and in no breakdown.  ``extra``
-    are aggregates over the records, such as first and last activity; they are joined.
+    holds further columns: an aggregate over the records, and how the models' ones are put together.
     """
-    by_model = usage.groupBy(*keys, "model").agg(*measures(), F.bool_or(F.col("missing_pricing_model").isNotNull()).alias("missing"))
+    extra = extra or {}
+    by_model = usage.groupBy(*keys, "model").agg(*measures(), F.bool_or(F.col("missing_pricing_model").isNotNull()).alias("missing"), *[first.alias(name) for name, (first, _) in extra.items()])
     sums = [F.sum(c).alias(c) for c in (*COUNTS, "cost", "credits", "message_count", "records")]
     detail = F.struct((-F.col("cost")).alias("rank"), F.col("model"), *COUNTS, "cost", "missing")
     lists = [F.sort_array(F.collect_set("model")).alias("models_used")]
     if breakdown:
         lists.append(F.array_sort(F.collect_list(F.when(F.col("model").isNotNull(), detail))).alias("model_breakdowns"))
-    out = by_model.groupBy(*keys).agg(*sums, *lists).withColumn("total_tokens", row_total())
+    out = by_model.groupBy(*keys).agg(*sums, *lists, *[again(name).alias(name) for name, (_, again) in extra.items()]).withColumn("total_tokens", row_total())
     if breakdown:
         out = out.withColumn("model_breakdowns", F.transform("model_breakdowns", lambda m: m.dropFields("rank")))
-    if extra:
-        more = usage.groupBy(*keys).agg(*extra)
-        left, right = out.alias("l"), more.alias("r")
-        on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-        out = left.join(right, on).select("l.*", *[F.col(f"r.{c}") for c in more.columns if c not in keys])
     return out
 
 
@@ -56,9 +54,14 @@ def period_report(usage: DataFrame, kind: str = "daily", start_of_week: str = "m
 
 def session_report(usage: DataFrame, breakdown: bool = True) -> DataFrame:
     """Rows by session: also first and last activity, the project path at the last one, and versions."""
-    order = F.struct("ts", "file_path", "file_block_start", "row_id")
-    extra = [F.min("ts").alias("first_activity"), F.max("ts").alias("last_activity"), F.max_by("project_path", order).alias("project_path"), F.sort_array(F.collect_set("version")).alias("versions")]
-    return summarize(usage, ["session_id"], breakdown, extra)
+    extra = {
+        "first_activity": (F.min("ts"), F.min),
+        "last_activity": (F.max("ts"), F.max),
+        "project_path": (F.max(F.struct("ts", "file_path", "file_block_start", "row_id", "project_path")), F.max),
+        "versions": (F.collect_set("version"), lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))),
+    }
+    out = summarize(usage, ["session_id"], breakdown, extra)
+    return out.withColumn("project_path", F.col("project_path.project_path"))
 
 
 def all_agents(sources: list[DataFrame], kind: str = "daily", breakdown: bool = True) -> DataFrame:
