@@ -96,7 +96,7 @@ class ClaudeSource:
     def read(self, spark: SparkSession, options: Options | None = None, paths: list[str] | None = None) -> DataFrame:
         o = options or Options()
         found = paths if paths is not None else [p for p in self.paths(o.project) if has_files([Path(p)], "*.jsonl")]
-        usage = parse_claude(lines(spark, found), zone(o.timezone))
+        usage = parse_claude(lines(spark, found, since=o.since), zone(o.timezone))
         if o.project:
             usage = usage.where(F.col("project") == o.project)
         prices = o.prices if o.prices is not None else default_prices(spark)

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokentally.functions.dates import bucket, date_in_zone, flexible_timestamp, millis_text, parse_timestamp, zone
+from tokentally.functions.dates import bucket, date_in_zone, flexible_timestamp, in_range, millis_text, parse_timestamp, zone
 from tokentally.functions.text import first_filled
 from tokentally.operators.dedup import files_first
 from tokentally.operators.report import filter_dates
-from tokentally.operators.sequence import DEFAULT_MODEL, REVIEW_MODEL, before, replay_flag, review_model, up_to_here
+from tokentally.operators.sequence import DEFAULT_MODEL, REVIEW_MODEL, carry_forward, cumulative_delta, replay_flag, review_model, up_to_here
 from tokentally.plans.pricing import cached_cost, default_prices, with_prices
 from tokentally.schema import CODEX_LINE, CODEX_PAYLOAD, CODEX_RESULT, canonical
 from tokentally.sources.base import register
-from tokentally.sources.files import Options, env_list, expand, has_files, lines, strict_json, unique, zero
+from tokentally.sources.files import Options, env_list, expand, file_names, has_files, lines, strict_json, unique, zero
 
 _KEYS, _ORDER = ["file_path"], ["file_block_start", "row_id"]
 _USAGE = ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")
@@ -61,7 +61,8 @@ def parse_codex(raw: DataFrame, session_id: Column | None = None) -> DataFrame:
     All state is within a file.
     """
     typed = raw.withColumn("kind", kind(F.col("value"))).withColumn("spawned", F.contains("value", F.lit("thread_spawn")))
-    files = typed.groupBy(*_KEYS).agg(F.bool_or("spawned").alias("subagent"))
+    # All state is found in one shuffle by file; a sub-agent's file says so in some line, which need not be an event.
+    typed = typed.where("kind IS NOT NULL OR spawned").withColumn("subagent", F.bool_or("spawned").over(Window.partitionBy(*_KEYS)))
     j = strict_json(typed.where("kind IS NOT NULL"), "value", CODEX_LINE)
     j = j.withColumn("p", F.from_json("j.payload", CODEX_PAYLOAD)).withColumn("line_ts", flexible_timestamp(F.col("j.timestamp")))
     for part in ("data", "result", "response"):
@@ -70,16 +71,15 @@ def parse_codex(raw: DataFrame, session_id: Column | None = None) -> DataFrame:
     info = F.col("p.info")
     event = session & (F.col("j.type") == "event_msg")
     counted = event & ((F.col("p.info.last_token_usage").isNotNull()) | F.col("p.info.total_token_usage").isNotNull())
-    j = j.join(files, "file_path")
     second = F.when(F.length("line_ts") >= 19, F.substring("line_ts", 1, 19))
     usage_event = counted & (F.col("p.type") == "token_count") & second.isNotNull()
     j = replay_flag(j, second, usage_event, _KEYS, _ORDER, F.col("subagent"))
     live = event & info.isNotNull() & F.col("line_ts").isNotNull() & ~F.col("replayed")
-    w, here = before(_KEYS, _ORDER), up_to_here(_KEYS, _ORDER)
-    total = F.when(event & (live | F.col("replayed")), F.col("p.info.total_token_usage"))
-    j = j.withColumn("known_total", F.last(total, ignorenulls=True).over(w))
-    grown = {c: F.greatest(zero(f"p.info.total_token_usage.{c}") - zero(f"known_total.{c}"), F.lit(0)) for c in _USAGE}
-    ours = {c: F.when(F.col("p.info.last_token_usage").isNotNull(), zero(f"p.info.last_token_usage.{c}")).otherwise(grown[c]) for c in _USAGE}
+    here = up_to_here(_KEYS, _ORDER)
+    counts = event & (live | F.col("replayed")) & F.col("p.info.total_token_usage").isNotNull()
+    for c in _USAGE:  # running totals to growth
+        j = cumulative_delta(j.withColumn(f"total_{c}", F.when(counts, zero(f"p.info.total_token_usage.{c}"))), f"total_{c}", f"grown_{c}", _KEYS, _ORDER)
+    ours = {c: F.when(F.col("p.info.last_token_usage").isNotNull(), zero(f"p.info.last_token_usage.{c}")).otherwise(zero(f"grown_{c}")) for c in _USAGE}
     head = F.coalesce(*[F.when(F.col(f"{s}.usage").isNotNull(), F.struct(*[v.alias(k) for k, v in _normal(f"{s}.usage").items()])) for s in ("j", "data", "result", "response")])
     j = j.withColumn("u", F.when(session, F.when(live & counted, F.struct(*[ours[c].alias(c) for c in _USAGE]))).otherwise(head))
     some = F.greatest(*[F.col(f"u.{c}") for c in _USAGE]) > 0
@@ -87,7 +87,7 @@ def parse_codex(raw: DataFrame, session_id: Column | None = None) -> DataFrame:
     told = F.when(session & some, F.coalesce(_model("p."), _model("p.info.")))
     headless_told = F.when(~session & some, F.coalesce(_model("j."), *[_model(f"{s}.") for s in ("data", "result", "response")]))
     j = j.withColumn("told", F.coalesce(context, told, headless_told)).withColumn("is_event", some & F.col("u").isNotNull())
-    j = j.withColumn("carried", F.last("told", ignorenulls=True).over(here)).withColumn("unknown", F.col("is_event") & F.col("carried").isNull())
+    j = carry_forward(j, "told", "carried", _KEYS, _ORDER).withColumn("unknown", F.col("is_event") & F.col("carried").isNull())
     j = j.withColumn("first_unknown", F.sum(F.col("unknown").cast("int")).over(here) == 1)
     stamps = [flexible_timestamp(F.col(f"{s}.{c}")) for s in ("j", "data", "result", "response") for c in ("timestamp", "created_at", "createdAt")]
     stamp = F.when(session, F.col("line_ts")).otherwise(F.coalesce(*stamps, millis_text(F.col("file_time"))))
@@ -100,17 +100,17 @@ def parse_codex(raw: DataFrame, session_id: Column | None = None) -> DataFrame:
     )
 
 
-def group_events(events: DataFrame, kind: str = "daily", tz: str = "UTC", start_of_week: str = "monday") -> DataFrame:
+def group_events(events: DataFrame, kind: str = "daily", tz: str = "UTC", start_of_week: str = "monday", since: str | None = None, until: str | None = None) -> DataFrame:
     """Sums by (period, model); the period is the day, week or month in the zone, or the session."""
     ts = parse_timestamp(F.col("ts_text"))
-    own = events.where((F.col("model") != "") & ts.isNotNull()).withColumn("period", F.col("session_id") if kind == "session" else bucket(date_in_zone(ts, tz), kind, start_of_week))
+    own = events.where((F.col("model") != "") & ts.isNotNull() & in_range(date_in_zone(ts, tz), since, until)).withColumn("period", F.col("session_id") if kind == "session" else bucket(date_in_zone(ts, tz), kind, start_of_week))
     sums = [F.sum(c).alias(c) for c in ("input_tokens", "cached_tokens", "output_tokens", "reasoning_tokens", "total_tokens")]
     return own.groupBy("period", "model").agg(*sums, F.max("ts_text").alias("last_activity"), F.bool_or("is_fallback").alias("is_fallback"))
 
 
-def codex_report(events: DataFrame, prices: DataFrame, kind: str = "daily", tz: str = "UTC", fast: bool = False) -> DataFrame:
+def codex_report(events: DataFrame, prices: DataFrame, kind: str = "daily", tz: str = "UTC", fast: bool = False, start_of_week: str = "monday", since: str | None = None, until: str | None = None) -> DataFrame:
     """One row for each period: sums, cost and a map of the models' usage."""
-    groups = with_prices(group_events(events, kind, tz), prices, "model").withColumn("cost", cached_cost("price_", fast))
+    groups = with_prices(group_events(events, kind, tz, start_of_week, since, until), prices, "model").withColumn("cost", cached_cost("price_", fast))
     detail = F.struct("input_tokens", "cached_tokens", "output_tokens", "reasoning_tokens", "total_tokens", "cost", "is_fallback")
     return groups.groupBy("period").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("cached_tokens").alias("cached_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("reasoning_tokens").alias("reasoning_tokens"), F.sum("total_tokens").alias("total_tokens"), F.sum("cost").alias("cost"), F.max("last_activity").alias("last_activity"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", detail.alias("usage"))))).alias("models"))
 
@@ -155,18 +155,17 @@ class CodexSource:
         for root, scope, priority in sorted(told, key=lambda f: len(f[0])):
             at = F.when(F.regexp_replace("file_path", "^file:/*", "/").startswith(root.rstrip("/").removeprefix("file://") + "/"), F.struct(F.lit(root).alias("root"), F.lit(scope).alias("scope"), F.lit(priority).alias("priority"))).otherwise(at)
         rel = F.element_at(F.split(F.regexp_replace("file_path", "^file:/*", "/"), F.concat(F.lit(r"^\Q"), F.regexp_replace("at.root", "/$", ""), F.lit(r"/\E"))), -1)
-        placed = raw.withColumn("at", at).withColumn("rel", rel)
-        if len(told) > 1:
-            files = placed.select("file_path", "at.scope", "rel", "at.priority").distinct()
-            placed = placed.join(files_first(files, ["scope", "rel"], "priority").select("file_path"), "file_path", "left_semi")
-        ids = placed.select("file_path", F.regexp_replace("rel", r"\.jsonl$", "").alias("sid")).distinct()
-        return parse_codex(placed.drop("at", "rel")).join(ids, "file_path").withColumn("session_id", F.col("sid")).drop("sid")
+        placed = lambda df: df.withColumn("at", at).withColumn("rel", rel)
+        if len(told) > 1:  # the files' names alone are listed, no line is read for it
+            files = placed(file_names(spark, [f[0] for f in told])).select("file_path", "at.scope", "rel", "at.priority")
+            raw = raw.join(files_first(files, ["scope", "rel"], "priority").select("file_path"), "file_path", "left_semi")
+        return parse_codex(placed(raw).drop("at"), F.regexp_replace("rel", r"\.jsonl$", ""))
 
     def read(self, spark: SparkSession, options: Options | None = None, paths: list[str] | None = None) -> DataFrame:
         o = options or Options()
         folders = [(p, p, k) for k, p in enumerate(paths)] if paths is not None else None
         prices = o.prices if o.prices is not None else default_prices(spark)
-        return filter_dates(to_usage(self.events(spark, folders), prices, zone(o.timezone)), o.since, o.until)
+        return filter_dates(to_usage(self.events(spark, folders), prices, zone(o.timezone), paths is None and self.fast()), o.since, o.until)
 
 
 register("codex", CodexSource)

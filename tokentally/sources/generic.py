@@ -46,7 +46,7 @@ class GenericSource:
     def read(self, spark: SparkSession, options: Options | None = None, paths: list[str] | None = None) -> DataFrame:
         o = options or Options()
         found = paths if paths is not None else (self.paths() if self.available() else [])
-        usage = parse_generic(lines(spark, found), self.name, zone(o.timezone))
+        usage = parse_generic(lines(spark, found, since=o.since), self.name, zone(o.timezone))
         prices = o.prices if o.prices is not None else default_prices(spark)
         return filter_dates(price_usage(usage, prices, "logged", o.fast_multiplier_when, o.match_dated_models), o.since, o.until)
 

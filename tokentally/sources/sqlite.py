@@ -27,11 +27,12 @@ class _Reader(DataSourceReader):
         return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
 
     def partitions(self) -> list[InputPartition]:
+        """Ranges of as many rows each, however far apart their ids are: one entry for rowsPerPartition rows."""
         with self._connect() as c:
-            low, high = c.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
-        if low is None:
+            firsts = [r for (r,) in c.execute(f'SELECT id FROM (SELECT rowid AS id, row_number() OVER (ORDER BY rowid) AS n FROM "{self.table}") WHERE (n - 1) % ? = 0 ORDER BY id', (self.rows,))]
+        if not firsts:
             return [_Range(0, -1)]
-        return [_Range(a, min(high, a + self.rows - 1)) for a in range(low, high + 1, self.rows)]
+        return [_Range(a, b - 1) for a, b in zip(firsts, [*firsts[1:], 2**63], strict=True)]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         names = ", ".join(f'"{c}"' for c in self.columns)
