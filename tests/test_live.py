@@ -48,6 +48,15 @@ def test_first_and_best(spark, tmp_path):
     assert sorted((r.message_id, r.input_tokens) for r in best) == [("a", 3), ("a", 9), ("b", 1)]
 
 
+def test_best_prefers_the_main_conversation(spark, tmp_path):
+    rows = [(*row(0, "a", 90), True, None), (*row(1, "a", 5), False, None), (*row(2, "a", 5), False, "fast"), (*row(3, "a", 99), True, "fast")]
+    schema = SCHEMA + ", is_sidechain boolean, speed string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    best = drained(live.best_records(s), "update", tmp_path).collect()
+    assert [(r.input_tokens, r.is_sidechain, r.speed) for r in best] == [(5, False, "fast")]
+
+
 def test_watch(spark, tmp_path):
     seen = []
     live.watch(stream(spark, tmp_path, [[row(0)], [row(1)]]), lambda df, n: seen.append(df.first().records), str(tmp_path / "ck"), once=True).awaitTermination()

@@ -15,6 +15,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+_TOKENS = {"input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "extra_tokens"}
+
+
 def daily(stream: DataFrame, keys: tuple[str, ...] = ("date",)) -> DataFrame:
     """Running sums; complete or update mode."""
     return stream.groupBy(*keys).agg(F.count("*").alias("records"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("cost").alias("cost"))
@@ -32,9 +35,11 @@ def deduplicated(stream: DataFrame, keys: tuple[str, ...] = ("message_id", "requ
 
 
 def best_records(stream: DataFrame, keys: tuple[str, ...] = ("message_id", "request_id"), watermark: str = "1 day") -> DataFrame:
-    """The best record of each key so far (most tokens, ties to the earlier), emitted whenever it changes; update mode.
+    """The best record of each key so far, emitted whenever it changes; update mode.
 
-    State is one number for each key, dropped once the watermark is a day past the
+    The main conversation's wins over a side chain's, then more tokens, then a known speed,
+    then the earlier one, as in batch; the columns is_sidechain and speed may be missing.
+    State is three numbers for each key, dropped once the watermark is a day past the
     key's last record.
     """
     schema = stream.schema
@@ -44,22 +49,24 @@ def best_records(stream: DataFrame, keys: tuple[str, ...] = ("message_id", "requ
         if state.hasTimedOut:
             state.remove()
             return
-        held = state.get if state.exists else (None,)
-        best = held[0]
+        best = state.get if state.exists else None
         out, last = None, 0
         for f in frames:
-            f = f.sort_values("ts", kind="stable")
+            f = f.sort_values("ts", kind="stable").reset_index(drop=True)
             last = max(last, int(f["ts"].max().timestamp() * 1000))
-            total = f["input_tokens"].fillna(0) + f["output_tokens"].fillna(0)
-            at = int(total.to_numpy().argmax())
-            if best is None or int(total.iloc[at]) > best:
-                best, out = int(total.iloc[at]), f.iloc[[at]]
+            total = sum(f[c].fillna(0) for c in columns if c in _TOKENS)
+            main = ~f["is_sidechain"].fillna(False).astype(bool) if "is_sidechain" in columns else total >= 0
+            fast = f["speed"].notna() if "speed" in columns else total < 0
+            ranks = list(zip(main.astype(int).tolist(), total.astype(int).tolist(), fast.astype(int).tolist(), strict=True))
+            top = max(ranks)
+            if best is None or top > tuple(best):
+                best, out = top, f.iloc[[ranks.index(top)]]
         if out is not None:
-            state.update((best,))
+            state.update(tuple(best))
             state.setTimeoutTimestamp(max(last + 86_400_000, state.getCurrentWatermarkMs() + 1))
             yield out[columns]
 
-    return stream.withWatermark("ts", watermark).groupBy(*keys).applyInPandasWithState(step, schema, "best long", "update", GroupStateTimeout.EventTimeTimeout)
+    return stream.withWatermark("ts", watermark).groupBy(*keys).applyInPandasWithState(step, schema, "main int, total long, fast int", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def watch(stream: DataFrame, show: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "30 seconds", once: bool = False) -> StreamingQuery:
@@ -76,7 +83,20 @@ def watch(stream: DataFrame, show: Callable[[DataFrame, int], None], checkpoint:
 
 
 def run_to_table(df: DataFrame, mode: str, name: str, checkpoint: str) -> DataFrame:
-    """Process all that is available into a memory table and return it: for tests and bounded inputs."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Process all that is available into Parquet files beside the checkpoint, and return them as a table: for bounded inputs.
+
+    Each batch is written whole under its own number, so one that runs again replaces itself;
+    in complete mode the last batch is the result, else all are.  No row comes to the driver.
+    """
+    spark, out, done = df.sparkSession, f"{checkpoint.rstrip('/')}-{name}", []
+    schema = df.schema
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/{batch}")
+        done.append(batch)
+
+    q = df.writeStream.outputMode(mode).queryName(name).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    if not done:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{out}/{b}" for b in (sorted(set(done))[-1:] if mode == "complete" else sorted(set(done)))])
