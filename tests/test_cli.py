@@ -46,6 +46,49 @@ def test_tables(spark, home):
     assert cli.run(["daemon", "--once"], spark).startswith("4 records, 1,548 tokens")
 
 
+def test_codex_report(spark, tmp_path, monkeypatch):
+    f = tmp_path / "sessions" / "a.jsonl"
+    f.parent.mkdir()
+    line = lambda t, n: {"timestamp": t, "type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": {"input_tokens": n, "cached_input_tokens": 0, "output_tokens": 10, "total_tokens": n + 10}}}}
+    f.write_text("\n".join(json.dumps(r, separators=(",", ":")) for r in ({"timestamp": "2025-10-01T09:00:00Z", "type": "turn_context", "payload": {"model": "gpt-5"}}, line("2025-10-01T10:00:00Z", 1000), line("2025-10-08T10:00:00Z", 3000))))
+    monkeypatch.setenv("CODEX_HOME", str(tmp_path))
+    doc = json.loads(cli.run(["daily", "-a", "codex", "--json"], spark))
+    assert [(r["period"], r["input_tokens"]) for r in doc["daily"]] == [("2025-10-01", 1000), ("2025-10-08", 2000)] and set(doc["daily"][0]["models"]) == {"gpt-5"}
+    assert doc["totals"]["total_tokens"] == 3010 and doc["totals"]["cost"] == pytest.approx(3000 * 1.25e-6 + 10 * 1e-5)
+    assert json.loads(cli.run(["session", "-a", "codex", "--jq", ".sessions | length"], spark)) == 1
+    out = cli.run(["weekly", "-a", "codex", "--no-color", "-s", "2025-10-07"], spark)
+    assert "2025-10-06" in out and "2025-09-29" not in out and "- gpt-5" in out and "Total" in out
+    (tmp_path / "config.toml").write_text('service_tier = "fast"\n')
+    fast = json.loads(cli.run(["daily", "-a", "codex", "--jq", ".totals.cost"], spark))
+    assert fast == pytest.approx(2 * doc["totals"]["cost"])
+    assert cli.run(["monthly", "-a", "codex", "-m", "none"], spark).endswith("No Codex usage found.")
+
+
+def test_output_flags_and_watch(spark, home, capsys, tmp_path):
+    assert "written to" in cli.run(["session", "--output", str(tmp_path / "rows")], spark)
+    assert sorted(r.session_id for r in spark.read.json(str(tmp_path / "rows")).collect()) == ["a", "b"]
+    cli.run(["daily", "-v", "--offline", "--single-thread"], spark)
+    assert "read" in capsys.readouterr().err
+    cli.run(["daily", "--log-json"], spark)
+    assert json.loads(capsys.readouterr().err.splitlines()[0])["message"] == "read"
+    o, looks = cli.options(["daemon", "--interval", "1"]), []
+    plain, wait = cli.load, cli.threading.Event.wait
+    cli.load = lambda *a: looks.append(1) or plain(*a)
+    cli.threading.Event.wait = lambda self, s: capsys.readouterr() and len(looks) == 2 or ((home / "cfg" / "projects" / "p1" / "new.jsonl").write_text("") if rounds.append(1) or len(rounds) == 2 else None)
+    rounds: list[int] = []
+    try:
+        cli.watch(spark, o, ["claude"], cli.Log(o))
+    finally:
+        cli.load, cli.threading.Event.wait = plain, wait
+    assert len(looks) == 2 and len(rounds) == 2  # the unchanged logs were read once
+
+
+def test_config_warnings():
+    assert cli.config_warnings([]) == ["not an object"]
+    assert cli.config_warnings({"order": "desc", "defaults": {"timezone": "UTC"}, "commands": {"daily": {"compact": True}}, "pricing": {"a": {"input": 1, "output": 2}}}) == []
+    assert cli.config_warnings({"x": 1, "defaults": {"y": 1}, "commands": {"nope": {}}, "pricing": {"a": {"input": -1}, "b": 3}}) == ["unknown setting x", "unknown setting defaults.y", "unknown command nope", "the price of a has no output", "input of a is not a number of 0 or more", "the price of b is not an object"]
+
+
 def test_options(tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"order": "desc", "defaults": {"timezone": "Asia/Tokyo"}, "commands": {"daily": {"compact": True}}, "pricing": {"a": {"input": 1, "output": 1}}}))
     o = cli.options(["daily", "--config", str(tmp_path / "c.json")])
@@ -60,6 +103,8 @@ def test_rendering():
     assert render.table(["A", "B"], [["x\ny", "1"], None, ["é", "22"]], [False, True]).split("\n") == ["A   B", "─────", "x   1", "y", "─────", "é  22"]
     assert render.width("\x1b[31mab\x1b[0m日") == 4 and render.truncate("abcdef", 4) == "abc…"
     assert render.pick({"a": [{"b": 1}, {"b": 2}]}, ".a[].b") == [1, 2] and render.pick({"a": [5]}, ".a[0]") == 5
+    doc = {"a": [{"b": 1}, {"b": 2}]}
+    assert [render.pick(doc, p) for p in (".a | length", ".a | map(.b) | add", ". | keys", ".a | map(.b)", ".a | .[0] | .b")] == [2, 3, ["a"], [1, 2], 1]
     with pytest.raises(ValueError, match="not a path"):
         render.pick({}, "a | b")
     assert render.strip_costs({"cost": 1, "x": [{"costUSD": 2, "y": 3}]}) == {"x": [{"y": 3}]}

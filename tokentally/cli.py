@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
+import signal
 import sys
+import threading
+import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +55,11 @@ def parser(defaults: dict | None = None) -> argparse.ArgumentParser:
     p.add_argument("--merge", help="update-price: a JSON file whose `pricing` replaces the config's")
     p.add_argument("--match-dated-models", action="store_true")
     p.add_argument("--fast-multiplier", default="always", choices=("always", "when_fast"))
+    p.add_argument("-v", "--verbose", action="store_true", help="tell on standard error what is read and how long it takes")
+    p.add_argument("--log-json", action="store_true", help="the same as JSON lines")
+    p.add_argument("--single-thread", action="store_true", help="one local core")
+    p.add_argument("--offline", action="store_true", help="accepted for compatibility: there is no network access anyway")
+    p.add_argument("--output", metavar="FOLDER", help="write the report's rows as JSON lines to a folder, without taking them to the driver")
     p.set_defaults(**{k.replace("-", "_"): v for k, v in (defaults or {}).items()})
     return p
 
@@ -61,11 +70,54 @@ def options(argv: list[str]) -> argparse.Namespace:
     if not first.config:
         return first
     config = json.loads(Path(first.config).read_text())
+    for warning in config_warnings(config):
+        print(f"{first.config}: {warning}", file=sys.stderr)
     known = vars(first)
     own = {k: v for k, v in config.items() if k.replace("-", "_") in known}
     return parser({**own, **config.get("defaults", {}), **config.get("commands", {}).get(first.command, {})}).parse_args(argv)
 
 
+def config_warnings(config) -> list[str]:
+    """What in a config isn't used, or of the wrong kind; none of it stops a command."""
+    if not isinstance(config, dict):
+        return ["not an object"]
+    flags, out = set(vars(parser().parse_args([]))) - {"command"}, []
+    sections = {"defaults": config.get("defaults", {}), **{f"commands.{k}": v for k, v in (config.get("commands") or {}).items()}} if isinstance(config.get("commands", {}), dict) else {"defaults": config.get("defaults", {})}
+    for key, value in config.items():
+        if key in ("defaults", "commands", "pricing"):
+            if not isinstance(value, dict):
+                out.append(f"{key} is not an object")
+        elif key.replace("-", "_") not in flags and key != "$schema":
+            out.append(f"unknown setting {key}")
+    for name, section in sections.items():
+        if name.startswith("commands.") and name[9:] not in COMMANDS:
+            out.append(f"unknown command {name[9:]}")
+        if not isinstance(section, dict):
+            out.append(f"{name} is not an object")
+            continue
+        out += [f"unknown setting {name}.{k}" for k in section if k.replace("-", "_") not in flags]
+    if isinstance(config.get("pricing"), dict):
+        for model, price in config["pricing"].items():
+            if not isinstance(price, dict):
+                out.append(f"the price of {model} is not an object")
+                continue
+            out += [f"the price of {model} has no {k}" for k in ("input", "output") if k not in price]
+            out += [f"{k} of {model} is not a number of 0 or more" for k, v in price.items() if isinstance(v, bool) or not isinstance(v, int | float) or v < 0]
+    return out
+
+
+class Log:
+    """Progress on standard error, as text or JSON lines, if asked for."""
+
+    def __init__(self, o: argparse.Namespace):
+        self.on, self.json, self.began = o.verbose or o.log_json, o.log_json, time.time()
+
+    def __call__(self, what: str, **facts) -> None:
+        if self.on:
+            facts = {"seconds": round(time.time() - self.began, 3), **facts}
+            print(json.dumps({"level": "info", "message": what, **facts}) if self.json else f"{what} {' '.join(f'{k}={v}' for k, v in facts.items())}", file=sys.stderr, flush=True)
+
+
 def load(spark: SparkSession, o: argparse.Namespace, agents: list[str]) -> DataFrame:
     prices = pricing.default_prices(spark, o.config)
     opt = Options(prices, zone(o.timezone), o.since, o.until, o.project, o.match_dated_models, o.fast_multiplier)
@@ -83,8 +135,14 @@ def run(argv: list[str], spark: SparkSession | None = None) -> str:
     o = options(argv)
     if o.command == "update-price":
         return update_prices(o.config, o.merge)
-    spark = spark or build_session()
+    log = Log(o)
+    spark = spark or build_session(**({"spark.master": "local[1]"} if o.single_thread else {}))
     agents = (available() or ["claude"]) if o.command == "all" or o.agent == "all" else [o.agent]
+    log("read", agents=",".join(agents), command=o.command)
+    if agents == ["codex"] and o.command in ("daily", "weekly", "monthly", "session"):
+        out = codex_period(spark, o)
+        log("done")
+        return out
     usage = load(spark, o, agents)
     color = o.color == "always" and not o.no_color
     if o.command in ("blocks", "statusline"):
@@ -96,7 +154,7 @@ def run(argv: list[str], spark: SparkSession | None = None) -> str:
             return render.dump(render.pick(json.loads(render.blocks_json(found, blocks.gap_rows(found, session_seconds=seconds), limit, o.active)), o.jq))
         return render.blocks_table(found.where("is_active") if o.active else found, limit, seconds)
     if o.command == "daemon":
-        return watch(spark, usage, o)
+        return watch(spark, o, agents, log)
     if o.command == "session":
         key, rows = "session_id", report.session_report(usage)
     elif o.command == "all":
@@ -105,25 +163,79 @@ def run(argv: list[str], spark: SparkSession | None = None) -> str:
         key, rows = "date", report.period_report(usage, o.command, o.start_of_week)
     if o.model:
         rows = report.filter_models(rows, o.model)
+    if o.output:
+        rows.write.mode("errorifexists").json(o.output)
+        log("written", folder=o.output)
+        return f"Rows written to {o.output}"
     rows = report.sort_report(rows, o.order, key).cache()
     totals = report.grand_totals(rows)
     kind = o.command if o.command != "all" else "daily"
     out = render.report_json(kind, rows, totals, o.no_cost, o.jq) if o.json or o.jq else render.title(f"Token usage: {o.command} ({', '.join(map(text.agent_name, agents))})", color) + render.report_table(rows, totals, key, o.compact, o.breakdown, color)
     rows.unpersist()
+    log("done")
     return out
 
 
-def watch(spark: SparkSession, usage: DataFrame, o: argparse.Namespace) -> str:
-    """The snapshot of all that is there; again after each interval unless ``--once``."""
-    import time
+def codex_period(spark: SparkSession, o: argparse.Namespace) -> str:
+    """Codex's own report: a row for each period or session with a map of its models' usage."""
+    from tokentally.sources.codex import CodexSource, codex_report
 
+    source = CodexSource()
+    rows = codex_report(source.events(spark), pricing.default_prices(spark, o.config), "session" if o.command == "session" else o.command, zone(o.timezone), source.fast(), o.start_of_week, o.since, o.until)
+    if o.model:
+        rows = rows.where(F.exists(F.map_keys("models"), lambda m: F.contains(F.lower(m), F.lit(o.model.lower()))))
+    rows = rows.orderBy(F.col("period").desc() if o.order == "desc" else F.col("period").asc())
+    if o.output:
+        rows.write.mode("errorifexists").json(o.output)
+        return f"Rows written to {o.output}"
+    if o.json or o.jq:
+        return render.codex_json(o.command, rows, o.no_cost, o.jq)
+    return render.title(f"Token usage: {o.command} ({text.agent_name('codex')})", o.color == "always" and not o.no_color) + render.codex_table(rows, "Session" if o.command == "session" else "Date", o.compact)
+
+
+def watch(spark: SparkSession, o: argparse.Namespace, agents: list[str], log: Log) -> str:
+    """The snapshot of all that is there; again after each interval unless ``--once``.
+
+    Logs are read again only if a file came, went or changed since.  Looks never overlap.
+    An interrupt or a termination signal ends the loop after the look at hand.
+    """
+    stop = threading.Event()
+    if not o.once and threading.current_thread() is threading.main_thread():
+        for s in (signal.SIGINT, signal.SIGTERM):
+            signal.signal(s, lambda *_: stop.set())
+    seen, out = None, ""
     while True:
-        s = render.report_rows(report.snapshot(usage))[0]
-        out = render.dump(s) if o.json else f"{s['records']} records, {s['in_out_tokens'] or 0:,} tokens, ${s['cost'] or 0:.2f}, {len(s['models'])} models, {len(s['projects'])} projects"
+        now = fingerprint(agents)
+        if now != seen:
+            s = render.report_rows(report.snapshot(load(spark, o, agents)))[0]
+            out = render.dump(s) if o.json else f"{s['records']} records, {s['in_out_tokens'] or 0:,} tokens, ${s['cost'] or 0:.2f}, {len(s['models'])} models, {len(s['projects'])} projects"
+            seen = now
+            log("looked", files=len(now))
         if o.once:
             return out
         print(out, flush=True)
-        time.sleep(max(1, o.interval))
+        if stop.wait(max(1, o.interval)):
+            return ""
+
+
+def fingerprint(agents: list[str]) -> frozenset[tuple[str, int, int]]:
+    """Each log file's name, size and time of change; the folders are this machine's own."""
+    found = set()
+    for a in agents:
+        try:
+            folders = sources.get(a).paths()
+        except FileNotFoundError:
+            folders = []
+        for folder in folders:
+            for top, _, names in os.walk(folder):
+                for n in names:
+                    path = os.path.join(top, n)
+                    try:
+                        st = os.stat(path)
+                    except OSError:
+                        continue
+                    found.add((path, st.st_size, st.st_mtime_ns))
+    return frozenset(found)
 
 
 def update_prices(config: str, merge: str) -> str:

@@ -80,6 +80,27 @@ def report_json(kind: str, rows: DataFrame, totals: DataFrame, no_cost: bool = F
     return dump(pick(strip_costs(doc) if no_cost else doc, path))
 
 
+def codex_json(kind: str, rows: DataFrame, no_cost: bool = False, path: str | None = None) -> str:
+    """{<kind>: rows with a map of models, totals} of Codex's own report."""
+    shown = report_rows(rows)
+    sums = ("input_tokens", "cached_tokens", "output_tokens", "reasoning_tokens", "total_tokens", "cost")
+    doc = {"sessions" if kind == "session" else kind: shown, "totals": {c: sum(r[c] or 0 for r in shown) for c in sums} if shown else None}
+    return dump(pick(strip_costs(doc) if no_cost else doc, path))
+
+
+def codex_table(rows: DataFrame, head: str = "Date", compact: bool = False) -> str:
+    """Period, models (a fallback is marked), token columns and cost; then totals."""
+    names = F.transform(F.map_entries("models"), lambda e: F.concat(F.lit("- "), e["key"], F.when(e["value"]["is_fallback"], " (fallback)").otherwise("")))
+    counts = ["input_tokens", "output_tokens"] + ([] if compact else ["reasoning_tokens", "cached_tokens"]) + ["total_tokens"]
+    shown = rows.select("period", F.array_join(names, "\n").alias("names"), *[text.human_number(F.col(c)).alias(c) for c in counts], text.currency(F.col("cost")).alias("shown_cost"), *[F.col(c).alias(f"n_{c}") for c in counts], "cost").collect()
+    if not shown:
+        return "No Codex usage found."
+    sums = rows.agg(*[text.human_number(F.sum(c)).alias(c) for c in counts], text.currency(F.sum("cost")).alias("cost")).first()
+    body: list[list[str] | None] = [[r.period, r.names, *[r[c] for c in counts], r.shown_cost] for r in shown]
+    body += [None, ["Total", "", *[sums[c] for c in counts], sums.cost]]
+    return table([head, "Models", *[c.replace("_tokens", "").replace("_", " ").capitalize() for c in counts], "Cost (USD)"], body, [False, False] + [True] * (len(counts) + 1), 24 if compact else None)
+
+
 def strip_costs(v, depth: int = 64):
     if depth and isinstance(v, dict):
         return {k: strip_costs(x, depth - 1) for k, x in v.items() if "cost" not in k.lower()}
@@ -87,19 +108,34 @@ def strip_costs(v, depth: int = 64):
 
 
 def pick(doc, path: str | None):
-    """A path of names, [n] and [] steps, such as ``.daily[].date``."""
+    """A path of names, [n] and [] steps, such as ``.daily[].date``; after bars also ``length``, ``keys``, ``add`` and ``map(path)``."""
     if not path:
         return doc
-    if not re.fullmatch(r"(\.|(\.[A-Za-z_][\w]*|\[\d*\])+)", path):
+    for stage in re.split(r"\s*\|\s*(?![^(]*\))", path.strip()):
+        doc = _stage(doc, stage, path)
+    return doc
+
+
+def _stage(doc, stage: str, path: str):
+    if stage == "length":
+        return 0 if doc is None else len(doc) if isinstance(doc, (list, dict, str)) else abs(doc)
+    if stage == "keys" and isinstance(doc, dict | list):
+        return sorted(doc) if isinstance(doc, dict) else list(range(len(doc)))
+    if stage == "add" and isinstance(doc, list | dict):
+        values = [v for v in (doc.values() if isinstance(doc, dict) else doc) if v is not None]
+        return (sum(values[1:], values[0]) if not isinstance(values[0], str) else "".join(values)) if values else None
+    if m := re.fullmatch(r"map\((.*)\)", stage):
+        return [pick(d, m[1]) for d in (doc or [])]
+    if not re.fullmatch(r"(\.|(\.[A-Za-z_][\w]*|\[\d*\]|\.\[\d*\])+)", stage):
         raise ValueError(f"not a path: {path}")
     found, many = [doc], False
-    for name, index in re.findall(r"\.([A-Za-z_]\w*)|\[(\d*)\]", path):
+    for name, index in re.findall(r"\.([A-Za-z_]\w*)|\.?\[(\d*)\]", stage):
         if name:
             found = [d.get(name) if isinstance(d, dict) else None for d in found]
         elif index:
             found = [d[int(index)] if isinstance(d, list) and int(index) < len(d) else None for d in found]
         else:
-            found, many = [x for d in found for x in (d or [])], True
+            found, many = [x for d in found for x in (d.values() if isinstance(d, dict) else d or [])], True
     return found if many else found[0]
 
 
