@@ -34,7 +34,7 @@ def parser(defaults: dict | None = None) -> argparse.ArgumentParser:
     p.add_argument("-p", "--project")
     p.add_argument("-s", "--since")
     p.add_argument("-u", "--until")
-    p.add_argument("--timezone", default="UTC")
+    p.add_argument("--timezone", default="UTC", help="a zone, or `log`: generic agents' records are dated by their own offset, others in UTC")
     p.add_argument("--order", default="asc", type=lambda s: "desc" if s.lower() == "desc" else "asc")
     p.add_argument("--start-of-week", default="monday", type=parse_weekday)
     p.add_argument("--kind", default="daily", choices=("daily", "weekly", "monthly"), help="period of `all`")
@@ -120,7 +120,7 @@ class Log:
 
 def load(spark: SparkSession, o: argparse.Namespace, agents: list[str]) -> DataFrame:
     prices = pricing.default_prices(spark, o.config)
-    opt = Options(prices, zone(o.timezone), o.since, o.until, o.project, o.match_dated_models, o.fast_multiplier)
+    opt = Options(prices, "log" if o.timezone == "log" else zone(o.timezone), o.since, o.until, o.project, o.match_dated_models, o.fast_multiplier)
     usage = report.union_all([sources.get(a).read(spark, opt) for a in agents])
     aliases = text.parse_aliases(o.project_aliases)
     return usage.withColumn("project", text.project_name(F.col("project"), aliases)) if aliases else usage

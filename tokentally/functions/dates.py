@@ -37,6 +37,11 @@ def date_in_zone(ts: Column, tz: str = "UTC") -> Column:
     return F.date_format(F.from_utc_timestamp(ts, tz), "yyyy-MM-dd")
 
 
+def date_as_written(c: Column) -> Column:
+    """The day in the log's own offset: what the text begins with, if it is a timestamp with a zone."""
+    return F.when(c.rlike(_ZONED), F.substring(c, 1, 10))
+
+
 def week_start(day: Column, start: str = "monday") -> Column:
     """The first day of the week that ``day`` (a date) is in."""
     return F.date_sub(day, F.pmod(F.dayofweek(day) - 1 - WEEKDAYS[parse_weekday(start)], F.lit(7)))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,7 +11,9 @@ from pyspark.sql import functions as F
 from tokentally.functions import dates, text
 from tokentally.operators import blocks, dedup, report, sequence
 from tokentally.plans import pricing
-from tokentally.session import configure
+from tokentally.schema import _CODEX_USAGE
+from tokentally.session import configure, scratch
+from tokentally.sources import codex
 from tokentally.sources.tables import events_usage, lineitem_usage, orders_usage, table
 from tokentally.streaming import live
 
@@ -197,10 +198,13 @@ def json_tokens(spark, d):
 
 @query("SELECT event_id, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN input_tokens ELSE 0 END, 0), CASE WHEN event_id % 3 = 1 THEN input_tokens END, output_tokens, 0) AS input_tokens, least(output_tokens, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN input_tokens ELSE 0 END, 0), CASE WHEN event_id % 3 = 1 THEN input_tokens END, output_tokens, 0)) AS cached_tokens FROM e0")
 def alias_coalesce(spark, d):
+    """The rule of Codex's headless usages over its own struct: input_tokens, else prompt_tokens, else input."""
     u = events_usage(spark, d).withColumn("event_id", F.col("row_id"))
-    first = F.when(F.col("event_id") % 3 == 0, F.col("input_tokens")).otherwise(0)
-    own = F.coalesce(F.nullif(first, F.lit(0)), F.when(F.col("event_id") % 3 == 1, F.col("input_tokens")), F.col("output_tokens"), F.lit(0))
-    return u.select("event_id", own.alias("input_tokens"), F.least("output_tokens", own).alias("cached_tokens"))
+    given = {"input_tokens": F.when(F.col("event_id") % 3 == 0, F.col("input_tokens")).otherwise(0), "prompt_tokens": F.when(F.col("event_id") % 3 == 1, F.col("input_tokens")), "input": F.col("output_tokens"), "cached_tokens": F.col("output_tokens")}
+    names = [f.split(":")[0].strip() for f in _CODEX_USAGE.removeprefix("struct<").rstrip(">").replace("\n", " ").split(",")]
+    own = u.withColumn("u", F.struct(*[given.get(n, F.lit(None)).cast("bigint").alias(n) for n in names]))
+    normal = codex._normal("u")
+    return own.select("event_id", normal["input_tokens"].alias("input_tokens"), F.least(normal["cached_input_tokens"], normal["input_tokens"]).alias("cached_tokens"))
 
 
 # Deduplication.
@@ -265,7 +269,7 @@ def price_fuzzy_longest(spark, d):
     keys = pricing.price_table(spark.createDataFrame([(k, 1.0, 1.0) for k in _FUZZY_KEYS], "model string, input double, output double"))
     name = F.element_at(F.array(*[F.lit(m) for m in _FUZZY]), (F.col("event_id") % len(_FUZZY) + 1).cast("int"))
     own = table(spark, d, "events").select("event_id", name.alias("model"))
-    return own.join(F.broadcast(pricing.resolve(own.select("model"), keys)), "model", "left").select("event_id", "model", "key")
+    return own.select("event_id", "model", pricing.price_key(F.col("model"), list(pricing.small_table(keys))).alias("key"))
 
 
 _SQL["price_fuzzy_longest"] = f"WITH {_COMMON}, {_fuzzy_sql()}"
@@ -393,9 +397,9 @@ def ntz(*cs: str) -> list[Column]:
     return [F.col(c).cast("timestamp_ntz").alias(c) for c in cs]
 
 
-@query(_GLOBAL + "SELECT block_start, block_end, records, tokens, round(cost, 6) AS cost, models, is_active FROM blk")
+@query(_GLOBAL + "SELECT block_start, block_end, records, tokens, round(cost, 6) AS cost, models, is_active, CASE WHEN NOT is_active THEN block_end END AS actual_end FROM blk")
 def activity_blocks(spark, d):
-    return global_blocks(spark, d).select(*ntz("block_start", "block_end"), "records", "tokens", money("cost", 6).alias("cost"), F.array_join("models", ",").alias("models"), "is_active")
+    return global_blocks(spark, d).select(*ntz("block_start", "block_end"), "records", "tokens", money("cost", 6).alias("cost"), F.array_join("models", ",").alias("models"), "is_active", *ntz("actual_end"))
 
 
 @query(_BY_USER + "SELECT CAST(k AS VARCHAR) AS session_id, block_start, block_end, records, tokens, round(cost, 6) AS cost, is_active FROM blk")
@@ -477,13 +481,12 @@ def duration_texts(spark, d):
 def _stream(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     e = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.select(F.lit("events").alias("agent"), "ts", F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("event_id").cast("string").alias("message_id"), F.col("event_type").alias("request_id"), F.coalesce(F.get_json_object("props", "$.k").try_cast("bigint"), F.lit(0)).alias("input_tokens"), F.floor(F.coalesce("value", F.lit(0.0))).cast("bigint").alias("output_tokens"), F.coalesce("value", F.lit(0.0)).alias("cost"))
+    return e.select(F.lit("events").alias("agent"), "ts", F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("user_id").cast("string").alias("user"), F.col("event_id").cast("string").alias("message_id"), F.col("event_type").alias("request_id"), F.coalesce(F.get_json_object("props", "$.k").try_cast("bigint"), F.lit(0)).alias("input_tokens"), F.floor(F.coalesce("value", F.lit(0.0))).cast("bigint").alias("output_tokens"), F.coalesce("value", F.lit(0.0)).alias("cost"))
 
 
 def _drained(spark, df, mode):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tokentally-stream-")
     name = f"stream_{uuid.uuid4().hex}"
-    return live.run_to_table(df, mode, name, f"{base.rstrip('/')}/{name}")
+    return live.run_to_table(df, mode, name, f"{scratch(spark)}/{name}")
 
 
 @query("SELECT date, count(*) AS records, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, round(sum(value), 2) AS cost FROM e0 GROUP BY date")
@@ -503,6 +506,11 @@ def stream_blocks(spark, d):
     return out.agg(F.count("*").alias("blocks"), F.sum("records").alias("records"))
 
 
+from tokentally import log_queries  # noqa: E402  registers its queries with the decorator above
+
+_SQL["sidechain_fold"] = log_queries.SIDECHAIN_SQL
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

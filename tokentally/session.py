@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -21,6 +26,18 @@ def build_session(app: str = "tokentally", **conf: str) -> SparkSession:
     return configure(builder.getOrCreate())
 
 
+def scratch(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; where it is unset, a temporary one in local mode, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tokentally-")
+        spark.conf.set("spark.checkpoint.dir", base)
+        atexit.register(shutil.rmtree, base.removeprefix("file://"), True)
+    return base.rstrip("/")
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings to a session that someone else made."""
     for k, v in SETTINGS.items():

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokentally.functions.dates import date_in_zone, parse_rfc3339, zone
+from tokentally.functions.dates import date_as_written, date_in_zone, parse_rfc3339, zone
 from tokentally.operators.report import filter_dates
 from tokentally.plans.pricing import default_prices, price_usage
 from tokentally.schema import GENERIC_LINE, canonical
@@ -16,7 +16,10 @@ from tokentally.sources.files import Options, counts_ok, expand, has_files, line
 
 
 def parse_generic(raw: DataFrame, agent: str, tz: str = "UTC") -> DataFrame:
-    """Canonical records from lines (value and its place): a usage that isn't all zero, and a timestamp with a zone; the session defaults to unknown."""
+    """Canonical records from lines (value and its place): a usage that isn't all zero, and a timestamp with a zone; the session defaults to unknown.
+
+    The zone ``log`` dates each record by its own offset.
+    """
     j = strict_json(raw.where((F.octet_length("value") >= 20) & F.contains("value", F.lit('"usage"'))), "value", GENERIC_LINE)
     u = "j.message.usage"
     parts = [f"{u}.{c}" for c in ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")]
@@ -25,7 +28,7 @@ def parse_generic(raw: DataFrame, agent: str, tz: str = "UTC") -> DataFrame:
     own = j.where(F.col(u).isNotNull() & counts_ok(*map(F.col, parts)) & some & ts.isNotNull())
     return canonical(
         own.select(
-            F.lit(agent).alias("agent"), ts.alias("ts"), date_in_zone(ts, tz).alias("date"), F.coalesce("j.sessionId", F.lit("unknown")).alias("session_id"), F.col("j.message.model").alias("model"), F.col("j.message.model").alias("price_model"),
+            F.lit(agent).alias("agent"), ts.alias("ts"), (date_as_written(F.col("j.timestamp")) if tz == "log" else date_in_zone(ts, tz)).alias("date"), F.coalesce("j.sessionId", F.lit("unknown")).alias("session_id"), F.col("j.message.model").alias("model"), F.col("j.message.model").alias("price_model"),
             zero(parts[0]).alias("input_tokens"), zero(parts[1]).alias("output_tokens"), zero(parts[2]).alias("cache_creation_tokens"), zero(parts[3]).alias("cache_read_tokens"),
             F.col("j.costUSD").alias("logged_cost"), "file_path", "file_block_start", "row_id",
         )
@@ -46,7 +49,7 @@ class GenericSource:
     def read(self, spark: SparkSession, options: Options | None = None, paths: list[str] | None = None) -> DataFrame:
         o = options or Options()
         found = paths if paths is not None else (self.paths() if self.available() else [])
-        usage = parse_generic(lines(spark, found, since=o.since), self.name, zone(o.timezone))
+        usage = parse_generic(lines(spark, found, since=o.since), self.name, "log" if o.timezone == "log" else zone(o.timezone))
         prices = o.prices if o.prices is not None else default_prices(spark)
         return filter_dates(price_usage(usage, prices, "logged", o.fast_multiplier_when, o.match_dated_models), o.since, o.until)
 
