@@ -9,6 +9,7 @@ models are resolved first and joined back by name, so the theta join touches the
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -213,6 +214,12 @@ def _document(spark: SparkSession, path_or_text: str) -> DataFrame:
     return spark.read.text(path_or_text, wholetext=True)
 
 
+def _pattern(key: str) -> str:
+    """occurs() of a known key."""
+    escaped = re.sub(r"([^A-Za-z0-9])", r"\\\1", key)
+    return rf"(?<![A-Za-z0-9]){escaped}(?![A-Za-z0-9])" + (r"(?![-.][0-9])" if re.search("[0-9]$", key) else "")
+
+
 def occurs(key: Column, value: Column) -> Column:
     """Whether ``key`` stands in ``value`` between non-alphanumerics; after a key's last digit no ``-`` or ``.`` with a digit may follow."""
     escaped = F.regexp_replace(key, r"([^A-Za-z0-9])", r"\\$1")
@@ -287,13 +294,18 @@ def price_key(model: Column, keys: list[str], match_dated_models: bool = False)
     """
     if not keys:
         return F.lit(None).cast("string")
-    ranked = F.array(*[F.lit(k) for k in sorted(keys, key=lambda k: (-len(k), k))])
+    flat_key = lambda k: k.translate(str.maketrans(".@", "--"))
+    ranked = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(flat_key(k)).alias("flat"), F.lit(_pattern(k)).alias("found"), F.lit(_pattern(flat_key(k))).alias("flat_found")) for k in sorted(keys, key=lambda k: (-len(k), k))])
+
+    def fits(n: Column, k: Column) -> Column:
+        inside = F.contains(n["flat"], k["flat"]) & (F.rlike(n["plain"], k["found"]) | F.rlike(n["flat"], k["flat_found"]))
+        return inside | (F.contains(k["flat"], n["flat"]) & (occurs(n["plain"], k["key"]) | occurs(n["flat"], k["flat"])))
 
     def fuzzy(name: Column) -> Column:
         plain = F.regexp_replace(name, r"-[0-9]{8}$", "") if match_dated_models else name
-        flat = normalised(plain)
-        near = lambda k: F.contains(flat, normalised(k)) | F.contains(normalised(k), flat)
-        return F.try_element_at(F.filter(ranked, lambda k: near(k) & matches(plain, k)), F.lit(1))
+        # An array of one, so that the name is rewritten once and not for each key.
+        one = F.array(F.struct(plain.alias("plain"), normalised(plain).alias("flat")))
+        return F.element_at(F.transform(one, lambda n: F.try_element_at(F.filter(ranked, lambda k: fits(n, k)), F.lit(1))["key"]), 1)
 
     own = F.coalesce(F.when(model.isin(keys), model), fuzzy(model), *[F.when(model == a, F.lit(t) if t in keys else fuzzy(F.lit(t))) for a, t in ALIASES.items()])
     return F.when(model != "", own)
