@@ -69,9 +69,9 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: list[str |
 
     Right has a row for each key, which goes to each of its tasks.  Only keys that
     are that frequent are listed, so the list has a ``rows``-th of left's rows at
-    most; adaptive execution decides how it is sent.
+    most; it is written, so that its size is known and the optimizer broadcasts it only if it is small.
     """
-    many = left.groupBy(key).agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("_parts")).where("_parts > 1")
+    many = materialize(left.groupBy(key).agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("_parts")).where("_parts > 1"), "many")
     part = F.pmod(F.xxhash64(*spread), F.coalesce("_parts", F.lit(1))).cast("int")
     dealt = left.join(many, key, "left").withColumn("_part", part).drop("_parts")
     copied = right.join(many, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
