@@ -165,7 +165,9 @@ def linked(rows):
     return sorted(map(repr, out + [(c["conv"], c["turn"], c["no"], c["id"], level[c["n"]], broken(c["name"], c["arguments"]), c["result"], c["seen"]) for c in calls]))
 
 
-def test_against_a_plain_linker(spark):
+@pytest.mark.parametrize("largest", [toolcalls.LARGEST_GROUP, 2])
+def test_against_a_plain_linker(spark, largest):
+    """Also with ids that more rows name than one task orders."""
     rng = random.Random(17)
     arguments = [{"a": "x"}, {"a": 1}, {"n": 1.5, "a": "y"}, {"a": "x", "n": "1"}, {"z": None}, {"a": None}, [1], "text", {"a": "x", "n": 3}, {"a": {"b": 1}, "n": [1]}]
     rows = []
@@ -180,11 +182,26 @@ def test_against_a_plain_linker(spark):
             rows += [(conv, rng.choice([None, k, k + 1]), "tool", json.dumps({"tool_call_id": rng.choice(["a", "b", "c", f"u{k}", "gone"]), "content": f"r{conv}.{k}"}))] * rng.choice([0, 1, 2])
     rows.append((None, 1, "assistant", json.dumps({"tool_calls": [call("a")]})))
     rng.shuffle(rows)
-    got = toolcalls.link_all(messages(spark, rows), schemas(spark)).collect()
+    got = toolcalls.link_all(messages(spark, rows), schemas(spark), largest).collect()
     assert sorted(repr((r.conv_id, r.turn, r.call_no, r.call_id, r.level, r.errors, r.result, r.occurrence)) for r in got) == linked(rows)
     assert all(r.valid == (r.errors == "") for r in got)
 
 
+def test_one_id_for_all_rows(spark):
+    """One conversation calls one id in all its turns, many times in one of them: the ranges it is cut into split turns too, and go on counting."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(150):
+        turn = 7 if k % 3 else k
+        rows.append((1, turn, "assistant", json.dumps({"tool_calls": [call("call_0", ["call_0"], args={"a": str(k)}), call("call_0", name=f"g{k}")]})))
+        rows += [(1, rng.choice([None, 7, 8, k]), "tool", json.dumps({"tool_call_id": rng.choice(["call_0", "call_0", "gone"]), "content": f"r{k}.{n}"})) for n in range(2)]
+    got = toolcalls.link_all(messages(spark, rows), schemas(spark), largest=20).collect()
+    whole = toolcalls.link_all(messages(spark, rows), schemas(spark)).collect()
+    shown = lambda rs: sorted(repr((r.turn, r.call_no, r.level, r.errors, r.result, r.occurrence)) for r in rs)
+    assert shown(got) == shown(whole) and sorted(r.occurrence for r in got if r.call_no is not None) == list(range(1, 301))
+    assert sorted(r.result for r in got if r.result) == sorted(json.loads(t)["content"] for _, _, role, t in rows if role == "tool")
+
+
 def test_equal_places_and_missing_ids(spark):
     """Calls of two messages of one turn keep their own errors; a call without an id has a level, and counts once however often its message comes."""
     one = lambda *calls: json.dumps({"tool_calls": list(calls)})

@@ -19,6 +19,9 @@ from tokentally.llm.shared import materialize, table
 CALLS = "tool_calls array<struct<id: string, name: string, arguments: string, depends_on: array<string>>>"
 RESULT = "tool_call_id string, content string"
 FIRST = -(2**63)  # the place of a null turn
+IDS = ["conv_id", "call_id"]
+#: Ids that more rows than this name are put in order by several tasks.
+LARGEST_GROUP = 100_000
 
 
 def parse_calls(messages: DataFrame) -> DataFrame:
@@ -39,44 +42,96 @@ def parse_results(messages: DataFrame) -> DataFrame:
     return one.select("conv_id", F.col("r.tool_call_id").alias("call_id"), F.col("turn").alias("result_turn"), F.col("r.content").alias("result"))
 
 
-def _numbered(calls: DataFrame) -> DataFrame:
+def _hot(calls: DataFrame, results: DataFrame, largest: int) -> DataFrame | None:
+    """conv_id, call_id of the ids that more than ``largest`` calls, results and dependencies name together; None if there are none."""
+    asked = calls.select("conv_id", F.explode(F.array_distinct("depends_on")).alias("call_id"))
+    every = calls.select(*IDS).unionByName(results.select(*IDS)).unionByName(asked).where("call_id IS NOT NULL")
+    hot = materialize(every.groupBy(*IDS).agg(F.count("*").alias("n")).where(F.col("n") > largest).select(*IDS), "hot")
+    return None if hot.isEmpty() else hot
+
+
+def _cut(rows: DataFrame, hot: DataFrame | None, order: list[str]) -> DataFrame:
+    """``rows`` with part: -1, but for the ids of ``hot``, whose rows are cut into ranges of ``order`` (numbered along it), so that no task orders all rows of one id."""
+    if hot is None:
+        return rows.withColumn("part", F.lit(-1))
+    ranges = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    many = rows.join(hot, IDS, "left_semi").repartitionByRange(ranges, *IDS, *order).withColumn("part", F.spark_partition_id())
+    return rows.join(hot, IDS, "left_anti").withColumn("part", F.lit(-1)).unionByName(materialize(many, "ranges"))
+
+
+def _ranked(rows: DataFrame, keys: list[str], order: list[str], hot: DataFrame | None, name: str, whole: str | None = None) -> DataFrame:
+    """``rows`` of _cut() with their number among those of ``keys`` and, as ``whole``, how many these are.
+
+    A group that lies in several ranges goes on counting where the range before ends; the
+    sums that this takes have a row for each range of a group.
+    """
+    by_key = Window.partitionBy(*keys, "part")
+    rows = rows.withColumn(name, F.row_number().over(by_key.orderBy(*order)).cast("long"))
+    rows = rows.withColumn(whole, F.count("*").over(by_key)) if whole else rows
+    if hot is None:
+        return rows
+    by_range = Window.partitionBy(*keys)
+    sums = rows.where("part >= 0").groupBy(*keys, "part").agg(F.count("*").alias("n"))
+    sums = sums.select(*keys, "part", F.sum("n").over(by_range.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.sum("n").over(by_range).alias("all"))
+    rows = rows.join(sums, [*keys, "part"], "left").withColumn(name, F.col(name) + F.coalesce("before", F.lit(0)))
+    return (rows.withColumn(whole, F.coalesce("all", whole)) if whole else rows).drop("before", "all")
+
+
+def _numbered(calls: DataFrame, hot: DataFrame | None) -> DataFrame:
     """``calls`` with occurrence, their number among the calls of their id, i, that within the turn, and times, how many calls have the id; a call without an id is alone."""
-    by_id = Window.partitionBy("conv_id", "call_id", "lone")
-    calls = calls.withColumn("lone", F.when(F.col("call_id").isNull(), F.col("node")))
-    calls = calls.withColumn("occurrence", F.row_number().over(by_id.orderBy("of", "call_no", "name", "digest", "node"))).withColumn("times", F.count("*").over(by_id))
-    return calls.withColumn("i", F.col("occurrence") - F.min("occurrence").over(Window.partitionBy("conv_id", "call_id", "lone", "of")) + 1).drop("lone")
+    order = ["of", "call_no", "name", "digest", "node"]
+    one = F.lit(1).cast("long")
+    named = _ranked(_cut(calls.where("call_id IS NOT NULL"), hot, order), IDS, order, hot, "occurrence", "times")
+    named = _ranked(named, [*IDS, "of"], order[1:], hot, "i").drop("part")
+    return named.unionByName(calls.where("call_id IS NULL").withColumns({"occurrence": one, "i": one, "times": one}))
 
 
-def _placed(results: DataFrame, calls: DataFrame) -> DataFrame:
+def _placed(results: DataFrame, calls: DataFrame, hot: DataFrame | None) -> DataFrame:
     """``results`` with of, the turn whose calls they answer, and i, their number among its results.
 
     That is the last turn up to the result's own with a call of the id, or the id's first one; null for an id without calls.
     """
-    places = calls.where("call_id IS NOT NULL").select("conv_id", "call_id", F.col("of").alias("t"), F.lit(0).alias("kind")).distinct()
+    places = calls.where("call_id IS NOT NULL").select(*IDS, F.col("of").alias("t"), F.lit(0).alias("kind")).distinct()
     both = results.withColumn("t", F.coalesce("result_turn", F.lit(FIRST))).withColumn("kind", F.lit(1)).unionByName(places, allowMissingColumns=True)
-    by_id = Window.partitionBy("conv_id", "call_id")
+    both = _cut(both, hot, ["t", "kind", "head", "digest", "answer"])
+    by_id = Window.partitionBy(*IDS, "part")
     turn = F.when(F.col("kind") == 0, F.col("t"))
-    both = both.withColumn("of", F.coalesce(F.last(turn, ignorenulls=True).over(by_id.orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.min(turn).over(by_id)))
-    return both.where("kind = 1").withColumn("i", F.row_number().over(Window.partitionBy("conv_id", "call_id", "of").orderBy("t", "head", "digest", "answer"))).drop("t", "kind")
-
-
-def _graph(calls: DataFrame) -> DataFrame:
+    last, first = F.last(turn, ignorenulls=True).over(by_id.orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.min(turn).over(by_id)
+    if hot is None:
+        both = both.withColumn("of", F.coalesce(last, first))
+    else:
+        by_range = Window.partitionBy(*IDS)
+        ends = both.where("part >= 0").groupBy(*IDS, "part").agg(F.max(turn).alias("top"), F.min(turn).alias("low"))
+        ends = ends.select(*IDS, "part", F.max("top").over(by_range.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"), F.min("low").over(by_range).alias("lowest"))
+        both = both.withColumn("last", last).withColumn("first", first).join(ends, [*IDS, "part"], "left").withColumn("of", F.coalesce("last", "carried", "lowest", "first")).drop("last", "first", "carried", "lowest")
+    return _ranked(both.where("kind = 1"), [*IDS, "of"], ["t", "head", "digest", "answer"], hot, "i").drop("t", "kind", "part")
+
+
+def _graph(calls: DataFrame, hot: DataFrame | None) -> DataFrame:
     """conv_id, call_id, depends_on in terms of node: a repeated id stands for its last call before the one that depends on it, or else its first.
 
     ``calls`` are those of _numbered().  Calls without an id are in it too: nothing can depend on
     them, but they may depend on others.  Ids that one call has are found by a
     join, which can be split where many calls need one; only repeated ids are put in order.
     """
-    provided = calls.where("call_id IS NOT NULL").select("conv_id", "call_id", "times", "of", "call_no", "node")
+    provided = calls.where("call_id IS NOT NULL").select(*IDS, "times", "of", "call_no", "node")
     asked = calls.where("size(depends_on) > 0").select("conv_id", F.explode(F.array_distinct("depends_on")).alias("call_id"), "of", "call_no", "node").where("call_id IS NOT NULL")
-    single = asked.select("conv_id", "call_id", "node").join(provided.where("times = 1").select("conv_id", "call_id", F.col("node").alias("needed")), ["conv_id", "call_id"]).select("node", "needed")
+    single = asked.select(*IDS, "node").join(provided.where("times = 1").select(*IDS, F.col("node").alias("needed")), IDS).select("node", "needed")
     again = provided.where("times > 1").drop("times").withColumn("kind", F.lit(1))
-    both = asked.join(again.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_semi").withColumn("kind", F.lit(0)).unionByName(again)
-    order = Window.partitionBy("conv_id", "call_id").orderBy("of", "call_no", "kind", "node")
+    both = asked.join(again.select(*IDS).distinct(), IDS, "left_semi").withColumn("kind", F.lit(0)).unionByName(again)
+    both = _cut(both, hot, ["of", "call_no", "kind", "node"])
+    order = Window.partitionBy(*IDS, "part").orderBy("of", "call_no", "kind", "node")
     node = F.when(F.col("kind") == 1, F.col("node"))
     whole, before = (order.rowsBetween(Window.unboundedPreceding, end) for end in (Window.unboundedFollowing, Window.currentRow))
-    both = both.withColumn("needed", F.coalesce(F.last(node, ignorenulls=True).over(before), F.first(node, ignorenulls=True).over(whole))).where("kind = 0")
-    needs = single.unionByName(both.select("node", "needed")).groupBy("node").agg(F.collect_set(F.col("needed").cast("string")).alias("needs"))  # no longer than the call's own list
+    last, first = F.last(node, ignorenulls=True).over(before), F.first(node, ignorenulls=True).over(whole)
+    if hot is None:
+        both = both.withColumn("needed", F.coalesce(last, first))
+    else:
+        by_range, place = Window.partitionBy(*IDS), F.when(F.col("kind") == 1, F.struct("of", "call_no", "node"))
+        ends = both.where("part >= 0").groupBy(*IDS, "part").agg(F.max(place).alias("top"), F.min(place).alias("low"))
+        ends = ends.select(*IDS, "part", F.max("top").over(by_range.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))["node"].alias("carried"), F.min("low").over(by_range)["node"].alias("lowest"))
+        both = both.withColumn("last", last).withColumn("first", first).join(ends, [*IDS, "part"], "left").withColumn("needed", F.coalesce("last", "carried", "lowest", "first"))
+    needs = single.unionByName(both.where("kind = 0").select("node", "needed")).groupBy("node").agg(F.collect_set(F.col("needed").cast("string")).alias("needs"))  # no longer than the call's own list
     return calls.select("conv_id", "node").join(needs, "node", "left").select("conv_id", F.col("node").cast("string").alias("call_id"), F.coalesce("needs", F.array().cast("array<string>")).alias("depends_on"))
 
 
@@ -176,7 +231,7 @@ def with_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return own.withColumn("errors", F.when(F.col("wanted").isNull(), "tool").when(F.col("given").isNull(), "json").otherwise(found)).drop("given", "wanted")
 
 
-def link_all(messages: DataFrame, schemas: DataFrame) -> DataFrame:
+def link_all(messages: DataFrame, schemas: DataFrame, largest: int = LARGEST_GROUP) -> DataFrame:
     """One row for each call and each result without one: conv_id, turn, call_no, call_id, name, level, valid, errors, result_turn, result, record, occurrence.
 
     (level, turn, call_no) orders a conversation's calls topologically; calls on a cycle
@@ -191,15 +246,17 @@ def link_all(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     level of its own and no result.  Texts of any length are handled row by row.
 
     Ids, turns and dependencies are worked out on rows without texts; arguments and results join in at the end.
+    An id that more than ``largest`` rows of one conversation name is ordered in ranges, with the same result.
     """
     parsed = with_errors(parse_calls(messages), schemas)
     calls = materialize(parsed.withColumn("digest", F.xxhash64("arguments")).withColumn("node", F.monotonically_increasing_id()).withColumn("of", F.coalesce("turn", F.lit(FIRST))), "calls")
     results = materialize(parse_results(messages).withColumn("answer", F.monotonically_increasing_id()), "results")
     light = calls.select("conv_id", "call_id", "of", "call_no", "name", "digest", "node", "depends_on")
-    numbered = materialize(_numbered(light).drop("name", "digest"), "numbered")
-    level = levels(_graph(numbered)).select(F.col("call_id").cast("long").alias("node"), "level")
+    hot = _hot(light, results, largest)
+    numbered = materialize(_numbered(light, hot).drop("name", "digest"), "numbered")
+    level = levels(_graph(numbered, hot)).select(F.col("call_id").cast("long").alias("node"), "level")
     numbered = numbered.select("conv_id", "call_id", "of", "i", "node", "occurrence").join(level, "node", "left")
-    placed = _placed(results.select("conv_id", "call_id", "result_turn", F.substring("result", 1, 64).alias("head"), F.xxhash64("result").alias("digest"), "answer"), light).drop("result_turn", "head", "digest")
+    placed = _placed(results.select("conv_id", "call_id", "result_turn", F.substring("result", 1, 64).alias("head"), F.xxhash64("result").alias("digest"), "answer"), light, hot).drop("result_turn", "head", "digest")
     linked = materialize(numbered.join(placed, ["conv_id", "call_id", "of", "i"], "full_outer").select("node", "answer", "level", "occurrence", F.when(F.col("of").isNull(), "orphan").otherwise("duplicate").alias("alone")), "linked")
     texts = results.select("answer", "result_turn", "result")
     found = calls.join(linked.where("node IS NOT NULL").drop("alone"), "node").join(texts, "answer", "left")
