@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokentally.llm.shared import Codes, hash64, mix64, per_process, remainder, segment_sums, segments, split_words
+from tokentally.llm.shared import Codes, hash64, mix64, per_process, release, remainder, segment_sums, segments, split_words
 from tokentally.llm.supervised import Sample, keep_scored, sigmoid, training_sample, with_scores
 
 BITS = 18
@@ -74,7 +74,7 @@ def fit(sample: Sample, alpha: float = 0.5, beta: float = 1e-4, l1: float = 1e-4
     size = 1 << BITS
     z, s = np.zeros(size), np.zeros(size)
     zb = sb = bias = 0.0
-    rows: list[tuple[np.ndarray, np.ndarray]] = []
+    rows: list[tuple[np.ndarray, np.ndarray, int]] = []  # weights, how often each occurs, and the number of words; in 32 bits, which halves what the driver holds
     for i in range(0, len(sample.texts), 256):
         part = sample.texts[i : i + 256]
         groups, n = features(part)
@@ -83,7 +83,7 @@ def fit(sample: Sample, alpha: float = 0.5, beta: float = 1e-4, l1: float = 1e-4
         index, starts = index[order], segments(np.bincount(doc, minlength=len(part)))
         for k in range(len(part)):
             at, count = np.unique(index[starts[k] : starts[k + 1]], return_counts=True)
-            rows.append((at, count / max(1, n[k])))
+            rows.append((at.astype(np.int32), count.astype(np.int32), max(1, int(n[k]))))
 
     def current(zi: np.ndarray, si: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(si)) / alpha + l2))
@@ -91,7 +91,8 @@ def fit(sample: Sample, alpha: float = 0.5, beta: float = 1e-4, l1: float = 1e-4
     rng = np.random.default_rng(11)
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):
-            at, x = rows[k]
+            at, count, words = rows[k]
+            x = count / words
             w = current(z[at], s[at])
             p = sigmoid(np.array(bias + w @ x))
             g = float(p - sample.labels[k])
@@ -108,8 +109,9 @@ def fit(sample: Sample, alpha: float = 0.5, beta: float = 1e-4, l1: float = 1e-4
 
 def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> QualityModel:
     """Fit on a bounded sample (training_sample()) of rows outside the held-out fold.  Without labels every score is that of the bias, 0.5."""
-    sample = training_sample(docs, labels, "quality", FOLDS, HELD_OUT, per_class)
-    return fit(sample)
+    model = fit(training_sample(docs, labels, "quality", FOLDS, HELD_OUT, per_class))
+    release("quality codes")
+    return model
 
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:

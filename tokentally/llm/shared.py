@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import re
 import shutil
@@ -12,6 +14,7 @@ import zipfile
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,6 +158,16 @@ def per_process(key, make: Callable):
     return _PROCESS[key]
 
 
+def release(key) -> None:
+    """Forget a value of per_process() and give what the process has freed back to the system: a driver that has trained a model goes on for hours with other memory needs."""
+    _PROCESS.pop(key, None)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective 64-bit mixer, vectorised."""
     with np.errstate(over="ignore"):
