@@ -273,6 +273,23 @@ def test_language_model_folds(spark, documents, words):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total) and r.base_score == pytest.approx(base) and r.score == pytest.approx(plain_ppm(train, text))
 
 
+def test_a_worker_holds_little_of_the_model(spark, documents):
+    """Each worker of an executor has a whole part of the trie: under 90 bytes a string at a load of one half, keys held once; counts are shuffled without a table of them in each task."""
+    r = np.random.default_rng(8)
+    keys = np.unique(r.integers(1, 1 << 63, 3000, dtype=np.uint64))
+    table, absent = ppm.Lookup(keys), np.setdiff1d(r.integers(1, 1 << 63, 3000, dtype=np.uint64), keys)
+    assert table.find(keys).tolist() == list(range(len(keys))) and set(table.find(absent).tolist()) == {-1} and ppm.Lookup(keys[:0]).find(keys[:2]).tolist() == [-1, -1]
+    strings, counts = ppm.count_grams(["".join(chr(97 + k) for k in r.integers(0, 26, 65_536)).encode() for _ in range(4)])
+    trie = ppm.Trie(strings, counts, np.bincount((strings & np.uint64(ppm.MASK)).astype(int), weights=counts, minlength=1 << ppm.BITS))
+    trie.score(strings[:9])
+    arrays = [x for level in trie.levels for v in level.values() for x in (vars(v).values() if isinstance(v, ppm.Lookup) else [v])]
+    top = [x for v in trie.levels[ppm.ORDER].values() for x in (vars(v).values() if isinstance(v, ppm.Lookup) else [v])]
+    size = lambda xs: sum(x.nbytes for x in xs if isinstance(x, np.ndarray))
+    assert size(top) < 90 * len(strings) and size(arrays) < 180 * len(strings)
+    plan = ppm.corpus_counts(documents([(1, "a b")]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("HashAggregate") < plan.index("Exchange") and "HashAggregate" not in plan[plan.index("Exchange") :]
+
+
 def test_language_model_without_data(spark, documents):
     none = documents([])
     assert ppm.score_documents(none, none).count() == 0

@@ -23,30 +23,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokentally.llm.shared import materialize, prepare, remainder, segment_sums, word_hashes
+from tokentally.llm.shared import give_back, materialize, prepare, remainder, segment_sums, word_hashes
 
 ORDER, BITS, END, SYMBOLS = 5, 9, 257, 257
 FOLDS, HELD_OUT = 10, 0
 MASK = (1 << BITS) - 1
 #: Rows of one broadcast; beyond it the tables are split and the documents scored once for each part.
 LARGEST_WORDS, LARGEST_TRIE = 1 << 22, 1 << 22
-_EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Bytes that are scored at once; a longer document is scored whole.
+_AT_ONCE = 1 << 18
 
 
 class Lookup:
-    """Open addressing over 64-bit keys, probed for whole arrays at a time."""
+    """Open addressing over distinct 64-bit keys, probed for whole arrays at a time.  Slots hold rows only, keys stand once."""
 
     def __init__(self, keys: np.ndarray):
         self.bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())
-        self.keys = np.full(1 << self.bits, _EMPTY, dtype=np.uint64)
+        self.keys = keys
         self.rows = np.full(1 << self.bits, -1, dtype=np.int32)
         left, at = np.arange(len(keys), dtype=np.int32), self._slot(keys)
         while len(left):
-            free = self.keys[at] == _EMPTY
+            free = self.rows[at] < 0
             self.rows[at[free]] = left[free]
             won = free & (self.rows[at] == left)
-            self.keys[at[won]] = keys[left[won]]
-            left, at = left[~won], (at[~won] + 1) & (len(self.keys) - 1)
+            left, at = left[~won], (at[~won] + 1) & (len(self.rows) - 1)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -54,17 +54,20 @@ class Lookup:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The row of each key, -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, dtype=np.int32)
         at = self._slot(keys)
-        held = self.keys[at]
-        out = np.where(held == keys, self.rows[at], -1)
-        left = np.flatnonzero((held != keys) & (held != _EMPTY))
+        row = self.rows[at]  # at a free slot -1, the last key, which can't be the one that is sought
+        hit = self.keys[row] == keys
+        out = np.where(hit, row, np.int32(-1))
+        left = np.flatnonzero(~hit & (row >= 0))
         at = at[left]
         while len(left):
-            at = (at + 1) & (len(self.keys) - 1)
-            held = self.keys[at]
-            hit = held == keys[left]
-            out[left[hit]] = self.rows[at[hit]]
-            on = ~hit & (held != _EMPTY)
+            at = (at + 1) & (len(self.rows) - 1)
+            row = self.rows[at]
+            hit = self.keys[row] == keys[left]
+            out[left[hit]] = row[hit]
+            on = ~hit & (row >= 0)
             left, at = left[on], at[on]
         return out
 
@@ -103,8 +106,18 @@ def count_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(back, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
+    keys = np.concatenate([p[0] for p in parts])
+    if not len(keys):
+        return keys, np.zeros(0, np.int64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(np.concatenate([p[1] for p in parts])[order], first)
+
+
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits, where they fit."""
+    return counts.astype(np.int32) if not len(counts) or counts.max() < 1 << 31 else counts
 
 
 class Trie:
@@ -146,7 +159,7 @@ class Trie:
             ctx, at = ctx[new], np.cumsum(new, dtype=np.int32) - 1
             total = np.bincount(at, weights=n, minlength=len(ctx))
             distinct = np.bincount(at, minlength=len(ctx)).astype(np.float64)
-            level = {"gram": Lookup(gram), "ctx": Lookup(ctx), "n": n.astype(np.float64), "of": at, "escape": np.log10(np.maximum(distinct, 1) / 2) - np.log10(np.maximum(total, 1)), "total": total, "distinct": distinct}
+            level = {"gram": Lookup(gram), "ctx": Lookup(ctx), "n": narrow(n), "of": at, "escape": np.log10(np.maximum(distinct, 1) / 2) - np.log10(np.maximum(total, 1)), "total": total, "distinct": distinct}
             level["first"] = np.log10(n - 0.5) - np.log10(np.maximum(total, 1))[at]
             if k:  # what is left in the shorter context without what this one has seen
                 low = np.uint64((1 << BITS * k) - 1)
@@ -165,8 +178,9 @@ class Trie:
         for level in self.levels:  # row -1 stands for what a level doesn't know, also where it is empty
             for name in ("n", "first", "escape", "left", "left_escape"):
                 if name in level:
-                    level[name] = np.append(level[name], 1.0)
+                    level[name] = np.append(level[name], level[name].dtype.type(1))
         self.uniform = -np.log10(max(1, SYMBOLS - len(seen)))
+        give_back()
 
     def score(self, g: np.ndarray) -> np.ndarray:
         """log10 of each symbol's probability after its context."""
@@ -211,7 +225,7 @@ class Words:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, low: int, high: int, n: int, v: int):
         order = np.argsort(keys)
-        self.keys, self.counts = keys[order], np.append(counts[order], 0)  # the last row stands for unknown words
+        self.keys, self.counts = keys[order], np.append(narrow(counts)[order], np.int32(0))  # the last row stands for unknown words
         self.low, self.high, self.n, self.v = low, high, n, v
 
     def rows(self, hashes: np.ndarray) -> np.ndarray:
@@ -265,8 +279,11 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
                 yield from rows(kind, *part)
         if ends:
             yield from rows(0, np.zeros(1, np.uint64), np.array([ends]))
+        held.clear()
+        give_back()  # the same process scores afterwards
 
-    return docs.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    # The tasks' counts are sums already: they are dealt out as they are, without another table of them in each task's heap.
+    return docs.select("text").mapInArrow(run, "kind int, key long, n long").repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -407,9 +424,9 @@ def _scored(ids: DataFrame, shared) -> DataFrame:
         model, own = shared.value[1]
         out, at = np.zeros(len(texts)), 0
         raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-        while at < len(raw):  # parts of about a million bytes bound the memory
+        while at < len(raw):  # parts bound the memory
             to, size = at, 0
-            while to < len(raw) and (to == at or size + len(raw[to]) < 1_000_000):
+            while to < len(raw) and (to == at or size + len(raw[to]) < _AT_ONCE):
                 size += len(raw[to])
                 to += 1
             s, starts = symbols(raw[at:to])

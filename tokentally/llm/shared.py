@@ -159,8 +159,13 @@ def per_process(key, make: Callable):
 
 
 def release(key) -> None:
-    """Forget a value of per_process() and give what the process has freed back to the system: a driver that has trained a model goes on for hours with other memory needs."""
+    """Forget a value of per_process() and give its memory back: a driver that has trained a model goes on for hours with other memory needs."""
     _PROCESS.pop(key, None)
+    give_back()
+
+
+def give_back() -> None:
+    """Give what the process has freed back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
