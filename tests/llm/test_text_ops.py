@@ -120,6 +120,27 @@ def test_toxicity_by_a_plain_forward_pass(words):
     assert set(model.thresholds) <= {"en", "de"} and "rare" not in model.thresholds and toxicity._threshold(scores, told * 0) == 0.3
 
 
+def test_toxicity_learns_from_all_rows(spark, documents, words, monkeypatch):
+    """Over 3,000 documents of a label and very long ones too, in several shards; counts and the threshold by brute force."""
+    monkeypatch.setattr(toxicity, "SHARD", 1500)
+    rng = random.Random(12)
+    rows = [(i, " ".join([f"w{rng.randrange(2500)}x", *rng.choices(words[:50], k=4), *(["vile"] if i % 10 == 0 else [])])) for i in range(6400)]
+    rows += [(i, "plain " * 20_000 + f"long{i % 2}") for i in range(7000, 7012)]
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    docs = documents(rows)
+    codes = toxicity.coded(supervised.labelled_texts(docs, labels, "toxic", 4, 2)).collect()
+    assert {r.doc_id for r in codes} == {i for i, _ in rows if remainder_of(i, 4) != 2} and sum(not r.label for r in codes) > 4000
+    texts, own = dict(rows), [r for r in codes if not r.calibrates]
+    model = toxicity.train_toxicity(docs, labels)
+    assert model.trained == tuple(sum(r.label == v for r in own) for v in (0, 1)) and sum(model.trained) > 3000
+    held = Counter(c for r in own for c in {toxicity._code(w) for w in split_words(texts[r.doc_id])})
+    assert {c for c in held if model.rows[c] > 1} == {c for c, n in held.items() if n >= toxicity.LEAST_DOCS}
+    rest = [r for r in codes if r.calibrates]
+    scores, told = model.score([texts[r.doc_id] for r in rest]), np.array([r.label for r in rest])
+    assert scores == pytest.approx(model.score_codes([np.frombuffer(bytes(r.codes), dtype=np.int32) for r in rest]), abs=1e-6)
+    assert ((scores >= model.threshold) == (told == 1)).mean() > 0.99 and ((scores >= 0.3) == (told == 1)).mean() > 0.99
+
+
 def test_classifiers_without_a_label_or_a_language(spark, documents, words):
     rows = documents([(i, " ".join(words[i : i + 9])) for i in range(60)] + [(70, None), (71, ""), (72, "x " * 50_000)]).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.lit(None)))
     ones = spark.createDataFrame([(i, 1, 1) for i in range(60)], "doc_id long, toxic int, quality int")

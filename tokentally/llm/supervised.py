@@ -1,4 +1,4 @@
-"""Bounded labelled samples and batch scoring that both classifiers use."""
+"""Labelled texts, bounded samples of them, and batch scoring."""
 
 from __future__ import annotations
 
@@ -36,6 +36,21 @@ class Sample:
         return math.log(t[1] / t[0]) - math.log(n[1] / n[0])
 
 
+def labels_outside(labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
+    """doc_id, label (0 or 1) outside the held-out fold.  Null ids and labels are skipped; of several labels of one id the largest holds."""
+    told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (remainder(F.col("doc_id"), folds) != held_out))
+    return told.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
+    """doc_id, label, text, lang of all labelled documents outside the held-out fold, whole: a row for each id, of several with one id the smallest text."""
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(lang.cast("string"), F.lit("")).alias("lang"))
+    # One row for each id, summed up before the shuffle, and joined where it lies then.
+    texts = texts.where(F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), folds) != held_out)).groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("t"))
+    return texts.join(labels_outside(labels, label, folds, held_out), "doc_id").select("doc_id", "label", "t.text", "t.lang")
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int = 2000, max_chars: int = 100_000, class_chars: int = 25_000_000) -> Sample:
     """The labelled documents with the smallest hashes of their ids, outside the held-out fold.
 
@@ -46,8 +61,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     that repeated ids don't count more.  What comes to the driver is bounded by that.
     """
     prepare(docs.sparkSession)
-    told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (remainder(F.col("doc_id"), folds) != held_out))
-    told = told.groupBy("doc_id").agg(F.max("label").alias("label"))
+    told = labels_outside(labels, label, folds, held_out)
     totals = {r.label: r.n for r in told.groupBy("label").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64(F.col("doc_id"), F.lit(7)), F.col("doc_id")]
     chosen = told.where("label = 0").orderBy(*order).limit(per_class).unionByName(told.where("label = 1").orderBy(*order).limit(per_class))
