@@ -81,6 +81,18 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokentally.llm.divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokentally.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,13 +100,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_vp_tree_neighbours, op2_best_fit_packing, op3_tool_calls, op4_toxicity, op5_decontamination, op6_language_model, op7_quality, op8_minhash_dedup, op9_pii_pseudonyms, op10_token_files, pipeline)}
+    return {f.__name__: f for f in (op1_vp_tree_neighbours, op2_best_fit_packing, op3_tool_calls, op4_toxicity, op5_decontamination, op6_language_model, op7_quality, op8_minhash_dedup, op9_pii_pseudonyms, op10_token_files, op11_source_divergence, op12_spelling_variants, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from tokentally.llm.divergence import SQL as DIVERGENCE_SQL
     from tokentally.llm.toolcalls import SQL
 
-    return {"op1_vp_tree_neighbours": OP1_SQL, "op3_tool_calls": SQL, "op8_minhash_dedup": OP8_SQL}
+    return {"op11_source_divergence": DIVERGENCE_SQL, "op1_vp_tree_neighbours": OP1_SQL, "op3_tool_calls": SQL, "op8_minhash_dedup": OP8_SQL}
 
 
 _VALID = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
