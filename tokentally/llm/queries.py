@@ -93,6 +93,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokentally.llm.urlfilter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,7 +106,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_vp_tree_neighbours, op2_best_fit_packing, op3_tool_calls, op4_toxicity, op5_decontamination, op6_language_model, op7_quality, op8_minhash_dedup, op9_pii_pseudonyms, op10_token_files, op11_source_divergence, op12_spelling_variants, pipeline)}
+    return {f.__name__: f for f in (op1_vp_tree_neighbours, op2_best_fit_packing, op3_tool_calls, op4_toxicity, op5_decontamination, op6_language_model, op7_quality, op8_minhash_dedup, op9_pii_pseudonyms, op10_token_files, op11_source_divergence, op12_spelling_variants, op13_url_filter, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
