@@ -40,21 +40,44 @@ def fold(rows):
     return kept
 
 
-@pytest.mark.parametrize("fold_rows", [1000, 2])
-def test_best_records(spark, monkeypatch, fold_rows):
-    monkeypatch.setattr(dedup, "FOLD_ROWS", fold_rows)
+@pytest.mark.parametrize("combine", [False, True])
+def test_best_records(spark, combine):
     rng = random.Random(4)
     rows, want = [], set()
-    for m in range(150):
-        own = [(f"r{rng.randrange(3)}", rng.random() < 0.4, rng.randrange(1, 5), rng.choice([None, "fast"])) for _ in range(rng.randrange(1, 7))]
-        rows += [(f"m{m}", *r, m * 10 + i) for i, r in enumerate(own)]
+    for m in range(600):
+        own = [(f"r{rng.randrange(4)}", rng.random() < 0.4, rng.randrange(1, 5), rng.choice([None, "fast"])) for _ in range(rng.randrange(1, rng.choice([4, 9, 30])))]
+        rows += [(f"m{m}", *r, m * 100 + i) for i, r in enumerate(own)]
         want |= {(f"m{m}", *r) for r in fold(own)}
-    rows += [(None, None, False, 1, None, 9990), (None, None, False, 1, None, 9991), ("", None, None, 1, None, 9992)]
-    got = dedup.best_records(usage(spark, rows, "message_id string, request_id string, is_sidechain boolean, input_tokens long, speed string, row_id long"), ("row_id",)).collect()
+    rows += [(None, None, False, 1, None, 99990), (None, None, False, 1, None, 99991), ("", None, None, 1, None, 99992)]
+    got = dedup.best_records(usage(spark, rows, "message_id string, request_id string, is_sidechain boolean, input_tokens long, speed string, row_id long"), ("row_id",), combine).collect()
     assert {(r.message_id, r.request_id, r.is_sidechain, r.input_tokens, r.speed) for r in got if r.message_id} == want
     assert sum(1 for r in got if not r.message_id) == 3
 
 
+def test_best_records_scan_and_shuffle_once(spark, tmp_path):
+    """One scan, one exchange, no Python; also where Claude's lines are parsed."""
+    from tokentally.sources.claude import ClaudeSource
+
+    u = usage(spark, [("m", "r", 1, 1)], "message_id string, request_id string, input_tokens long, row_id long")
+    u.write.parquet(str(tmp_path / "u"))
+    (tmp_path / "projects" / "p").mkdir(parents=True)
+    (tmp_path / "projects" / "p" / "s.jsonl").write_text("{}\n")
+    for df in (dedup.best_records(spark.read.parquet(str(tmp_path / "u"))), ClaudeSource().read(spark, paths=[str(tmp_path / "projects")])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and plan.count(" Exchange ") == 1 and "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("combine", [False, True])
+def test_message_of_many_requests(spark, combine):
+    """Time and memory go with the records, not with their square: 100,000 requests of one message, with side chains in between."""
+    n = 100_000
+    rows = spark.range(2 * n).select(F.lit("m").alias("message_id"), F.concat(F.lit("r"), (F.col("id") % n).cast("string")).alias("request_id"), (F.col("id") % 1000 == 999).alias("is_sidechain"), F.lit(1).alias("input_tokens"), F.col("id").alias("row_id"))
+    got = dedup.best_records(canonical(rows), ("row_id",), combine).agg(F.count("*"), F.count_if("is_sidechain"), F.sum("row_id")).first()
+    kept = fold([(f"r{i % n}", i % 1000 == 999, 1, None) for i in range(2 * n) if i % 1000 in (998, 999)])
+    others = n - n // 1000 * 2
+    assert got[0] == others + len(kept) and got[1] == sum(k[1] for k in kept) == 1
+
+
 def test_known_fold(spark):
     rows = [("m", "r1", True, 10, 0), ("m", "r2", True, 5, 1), ("m", "r1", False, 3, 2), ("m", "r9", False, 3, 3), ("m", "r2", True, 99, 4)]
     got = dedup.best_records(usage(spark, rows, "message_id string, request_id string, is_sidechain boolean, input_tokens long, row_id long"), ("row_id",)).collect()

@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokentally.schema import ORDER
 
-#: Messages of up to this many records are merged as one array; others are read in order.
-FOLD_ROWS = 1_000
-
-
 def total_tokens() -> Column:
     return sum((F.col(c) for c in ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "extra_tokens")), F.lit(0))
 
@@ -23,78 +16,59 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataF
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def best_records(usage: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
-    """One record for each (message, request).
+def best_records(usage: DataFrame, order: tuple[str, ...] = ORDER, combine: bool = False) -> DataFrame:
+    """One record for each (message, request), in one scan and one shuffle by message.
 
     The main conversation's wins over a side chain's, then more tokens, then a known
     speed, then the earlier one.  Records without a message id all stay.  A side
     chain's record without a match of its own merges with the first side-chain
-    record of its message; since that depends on the order, messages with a side chain and
-    several requests are folded in order, all others are a grouping that is summed up
-    before the shuffle.
+    record of its message, which depends on the order (``order`` places all records).
+
+    That merge is: main records keep one for each request, whatever side chains do.  A message has one
+    side-chain record at a time.  Those whose request has had a main record are dropped, the others compete to
+    be it, and the first main record of its request puts an end to it.  Between two such first records the
+    best side-chain record is all that counts, so a message comes down to one main record for each
+    request and one side-chain record for each stretch between them; windows find these, and spill.  Only where a message has side
+    chains is that list, of main records just (place, request), gathered and gone through, once.
+
+    ``combine`` sums up the main records of each request before they are shuffled by message: a second shuffle, but
+    worthwhile where requests repeat very often, and for a message that holds very many of all records.
     """
-    keyed = usage.withColumn("_rid", F.coalesce("request_id", F.lit(""))).withColumn("_side", F.coalesce("is_sidechain", F.lit(False)))
     none = F.col("message_id").isNull() | (F.col("message_id") == "")
-    some = keyed.where(~none)
-    mixed = some.groupBy("message_id").agg(F.bool_or("_side").alias("s"), F.min("_rid").alias("lo"), F.max("_rid").alias("hi"), F.count("*").alias("n")).where("s AND lo != hi").select("message_id", "n")
-    rank = F.struct(F.col("_side"), -total_tokens(), F.col("speed").isNull(), *order)
-    plain = some.join(mixed, "message_id", "left_anti").groupBy("message_id", "_rid").agg(F.min_by(F.struct(*usage.columns), rank).alias("r")).select("r.*")
-    folded = _fold(some.join(mixed.where(F.col("n") <= FOLD_ROWS).drop("n"), "message_id"), order)
-    long = _fold_in_order(some.join(mixed.where(F.col("n") > FOLD_ROWS).drop("n"), "message_id"), order, usage.columns)
-    return keyed.where(none).select(*usage.columns).unionByName(plain.select(*usage.columns)).unionByName(folded.select(*usage.columns)).unionByName(long)
-
-
-def _fold(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """The ordered merge of each message's records, FOLD_ROWS at most, as one array aggregation."""
-    fields = [c for c in df.columns if c != "message_id"]
-    row = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col("_rid").alias("rid"), F.col("_side").alias("side"), total_tokens().alias("total"), F.col("speed").isNotNull().alias("fast"), F.struct(*fields).alias("rec"))
-    lists = df.groupBy("message_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    better = "(CASE WHEN {a}.side != {b}.side THEN NOT {a}.side WHEN {a}.total != {b}.total THEN {a}.total > {b}.total ELSE {a}.fast AND NOT {b}.fast END)"
-    better = better.format(a="c", b="acc[{i}]")
-    at = lambda i: f"transform(acc, (x, k) -> CASE WHEN k = {i} AND {better.format(i=i)} THEN c ELSE x END)"
-    same = "cast(array_position(transform(acc, x -> x.rid = c.rid), true) - 1 AS int)"
-    side = "cast(array_position(transform(acc, x -> x.side), true) - 1 AS int)"
-    step = f"CASE WHEN {same} >= 0 THEN {at(same)} WHEN c.side AND size(acc) > 0 AND {side} >= 0 THEN {at(side)} ELSE concat(acc, array(c)) END"
-    folded = lists.select("message_id", F.explode(F.expr(f"aggregate(rows, slice(rows, 1, 0), (acc, c) -> {step})")).alias("r"))
-    return folded.select("message_id", "r.rec.*")
-
-
-def _fold_in_order(df: DataFrame, order: tuple[str, ...], columns: list[str]) -> DataFrame:
-    """The same merge for messages of any number of records: they are read in order, and held are only the records kept so far, one for each request.
-
-    The merge depends on the order, so a message is one task's; Spark sorts, and spills, outside of Python's memory.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    facts = df.withColumn("_total", total_tokens()).withColumn("_fast", F.col("speed").isNotNull())
-    placed = facts.repartition(n, "message_id").sortWithinPartitions("message_id", *order)
-    names = ["message_id", "_rid", "_side", "_total", "_fast"]
-
-    def better(a: tuple, b: tuple) -> bool:
-        return not a[1] if a[1] != b[1] else a[2] > b[2] if a[2] != b[2] else a[3] and not b[3]
-
-    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        message, kept = None, []  # (request, side chain, tokens, known speed, record)
-
-        def out() -> pd.DataFrame:
-            return pd.concat([k[4] for k in kept])[columns]
-
-        for f in frames:
-            for i, (m, *r) in enumerate(f[names].itertuples(index=False, name=None)):
-                if m != message:
-                    if kept:
-                        yield out()
-                    message, kept = m, []
-                at = next((j for j, k in enumerate(kept) if k[0] == r[0]), None)
-                if at is None and r[1]:
-                    at = next((j for j, k in enumerate(kept) if k[1]), None)
-                if at is None:
-                    kept.append((*r, f.iloc[[i]]))
-                elif better(r, kept[at]):
-                    kept[at] = (*r, f.iloc[[i]])
-        if kept:
-            yield out()
-
-    return placed.mapInPandas(merge, placed.select(*columns).schema)
+    flagged = usage.select(
+        F.struct(*usage.columns).alias("rec"), "message_id", F.when(none, F.monotonically_increasing_id()).alias("alone"), F.coalesce("request_id", F.lit("")).alias("rid"), F.coalesce("is_sidechain", F.lit(False)).alias("side"),
+        total_tokens().alias("total"), F.col("speed").isNotNull().alias("fast"), F.struct(*order).alias("place"), F.struct(*order).alias("first"),
+    )
+    message = ["message_id", "alone"]
+    rank = F.struct(-F.col("total"), ~F.col("fast"), F.col("place"))
+    if combine:
+        kept = F.struct("rec", "total", "fast", "place")
+        flagged = flagged.groupBy(*message, "rid", "side", F.when(F.col("side"), F.col("place")).alias("own")).agg(F.min_by(kept, rank).alias("k"), F.min("first").alias("first")).select(*message, "rid", "side", "k.*", "first")
+    placed = flagged.repartition(*message)
+    so_far = Window.partitionBy(*message, "rid").orderBy("first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    mains = F.count_if(~F.col("side")).over(so_far)
+    live = placed.withColumn("opens", ~F.col("side") & (mains == 1)).withColumn("late", F.col("side") & (mains > 0)).where("NOT late")
+    stretch = F.count_if("opens").over(Window.partitionBy(*message).orderBy("first").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    chained = F.bool_or("side").over(Window.partitionBy(*message))
+    at = live.withColumn("stretch", stretch).withColumn("chained", chained)
+    slot = Window.partitionBy(*message, "side", F.when(F.col("side"), F.col("stretch")), F.when(~F.col("side"), F.col("rid")))
+    best = at.withColumn("opened", F.min(F.when(F.col("opens"), F.col("stretch"))).over(slot)).withColumn("n", F.row_number().over(slot.orderBy(rank))).where("n = 1")
+    step = F.struct(F.coalesce("opened", "stretch").alias("stretch"), "side", "rid", "total", "fast", F.when(F.col("side"), F.col("rec")).alias("rec"))
+    copies = F.when(~F.col("chained"), F.array(F.lit(True))).when(F.col("side"), F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False)))
+    dealt = best.select(*message, "rid", "rec", step.alias("step"), F.explode(copies).alias("stays"))
+    dealt = dealt.groupBy(*message, "stays", F.when(F.col("stays"), F.col("rid")).alias("request")).agg(F.min_by("rec", "rid").alias("rec"), F.collect_list(F.when(~F.col("stays"), F.col("step"))).alias("steps"))
+    return dealt.select(F.when(F.col("stays"), F.col("rec")).otherwise(_last_side(dealt, "steps")).alias("rec")).where("rec IS NOT NULL").select("rec.*")
+
+
+def _last_side(df: DataFrame, steps: str) -> Column:
+    """The side-chain record that is left of a message's steps: (stretch, side, request, ...), of which main ones open their stretch."""
+    nothing = F.lit(None).cast(df.schema[steps].dataType.elementType)
+
+    def merge(held: Column, x: Column) -> Column:
+        better = held.isNull() | (x["total"] > held["total"]) | ((x["total"] == held["total"]) & x["fast"] & ~held["fast"])
+        return F.when(x["side"], F.when(better, x).otherwise(held)).otherwise(F.when(held["rid"] == x["rid"], nothing).otherwise(held))
+
+    return F.aggregate(F.array_sort(F.col(steps)), nothing, merge)["rec"]
 
 
 def first_wins(df: DataFrame, key: str, order: list[Column | str]) -> DataFrame:
