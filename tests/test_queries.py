@@ -29,15 +29,39 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(own.oracle_sql()))
-def test_query(spark, duck, name):
-    df = entry.queries()[name](spark, DATA)
+def same(spark, duck, name, data):
+    df = entry.queries()[name](spark, data)
     columns = sorted(df.columns)
     want = duck.sql(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})")
     assert sorted(want.columns) == columns
     assert as_text(df.select(*columns).collect()) == as_text(want.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(own.oracle_sql()))
+def test_query(spark, duck, name):
+    same(spark, duck, name, DATA)
+
+
+BLOCK_QUERIES = ["activity_blocks", "user_blocks", "block_gaps", "burn_rate", "limit_projection", "active_block", "blocks_json", "statusline", "stream_blocks"]
+
+
+@pytest.fixture(scope="module")
+def tied(tmp_path_factory):
+    """Five copies of the events, cut to minutes: most times are shared."""
+    import duckdb
+
+    folder, con = tmp_path_factory.mktemp("tied"), duckdb.connect()
+    con.sql("SET TimeZone = 'UTC'")
+    con.sql(f"COPY (SELECT event_id * 5 + k AS event_id, date_trunc('minute', ts) AS ts, user_id, event_type, value, props FROM '{DATA}/events.parquet', (SELECT unnest(range(5)) AS k)) TO '{folder}/events.parquet'")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    return con, str(folder)
+
+
+@pytest.mark.parametrize("name", BLOCK_QUERIES)
+def test_blocks_of_tied_times(spark, tied, name):
+    same(spark, tied[0], name, tied[1])
+
+
 def test_names():
     assert set(own.oracle_sql()) == set(own.queries())
 

@@ -12,7 +12,7 @@ from tokentally import render
 from tokentally.functions import dates, text
 from tokentally.operators import blocks, dedup, report
 from tokentally.plans import pricing
-from tokentally.queries import _GLOBAL, _drained, _stream, events, global_blocks, money, prices, query
+from tokentally.queries import _GLOBAL, _HUMAN, _drained, _stream, events, global_blocks, money, prices, query
 from tokentally.session import scratch
 from tokentally.sources import claude, codex, files, generic, opencode
 from tokentally.sources.tables import events_usage, table
@@ -399,7 +399,7 @@ def registered_sources(spark, d):
 
 
 @query(_GLOBAL + """, a AS (SELECT models, cost, tokens AS n, CAST((epoch_us((SELECT max(ts) FROM e) + INTERVAL 90 MINUTE) - epoch_us(block_start)) // 1000000 AS BIGINT) AS s FROM blk WHERE is_active)
-SELECT concat_ws(' │ ', '⚡ ' || models, printf('$%.2f', cost), CASE WHEN n >= 10000 THEN NULL WHEN n >= 1000 THEN (n // 1000) || ',' || lpad(CAST(n % 1000 AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END, CASE WHEN s < 3600 THEN (s // 60) || 'm' ELSE (s // 3600) || 'h' || (s % 3600 // 60) || 'm' END) AS line FROM a""")
+SELECT concat_ws(' │ ', '⚡ ' || models, printf('$%.2f', cost), """ + _HUMAN + """, CASE WHEN s < 3600 THEN (s // 60) || 'm' ELSE (s // 3600) || 'h' || (s % 3600 // 60) || 'm' END) AS line FROM a""")
 def statusline(spark, d):
     last = events_usage(spark, d).agg(F.max("ts").alias("t")).first().t
     return spark.createDataFrame([(render.statusline(global_blocks(spark, d), F.lit(last) + F.expr("INTERVAL 90 MINUTES")),)], "line string")

@@ -382,7 +382,7 @@ def replay_skip(spark, d):
 
 # Blocks: a gap of more than 30 minutes ends a user's block; the global ones use 3 minutes.
 
-_BLOCKS = """, g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY {k} ORDER BY ts)) > {us} THEN 1 WHEN lag(ts) OVER (PARTITION BY {k} ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS f FROM e),
+_BLOCKS = """, g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY {k} ORDER BY ts, event_id)) > {us} THEN 1 WHEN lag(ts) OVER (PARTITION BY {k} ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS f FROM e),
 h AS (SELECT *, sum(f) OVER (PARTITION BY {k} ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS b FROM g),
 blk AS (SELECT {k} AS k, b, min(ts) AS block_start, max(ts) AS block_end, count(*) AS records, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens, sum(cost) AS cost, string_agg(DISTINCT model, ',' ORDER BY model) AS models, b = max(b) OVER (PARTITION BY {k}) AS is_active FROM h GROUP BY {k}, b)
 """
