@@ -61,3 +61,129 @@ def test_watch(spark, tmp_path):
     seen = []
     live.watch(stream(spark, tmp_path, [[row(0)], [row(1)]]), lambda df, n: seen.append(df.first().records), str(tmp_path / "ck"), once=True).awaitTermination()
     assert seen == [1, 2]
+
+
+# Growing log files.
+
+
+def drained_lines(spark, folder, checkpoint, **options):
+    from tokentally.streaming.tail import tail
+
+    out = []
+
+    def take(df, _):
+        out.extend((r.file_path.rsplit("/", 1)[1], r.row_id, r.value) for r in df.collect())
+
+    q = tail(spark, [str(folder)], **options).writeStream.option("checkpointLocation", str(checkpoint)).foreachBatch(take).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return sorted(out)
+
+
+def test_tail_reads_each_line_once(spark, tmp_path):
+    """Files grow, appear and are written anew between restarts; an unfinished line waits."""
+    logs, ck = tmp_path / "logs", tmp_path / "ck"
+    (logs / "deep").mkdir(parents=True)
+    (logs / "a.jsonl").write_bytes(b"one\r\n\nt\xc3\xa9\nunfin")
+    (logs / "x.txt").write_text("no\n")
+    assert drained_lines(spark, logs, ck) == [("a.jsonl", 0, "one"), ("a.jsonl", 6, "té")]
+    assert drained_lines(spark, logs, ck) == []
+    with (logs / "a.jsonl").open("ab") as f:
+        f.write(b"ished\nlast\n")
+    (logs / "deep" / "b.jsonl").write_text("b\n" + "y" * 100 + "\n")
+    assert drained_lines(spark, logs, ck, split_bytes=7) == [("a.jsonl", 10, "unfinished"), ("a.jsonl", 21, "last"), ("b.jsonl", 0, "b"), ("b.jsonl", 2, "y" * 100)]
+    (logs / "a.jsonl").write_text("new\n")
+    assert drained_lines(spark, logs, ck) == [("a.jsonl", 0, "new")]
+
+
+def test_ranges_cover_each_line_once(tmp_path):
+    from tokentally.streaming import tail
+
+    data = b"".join(b"x" * (i * 7 % 23) + b"\n" for i in range(200))
+    (tmp_path / "f").write_bytes(data)
+    want, at = [], 0
+    for line in data.split(b"\n")[:-1]:
+        if line:
+            want.append((at, line))
+        at += len(line) + 1
+    for size in (1, 5, 64, 10_000):
+        got = []
+        with (tmp_path / "f").open("rb") as f:
+            for low in range(0, len(data), size):
+                for starts, found in tail.lines_between(f, low, min(low + size, len(data)), low == 0):
+                    got += zip(starts, found, strict=True)
+        assert got == want
+
+
+CHAIN = SCHEMA + ", is_sidechain boolean, speed string, row_id long"
+
+
+def test_streamed_side_chain(spark, tmp_path):
+    """After each wave, with a restart in between, what is kept is the batch's; state shrinks behind the watermark."""
+    import random
+    from collections import Counter
+
+    from tests.test_operators import fold
+    from tokentally.streaming.changes import best_changes
+
+    rng = random.Random(9)
+    records, kept, sizes = [], Counter(), []
+    waves = [[(f"m{rng.randrange(30)}", f"r{rng.randrange(3)}", rng.random() < 0.4, rng.randrange(1, 6), rng.choice([None, "fast"])) for _ in range(200)] for _ in range(3)]
+    waves[2] += [(None, None, False, 1, None), ("", "r", True, 1, None), (None, None, False, 1, None)]
+    waves.append([("late", "r", False, 1, None)])
+    (tmp_path / "in").mkdir()
+
+    def take(df, _):
+        for r in df.collect():
+            kept[(r.message_id, r.request_id, r.is_sidechain, r.input_tokens, r.speed, r.row_id)] += r.change
+
+    for w, wave in enumerate(waves):
+        rows = [("a", datetime.datetime(2025, 1, 10 + (10 if w == 3 else w)), "d", m, q, n, 0, 0.5, side, speed, len(records) + i) for i, (m, q, side, n, speed) in enumerate(wave)]
+        records += [(m, q, side, n, speed, r[-1]) for (m, q, side, n, speed), r in zip(wave, rows, strict=True)]
+        spark.createDataFrame(rows, CHAIN).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        s = spark.readStream.schema(CHAIN).parquet(str(tmp_path / "in"))
+        q = best_changes(s, ("row_id",), watermark="1 hour", keep_days=3).writeStream.option("checkpointLocation", str(tmp_path / "ck")).foreachBatch(take).trigger(availableNow=True).start()
+        q.awaitTermination()
+        sizes.append(q.recentProgress[-1].stateOperators[0].numRowsTotal)
+        want = set()
+        for m in {r[0] for r in records if r[0]}:
+            want |= {(m, k[0], k[1], k[2], k[3]) for k in fold([(r[1], r[2], r[3], r[4]) for r in records if r[0] == m])}
+        got = [k for k, n in kept.items() if n]
+        assert set(kept.values()) <= {0, 1} and {k[:5] for k in got if k[0]} == want and len([k for k in got if k[0]]) == len(want)
+        assert len([k for k in got if not k[0]]) == (3 if w >= 2 else 0)
+    assert sizes[2] > 50 and sizes[3] < 5
+
+
+def test_cycles_are_written_once(spark, tmp_path):
+    """A batch that fails after some rows leaves nothing; run again it is written once; a batch that is committed twice changes nothing."""
+    from pyspark.sql import functions as F
+
+    from tokentally.streaming import tail
+
+    tail.register(spark)
+    marker = str(tmp_path / "failed")
+    s = stream(spark, tmp_path, [[row(0), row(1)], [row(2), row(3), row(4)]])
+
+    @F.udf("long")
+    def once(n):
+        if n == 7 and not os.path.exists(marker):
+            open(marker, "w").close()
+            raise ValueError("told to fail")
+        return n
+
+    out = s.coalesce(1).select("message_id", once(F.when(F.minute("ts") == 4, 7).otherwise(F.minute("ts"))).alias("n"))
+
+    def run():
+        q = out.writeStream.format("tokentally_cycles").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        try:
+            q.awaitTermination()
+            return True
+        except Exception:  # noqa: BLE001
+            return False
+
+    assert run() is False and run() is True and run() is True
+    got = sorted((r.batch, r.value) for r in tail.cycles(spark, str(tmp_path / "out")).collect())
+    assert got == [(0, '{"message_id": "m", "n": 0}'), (0, '{"message_id": "m", "n": 1}'), (1, '{"message_id": "m", "n": 2}'), (1, '{"message_id": "m", "n": 3}'), (1, '{"message_id": "m", "n": 7}')]
+    w = tail.CycleWriter({"path": str(tmp_path / "out")})
+    again = w.write(iter([spark.range(1).first()]))
+    w.commit([again, None], 1)
+    assert sorted((r.batch, r.value) for r in tail.cycles(spark, str(tmp_path / "out")).collect()) == got and not os.path.exists(again.file)
