@@ -71,16 +71,46 @@ def test_output_flags_and_watch(spark, home, capsys, tmp_path):
     assert "read" in capsys.readouterr().err
     cli.run(["daily", "--log-json"], spark)
     assert json.loads(capsys.readouterr().err.splitlines()[0])["message"] == "read"
-    o, looks = cli.options(["daemon", "--interval", "1"]), []
-    plain, wait = cli.load, cli.threading.Event.wait
-    cli.load = lambda *a: looks.append(1) or plain(*a)
-    cli.threading.Event.wait = lambda self, s: capsys.readouterr() and len(looks) == 2 or ((home / "cfg" / "projects" / "p1" / "new.jsonl").write_text("") if rounds.append(1) or len(rounds) == 2 else None)
-    rounds: list[int] = []
-    try:
-        cli.watch(spark, o, ["claude"], cli.Log(o))
-    finally:
-        cli.load, cli.threading.Event.wait = plain, wait
-    assert len(looks) == 2 and len(rounds) == 2  # the unchanged logs were read once
+
+
+def test_daemon_follows_logs(spark, home, capsys, monkeypatch):
+    """Claude's and Amp's logs are followed while they grow; OpenCode's are read again only when they changed; a restart goes on from the checkpoint."""
+    log = home / "cfg" / "projects" / "p1" / "a.jsonl"
+    log.write_text(log.read_text() + "\n")
+    (home / ".amp").mkdir()
+    amp = lambda n: json.dumps({"timestamp": "2025-01-10T10:00:00Z", "message": {"model": "gpt-5", "usage": {"input_tokens": n, "output_tokens": 1}}}, separators=(",", ":")) + "\n"
+    (home / ".amp" / "x.jsonl").write_text(amp(100))
+    store = home / ".local" / "share" / "opencode" / "storage" / "message"
+    store.mkdir(parents=True)
+    message = lambda n: json.dumps({"id": f"o{n}", "providerID": "p", "modelID": "k", "time": {"created": 1736503200000}, "tokens": {"input": n, "output": 0}})
+    (store / "1.json").write_text(message(1000))
+    o, looks, plain, rounds = cli.options(["daemon", "--interval", "1", "--checkpoint", f"file://{home}/ck"]), [], cli.load, []
+    monkeypatch.setattr(cli, "load", lambda s, o, agents: looks.append(agents) or plain(s, o, agents))
+
+    def pause(stop, seconds):
+        rounds.append(capsys.readouterr().out.strip())
+        if len(rounds) == 1:
+            again = log.read_text().splitlines()[0]  # the same message with more tokens takes the first one's place
+            with log.open("a") as f:
+                f.write(again.replace('"input_tokens":1000', '"input_tokens":1500') + "\n")
+            with (home / ".amp" / "x.jsonl").open("a") as f:
+                f.write(amp(20))
+            next(q for q in spark.streams.active).processAllAvailable()
+        if len(rounds) == 2:
+            (store / "2.json").write_text(message(5))
+        return len(rounds) >= 3
+
+    monkeypatch.setattr(cli, "pause", pause)
+    cli.watch(spark, o, ["amp", "claude", "opencode"], cli.Log(o))
+    head = [r.split(" tokens")[0] for r in rounds]
+    # p2's only line has no newline yet.
+    assert head == ["5 records, 2,632", "6 records, 3,153", "7 records, 3,158"] and looks == [["opencode"], ["opencode"]] and not spark.streams.active
+    rounds.clear()
+    with (home / ".amp" / "x.jsonl").open("a") as f:
+        f.write(amp(3))
+    monkeypatch.setattr(cli, "pause", lambda stop, s: rounds.append(capsys.readouterr().out.strip()) or True)
+    cli.watch(spark, o, ["amp", "claude"], cli.Log(o))
+    assert rounds[0].startswith("6 records, 2,157 tokens") and len(looks) == 2
 
 
 def test_config_warnings():

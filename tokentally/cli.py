@@ -9,6 +9,7 @@ import signal
 import sys
 import threading
 import time
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,10 @@ from tokentally.functions import text
 from tokentally.functions.dates import parse_weekday, zone
 from tokentally.operators import blocks, report
 from tokentally.plans import pricing
-from tokentally.session import build_session
+from tokentally.session import build_session, scratch
 from tokentally.sources import all as sources
 from tokentally.sources.files import Options
+from tokentally.streaming import live
 
 COMMANDS = ("all", "daily", "weekly", "monthly", "session", "blocks", "statusline", "daemon", "update-price")
 
@@ -51,6 +53,7 @@ def parser(defaults: dict | None = None) -> argparse.ArgumentParser:
     p.add_argument("--active", action="store_true")
     p.add_argument("--interval", type=int, default=30, help="seconds between the daemon's looks")
     p.add_argument("--once", action="store_true", help="one look of the daemon")
+    p.add_argument("--checkpoint", metavar="FOLDER", help="where the daemon keeps how far it has read, so that it goes on from there")
     p.add_argument("--config", help="a JSON file with `pricing`, `defaults` and `commands`")
     p.add_argument("--merge", help="update-price: a JSON file whose `pricing` replaces the config's")
     p.add_argument("--match-dated-models", action="store_true")
@@ -118,9 +121,12 @@ class Log:
             print(json.dumps({"level": "info", "message": what, **facts}) if self.json else f"{what} {' '.join(f'{k}={v}' for k, v in facts.items())}", file=sys.stderr, flush=True)
 
 
+def load_options(spark: SparkSession, o: argparse.Namespace) -> Options:
+    return Options(pricing.default_prices(spark, o.config), "log" if o.timezone == "log" else zone(o.timezone), o.since, o.until, o.project, o.match_dated_models, o.fast_multiplier)
+
+
 def load(spark: SparkSession, o: argparse.Namespace, agents: list[str]) -> DataFrame:
-    prices = pricing.default_prices(spark, o.config)
-    opt = Options(prices, "log" if o.timezone == "log" else zone(o.timezone), o.since, o.until, o.project, o.match_dated_models, o.fast_multiplier)
+    opt = load_options(spark, o)
     usage = report.union_all([sources.get(a).read(spark, opt) for a in agents])
     aliases = text.parse_aliases(o.project_aliases)
     return usage.withColumn("project", text.project_name(F.col("project"), aliases)) if aliases else usage
@@ -196,26 +202,54 @@ def codex_period(spark: SparkSession, o: argparse.Namespace) -> str:
 def watch(spark: SparkSession, o: argparse.Namespace, agents: list[str], log: Log) -> str:
     """The snapshot of all that is there; again after each interval unless ``--once``.
 
-    Logs are read again only if a file came, went or changed since.  Looks never overlap.
+    Where an agent's records can be streamed, its logs are followed: what is added to them is read once, and
+    totals go on from there, also after a restart with the same ``--checkpoint``.  Other agents' logs are read again, each agent's
+    only if one of its files came, went or changed since.  Looks never overlap.
     An interrupt or a termination signal ends the loop after the look at hand.
     """
+    if o.once:
+        return snapshot_text(report.snapshot(load(spark, o, agents)), o)
     stop = threading.Event()
-    if not o.once and threading.current_thread() is threading.main_thread():
+    if threading.current_thread() is threading.main_thread():
         for s in (signal.SIGINT, signal.SIGTERM):
             signal.signal(s, lambda *_: stop.set())
-    seen, out = None, ""
-    while True:
-        now = fingerprint(agents)
-        if now != seen:
-            s = render.report_rows(report.snapshot(load(spark, o, agents)))[0]
-            out = render.dump(s) if o.json else f"{s['records']} records, {s['in_out_tokens'] or 0:,} tokens, ${s['cost'] or 0:.2f}, {len(s['models'])} models, {len(s['projects'])} projects"
-            seen = now
-            log("looked", files=len(now))
-        if o.once:
-            return out
-        print(out, flush=True)
-        if stop.wait(max(1, o.interval)):
-            return ""
+    followed = [a for a in agents if hasattr(sources.get(a), "changes")]
+    checkpoint = o.checkpoint or f"{scratch(spark)}/daemon-{uuid.uuid4().hex}"
+    query = None
+    if followed:
+        opt = load_options(spark, o)
+        stream = report.union_all([sources.get(a).changes(spark, opt) for a in followed])
+        query = live.watch_changes(stream, lambda totals, n: log("followed", batch=n), checkpoint, f"{max(1, o.interval)} seconds")
+        query.processAllAvailable()
+    seen, read = {}, {}
+    try:
+        while True:
+            for a in agents:
+                now = fingerprint([a]) if a not in followed else None
+                if now is not None and now != seen.get(a):
+                    # A row for each agent, project and model: as many as are shown.
+                    rows = load(spark, o, [a]).withColumn("change", F.lit(1)).groupBy("agent", "project", "model").agg(*[F.sum(c).alias(c) for c in live.TOTALS if c != "records"], F.count("*").alias("records"))
+                    read[a], seen[a] = spark.createDataFrame(rows.collect(), rows.schema), now
+                    log("looked", agent=a, files=len(now))
+            totals = [t for t in (live.last_totals(spark, checkpoint) if followed else None, *read.values()) if t is not None]
+            print(snapshot_text(live.totals_snapshot(report.union_all(totals)), o) if totals else "No usage yet", flush=True)
+            if pause(stop, max(1, o.interval)):
+                return ""
+            if query is not None and query.exception() is not None:
+                raise query.exception()
+    finally:
+        if query is not None:
+            query.stop()
+
+
+def pause(stop: threading.Event, seconds: float) -> bool:
+    """Wait; true if it is time to stop."""
+    return stop.wait(seconds)
+
+
+def snapshot_text(found: DataFrame, o: argparse.Namespace) -> str:
+    s = render.report_rows(found)[0]
+    return render.dump(s) if o.json else f"{s['records']} records, {s['in_out_tokens'] or 0:,} tokens, ${s['cost'] or 0:.2f}, {len(s['models'])} models, {len(s['projects'])} projects"
 
 
 def fingerprint(agents: list[str]) -> frozenset[tuple[str, int, int]]:

@@ -16,7 +16,7 @@ from tokentally.queries import _GLOBAL, _HUMAN, _drained, _stream, events, globa
 from tokentally.session import scratch
 from tokentally.sources import claude, codex, files, generic, opencode
 from tokentally.sources.tables import events_usage, table
-from tokentally.streaming import live
+from tokentally.streaming import changes, live
 
 
 def e0(spark: SparkSession, d: str) -> DataFrame:
@@ -257,6 +257,82 @@ def stream_best(spark, d):
     return _drained(spark, live.best_records(s, watermark="60 days"), "update").select("message_id", "request_id", "event_id", (F.col("input_tokens") + F.col("output_tokens")).alias("total"))
 
 
+_WAVES = """, s AS (SELECT *, event_id % 3 AS wave FROM e0)
+SELECT 'p' || (user_id % 7) AS project, model, count(*) AS records, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, (SELECT count(*) + count(*) FILTER (event_id % 5 = 0) FROM e0) AS lines FROM s GROUP BY 1, 2"""
+
+
+@query(_WAVES)
+def watched_logs(spark, d):
+    """Claude lines written in three waves, each followed by the watcher, which stops and restarts on one checkpoint in between.
+
+    A message has 20 requests; every fifth is logged twice, in another file and wave, with fewer tokens first.  ``lines`` is what was read in all.
+    """
+    base = f"{scratch(spark)}/waves-{uuid.uuid4().hex}"
+    folder, checkpoint, read = f"{base}/projects", f"{base}/checkpoint", []
+    e = e0(spark, d)
+    twice = e.where("event_id % 5 = 0")
+    every = e.withColumn("wave", F.col("event_id") % 3).unionByName(twice.withColumn("wave", (F.col("event_id") + 1) % 3).withColumn("o", F.lit(-1).cast("bigint")))
+    shown = F.greatest("o", F.lit(0))
+    value = joined('{"timestamp":"', iso("yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), '","requestId":"r', F.col("event_id") % 20, '","version":"1.0.0","message":{"id":"m', F.floor(F.col("event_id") / 20), '","model":"', F.col("model"), '","usage":{"input_tokens":', F.when(F.col("o") < 0, 0).otherwise(F.col("k")), ',"output_tokens":', shown, "}}}")
+    source, options = claude.ClaudeSource(), files.Options(prices(spark))
+    for wave in range(3):
+        own = every.where(F.col("wave") == wave).select(joined("p", F.col("user_id") % 7).alias("project"), value.alias("value"))
+        own.write.mode("append").partitionBy("project").text(folder)
+        q = live.watch_changes(source.changes(spark, options, [folder], pattern="part-*"), lambda totals, n: None, checkpoint, once=True)
+        q.awaitTermination()
+        read += [p.numInputRows for p in q.recentProgress]
+    totals = live.last_totals(spark, checkpoint)
+    return totals.select(F.regexp_replace("project", "^project=", "").alias("project"), "model", "records", "input_tokens", "output_tokens", F.lit(sum(read)).cast("bigint").alias("lines"))
+
+
+@query()
+def stream_side_chain(spark, d):
+    """The side-chain fold as a stream: three waves of records, a restart between them, and what is kept in the end."""
+    base = f"{scratch(spark)}/chain-{uuid.uuid4().hex}"
+    u = events_usage(spark, d).withColumn("message_id", (F.col("row_id") % 500).cast("string")).withColumn("request_id", F.concat(F.lit("r"), (F.col("row_id") % 3).cast("string"))).withColumn("is_sidechain", F.col("row_id") % 4 == 0)
+    last = u.agg(F.max("row_id").alias("m")).first().m or 0
+    for wave in range(3):
+        third = (F.col("row_id") * 3 >= F.lit(wave) * (last + 1)) & (F.col("row_id") * 3 < F.lit(wave + 1) * (last + 1))
+        u.where(third).write.mode("append").parquet(f"{base}/in")
+        s = spark.readStream.schema(u.schema).parquet(f"{base}/in")
+        live.run_to_table(changes.best_changes(s, ("row_id",), watermark="60 days"), "append", "out", f"{base}/checkpoint")
+    out = spark.read.option("recursiveFileLookup", True).parquet(f"{base}/checkpoint-out")
+    kept = out.groupBy("message_id", "request_id", "is_sidechain", "row_id", dedup.total_tokens().alias("total")).agg(F.sum("change").alias("n")).where("n != 0")
+    return kept.select("message_id", "request_id", "is_sidechain", "row_id", (F.col("total") * F.col("n")).alias("total"))
+
+
+_LAG_SQL = """, a AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'fast' ELSE 'slow' END AS agent, CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0 WHEN ts < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS third FROM e0),
+w AS (SELECT third, max(ts) FILTER (agent = 'fast') - INTERVAL 1 HOUR AS fast, max(ts) FILTER (agent = 'slow') - INTERVAL 1 DAY AS slow FROM a GROUP BY third),
+-- The slow agent's third comes a wave after the fast one's; with the policy max the fast one's watermark holds for both.
+k AS (SELECT a.*, a.agent = 'slow' AND (SELECT w.fast FROM w WHERE w.third = a.third) >= date_trunc('day', ts) + INTERVAL 1 DAY AS late FROM a)
+"""
+
+
+@query(
+    _LAG_SQL + """SELECT 'min' AS policy, agent, date, count(*) AS records, CAST(sum(input_tokens) AS BIGINT) AS input_tokens FROM k GROUP BY ALL
+UNION ALL SELECT 'max', agent, date, count(*), CAST(sum(input_tokens) AS BIGINT) FROM k WHERE NOT late GROUP BY ALL"""
+)
+def stream_agents(spark, d):
+    """Two agents' streams in one query, of which one lags a third of the time behind: by the slowest one's watermark no row is lost, by the fastest one's those of closed days are."""
+    e = e0(spark, d).withColumn("third", F.when(F.col("ts") < "2024-01-11", 0).when(F.col("ts") < "2024-01-21", 1).otherwise(2))
+    e = e.withColumn("agent", F.when(F.col("event_id") % 2 == 0, "fast").otherwise("slow")).select("third", "agent", "ts", F.col("k").alias("input_tokens"), F.col("o").alias("output_tokens"))
+    out = None
+    for policy in ("min", "max"):
+        base = f"{scratch(spark)}/agents-{uuid.uuid4().hex}"
+        for wave in range(5):
+            for agent, third in (("fast", wave), ("slow", wave - 1)):
+                own = e.where((F.col("agent") == agent) & (F.col("third") == third)).drop("third")
+                if wave == 4:  # what closes the last days
+                    own = e.limit(1).select(F.lit(agent).alias("agent"), F.lit("2030-01-01").cast("timestamp").alias("ts"), F.lit(0).cast("bigint").alias("input_tokens"), F.lit(0).cast("bigint").alias("output_tokens"))
+                own.write.mode("append").parquet(f"{base}/{agent}")
+            streams = {a: spark.readStream.schema(own.schema).parquet(f"{base}/{a}").drop("agent") for a in ("fast", "slow")}
+            live.run_to_table(live.closed_days(live.agents(streams, {"fast": "1 hour", "slow": "1 day"}, policy=policy)), "append", "out", f"{base}/checkpoint")
+        days = spark.read.option("recursiveFileLookup", True).parquet(f"{base}/checkpoint-out").where("date < '2030'").select(F.lit(policy).alias("policy"), "agent", "date", "records", "input_tokens")
+        out = days if out is None else out.unionByName(days)
+    spark.conf.unset("spark.sql.streaming.multipleWatermarkPolicy")
+    return out
+
+
 # Prices.
 
 

@@ -320,6 +320,8 @@ def with_prices(records: DataFrame, prices: DataFrame, model: str = "price_model
     """
     names = {c: f"{prefix}{c}" for c in NAMES if c != "model"}
     table = small_table(prices)
+    if table is None and records.isStreaming:
+        raise ValueError(f"a stream needs a price table of {MATCHED_KEYS} keys at most")
     if table is not None:
         known = F.broadcast(prices.select(F.col("model").alias("_m"), *[F.col(a).alias(b) for a, b in names.items()], F.lit(True).alias(f"{prefix}known")))
         return records.withColumn("_k", price_key(F.col(model), list(table), match_dated_models)).join(known, F.col("_k") == F.col("_m"), "left").drop("_k", "_m")

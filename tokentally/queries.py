@@ -508,7 +508,7 @@ def stream_blocks(spark, d):
 
 from tokentally import log_queries  # noqa: E402  registers its queries with the decorator above
 
-_SQL["sidechain_fold"] = log_queries.SIDECHAIN_SQL
+_SQL["sidechain_fold"] = _SQL["stream_side_chain"] = log_queries.SIDECHAIN_SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

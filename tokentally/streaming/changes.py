@@ -24,8 +24,8 @@ class BestRecords(StatefulProcessor):
     The rules are those of operators.dedup.best_records().
     """
 
-    def __init__(self, record: T.StructType, order: tuple[str, ...], keep_ms: int):
-        self.record, self.order, self.keep_ms = record, order, keep_ms
+    def __init__(self, record: T.StructType, order: tuple[str, ...], keep_ms: int, time: str):
+        self.record, self.order, self.keep_ms, self.time = record, order, keep_ms, time
         self.names = record.names
         self.out = Row(*record.names, "change")
 
@@ -41,7 +41,8 @@ class BestRecords(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         at = {c: i for i, c in enumerate(self.names)}
-        new = sorted((tuple(r[c] for c in self.names) for r in rows), key=lambda r: tuple((r[at[c]] is not None, r[at[c]]) for c in self.order))
+        every = list(rows)
+        new = sorted((tuple(r[c] for c in self.names) for r in every), key=lambda r: tuple((r[at[c]] is not None, r[at[c]]) for c in self.order))
         if key[0].startswith("\0"):  # no message id: all stay, nothing is remembered
             yield from (self.out(*r, 1) for r in new)
             return
@@ -50,11 +51,11 @@ class BestRecords(StatefulProcessor):
 
         def main(rid: str) -> tuple | None:
             if rid not in now:
-                held = self.main.getValue((rid,)) if self.main.exists() and self.main.containsKey((rid,)) else None
+                held = self.main.getValue((rid,))
                 before[rid] = now[rid] = tuple(held) if held is not None else None
             return now[rid]
 
-        had = self.side.get() if self.side.exists() else None
+        had = self.side.get()
         had = side = tuple(had) if had is not None else None
         for r in new:
             rid = r[at["request_id"]] or ""
@@ -73,10 +74,11 @@ class BestRecords(StatefulProcessor):
             self.side.clear()
         elif side is not None and side != had:
             self.side.update(side)
-        last = max((r[at["ts"]] for r in new if r[at["ts"]] is not None), default=None)
-        if last is not None:
-            ms = int(last.timestamp() * 1000) + self.keep_ms
-            old = self.until.get()[0] if self.until.exists() else None
+        times = [int(r[self.time].timestamp() * 1000) for r in every if r[self.time] is not None]
+        if times:
+            ms = max(times) + self.keep_ms
+            old = self.until.get()
+            old = old[0] if old is not None else None
             if old is None or ms > old:
                 if old is not None:
                     self.handle.deleteTimer(old)
@@ -99,19 +101,22 @@ class BestRecords(StatefulProcessor):
         pass
 
 
-def best_changes(stream: DataFrame, order: tuple[str, ...] = ORDER, watermark: str = "1 day", keep_days: float = 1.0) -> DataFrame:
+def best_changes(stream: DataFrame, order: tuple[str, ...] = ORDER, watermark: str | None = "1 day", keep_days: float = 1.0) -> DataFrame:
     """``stream`` (canonical records) with ``change``: 1 for a record that is kept from now on, -1 for one that no longer is.
 
     Over all batches, what has a sum of 1 is what operators.dedup.best_records() keeps of the
     same rows in the same order (``order`` within a batch).  Append mode.  A message's
-    state goes when the watermark is ``keep_days`` past its last record; what comes later is a message of its own.
+    state goes when the watermark is ``keep_days`` past its last record, and what lies behind the watermark is dropped.
+    Without a watermark no row is ever dropped, and state goes ``keep_days`` after a message's last record was
+    read.  What comes later is a message of its own.
     """
     from pyspark import cloudpickle
 
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     place = F.concat_ws(":", F.lit("\0"), *[F.col(c).cast("string") for c in order])
-    keyed = stream.withWatermark("ts", watermark).withColumn("_key", F.coalesce(F.nullif("message_id", F.lit("")), place))
+    timed = stream.withWatermark("ts", watermark) if watermark else stream.withColumn("_read", F.current_timestamp()).withWatermark("_read", "1 second")
+    keyed = timed.withColumn("_key", F.coalesce(F.nullif("message_id", F.lit("")), place))
     out = T.StructType([*stream.schema.fields, T.StructField("change", T.IntegerType())])
-    processor = BestRecords(T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema.fields]), order, int(keep_days * 86_400_000))
+    processor = BestRecords(T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema.fields]), order, int(keep_days * 86_400_000), "ts" if watermark else "_read")
     return keyed.groupBy("_key").transformWithState(processor, out, "append", "eventTime")

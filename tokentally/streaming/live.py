@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -82,6 +82,91 @@ def watch(stream: DataFrame, show: Callable[[DataFrame, int], None], checkpoint:
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 
+def agents(streams: dict[str, DataFrame], watermarks: dict[str, str], default: str = "1 day", policy: str = "min") -> DataFrame:
+    """The union of agents' streams of canonical records, each with a watermark of its own.
+
+    With the policy ``min`` the slowest agent's holds, so that no row of an agent that lags is dropped,
+    though state stays longer; with ``max`` the fastest one's, and what lags behind it is dropped.
+    The policy belongs to the session and to the checkpoint that a query starts with.
+    """
+    if not streams:
+        raise ValueError("no agents")
+    next(iter(streams.values())).sparkSession.conf.set("spark.sql.streaming.multipleWatermarkPolicy", policy)
+    out = None
+    for name, s in streams.items():
+        own = s.withColumn("agent", F.lit(name)).withWatermark("ts", watermarks.get(name, default))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def closed_days(stream: DataFrame) -> DataFrame:
+    """Sums by agent and day, each once, when the watermark has passed the day; append mode.  The stream has a watermark on ts."""
+    w = F.window("ts", "1 day")
+    sums = stream.groupBy("agent", w.alias("w")).agg(F.count("*").alias("records"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+    return sums.select("agent", F.date_format("w.start", "yyyy-MM-dd").alias("date"), "records", "input_tokens", "output_tokens")
+
+
+TOTALS = ("input_tokens", "output_tokens", "cost", "records")
+
+
+def fold_totals(changes: DataFrame, batch: int, folder: str, keys: tuple[str, ...] = ("agent", "project", "model")) -> DataFrame:
+    """Running totals by ``keys`` after this batch, written to ``folder``: those after the batch before plus the batch's changes.
+
+    ``changes`` has ``change``, 1 or -1, beside canonical columns.  The totals are read from the last number below the batch's, so a batch that runs again gives the same.
+    There is a row for each agent, project and model; no log is read again.
+    """
+    spark = changes.sparkSession
+    signed = changes.groupBy(*keys).agg(*[F.sum(F.coalesce(c, F.lit(0)) * F.col("change")).alias(c) for c in TOTALS if c != "records"], F.sum("change").cast("bigint").alias("records"))
+    known = _numbered(spark, folder)
+    before = max((b for b in known if b < batch), default=None)
+    if before is not None:
+        signed = spark.read.schema(signed.schema).parquet(known[before]).unionByName(signed)
+    signed.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in TOTALS]).write.mode("overwrite").parquet(f"{folder}/totals-{batch}")
+    for b, path in known.items():
+        if before is not None and b < before:
+            _hadoop(spark, path)[1].delete(_hadoop(spark, path)[0], True)
+    return spark.read.schema(signed.schema).parquet(f"{folder}/totals-{batch}")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """(path, file system) of Hadoop."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _numbered(spark: SparkSession, folder: str) -> dict[int, str]:
+    """The folders of totals by batch."""
+    p, system = _hadoop(spark, folder)
+    names = [f.getPath().getName() for f in (system.listStatus(p) if system.exists(p) else [])]
+    return {int(n.removeprefix("totals-")): f"{folder}/{n}" for n in names if n.startswith("totals-")}
+
+
+def totals_snapshot(totals: DataFrame) -> DataFrame:
+    """report.snapshot() from running totals."""
+    own = totals.where("records > 0")
+    return own.agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), (F.sum("input_tokens") + F.sum("output_tokens")).alias("in_out_tokens"), F.sum("cost").alias("cost"), F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.sort_array(F.collect_set("model")).alias("models"), F.sort_array(F.collect_set("project")).alias("projects"))
+
+
+def watch_changes(changes: DataFrame, show: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "30 seconds", once: bool = False) -> StreamingQuery:
+    """Run ``show`` on the running totals after each interval in which something changed.
+
+    New lines alone are read and parsed; cycles never overlap; after a restart on the same
+    checkpoint, counting goes on where it ended.  Stop with query.stop().
+    """
+
+    def cycle(df: DataFrame, batch: int) -> None:
+        show(fold_totals(df, batch, f"{checkpoint.rstrip('/')}-totals"), batch)
+
+    writer = changes.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(cycle)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
+
+
+def last_totals(spark: SparkSession, checkpoint: str) -> DataFrame | None:
+    """The running totals that watch_changes() wrote last on this checkpoint; None before the first."""
+    known = _numbered(spark, f"{checkpoint.rstrip('/')}-totals")
+    return spark.read.parquet(known[max(known)]) if known else None
+
+
 def run_to_table(df: DataFrame, mode: str, name: str, checkpoint: str) -> DataFrame:
     """Process all that is available into Parquet files beside the checkpoint, and return them as a table: for bounded inputs.
 
