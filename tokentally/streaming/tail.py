@@ -34,7 +34,14 @@ def open_path(path: str) -> tuple[fs.FileSystem, str, str]:
 
 
 @dataclass
-class Piece(InputPartition):
+class Pieces(InputPartition):
+    """What one task reads."""
+
+    pieces: list
+
+
+@dataclass
+class Piece:
     """Bytes of a file: the lines that begin from ``low`` to before ``high``; ``whole`` says that one begins at low."""
 
     path: str
@@ -110,19 +117,28 @@ class TailReader(DataSourceStreamReader):
     def latestOffset(self, *_) -> dict:
         return {"files": {p: self._complete(p, size) for p, (size, _) in sorted(self.files().items())}}
 
-    def partitions(self, start: dict, end: dict) -> list[Piece]:
-        """A file that got shorter was written anew and is read from its beginning."""
+    def partitions(self, start: dict, end: dict) -> list[Pieces]:
+        """Ranges of ``split`` bytes, small ones together.  A file that got shorter was written anew and is read from its beginning."""
         times, out = self.files(), []
         for path, to in end["files"].items():
             low = start["files"].get(path, 0)
             low = 0 if low > to else low
             cuts = [*range(low, to, self.split), to]
             out += [Piece(path, a, b, a == low, times.get(path, (0, 0.0))[1]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
-        return out or [Piece("", 0, 0, True, 0.0)]
-
-    def read(self, piece: Piece) -> Iterator[pa.RecordBatch]:
-        if not piece.path:
-            return
+        tasks, size = [Pieces([])], 0
+        for p in out:
+            if size and size + p.high - p.low > self.split:
+                tasks.append(Pieces([]))
+                size = 0
+            tasks[-1].pieces.append(p)
+            size += p.high - p.low
+        return tasks
+
+    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
+        for piece in partition.pieces:
+            yield from self._lines(piece)
+
+    def _lines(self, piece: Piece) -> Iterator[pa.RecordBatch]:
         system, inner, _ = open_path(piece.path)
         when = datetime.datetime.fromtimestamp(piece.time, datetime.timezone.utc)
         with system.open_input_file(inner) as f:
