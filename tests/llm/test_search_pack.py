@@ -140,3 +140,27 @@ def test_pruning_visits_less():
     tree = vptree.Tree.load(vptree.Tree.build(np.arange(4000), points).dump())
     seen = [tree.search(np.arange(50), points[:50], 5, f)[2] for f in (1, 2, 4)]
     assert seen[0] < 0.5 * 50 * 4000 and seen[0] > seen[1] > seen[2]
+
+
+def test_permuted_vectors_are_ranked_by_their_scores(spark):
+    """Vectors at the same distance but for rounding: the ten returned are the ten smallest scores, in every trial."""
+    rng = np.random.default_rng(7)
+    for trial in range(50):
+        base = rng.normal(size=24)
+        points = np.array([rng.permutation(base) for _ in range(150)]).astype(np.float32).astype(np.float64)
+        query = np.zeros((1, 24))
+        tree = vptree.Tree.build(np.arange(150), points, seed=trial)
+        best, who, _ = tree.search(np.array([-1]), query, 10)
+        want = sorted((float(vptree.scores_between(query, points[i : i + 1])[0, 0]), i) for i in range(150))[:10]
+        assert list(zip(best[0].tolist(), tree.ids[who[0]].tolist(), strict=True)) == want
+
+
+def test_lanes(spark, monkeypatch):
+    """Several blocks, lanes and shards give what one of each gives."""
+    rng = np.random.default_rng(3)
+    vectors = spark.createDataFrame([(i, [float(x) for x in rng.integers(0, 4, 3)]) for i in range(300)], "vec_id long, embedding array<double>")
+    one = vptree.search_index(vptree.build_index(vectors), vectors, 5).collect()
+    monkeypatch.setattr(vptree, "LANE", 2)
+    assert sorted(vptree.search_index(vptree.build_index(vectors, 50), vectors, 5, block_queries=40).collect()) == sorted(one)
+    few = vectors.where("vec_id < 9")  # more shards than rows: some are empty
+    assert sorted(vptree.search_index(vptree.build_index(few, 1), few, 20, block_queries=2).collect()) == sorted(vptree.search_index(vptree.build_index(few), few, 20).collect())

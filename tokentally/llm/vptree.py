@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from tokentally.llm.shared import materialize, prepare
 
-#: Queries of a block meet a shard's tree together, so a tree is sent once a block; they are searched in groups that bound the memory.
-SHARD_ROWS, BLOCK_QUERIES, GROUP, LEAF = 8192, 4096, 256, 64
+#: Queries of a block meet a shard's tree together, and so do the LANE blocks of a task, which a tree is sent to once; they are searched in groups that bound the memory.
+SHARD_ROWS, BLOCK_QUERIES, LANE, GROUP, LEAF = 8192, 4096, 64, 256, 64
 
 
 class Tree:
@@ -125,7 +125,7 @@ class Tree:
 
     def _leaf(self, ids: np.ndarray, queries: np.ndarray, rows: np.ndarray, a: int, b: int) -> np.ndarray:
         own = self.order[a:b]
-        d = _near(queries[rows], self.points[own])
+        d = scores_between(queries[rows], self.points[own])
         d[self.ids[own][None, :] == ids[rows][:, None]] = np.inf
         return d
 
@@ -136,11 +136,11 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
 
 
-def exact_scores(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Row by row: the distances with the squares added in the order of the components."""
-    out = np.zeros(len(queries))
+def scores_between(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """The distances that rank and are reported: squares added in the order of the components, so that they don't depend on how rows are grouped."""
+    out = np.zeros((len(queries), len(points)))
     for j in range(queries.shape[1]):
-        diff = queries[:, j] - points[:, j]
+        diff = queries[:, j, None] - points[None, :, j]
         out += diff * diff
     return np.sqrt(out)
 
@@ -191,16 +191,21 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 10, factor: floa
     block = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks))
     grouped = own.withColumn("dim", F.size("embedding")).withColumn("block", block).groupBy("dim", "block").agg(F.collect_list("vec_id").alias("ids"), F.flatten(F.collect_list("embedding")).alias("points"))  # about block_queries rows
     shards = index.groupBy("dim").agg(F.max("shard").alias("last"))  # a row for each length of vectors
-    sent = grouped.join(F.broadcast(shards), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
+    sent = grouped.withColumn("lane", F.floor(F.col("block") / LANE).cast("int")).join(F.broadcast(shards), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("last")))).select("dim", "shard", "lane", F.lit(1).alias("kind"), "ids", "points", F.lit(None).cast("binary").alias("tree"))
+    # A tree comes first in its lane, and the lane's blocks after it, so it is sent and read once for LANE blocks.
+    lanes = F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // LANE)))
+    trees = index.select("dim", "shard", lanes.alias("lane"), F.lit(0).alias("kind"), F.lit(None).cast("array<bigint>").alias("ids"), F.lit(None).cast("array<double>").alias("points"), "tree")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[tuple[int, int], Tree] | None = None
+        held, tree = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                at = (batch.column("dim")[i].as_py(), batch.column("shard")[i].as_py())
-                if held is None or held[0] != at:
-                    held = (at, Tree.load(batch.column("tree")[i].as_buffer()))
-                tree = held[1]
+                at = tuple(batch.column(c)[i].as_py() for c in ("dim", "shard", "lane"))
+                if batch.column("kind")[i].as_py() == 0:
+                    held, tree = at, Tree.load(batch.column("tree")[i].as_buffer())
+                    continue
+                if at != held:
+                    continue  # a shard that no row fell into has no tree
                 all_ids = batch.column("ids")[i].values.to_numpy()
                 all_points = batch.column("points")[i].values.to_numpy().reshape(len(all_ids), -1)
                 for g in range(0, len(all_ids), GROUP):
@@ -208,10 +213,10 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 10, factor: floa
                     best, who, _ = tree.search(ids, points, k, factor)
                     full = ~np.isinf(best)
                     q, rows = np.nonzero(full)[0], who[full]
-                    scores = exact_scores(points[q], tree.points[rows])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(tree.ids[rows]), pa.array(scores)], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(tree.ids[rows]), pa.array(best[full])], names=["query_id", "vec_id", "score"])
 
-    found = sent.join(index, ["dim", "shard"]).select("dim", "shard", "ids", "points", "tree").mapInArrow(run, "query_id long, vec_id long, score double")
+    placed = trees.unionByName(sent).repartition("dim", "shard", "lane").sortWithinPartitions("dim", "shard", "lane", "kind")
+    found = placed.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
