@@ -221,3 +221,16 @@ def test_a_deep_graph_with_one_joint(spark):
     rows = [(1, 0, "assistant", json.dumps({"tool_calls": [call(c, d) for c, d in needs.items()]}))]
     got = {r.call_id: r.level for r in toolcalls.levels(toolcalls.parse_calls(messages(spark, rows))).collect()}
     assert got == {**{f"c{i}": i for i in range(200)}, "x": None, "y": None, "z": None, "after": None}
+
+
+def test_query_keeps_results_without_a_call(spark, tmp_path):
+    """The registered query against its SQL, with a null turn, orphans and a gap in the turns."""
+    import duckdb
+
+    rows = [(1, 0, "user", "hello you"), (1, 1, "assistant", "one two three"), (1, 2, "user", "thanks"), (1, 5, "user", "nobody asked"), (1, None, "assistant", "out of turn"), (1, None, "user", "lost"), (2, 4, "user", "alone"), (2, 3, "system", "rules"), (3, 1, "assistant", None), (3, 2, "user", "late"), (None, 1, "assistant", "no conversation")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    df = toolcalls.tool_calls_query(spark, str(tmp_path))
+    want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({toolcalls.SQL})").fetchall()
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want)) and sum(r[7] == "orphan" for r in want) == 4

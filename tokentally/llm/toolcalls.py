@@ -280,10 +280,11 @@ QUERY_SCHEMAS = [("search", "query", "string", True), ("search", "limit", "integ
 def as_tool_messages(conversations: DataFrame) -> DataFrame:
     """Plain turns as tool messages, since the table holds none: an assistant's turn t becomes the call ``ct`` (from turn 3 on it depends on the call two turns before), a user's turn t the result of the call ``c(t-1)``.
 
-    The number of words picks the tool, and some calls break their schema.
+    The number of words picks the tool, and some calls break their schema.  A null text is no message; an
+    assistant's null turn is a call without an id, a user's one no result.
     """
     n = F.size(F.filter(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != ""))
-    base = conversations.select("conv_id", "turn", "role", "text", n.alias("n")).where("text IS NOT NULL AND turn IS NOT NULL")
+    base = conversations.select("conv_id", "turn", "role", "text", n.alias("n")).where("text IS NOT NULL")
     pick = lambda m, k: F.col("n") % m == k
     arguments = (
         F.when(pick(3, 0), F.when(pick(7, 0), F.to_json(F.struct(F.col("text").alias("query"), F.col("n").cast("string").alias("limit")))).otherwise(F.to_json(F.struct(F.col("text").alias("query"), F.col("n").alias("limit")))))
@@ -291,7 +292,7 @@ def as_tool_messages(conversations: DataFrame) -> DataFrame:
         .otherwise(F.when(pick(11, 0), F.to_json(F.struct(F.col("text").alias("text"), F.lit("xx").alias("lang"), F.lit(0.5).alias("ratio")))).otherwise(F.to_json(F.struct(F.col("text").alias("text"), F.lit(0.5).alias("ratio")))))
     )
     name = F.when(pick(3, 0), "search").when(pick(3, 1), "lookup").otherwise("summarise")
-    quoted = lambda c: F.concat(F.lit('"c'), c.cast("string"), F.lit('"'))
+    quoted = lambda c: F.coalesce(F.concat(F.lit('"c'), c.cast("string"), F.lit('"')), F.lit("null"))
     needs = F.when(F.col("turn") >= 3, quoted(F.col("turn") - 2)).otherwise("")
     call = F.concat(F.lit('{"tool_calls":[{"id":'), quoted(F.col("turn")), F.lit(',"name":"'), name, F.lit('","depends_on":['), needs, F.lit('],"arguments":'), arguments, F.lit("}]}"))
     result = F.to_json(F.struct(F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")).alias("tool_call_id"), F.col("text").alias("content")))
@@ -300,15 +301,15 @@ def as_tool_messages(conversations: DataFrame) -> DataFrame:
 
 
 def tool_calls_query(spark, sf_dir: str) -> DataFrame:
-    """Every call of the table with its result.  The query's SQL starts from calls, so results left over are not among its rows; link_all() gives them."""
+    """Every call of the table with its result, and every result without a call."""
     schemas = spark.createDataFrame(QUERY_SCHEMAS, "name string, property string, type string, required boolean")
-    return link_all(as_tool_messages(table(spark, sf_dir, "conversations")), schemas).where("call_no IS NOT NULL").drop("occurrence")
+    return link_all(as_tool_messages(table(spark, sf_dir, "conversations")), schemas).drop("occurrence")
 
 
 SQL = r"""
 WITH RECURSIVE b AS (
   SELECT conv_id, turn, role, text, len(list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS n
-  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL),
+  FROM conversations WHERE conv_id IS NOT NULL AND text IS NOT NULL),
 c AS (
   SELECT conv_id, turn, 'c' || turn AS call_id,
     CASE n % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' ELSE 'summarise' END AS name,
@@ -327,5 +328,9 @@ l AS (
 r AS (SELECT conv_id, turn AS result_turn, text AS result FROM b WHERE role = 'user')
 SELECT c.conv_id, c.turn, 0 AS call_no, c.call_id, c.name, l.level, c.errors = '' AS valid, c.errors, r.result_turn, r.result,
   CAST(json_object('arguments', c.arguments, 'conv_id', c.conv_id, 'errors', c.errors, 'id', c.call_id, 'level', l.level, 'name', c.name, 'result', r.result, 'turn', c.turn) AS VARCHAR) AS record
-FROM c JOIN l ON c.conv_id = l.conv_id AND c.turn = l.turn LEFT JOIN r ON r.conv_id = c.conv_id AND r.result_turn = c.turn + 1
+FROM c JOIN (SELECT DISTINCT conv_id, turn, level FROM l) AS l ON c.conv_id = l.conv_id AND c.turn IS NOT DISTINCT FROM l.turn LEFT JOIN r ON r.conv_id = c.conv_id AND r.result_turn = c.turn + 1
+UNION ALL
+SELECT r.conv_id, NULL, NULL, 'c' || (r.result_turn - 1), NULL, NULL, false, 'orphan', r.result_turn, r.result,
+  CAST(json_object('arguments', NULL, 'conv_id', r.conv_id, 'errors', 'orphan', 'id', 'c' || (r.result_turn - 1), 'level', NULL, 'name', NULL, 'result', r.result, 'turn', NULL) AS VARCHAR)
+FROM r LEFT JOIN c ON r.conv_id = c.conv_id AND r.result_turn = c.turn + 1 WHERE c.conv_id IS NULL AND r.result_turn IS NOT NULL
 """
