@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 from collections import Counter
 
@@ -475,13 +476,47 @@ def test_decontamination(spark, documents, words):
     assert decontam.find_items(documents(rows), bench.limit(0)).count() == 0 and decontam.drop_leaks(documents(rows), bench.limit(0)).count() == len(rows) and decontam.find_items(documents([]), bench).count() == 0
 
 
-def test_short_items_are_found_as_they_are(spark, documents):
-    items = [(1, "Alpha"), (2, "beta gamma"), (3, "one two three four five six seven"), (4, "x x"), (5, " ")]
-    rows = [(1, "an ALPHA here"), (2, "beta delta gamma beta"), (3, "so beta\n gamma"), (4, "zero one two three four five six seven"), (5, "one two three four five six"), (6, "x x x alpha"), (7, None), (8, "alphas")]
+def test_short_items(spark, documents, words):
+    """Items of one to three words are found as they are, of four to seven with one edit: as brute force finds them."""
+    items = [(1, "Alpha"), (2, "beta gamma"), (3, "one two three four five six seven"), (4, "x x"), (5, " "), (6, "red green blue white")]
+    rows = [(1, "an ALPHA here"), (2, "beta delta gamma beta"), (3, "so beta\n gamma"), (4, "zero one two three four five six seven"), (5, "one two three five six seven"), (6, "x x x alpha"), (7, None), (8, "alphas"), (9, "red green pale blue white"), (10, "red blue white"), (11, "green red white blue")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id, r.distance, r.first_word, r.n_words) for r in decontam.find_items(documents(rows), bench).collect()}
-    assert got == {(1, 1, 0, 1, 1), (3, 2, 0, 1, 2), (4, 3, 0, 1, 7), (6, 4, 0, 0, 2), (6, 1, 0, 3, 1)}
-    assert sorted(r.doc_id for r in decontam.drop_leaks(documents(rows), bench, items_a_pass=2).collect()) == [2, 5, 7, 8]
+    assert got == {(1, 1, 0, 1, 1), (3, 2, 0, 1, 2), (4, 3, 0, 1, 7), (5, 3, 1, 0, 6), (6, 4, 0, 0, 2), (6, 1, 0, 3, 1), (9, 6, 1, 0, 5), (10, 6, 1, 0, 3)}
+    assert sorted(r.doc_id for r in decontam.drop_leaks(documents(rows), bench, items_a_pass=2).collect()) == [2, 7, 8, 11]
+    rng = random.Random(4)
+    items = [(k, rng.choices(words[:25], k=rng.randrange(1, 12))) for k in range(60)]
+    texts = [rng.choices(words[:25], k=rng.randrange(0, 60)) for _ in range(60)]
+    found = decontam.search(decontam.build_items([(k, " ".join(w)) for k, w in items]), [" ".join(t) for t in texts])
+    want = {(d, k, e) for d, t in enumerate(texts) for k, i in items if (e := edit(i, t)) <= len(i) // 4}
+    assert {r[:3] for r in found} == want and any(len(items[k][1]) in (4, 5, 6, 7) and e == 1 for _, k, e in want)
+
+
+def test_a_long_item_among_short_ones(words):
+    """20,000 items and one of 20,000 words: their tables are made, and the long one is found, in bounded memory."""
+    import subprocess
+    import sys
+
+    script = """
+import random, resource
+from tokentally.llm import decontam
+rng = random.Random(1)
+words = [f"w{i}" for i in range(5000)]
+rows = [(k, " ".join(rng.choices(words, k=rng.randrange(8, 40)))) for k in range(20_000)]
+long = rng.choices(words, k=20_000)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+items = decontam.build_items([*rows, (20_000, " ".join(long))])
+after = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for i in range(10, 20_000, 50):
+    long[i] = "new"
+found = decontam.search(items, ["before " + " ".join(long) + " after", rows[5][1]])
+assert (0, 20_000, 400, 1, 20_000) in found and (1, 5, 0, 0, len(rows[5][1].split())) in found
+print((after - before) // 1024, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert out.returncode == 0, out.stderr
+    built, whole = map(int, out.stdout.split())
+    assert built < 600 and whole < 1500
 
 
 def test_tables_reach_their_target_or_are_passed_by(words):

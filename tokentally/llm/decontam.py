@@ -2,7 +2,7 @@
 
 An item is found in a document where some run of the document's words is within
 ``floor(n * max_error)`` word edits (insertions, deletions, substitutions) of the
-item's n words; items of fewer than EXACT_BELOW words must occur as they are.  The CGK
+item's n words, so items of one to three words must occur as they are.  The CGK
 random walk embeds a word sequence into 3n positions so
 that a small edit distance becomes a small Hamming distance; tables that sample
 positions of several walks collide for windows of the item's size with a
@@ -12,8 +12,11 @@ verified by the exact edit distance.
 
 Windows need not be taken at every position: of any k + 1 words of an item, one stays
 unedited under k edits, so windows are laid where one of its k + 1 rarest words
-occurs.  This loses no match.  Where no edits are allowed, or where the simulated recall
-misses its target even with MOST_TABLES tables, all these windows are verified.
+occurs; of an item of more than LONG words, one of its k + 1 first runs of RUN words that don't overlap, since
+single words say little among so many.  This loses no match.  Where one edit at most is allowed, or where the simulated recall
+misses its target even with MOST_TABLES tables, all these windows are verified.  Items and
+windows are embedded with others of about their length, a bounded number of cells at a time, so a
+long item costs what it is long, however many short ones there are.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import types as T
 
 from tokentally.llm.shared import lower_ascii, materialize, mix64, prepare, split_words, word_hashes
 
-MAX_ERROR, EXACT_BELOW, TARGET_RECALL = 0.25, 8, 0.999
+MAX_ERROR, TARGET_RECALL = 0.25, 0.999
 WALKS, SAMPLED, MOST_TABLES = 4, 2, 512
 #: Positions are sampled among the first so many for each word: later on most walks have run out of words.
 REACH = 1.75
@@ -39,6 +42,10 @@ REACH = 1.75
 ITEMS_A_PASS, CHARS_A_PASS = 20_000, 20_000_000
 #: Windows that are laid and compared at a time.
 CHUNK = 1 << 16
+#: Items of more words than LONG are anchored by runs of RUN words, which fit (k + 1) times into any of them.
+LONG, RUN = 256, 3
+#: Cells of embeddings and sampled positions that are held at a time.
+CELLS = 1 << 21
 _PAD = np.uint64(0x5BF0_3635_DCD1_A2B7)
 
 
@@ -104,10 +111,8 @@ class Items:
     allowed: list[int]
     tables: int = 0
     recall: float = 1.0
-    #: Sorted anchor words; those of number i stand at places[first[i] : first[i + 1]] as (item, offset).
-    anchors: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    places: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int64))
+    #: Words of an anchor, the sorted anchors, and where those of number i stand: at places[first[i] : first[i + 1]] as (item, offset).
+    anchors: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
     #: Whether an item's windows are verified without asking the tables.
     direct: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
     keys: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
@@ -117,34 +122,66 @@ def build_items(rows: list[tuple[int, str]], max_error: float = MAX_ERROR, targe
     flat, counts = word_hashes([t for _, t in rows])
     ends = np.cumsum(counts).tolist()
     known = [(i, flat[b - n : b]) for (i, _), b, n in zip(rows, ends, counts.tolist(), strict=True) if n]
-    items = Items([i for i, _ in known], [w for _, w in known], [int(len(w) * max_error + 1e-9) if len(w) >= EXACT_BELOW else 0 for _, w in known])
+    items = Items([i for i, _ in known], [w for _, w in known], [int(len(w) * max_error + 1e-9) for _, w in known])
     if not known:
         return items
     text = {h: len(w) for h, w in zip(flat.tolist(), (w for _, t in rows for w in split_words(lower_ascii(t or ""))), strict=True)}
     common = Counter(int(w) for ws in items.words for w in set(ws.tolist()))
-    found: dict[int, list[tuple[int, int]]] = {}
+    found: dict[int, dict[int, list[tuple[int, int]]]] = {1: {}, RUN: {}}
     for n, ws in enumerate(items.words):
-        order = sorted(range(len(ws)), key=lambda o: (common[int(ws[o])], -text[int(ws[o])], o))
-        for o in order[: items.allowed[n] + 1]:
-            found.setdefault(int(ws[o]), []).append((n, o))
-    items.anchors = np.array(sorted(found), dtype=np.uint64)
-    items.first = np.concatenate([[0], np.cumsum([len(found[a]) for a in items.anchors.tolist()])]).astype(np.int64)
-    items.places = np.array([p for a in items.anchors.tolist() for p in found[a]], dtype=np.int64)
-    items.direct = np.array(items.allowed) == 0
+        k = items.allowed[n]
+        if len(ws) > LONG:
+            codes, order, width = runs_of(ws, RUN).tolist(), range(0, (k + 1) * RUN, RUN), RUN
+        else:
+            codes, width = ws.tolist(), 1
+            order = sorted(range(len(ws)), key=lambda o: (common[codes[o]], -text[codes[o]], o))[: k + 1]
+        for o in order:
+            found[width].setdefault(codes[o], []).append((n, o))
+    for width, at in found.items():
+        if at:
+            names = sorted(at)
+            items.anchors.append((width, np.array(names, dtype=np.uint64), np.concatenate([[0], np.cumsum([len(at[c]) for c in names])]).astype(np.int64), np.array([p for c in names for p in at[c]], dtype=np.int64)))
+    items.direct = np.array(items.allowed) <= 1
     if items.direct.all():
         return items
     items.tables, items.recall = tables_for(items, target_recall, most_tables)
     if items.recall < target_recall:
         items.direct[:] = True
-    items.keys = _keys(items, items.tables)
+    if not items.direct.all():
+        items.keys = _keys(items, np.flatnonzero(~items.direct), items.tables)
     return items
 
 
-def _keys(items: Items, tables: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    flat = np.concatenate(items.words)
-    lengths = np.array([len(w) for w in items.words], dtype=np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    return [sampled(cgk(flat, starts, lengths, walk), lengths, walk, tables) for walk in range(WALKS)]
+def runs_of(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` words, by its first one; the last ones, which have fewer, are hashed with what begins again."""
+    out = np.zeros(len(words), dtype=np.uint64)
+    for k in range(width):
+        out = mix64(out ^ np.roll(words, -k), k + 11)
+    return out
+
+
+def _alike(lengths: np.ndarray, tables: int) -> Iterator[np.ndarray]:
+    """Numbers of rows of about the same length (within a power of two), so many that CELLS cells bound their embeddings."""
+    kind = np.ceil(np.log2(np.maximum(lengths, 1))).astype(np.int64)
+    order = np.argsort(kind, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1) if len(order) else ():
+        size = max(1, CELLS // (3 * int(lengths[own].max()) + 4 * SAMPLED * tables))
+        for part in range(0, len(own), size):
+            yield own[part : part + size]
+
+
+def _keys(items: Items, some: np.ndarray, tables: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each walk the keys of all items and whether they tell something; only ``some`` have any."""
+    n = len(items.words)
+    out = [(np.zeros((n if len(some) else 0, tables), dtype=np.uint64), np.zeros((n if len(some) else 0, tables), dtype=bool)) for _ in range(WALKS)]
+    for own in _alike(np.array([len(items.words[i]) for i in some], dtype=np.int64), tables):
+        which = some[own]
+        flat = np.concatenate([items.words[i] for i in which])
+        lengths = np.array([len(items.words[i]) for i in which], dtype=np.int64)
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        for walk in range(WALKS):
+            out[walk][0][which], out[walk][1][which] = sampled(cgk(flat, starts, lengths, walk), lengths, walk, tables)
+    return out
 
 
 def tables_for(items: Items, target_recall: float, most_tables: int = MOST_TABLES, trials: int = 400, seed: int = 3) -> tuple[int, float]:
@@ -156,8 +193,7 @@ def tables_for(items: Items, target_recall: float, most_tables: int = MOST_TABLE
     target, at most ``most_tables``.
     """
     rng = np.random.default_rng(seed)
-    some = np.flatnonzero(np.array(items.allowed) > 0)
-    texts, meant = [], rng.choice(some, trials)
+    texts, meant = [], rng.choice(np.flatnonzero(~items.direct), trials)
     for n in meant.tolist():
         w = items.words[n].tolist()
         for _ in range(items.allowed[n]):
@@ -173,49 +209,53 @@ def tables_for(items: Items, target_recall: float, most_tables: int = MOST_TABLE
         texts.append(np.array([*rng.integers(1, 1 << 62, size).tolist(), *w, *rng.integers(1, 1 << 62, size).tolist()], dtype=np.uint64))
     codes = np.concatenate(texts)
     spans = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    keys, hit = _keys(items, most_tables), np.zeros((trials, most_tables), dtype=bool)
+    # Keys for so many tables are made for the items of the trials alone.
+    some, hit = np.unique(meant), np.zeros((trials, most_tables), dtype=bool)
+    tried = Items([items.ids[i] for i in some], [items.words[i] for i in some], [items.allowed[i] for i in some])
+    keys = _keys(tried, np.arange(len(some)), most_tables)
     for owner, which, first in _windows(items, codes, spans):
         own = which == meant[owner]
-        owner, which, first = owner[own], which[own], first[own]
+        owner, which, first = owner[own], np.searchsorted(some, which[own]), first[own]
         for part in range(0, len(owner), 2048):
             s = slice(part, part + 2048)
-            np.logical_or.at(hit, owner[s], _equal(items, keys, codes, spans, owner[s], which[s], first[s], most_tables))
+            np.logical_or.at(hit, owner[s], _equal(tried, keys, codes, spans, owner[s], which[s], first[s], most_tables))
     share = np.maximum.accumulate(hit, axis=1).mean(axis=0)
     return (int(np.argmax(share >= target_recall)) + 1 if share[-1] >= target_recall else most_tables), float(share[-1])
 
 
 def _windows(items: Items, codes: np.ndarray, spans: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(text, item, first word) of every window, about CHUNK at a time: one for each (item, start) at an anchor; starts before the text are moved to its first word."""
-    near = np.minimum(np.searchsorted(items.anchors, codes), len(items.anchors) - 1)
-    hits = np.flatnonzero(items.anchors[near] == codes)
-    if not len(hits):
-        return
-    kind = near[hits]
-    many = items.first[kind + 1] - items.first[kind]
-    total = np.cumsum(many)
-    at = 0
-    while at < len(hits):
-        base = total[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(total, base + CHUNK, side="right")))
-        p, n = hits[at:to], many[at:to]
-        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        place = items.places[np.repeat(items.first[kind[at:to]], n) + inner]
-        doc = np.repeat(np.searchsorted(spans, p, side="right") - 1, n)
-        first = np.maximum(np.repeat(p, n) - place[:, 1], spans[doc])
-        whole = np.unique(np.column_stack([doc, place[:, 0], first]), axis=0)
-        yield whole[:, 0], whole[:, 1], whole[:, 2]
-        at = to
+    for width, anchors, starts, places in items.anchors:
+        own = codes if width == 1 else runs_of(codes, width)
+        near = np.minimum(np.searchsorted(anchors, own), len(anchors) - 1)
+        hits = np.flatnonzero(anchors[near] == own)
+        kind = near[hits]
+        many = starts[kind + 1] - starts[kind]
+        total = np.cumsum(many)
+        at = 0
+        while at < len(hits):
+            base = total[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(total, base + CHUNK, side="right")))
+            p, n = hits[at:to], many[at:to]
+            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            place = places[np.repeat(starts[kind[at:to]], n) + inner]
+            doc = np.repeat(np.searchsorted(spans, p, side="right") - 1, n)
+            first = np.maximum(np.repeat(p, n) - place[:, 1], spans[doc])
+            whole = np.unique(np.column_stack([doc, place[:, 0], first]), axis=0)
+            yield whole[:, 0], whole[:, 1], whole[:, 2]
+            at = to
 
 
 def _equal(items: Items, keys: list, codes: np.ndarray, spans: np.ndarray, owner: np.ndarray, which: np.ndarray, first: np.ndarray, tables: int) -> np.ndarray:
     """For each window and table whether some walk's keys are equal; a window that leaves its text is padded by what CGK writes past its end."""
     length = np.array([len(w) for w in items.words], dtype=np.int64)[which]
-    inside = np.minimum(length, spans[owner + 1] - first)
     out = np.zeros((len(owner), tables), dtype=bool)
-    for walk in range(WALKS):
-        e = _padded(cgk(codes, first, inside, walk), 3 * int(length.max(initial=1)))
-        key, told = sampled(e, length, walk, tables)
-        out |= (key == keys[walk][0][which]) & told & keys[walk][1][which]
+    for own in _alike(length, tables):
+        inside = np.minimum(length[own], spans[owner[own] + 1] - first[own])
+        for walk in range(WALKS):
+            e = _padded(cgk(codes, first[own], inside, walk), 3 * int(length[own].max()))
+            key, told = sampled(e, length[own], walk, tables)
+            out[own] |= (key == keys[walk][0][which[own]]) & told & keys[walk][1][which[own]]
     return out
 
 
@@ -223,12 +263,16 @@ def search(items: Items, texts: list[str | None]) -> list[tuple[int, int, int, i
     """(text number, item number, distance, first word, number of words of the document's run) of every item found in each text."""
     codes, counts = word_hashes(texts)
     spans = np.concatenate([[0], np.cumsum(counts)])
-    if not len(codes) or not len(items.anchors):
+    if not len(codes):
         return []
     lengths, edits = np.array([len(w) for w in items.words], dtype=np.int64), np.array(items.allowed, dtype=np.int64)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     bags: dict[int, frozenset] = {}
     for owner, which, first in _windows(items, codes, spans):
+        # A run that matches has all but the allowed number of the item's words; most texts are too short for a long item.
+        room = np.minimum(spans[owner + 1], first + lengths[which] + edits[which]) - np.maximum(spans[owner], first - edits[which])
+        fits = room >= lengths[which] - edits[which]
+        owner, which, first = owner[fits], which[fits], first[fits]
         hit = items.direct[which]
         asked = np.flatnonzero(~hit)
         for part in range(0, len(asked), 4096):
@@ -237,7 +281,7 @@ def search(items: Items, texts: list[str | None]) -> list[tuple[int, int, int, i
         owner, which, first = owner[hit], which[hit], first[hit]
         low = np.maximum(spans[owner], first - edits[which])
         high = np.minimum(spans[owner + 1], first + lengths[which] + edits[which])
-        for d, n, a, b in zip(owner.tolist(), which.tolist(), low.tolist(), high.tolist(), strict=True):
+        for d, n, a, b in _merged(owner, which, low, high, edits):
             if (d, n) in best and best[d, n][0] == 0:
                 continue
             k, seg = items.allowed[n], codes[a:b]
@@ -260,6 +304,20 @@ def search(items: Items, texts: list[str | None]) -> list[tuple[int, int, int, i
     return [(d, n, *v) for (d, n), v in sorted(best.items())]
 
 
+def _merged(owner: np.ndarray, which: np.ndarray, low: np.ndarray, high: np.ndarray, edits: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, first, end) of what is to be verified: windows of an item that overlap as one, but where no edit is allowed."""
+    held = None
+    for d, n, a, b in zip(owner.tolist(), which.tolist(), low.tolist(), high.tolist(), strict=True):
+        if held is not None and held[:2] == (d, n) and a <= held[3] and edits[n]:
+            held = (d, n, held[2], max(b, held[3]))
+        else:
+            if held is not None:
+                yield held
+            held = (d, n, a, b)
+    if held is not None:
+        yield held
+
+
 def _padded(e: np.ndarray, steps: int) -> np.ndarray:
     return e if e.shape[1] >= steps else np.concatenate([e, np.full((len(e), steps - e.shape[1]), _PAD)], axis=1)
 
