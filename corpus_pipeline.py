@@ -43,7 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage: no run of words within a quarter of the item's words in edits (items of fewer than eight words: as they are).
+    """Documents without a benchmark passage: no run of words within a quarter of the item's words in edits (items of one to three words: as they are).
 
     Null and empty texts stay; null items find nothing.
     """
