@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import json
 import sqlite3
 
@@ -161,3 +162,50 @@ def test_union(spark, tmp_path):
     frames = [generic.GenericSource(n, ()).read(spark, Options(built_in(spark)), [str(tmp_path)]) for n in ("amp", "qwen")]
     assert sorted((r.date, r.agent, r.input_tokens) for r in all_agents(frames).collect()) == [("2025-01-11", "amp", 100), ("2025-01-11", "qwen", 100)]
     assert frames[0].where(F.col("agent") == "amp").count() == 1
+
+
+def test_codex_stretches(spark):
+    """Files cut into stretches of any length give what whole files give: totals, models, fallbacks and replays go on across the cuts."""
+    import random
+
+    from tokentally.sources import codex
+
+    rng, rows = random.Random(12), []
+    for f in range(14):
+        for i in range(rng.randrange(1, 40)):
+            t = f"2025-01-01T00:00:{rng.choice([0, 0, 0, 1]) if i < 6 else i:02d}Z"
+            n = rng.randrange(0, 50)
+            usage = {"input_tokens": n, "cached_input_tokens": n // 2, "output_tokens": 1, "total_tokens": n + 1}
+            info = {"total_token_usage": usage} if rng.random() < 0.7 else {"last_token_usage": usage, "total_token_usage": usage} if rng.random() < 0.5 else {"last_token_usage": usage, "model": "m2"}
+            line = rng.choice([{"timestamp": t, "type": "turn_context", "payload": {"model": f"m{rng.randrange(3)}"}}] + 4 * [{"timestamp": t, "type": "event_msg", "payload": {"type": "token_count", "info": info}}] + [{"timestamp": t, "usage": {"input_tokens": n, "output_tokens": 2}}, {"timestamp": t, "type": 7, "thread_spawn": 1, "payload": 3}])
+            rows.append((json.dumps(line, separators=(",", ":")), f"/x/{f}.jsonl", i // 20, datetime.datetime(2025, 1, 1), i))
+        if f % 2:
+            rows.append(('{"note":"thread_spawn"}', f"/x/{f}.jsonl", 0, datetime.datetime(2025, 1, 1), 99))
+    raw = spark.createDataFrame(rows, "value string, file_path string, file_block_start long, file_time timestamp, row_id long").cache()
+    want = sorted(map(repr, codex.parse_codex(raw).collect()))
+    assert len(want) > 100
+    for size in (1, 4):
+        assert sorted(map(repr, codex.parse_codex(raw, segment_rows=size).collect())) == want
+    plan = codex.parse_codex(raw, segment_rows=4)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(file_path") >= 1
+
+
+def test_subagents_say_so_in_their_first_16_kilobytes(spark, tmp_path):
+    """Also in files of several splits: a later mention is none."""
+    from tokentally.sources.codex import CodexSource
+    from tokentally.sources.heads import file_heads
+
+    event = lambda t, n: json.dumps({"timestamp": t, "type": "event_msg", "payload": {"type": "token_count", "info": {"last_token_usage": {"input_tokens": n}}}}, separators=(",", ":"))
+    own = [event("2025-01-01T00:00:00Z", 1), event("2025-01-01T00:00:00Z", 2), event("2025-01-01T00:00:05Z", 4)]
+    filler = [json.dumps({"x": "y" * 90})] * 400
+    (tmp_path / "early.jsonl").write_text("\n".join(['{"note":"thread_spawn"}', *own, *filler]))
+    (tmp_path / "late.jsonl").write_text("\n".join([*own, *filler, '{"note":"thread_spawn"}']))
+    (tmp_path / "cut.jsonl").write_text("\n".join([*own, "z" * (16_384 - sum(len(x) + 1 for x in own) - 6), "thread_spawn"]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = CodexSource().events(spark, [(str(tmp_path), "s", 0)]).groupBy("session_id").agg(F.sum("input_tokens").alias("n"), F.count("*").alias("k")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.session_id, r.n, r.k) for r in got) == [("cut", 7, 3), ("early", 4, 1), ("late", 7, 3)]
+    heads = file_heads(spark, [str(tmp_path)], size=5).collect()
+    assert {r.file_path.rsplit("/", 1)[1]: (r.head, r.bytes) for r in heads}["early.jsonl"] == ('{"not', (tmp_path / "early.jsonl").stat().st_size)

@@ -122,13 +122,25 @@ SELECT event_id, 'u' || user_id AS session_id, coalesce(carried, 'gpt-5') AS mod
 )
 
 
-@query(_CODEX_SQL)
-def codex_sessions(spark, d):
+def _codex_session_lines(spark, d, path) -> DataFrame:
     e, total = e0(spark, d), _usage_json(F.col("k") * 10, F.col("k"), F.col("o"))
     event = lambda *info: joined('{"timestamp":"', iso(), '","type":"event_msg","payload":{"type":"token_count","info":{', *info, "}}}")
     value = variant(4, joined('{"timestamp":"', iso(), '","type":"turn_context","payload":{"model":"', F.col("model"), '"}}'), event('"total_token_usage":', total), event('"last_token_usage":', joined('{"input_tokens":', F.col("k"), ',"output_tokens":1,"total_tokens":', F.col("k") + 1, "}"), ',"total_token_usage":', total), event('"total_token_usage":', total, ',"model_name":" ', F.col("model"), ' "'))
-    out = codex.parse_codex(line_frame(e, value, joined("/x/u", F.col("user_id"), ".jsonl")))
-    return out.select(F.col("row_id").alias("event_id"), "session_id", "model", "input_tokens", "cached_tokens", "output_tokens", "total_tokens", "is_fallback")
+    return line_frame(e, value, path)
+
+
+_CODEX_EVENT = ["row_id", "session_id", "model", "input_tokens", "cached_tokens", "output_tokens", "total_tokens", "is_fallback"]
+
+
+@query(_CODEX_SQL)
+def codex_sessions(spark, d):
+    return codex.parse_codex(_codex_session_lines(spark, d, joined("/x/u", F.col("user_id"), ".jsonl"))).select(*_CODEX_EVENT).withColumnRenamed("row_id", "event_id")
+
+
+@query(_CODEX_SQL.replace("PARTITION BY user_id", "PARTITION BY (user_id * 0)").replace("'u' || user_id", "'all'"))
+def codex_one_file(spark, d):
+    """One file of all events, by stretches of 512 lines."""
+    return codex.parse_codex(_codex_session_lines(spark, d, F.lit("/x/all.jsonl")), segment_rows=512).select(*_CODEX_EVENT).withColumnRenamed("row_id", "event_id")
 
 
 @query(

@@ -11,12 +11,15 @@ from tokentally.functions.dates import bucket, date_in_zone, flexible_timestamp,
 from tokentally.functions.text import first_filled
 from tokentally.operators.dedup import files_first
 from tokentally.operators.report import filter_dates
-from tokentally.operators.sequence import DEFAULT_MODEL, REVIEW_MODEL, carry_forward, cumulative_delta, replay_flag, review_model, up_to_here
+from tokentally.operators.sequence import DEFAULT_MODEL, REVIEW_MODEL, before, carry_forward, replay_flag, review_model, up_to_here
 from tokentally.plans.pricing import cached_cost, default_prices, with_prices
 from tokentally.schema import CODEX_LINE, CODEX_PAYLOAD, CODEX_RESULT, canonical
 from tokentally.sources.base import register
 from tokentally.sources.files import Options, env_list, expand, file_names, has_files, lines, strict_json, unique, zero
+from tokentally.sources.heads import file_heads
 
+#: From this size on of some file, files are worked on by stretches of SEGMENT_ROWS lines instead of one by one.
+BIG_FILE, SEGMENT_ROWS = 256 << 20, 1 << 16
 _KEYS, _ORDER = ["file_path"], ["file_block_start", "row_id"]
 _USAGE = ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")
 
@@ -53,42 +56,47 @@ def _normal(u: str) -> dict[str, Column]:
     return out
 
 
-def parse_codex(raw: DataFrame, session_id: Column | None = None) -> DataFrame:
+def parse_codex(raw: DataFrame, session_id: Column | None = None, heads: DataFrame | None = None, segment_rows: int | None = None) -> DataFrame:
     """Events from lines: session_id, ts_text, model, the five counts, is_fallback, and their place.
 
     Running totals become growth, a model holds until the next one, and events
     that a sub-agent's file replays from its parent are left out, though their totals count.
-    All state is within a file.
+    All state is within a file.  ``heads`` (file_path, head) holds the beginning of each file, in which a sub-agent's
+    one says so; without it any line may.
+
+    A file is one task's, unless ``segment_rows`` is given: then each stretch of so many rows is reduced to its last totals,
+    its last model and its first usage events, these are scanned for each file, and the stretches go on
+    from what comes in, each in a task of its own.
     """
-    typed = raw.withColumn("kind", kind(F.col("value"))).withColumn("spawned", F.contains("value", F.lit("thread_spawn")))
-    # All state is found in one shuffle by file; a sub-agent's file says so in some line, which need not be an event.
-    typed = typed.where("kind IS NOT NULL OR spawned").withColumn("subagent", F.bool_or("spawned").over(Window.partitionBy(*_KEYS)))
-    j = strict_json(typed.where("kind IS NOT NULL"), "value", CODEX_LINE)
+    typed = raw.withColumn("kind", kind(F.col("value"))).withColumn("spawned", F.contains("value", F.lit("thread_spawn")) if heads is None else F.lit(False))
+    j = strict_json(typed.where("kind IS NOT NULL OR spawned"), "value", CODEX_LINE, keep=F.col("spawned"))
+    j = j.withColumn("kind", F.when(F.col("j").isNotNull() & F.col("j._corrupt_record").isNull(), F.col("kind")))
+    if heads is not None:
+        j = j.drop("spawned").join(heads.select("file_path", F.contains("head", F.lit("thread_spawn")).alias("spawned")), "file_path", "left").withColumn("spawned", F.coalesce("spawned", F.lit(False)))
     j = j.withColumn("p", F.from_json("j.payload", CODEX_PAYLOAD)).withColumn("line_ts", flexible_timestamp(F.col("j.timestamp")))
     for part in ("data", "result", "response"):
         j = j.withColumn(part, F.from_json(f"j.{part}", CODEX_RESULT))
     session = F.col("kind") == "session"
     info = F.col("p.info")
-    event = session & (F.col("j.type") == "event_msg")
+    event = F.coalesce(session & (F.col("j.type") == "event_msg"), F.lit(False))
     counted = event & ((F.col("p.info.last_token_usage").isNotNull()) | F.col("p.info.total_token_usage").isNotNull())
     second = F.when(F.length("line_ts") >= 19, F.substring("line_ts", 1, 19))
-    usage_event = counted & (F.col("p.type") == "token_count") & second.isNotNull()
-    j = replay_flag(j, second, usage_event, _KEYS, _ORDER, F.col("subagent"))
-    live = event & info.isNotNull() & F.col("line_ts").isNotNull() & ~F.col("replayed")
-    here = up_to_here(_KEYS, _ORDER)
-    counts = event & (live | F.col("replayed")) & F.col("p.info.total_token_usage").isNotNull()
-    for c in _USAGE:  # running totals to growth
-        j = cumulative_delta(j.withColumn(f"total_{c}", F.when(counts, zero(f"p.info.total_token_usage.{c}"))), f"total_{c}", f"grown_{c}", _KEYS, _ORDER)
-    ours = {c: F.when(F.col("p.info.last_token_usage").isNotNull(), zero(f"p.info.last_token_usage.{c}")).otherwise(zero(f"grown_{c}")) for c in _USAGE}
+    told_time = event & info.isNotNull() & F.col("line_ts").isNotNull()
+    totals = F.when(told_time & F.col("p.info.total_token_usage").isNotNull(), F.struct(*[zero(f"p.info.total_token_usage.{c}").alias(c) for c in _USAGE]))
+    j = j.withColumns({"event": event, "counted": counted, "usage_second": F.when(counted & (F.col("p.type") == "token_count"), second), "totals": totals, "told_time": told_time, "place": F.struct(*_ORDER)})
+    state = _Segments(j, segment_rows) if segment_rows else _Files(j)
+    j = state.with_totals()
+    live = F.col("told_time") & ~F.col("replayed")
+    grown = {c: F.greatest(F.col(f"totals.{c}") - F.coalesce(F.col(f"before.{c}"), F.lit(0)), F.lit(0)) for c in _USAGE}
+    ours = {c: F.when(F.col("p.info.last_token_usage").isNotNull(), zero(f"p.info.last_token_usage.{c}")).otherwise(zero(grown[c])) for c in _USAGE}
     head = F.coalesce(*[F.when(F.col(f"{s}.usage").isNotNull(), F.struct(*[v.alias(k) for k, v in _normal(f"{s}.usage").items()])) for s in ("j", "data", "result", "response")])
-    j = j.withColumn("u", F.when(session, F.when(live & counted, F.struct(*[ours[c].alias(c) for c in _USAGE]))).otherwise(head))
+    headless = F.col("kind") == "headless"
+    j = j.withColumn("u", F.when(session, F.when(live & F.col("counted"), F.struct(*[ours[c].alias(c) for c in _USAGE]))).when(headless, head))
     some = F.greatest(*[F.col(f"u.{c}") for c in _USAGE]) > 0
     context = F.when(session & (F.col("j.type") == "turn_context"), F.coalesce(_model("p."), _model("p.info.")))
     told = F.when(session & some, F.coalesce(_model("p."), _model("p.info.")))
-    headless_told = F.when(~session & some, F.coalesce(_model("j."), *[_model(f"{s}.") for s in ("data", "result", "response")]))
-    j = j.withColumn("told", F.coalesce(context, told, headless_told)).withColumn("is_event", some & F.col("u").isNotNull())
-    j = carry_forward(j, "told", "carried", _KEYS, _ORDER).withColumn("unknown", F.col("is_event") & F.col("carried").isNull())
-    j = j.withColumn("first_unknown", F.sum(F.col("unknown").cast("int")).over(here) == 1)
+    headless_told = F.when(headless & some, F.coalesce(_model("j."), *[_model(f"{s}.") for s in ("data", "result", "response")]))
+    j = state.with_models(j.withColumn("told", F.coalesce(context, told, headless_told)).withColumn("is_event", F.coalesce(some, F.lit(False))))
     stamps = [flexible_timestamp(F.col(f"{s}.{c}")) for s in ("j", "data", "result", "response") for c in ("timestamp", "created_at", "createdAt")]
     stamp = F.when(session, F.col("line_ts")).otherwise(F.coalesce(*stamps, millis_text(F.col("file_time"))))
     j = j.withColumn("ts_text", stamp).withColumn("named", F.coalesce("carried", F.lit(DEFAULT_MODEL)))
@@ -96,10 +104,65 @@ def parse_codex(raw: DataFrame, session_id: Column | None = None) -> DataFrame:
     return j.where("is_event AND ts_text IS NOT NULL").select(
         own_id.alias("session_id"), "ts_text", review_model(F.col("named"), F.col("ts_text")).alias("model"), F.col("u.input_tokens").alias("input_tokens"), F.least("u.cached_input_tokens", "u.input_tokens").alias("cached_tokens"),
         F.col("u.output_tokens").alias("output_tokens"), F.col("u.reasoning_output_tokens").alias("reasoning_tokens"), F.col("u.total_tokens").alias("total_tokens"),
-        ((F.col("unknown") & F.col("first_unknown")) | (F.col("named") == REVIEW_MODEL)).alias("is_fallback"), "file_path", "file_block_start", "row_id",
+        (F.col("first_unknown") | (F.col("named") == REVIEW_MODEL)).alias("is_fallback"), "file_path", "file_block_start", "row_id",
     )
 
 
+class _Files:
+    """State by windows over whole files, after one shuffle by file."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows.withColumn("subagent", F.bool_or("spawned").over(Window.partitionBy(*_KEYS)))
+
+    def with_totals(self) -> DataFrame:
+        """``before``: the last totals before the row; ``replayed``."""
+        j = replay_flag(self.rows, F.col("usage_second"), F.col("usage_second").isNotNull(), _KEYS, _ORDER, F.col("subagent"))
+        return j.withColumn("before", F.last("totals", ignorenulls=True).over(before(_KEYS, _ORDER)))
+
+    def with_models(self, j: DataFrame) -> DataFrame:
+        """``carried``: the last model up to the row; ``first_unknown``: the file's first event, if it has none."""
+        j = carry_forward(j, "told", "carried", _KEYS, _ORDER)
+        nth = F.count_if("is_event").over(up_to_here(_KEYS, _ORDER))
+        return j.withColumn("first_unknown", F.col("is_event") & F.col("carried").isNull() & (nth == 1))
+
+
+class _Segments:
+    """The same by stretches of rows.  What a stretch comes down to is one row of bounded size; a file has as many as it has stretches."""
+
+    def __init__(self, rows: DataFrame, size: int):
+        self.keys = [*_KEYS, "segment"]
+        self.rows = rows.withColumn("segment", F.struct("file_block_start", F.floor(F.col("row_id") / size).alias("n"))).repartition(*self.keys)
+        self.earlier = Window.partitionBy(*_KEYS).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+        self.file = Window.partitionBy(*_KEYS)
+
+    def with_totals(self) -> DataFrame:
+        used = F.col("usage_second").isNotNull()
+        events = F.array_sort(F.collect_list(F.when(used, F.struct("place", F.col("usage_second").alias("s")))))
+        one = self.rows.groupBy(*self.keys).agg(F.max_by("totals", F.when(F.col("totals").isNotNull(), F.col("place"))).alias("last"), F.bool_or("spawned").alias("spawned"), events.alias("e"))
+        another = F.try_element_at(F.filter("e", lambda x: x["s"] != F.col("e")[0]["s"]), F.lit(1))
+        one = one.select(*self.keys, "last", "spawned", F.slice("e", 1, 2).alias("two"), another.alias("another"))
+        # A file's first two usage events are among the first two of its first stretches that have any.
+        first = F.min_by("two", F.when(F.size("two") > 0, F.col("segment")))
+        then = one.select("file_path", "segment", "two", "spawned", F.min(F.when(F.size("two") > 0, F.col("segment"))).over(self.file).alias("from"))
+        files = then.groupBy("file_path").agg(first.alias("two"), F.min_by("two", F.when((F.size("two") > 0) & (F.col("segment") != F.col("from")), F.col("segment"))).alias("more"), F.bool_or("spawned").alias("subagent"))
+        both = F.concat("two", F.coalesce("more", F.array().cast(files.schema["two"].dataType)))
+        replay = F.when(F.col("subagent") & (F.try_element_at(both, F.lit(1))["s"] == F.try_element_at(both, F.lit(2))["s"]), F.try_element_at(both, F.lit(1))["s"])
+        one = one.join(files.select("file_path", replay.alias("replay")), "file_path", "left")
+        stop = F.when(F.try_element_at("two", F.lit(1))["s"] != F.col("replay"), F.try_element_at("two", F.lit(1))["place"]).otherwise(F.col("another.place"))
+        one = one.select(*self.keys, "replay", F.min(stop).over(self.file).alias("stop"), F.last("last", ignorenulls=True).over(self.earlier).alias("comes"))
+        j = self.rows.join(one, self.keys, "left")
+        within = F.last("totals", ignorenulls=True).over(before(self.keys, _ORDER))
+        replayed = F.coalesce((F.col("usage_second") == F.col("replay")) & (F.col("stop").isNull() | (F.col("place") < F.col("stop"))), F.lit(False))
+        return j.withColumn("before", F.coalesce(within, F.col("comes"))).withColumn("replayed", replayed)
+
+    def with_models(self, j: DataFrame) -> DataFrame:
+        one = j.groupBy(*self.keys).agg(F.max_by("told", F.when(F.col("told").isNotNull(), F.col("place"))).alias("last"), F.min(F.when(F.col("is_event"), F.col("place"))).alias("event"))
+        one = one.select(*self.keys, F.last("last", ignorenulls=True).over(self.earlier).alias("model_comes"), F.min("event").over(self.file).alias("first_event"))
+        j = j.join(one, self.keys, "left")
+        carried = F.coalesce(F.last("told", ignorenulls=True).over(up_to_here(self.keys, _ORDER)), F.col("model_comes"))
+        return j.withColumn("carried", carried).withColumn("first_unknown", F.col("is_event") & F.col("carried").isNull() & (F.col("place") == F.col("first_event")))
+
+
 def group_events(events: DataFrame, kind: str = "daily", tz: str = "UTC", start_of_week: str = "monday", since: str | None = None, until: str | None = None) -> DataFrame:
     """Sums by (period, model); the period is the day, week or month in the zone, or the session."""
     ts = parse_timestamp(F.col("ts_text"))
@@ -159,7 +222,9 @@ class CodexSource:
         if len(told) > 1:  # the files' names alone are listed, no line is read for it
             files = placed(file_names(spark, [f[0] for f in told])).select("file_path", "at.scope", "rel", "at.priority")
             raw = raw.join(files_first(files, ["scope", "rel"], "priority").select("file_path"), "file_path", "left_semi")
-        return parse_codex(placed(raw).drop("at"), F.regexp_replace("rel", r"\.jsonl$", ""))
+        heads = file_heads(spark, [f[0] for f in told])
+        largest = heads.agg(F.max("bytes")).first()[0] or 0  # names and sizes; no file is read for it but its beginning
+        return parse_codex(placed(raw).drop("at"), F.regexp_replace("rel", r"\.jsonl$", ""), heads, SEGMENT_ROWS if largest > BIG_FILE else None)
 
     def read(self, spark: SparkSession, options: Options | None = None, paths: list[str] | None = None) -> DataFrame:
         o = options or Options()

@@ -89,10 +89,11 @@ def whole_files(spark: SparkSession, paths: list[str], pattern: str) -> DataFram
     return read.select("value", F.url_decode(F.col("_metadata.file_path")).alias("file_path"), F.lit(0).cast("bigint").alias("file_block_start"), F.lit(0).cast("bigint").alias("row_id"))
 
 
-def strict_json(df: DataFrame, column: str, schema: str, out: str = "j") -> DataFrame:
-    """Parse JSON and drop rows with a field of another type: parts must then be kept whole (see the session's settings)."""
+def strict_json(df: DataFrame, column: str, schema: str, out: str = "j", keep: Column | None = None) -> DataFrame:
+    """Parse JSON and drop rows with a field of another type, but for those to ``keep``: parts must then be kept whole (see the session's settings)."""
     parsed = df.withColumn(out, F.from_json(column, schema, {"columnNameOfCorruptRecord": "_corrupt_record"}))
-    return parsed.where(F.col(out).isNotNull() & F.col(f"{out}._corrupt_record").isNull())
+    own = F.col(out).isNotNull() & F.col(f"{out}._corrupt_record").isNull()
+    return parsed.where(own if keep is None else own | keep)
 
 
 def counts_ok(*cs: Column) -> Column:

@@ -26,11 +26,11 @@ _BLOCK = 1 << 22
 
 
 def open_path(path: str) -> tuple[fs.FileSystem, str, str]:
-    """(file system, path in it, what comes before its paths in a URI)."""
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path, "file://"
-    system, inner = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
-    return system, inner, path[: len(path) - len(path.split("://", 1)[1])] if not path.startswith("file:") else "file://"
+    """(file system, path in it, what comes before its paths as Spark writes them: ``file:`` or scheme://)."""
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path, "file:"
+    system, inner = fs.FileSystem.from_uri(path)
+    return system, inner, path.split("://", 1)[0] + "://"
 
 
 @dataclass
