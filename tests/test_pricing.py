@@ -115,3 +115,27 @@ def test_candidates(spark):
         ["gemini-3-pro-preview", "google/gemini-3-pro-preview"],
         ["claude-haiku-x", "a/claude-haiku-x"],
     ]
+
+
+def test_large_tables_are_matched_by_an_index(spark):
+    """What comparing all pairs finds, without a nested loop in the plan."""
+    import random
+
+    from tokentally.plans import pricing
+
+    rng = random.Random(5)
+    words = ["gpt", "claude", "5", "4.5", "mini", "v2", "é", "opus", "20250101"]
+    name = lambda: rng.choice(["", "us.", "-"]) + rng.choice("-./@: ").join(rng.choices(words, k=rng.randrange(1, 5)))
+    keys = sorted({name() for _ in range(150)} | {"-", ".."})
+    models = sorted({name() for _ in range(150)} | {"a - b", "--"})
+    k = spark.createDataFrame([(x,) for x in keys], "key string")
+    m = spark.createDataFrame([(x,) for x in models], "name string")
+    fits = pricing.matches(F.col("name"), F.col("key"))
+    want = {tuple(r) for r in m.crossJoin(k).where(fits).collect()}
+    found = pricing.candidate_pairs(m, k)
+    rows = [tuple(r) for r in found.where(fits).collect()]
+    assert set(rows) == want and len(rows) == len(want) > 100
+    prices = pricing.price_table(k.select(F.col("key").alias("model"), F.lit(1.0).alias("input"), F.lit(1.0).alias("output")))
+    for df in (pricing.resolve(m, prices), pricing.context_limits(m, prices.withColumn("context_limit", F.lit(5).cast("bigint")))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -3,7 +3,7 @@
 A price table has a row for each model.  A record's model is matched with it: the
 exact name, else the longest key that contains, or is contained in, the name at word
 boundaries.  Tables of usual size are matched within the record; beyond that distinct
-models are resolved first and joined back by name, so the theta join touches these only.
+models are resolved first, by an index of the names' words, and joined back by name.
 """
 
 from __future__ import annotations
@@ -74,11 +74,29 @@ _ABOVE = {"claude-sonnet-4": (6, 22.5, 7.5, 0.6)}
 _IMPLIED_CACHE = {"grok-4.3"}
 # Context limits.
 _LIMITS = {
-    1_050_000: ["gpt-5.5", "gpt-5.4"],
-    1_048_576: ["deepseek-v4-pro"],
-    1_000_000: ["claude-opus-4-6", "claude-opus-4-7", "claude-opus-4-8", "claude-sonnet-4-6", "grok-4.3", "qwen3.6-plus", "qwen3.6-plus-2026-04-02", "qwen3-coder-plus"],
-    262_144: ["moonshot/kimi-k2.5", "moonshot/kimi-k2.6", "qwen/qwen3-coder-480b-a35b-instruct"],
-    200_000: ["claude-opus-4-5", "claude-haiku-4-5", "claude-opus-4", "claude-sonnet-4", "claude-3-5-haiku", "claude-3-5-haiku-20241022", "claude-3-opus", "claude-3-sonnet", "claude-3-haiku"],
+    "claude-opus-4-5": 200_000,
+    "claude-opus-4-6": 1_000_000,
+    "claude-opus-4-7": 1_000_000,
+    "claude-opus-4-8": 1_000_000,
+    "claude-haiku-4-5": 200_000,
+    "claude-opus-4": 200_000,
+    "claude-sonnet-4-6": 1_000_000,
+    "claude-sonnet-4": 200_000,
+    "claude-3-5-haiku": 200_000,
+    "claude-3-5-haiku-20241022": 200_000,
+    "claude-3-opus": 200_000,
+    "claude-3-sonnet": 200_000,
+    "claude-3-haiku": 200_000,
+    "gpt-5.5": 1_050_000,
+    "grok-4.3": 1_000_000,
+    "moonshot/kimi-k2.5": 262_144,
+    "moonshot/kimi-k2.6": 262_144,
+    "gpt-5.4": 1_050_000,
+    "deepseek-v4-pro": 1_048_576,
+    "qwen3.6-plus": 1_000_000,
+    "qwen3.6-plus-2026-04-02": 1_000_000,
+    "qwen3-coder-plus": 1_000_000,
+    "qwen/qwen3-coder-480b-a35b-instruct": 262_144,
 }
 # What fast mode costs, by name, or by the end of a part of the name.
 FAST_EXACT = {"gpt-5.5": 2.5, "gpt-5.4": 2.0, "gpt-5.3-codex": 2.0}
@@ -117,11 +135,10 @@ def price_table(df: DataFrame) -> DataFrame:
 
 
 def built_in(spark: SparkSession) -> DataFrame:
-    limits = {m: n for n, models in _LIMITS.items() for m in models}
     rows = []
     for model, p in _BUILT_IN.items():
         above = _ABOVE.get(model, (None,) * 4)
-        rows.append((model, *[x / 1e6 for x in p], model not in _IMPLIED_CACHE, *[x / 1e6 if x is not None else None for x in above], None, limits.get(model)))
+        rows.append((model, *[x / 1e6 for x in p], model not in _IMPLIED_CACHE, *[x / 1e6 if x is not None else None for x in above], None, _LIMITS.get(model)))
     return price_table(spark.createDataFrame(rows, COLUMNS))
 
 
@@ -233,6 +250,33 @@ def matches(model: Column, key: Column) -> Column:
     return occurs(key, model) | occurs(model, key) | occurs(b, a) | occurs(a, b)
 
 
+def _words(c: Column) -> Column:
+    """The distinct runs of letters and digits in a name; a name without any has the empty one."""
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit("([A-Za-z0-9]+)")))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
+
+
+def candidate_pairs(names: DataFrame, keys: DataFrame) -> DataFrame:
+    """name, key of all pairs that matches() may hold for, by an index of words.
+
+    A name that stands in another between non-alphanumerics has all its words in it, also its rarest
+    one.  So keys meet names by the key's rarest word, and names meet keys by the name's: two joins by word, whose
+    postings are as short as rare words make them, instead of a comparison of all pairs.
+    """
+    name_words = names.select("name", F.explode(F.array_union(_words(F.col("name")), F.array(F.lit("")))).alias("word"))
+    key_words = keys.select("key", F.explode(F.array_union(_words(F.col("key")), F.array(F.lit("")))).alias("word"))
+    often = key_words.groupBy("word").agg(F.count("*").alias("often"))
+
+    def rarest(df: DataFrame, c: str) -> DataFrame:
+        own = df.select(c, F.explode(_words(F.col(c))).alias("word")).join(often, "word", "left")
+        # A word that no key has is in no key's name: such a name can't stand in a key.
+        return own.groupBy(c).agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "word")).alias("w")).where("w.often > 0").select(c, F.col("w.word").alias("word"))
+
+    inside = name_words.join(rarest(keys, "key"), "word").select("name", "key")
+    around = rarest(names, "name").join(key_words, "word").select("name", "key")
+    return inside.unionByName(around).distinct()
+
+
 def resolve(models: DataFrame, prices: DataFrame, match_dated_models: bool = False) -> DataFrame:
     """model, key: each distinct non-empty model's price key, if there is one.
 
@@ -246,9 +290,9 @@ def resolve(models: DataFrame, prices: DataFrame, match_dated_models: bool = Fal
     names = own.select("model", F.explode(F.filter(F.array(F.struct(F.lit(0).alias("turn"), F.col("model").alias("name")), F.struct(F.lit(1).alias("turn"), F.try_element_at(alias, F.col("model")).alias("name"))), lambda s: s["name"].isNotNull())).alias("s")).select("model", "s.turn", "s.name")
     exact = names.join(keys, F.col("name") == F.col("key")).select("model", "turn", F.lit(0).alias("fuzzy"), "key")
     plain = F.regexp_replace("name", r"-[0-9]{8}$", "") if match_dated_models else F.col("name")
-    # A join by matching is a loop over pairs: the keys are on one side of it, broadcast if they are few, which the optimizer decides by their size.
-    few = small_table(prices) is not None
-    fuzzy = names.withColumn("name", plain).join(F.broadcast(keys) if few else keys, matches(F.col("name"), F.col("key"))).select("model", "turn", F.lit(1).alias("fuzzy"), "key")
+    plain_names = names.withColumn("name", plain)
+    pairs = candidate_pairs(plain_names.select("name").distinct(), keys).where(matches(F.col("name"), F.col("key")))
+    fuzzy = plain_names.join(pairs, "name").select("model", "turn", F.lit(1).alias("fuzzy"), "key")
     best = F.min(F.struct("turn", "fuzzy", (-F.length("key")).alias("short"), "key"))
     return exact.unionByName(fuzzy).groupBy("model").agg(best.alias("b")).select("model", F.col("b.key").alias("key"))
 

@@ -275,6 +275,23 @@ def price_fuzzy_longest(spark, d):
 _SQL["price_fuzzy_longest"] = f"WITH {_COMMON}, {_fuzzy_sql()}"
 
 
+@query(
+    """, p AS (SELECT p_partkey AS i FROM part)
+SELECT i AS part, CASE i % 4 WHEN 0 THEN 'v' || (i % 7) || '-part-' || i WHEN 1 THEN 'us/v' || (i % 7) || '.part@' || i || ':beta' WHEN 2 THEN 'part.' || i ELSE 'part-' || i || '-pro' END AS model,
+CASE WHEN i % 4 < 3 THEN 'v' || (i % 7) || '-part-' || i WHEN i % 5 = 0 THEN 'part-' || i END AS key FROM p"""
+)
+def price_index(spark, d):
+    """As many price keys as there are parts, and some more, against as many models, through the index of words."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("part"))
+    own = F.concat(F.lit("v"), F.col("part") % 7, F.lit("-part-"), F.col("part"))
+    names = p.select(own.alias("model")).unionByName(p.where("part % 5 = 0").select(F.concat(F.lit("part-"), F.col("part")).alias("model")))
+    keys = pricing.price_table(names.withColumns({"input": F.lit(1.0), "output": F.lit(1.0)}))
+    k = F.col("part") % 4
+    model = F.when(k == 0, own).when(k == 1, F.concat(F.lit("us/v"), F.col("part") % 7, F.lit(".part@"), F.col("part"), F.lit(":beta"))).when(k == 2, F.concat(F.lit("part."), F.col("part"))).otherwise(F.concat(F.lit("part-"), F.col("part"), F.lit("-pro")))
+    models = p.select("part", model.alias("model"))
+    return models.join(pricing.resolve(models.select("model"), keys), "model", "left").select("part", "model", "key")
+
+
 @query("SELECT model, count(*) AS records FROM e WHERE missing AND model IS NOT NULL GROUP BY model")
 def price_missing(spark, d):
     return events(spark, d).where("missing_pricing_model IS NOT NULL").groupBy(F.col("missing_pricing_model").alias("model")).agg(F.count("*").alias("records"))
@@ -337,7 +354,7 @@ def cached_cost(spark, d):
     return pricing.with_prices(u, prices(spark)).select(F.col("row_id").alias("event_id"), money(pricing.cached_cost("price_"), 8).alias("cost"))
 
 
-@query("SELECT model, limit_ AS context_limit FROM (VALUES ('click', 200000), ('view', 1000000)) AS t(model, limit_)")
+@query("SELECT DISTINCT model, CASE model WHEN 'click' THEN 200000 WHEN 'view' THEN 1000000 END AS context_limit FROM e0 WHERE model IN ('click', 'view')")
 def context_limits(spark, d):
     p = prices(spark).withColumn("context_limit", F.when(F.col("model") == "click", 200_000).when(F.col("model") == "view", 1_000_000).cast("bigint"))
     return pricing.context_limits(table(spark, d, "events").select(F.col("event_type").alias("model")), p).select("model", F.col("context_limit").cast("int").alias("context_limit"))
