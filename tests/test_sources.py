@@ -209,3 +209,48 @@ def test_subagents_say_so_in_their_first_16_kilobytes(spark, tmp_path):
     assert sorted((r.session_id, r.n, r.k) for r in got) == [("cut", 7, 3), ("early", 4, 1), ("late", 7, 3)]
     heads = file_heads(spark, [str(tmp_path)], size=5).collect()
     assert {r.file_path.rsplit("/", 1)[1]: (r.head, r.bytes) for r in heads}["early.jsonl"] == ('{"not', (tmp_path / "early.jsonl").stat().st_size)
+
+
+def test_sqlite_filters_and_stream(spark, tmp_path):
+    """Comparisons are SQLite's, and the rest Spark's; a stream takes up rows as they are added."""
+    from tokentally.sources.sqlite import register_sqlite
+
+    db = sqlite3.connect(tmp_path / "x.db")
+    db.execute("CREATE TABLE message (id TEXT, session_id TEXT, data TEXT)")
+    rows = [(f"m{i}", f"s{i % 3}" if i % 5 else None, None if i % 7 == 0 else f"é{i:03d}") for i in range(100)]
+    db.executemany("INSERT INTO message VALUES (?, ?, ?)", rows)
+    db.commit()
+    register_sqlite(spark)
+    options = {"path": str(tmp_path / "x.db"), "table": "message", "rowsPerPartition": "30"}
+    load = lambda push: spark.read.format("tokentally_sqlite").options(**options, pushFilters=push).load()
+    t = load("false")
+    for where, keep in {
+        "session_id = 's1' AND data IS NOT NULL": lambda r: r[1] == "s1" and r[2],
+        "id IN ('m3', 'm4', 'none') OR id = 'm7'": lambda r: r[0] in ("m3", "m4", "m7"),
+        "data >= 'é050' AND data < 'é060' AND length(id) = 3": lambda r: r[2] and "é050" <= r[2] < "é060",
+        "data LIKE 'é01%'": lambda r: r[2] and r[2].startswith("é01"),
+    }.items():
+        for df in (t, load("true")):
+            assert sorted(r.id for r in df.where(where).collect()) == sorted(r[0] for r in rows if keep(r)), where
+        assert t.count() == 100 and t.where("id = 'm9' OR length(id) = 1").count() == 1  # another query of the same table
+    from pyspark.sql.datasource import EqualTo, IsNotNull, Not
+
+    from tokentally.sources.sqlite import SqliteSource
+
+    reader = SqliteSource({**options, "pushFilters": "true"}).reader(t.schema)
+    other = Not(EqualTo(("id",), "x"))
+    assert list(reader.pushFilters([EqualTo(("session_id",), "s1"), IsNotNull(("data",)), other])) == [other] and len(reader.conditions) == 2
+    assert sum(1 for p in reader.partitions() for _ in reader.read(p)) == len([r for r in rows if r[1] == "s1" and r[2]])
+    got = []
+
+    def drain():
+        s = spark.readStream.format("tokentally_sqlite").schema(t.schema).options(**options).load()
+        q = s.writeStream.option("checkpointLocation", str(tmp_path / "ck")).foreachBatch(lambda df, _: got.append(sorted(r.id for r in df.collect()))).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    drain()
+    drain()
+    db.execute("INSERT INTO message VALUES ('new', NULL, NULL)")
+    db.commit()
+    drain()
+    assert got == [sorted(r[0] for r in rows), ["new"]]

@@ -68,7 +68,7 @@ class OpenCodeSource:
         for k, root in enumerate([Path(p) for p in paths] if paths is not None else roots()):
             db = database(root)
             if db:
-                rows = spark.read.format("tokentally_sqlite").schema("id string, session_id string, data string").options(path=str(db), table="message").load()
+                rows = spark.read.format("tokentally_sqlite").schema("id string, session_id string, data string").options(path=str(db), table="message", pushFilters="true").load().where("data IS NOT NULL")
                 frames.append(rows.select(F.col("data").alias("value"), "id", "session_id", F.lit(str(db)).alias("file_path"), F.lit(2 * k).cast("bigint").alias("file_block_start"), F.monotonically_increasing_id().alias("row_id")))
             if has_files([root / "storage" / "message"], "*.json"):
                 docs = whole_files(spark, [str(root / "storage" / "message")], "*.json")
