@@ -35,7 +35,7 @@ class _Table:
         """Ranges of as many rows each, however far apart their ids are: one entry for rowsPerPartition rows."""
         with self._connect() as c:
             firsts = [r for (r,) in c.execute(f'SELECT id FROM (SELECT rowid AS id, row_number() OVER (ORDER BY rowid) AS n FROM "{self.table}" WHERE rowid > ? AND rowid <= ?) WHERE (n - 1) % ? = 0 ORDER BY id', (after, to, self.rows))]
-        return [_Range(a, b) for a, b in zip(firsts, [*[f - 1 for f in firsts[1:]], to], strict=True)] or [_Range(0, -1)]
+        return [_Range(a, b) for a, b in zip(firsts, [*[f - 1 for f in firsts[1:]], to], strict=True)] if firsts else [_Range(0, -1)]
 
     def read_range(self, partition: _Range) -> Iterator[tuple]:
         names = ", ".join(f'"{c}"' for c in self.columns)
