@@ -254,3 +254,22 @@ def test_sqlite_filters_and_stream(spark, tmp_path):
     db.commit()
     drain()
     assert got == [sorted(r[0] for r in rows), ["new"]]
+
+
+def test_store_rewrites_a_day_alone(spark, tmp_path):
+    from tokentally.schema import canonical
+    from tokentally.sources import store
+
+    rows = lambda *r: canonical(spark.createDataFrame(list(r), "agent string, date string, session_id string, input_tokens long"))
+    folder = str(tmp_path / "store")
+    store.write_usage(rows(("a", "2025-01-10", "s", 1), ("a", "2025-01-11", "s", 2), ("b", "2025-01-11", "s", 3), ("a", None, "undated", 9)), folder)
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "store").rglob("*.parquet")}
+    store.write_usage(rows(("a", "2025-01-11", "s", 20), ("a", "2025-01-11", "t", 30)), folder)
+    kept = {f for f, t in files.items() if f.exists() and f.stat().st_mtime_ns == t}
+    assert {f.parent.parent.name + "/" + f.parent.name for f in files if f not in kept} == {"date=2025-01-11/agent=a"}
+    got = store.read_usage(spark, folder)
+    assert sorted((r.agent, r.date or "", r.session_id, r.input_tokens) for r in got.collect()) == [("a", "", "undated", 9), ("a", "2025-01-10", "s", 1), ("a", "2025-01-11", "s", 20), ("a", "2025-01-11", "t", 30), ("b", "2025-01-11", "s", 3)]
+    some = store.read_usage(spark, folder, "2025-01-11", "20250111").select("agent", "input_tokens")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    at = plan.index("PartitionFilters: [")
+    assert "date" in plan[at : plan.index("]", at)] and "ReadSchema: struct<input_tokens:bigint>" in plan and some.count() == 3

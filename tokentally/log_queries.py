@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +13,7 @@ from tokentally.operators import blocks, dedup, report
 from tokentally.plans import pricing
 from tokentally.queries import _GLOBAL, _HUMAN, _drained, _stream, events, global_blocks, money, prices, query
 from tokentally.session import scratch
-from tokentally.sources import claude, codex, files, generic, opencode
+from tokentally.sources import claude, codex, files, generic, opencode, store
 from tokentally.sources.tables import events_usage, table
 from tokentally.streaming import changes, live
 
@@ -384,46 +383,108 @@ def stream_agents(spark, d):
 # Prices.
 
 
-@query(
-    """SELECT model, round(i * 1e6, 6) AS input, round(o * 1e6, 6) AS output, round(cc * 1e6, 6) AS cache_create, round(cr * 1e6, 6) AS cache_read, round(ia * 1e6, 6) AS input_above, m AS multiplier, ctx AS context_limit FROM (VALUES
-('full', 3e-6, 15e-6, 3.75e-6, 0.3e-6, 6e-6, 6.0, 200000::BIGINT), ('short', 1e-6, 2e-6, 1.25e-6, 0.1e-6, NULL, 1.0, NULL), ('gpt-5.4', 2e-6, 4e-6, 2.5e-6, 0.2e-6, NULL, 2.0, 9::BIGINT)) AS t(model, i, o, cc, cr, ia, m, ctx)"""
-)
-def litellm_prices(spark, d):
-    doc = {
-        "full": {"input_cost_per_token": 3e-6, "output_cost_per_token": 15e-6, "cache_creation_input_token_cost": 3.75e-6, "cache_read_input_token_cost": 0.3e-6, "input_cost_per_token_above_200k_tokens": 6e-6, "max_input_tokens": 200_000, "provider_specific_entry": {"fast": 6.0}},
-        "short": {"i": 1e-6, "o": 2e-6}, "gpt-5.4": {"i": 2e-6, "o": 4e-6, "ctx": 9}, "no output": {"input_cost_per_token": 1e-6}, "empty": {},
-    }
-    return _rates(pricing.from_litellm(spark, json.dumps(doc)))
+_BRANDS = """, b AS (SELECT p_brand AS model, p_brand[1:7] AS mfgr, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS s, CAST(right(p_brand, 1) AS INTEGER) AS digit FROM part GROUP BY 1, 2)
+"""
+_RATES = ["input", "output", "cache_create", "cache_read", "input_above"]
+
+
+def brands(spark, d) -> DataFrame:
+    """A price list made from the parts: model, mfgr, n, s (prices for a million tokens), digit."""
+    return table(spark, d, "part").groupBy(F.col("p_brand").alias("model"), F.left("p_brand", F.lit(7)).alias("mfgr")).agg(F.count("*").alias("n"), F.sum("p_size").cast("bigint").alias("s")).withColumn("digit", F.right("model", F.lit(1)).cast("int"))
+
+
+def document(spark, entries: DataFrame, entry: Column, key: str = "model", within: str | None = None) -> str:
+    """The path of one JSON document {key: entry, ...}, or {within: {...}}, written from rows."""
+    path = f"{scratch(spark)}/prices-{uuid.uuid4().hex}"
+    whole = F.map_from_entries(F.collect_list(F.struct(F.col(key), entry.alias("entry"))))
+    doc = entries.agg(whole.alias("m"))
+    doc.select(F.to_json(F.create_map(F.lit(within), "m") if within else F.col("m")).alias("value")).coalesce(1).write.text(path)
+    return path
 
 
 def _rates(p: DataFrame) -> DataFrame:
-    return p.select("model", *[F.round(F.col(c) * 1e6, 6).alias(c) for c in ("input", "output", "cache_create", "cache_read", "input_above")], "multiplier", "context_limit")
+    return p.select("model", *[F.round(F.col(c) * 1e6, 6).alias(c) for c in _RATES], "multiplier", "context_limit")
+
+
+def _per_token(c: str) -> Column:
+    return F.col(c) / 1e6
 
 
 @query(
-    """SELECT model, i::DOUBLE AS input, o::DOUBLE AS output, cc::DOUBLE AS cache_create, cr::DOUBLE AS cache_read, NULL::DOUBLE AS input_above, 1.0::DOUBLE AS multiplier, ctx AS context_limit FROM (VALUES ('a-1', 3.0, 15.0, 3.75, 0.3, 200000::BIGINT), ('b', 1.0, 2.0, 5.0, 0.5, NULL), ('flat', 0.5, 1.0, 0.625, 0.05, 7::BIGINT)) AS t(model, i, o, cc, cr, ctx)"""
+    _BRANDS + """SELECT model, n::DOUBLE AS input, s::DOUBLE AS output, CASE WHEN digit % 2 = 0 THEN n * 2.0 ELSE n * 1.25 END::DOUBLE AS cache_create, round(n * 0.1, 6)::DOUBLE AS cache_read, CASE WHEN digit % 2 = 0 THEN s * 2.0 END::DOUBLE AS input_above, CASE WHEN digit = 2 THEN 6.0 ELSE 1.0 END::DOUBLE AS multiplier, s AS context_limit FROM b WHERE digit <> 5"""
 )
+def litellm_prices(spark, d):
+    """Both shapes of a cost map, by the brand's digit; brands of digit 5 have no output price and are left out."""
+    full = {"input_cost_per_token": _per_token("n"), "output_cost_per_token": F.when(F.col("digit") != 5, _per_token("s")), "cache_creation_input_token_cost": F.col("n") * 2 / 1e6, "input_cost_per_token_above_200k_tokens": F.col("s") * 2 / 1e6, "max_input_tokens": F.col("s"), "provider_specific_entry": F.when(F.col("digit") == 2, F.struct(F.lit(6.0).alias("fast")))}
+    short = {"i": _per_token("n"), "o": _per_token("s"), "ctx": F.col("s")}
+    odd = (F.col("digit") % 2 == 1) & (F.col("digit") != 5)
+    entry = F.struct(*[F.when(~odd, v).alias(k) for k, v in full.items()], *[F.when(odd, v).alias(k) for k, v in short.items()])
+    return _rates(pricing.from_litellm(spark, document(spark, brands(spark, d), entry)))
+
+
+@query(_BRANDS + "SELECT model, n::DOUBLE AS input, s::DOUBLE AS output, CASE WHEN digit = 1 THEN s * 3 ELSE n * 1.25 END::DOUBLE AS cache_create, CASE WHEN digit = 1 THEN s ELSE round(n * 0.1, 6) END::DOUBLE AS cache_read, NULL::DOUBLE AS input_above, 1.0::DOUBLE AS multiplier, CASE WHEN digit = 3 THEN s END AS context_limit FROM b")
 def models_dev_prices(spark, d):
-    doc = {"x": {"models": {"a": {"id": "a-1", "cost": {"input": 3, "output": 15}, "limit": {"context": 200_000}}, "b": {"cost": {"input": 1, "output": 2, "cache_read": 0.5, "cache_write": 5}}, "c": {"id": "none"}}}, "flat": {"cost": {"input": 0.5, "output": 1}, "limit": {"context": 7}}}
-    return _rates(pricing.from_models_dev(spark, json.dumps(doc)))
+    """Models by their maker, prices for a million tokens."""
+    one = F.col("digit") == 1
+    cost = F.struct(F.col("n").alias("input"), F.col("s").alias("output"), F.when(one, F.col("s")).alias("cache_read"), F.when(one, F.col("s") * 3).alias("cache_write"))
+    limit = F.when(F.col("digit") == 3, F.struct(F.col("s").alias("context")))
+    makers = brands(spark, d).groupBy("mfgr").agg(F.map_from_entries(F.collect_list(F.struct("model", F.struct(cost.alias("cost"), limit.alias("limit")).alias("e")))).alias("models"))
+    return _rates(pricing.from_models_dev(spark, document(spark, makers, F.struct("models"), "mfgr")))
 
 
-@query("SELECT model, change FROM (VALUES ('click', 'updated'), ('signup', 'removed'), ('new', 'added')) AS t(model, change)")
+def _brand_prices(spark, d, **more: Column) -> DataFrame:
+    return pricing.price_table(brands(spark, d).select("model", _per_token("n").alias("input"), _per_token("s").alias("output"), *[v.alias(k) for k, v in more.items()]))
+
+
+@query(_BRANDS + "SELECT model, 'updated' AS change FROM b WHERE digit = 1 UNION ALL SELECT model, 'removed' FROM b WHERE digit = 2 UNION ALL SELECT 'new ' || model, 'added' FROM b WHERE digit = 3")
 def price_changes(spark, d):
-    old = prices(spark)
-    new = old.where("model != 'signup'").withColumn("input", F.when(F.col("model") == "click", F.col("input") * 2).otherwise(F.col("input"))).unionByName(old.where("model = 'click'").withColumn("model", F.lit("new")))
+    old, digit = _brand_prices(spark, d), F.right("model", F.lit(1))
+    new = old.where(digit != "2").withColumn("input", F.when(digit == "1", F.col("input") * 2).otherwise(F.col("input"))).unionByName(old.where(digit == "3").withColumn("model", F.concat(F.lit("new "), "model")))
     return pricing.price_changes(old, new)
 
 
 @query(
-    """SELECT model, round(i, 10) AS input, round(cc, 10) AS cache_create, round(cr, 10) AS cache_read, round(cca, 10) AS cache_create_above, e AS explicit FROM (VALUES ('implied', 4e-6, 5e-6, 4e-7, 6e-6, false), ('told', 4e-6, 2.5e-6, 1e-7, NULL, true), ('kept', 2e-6, 2.5e-6, 9e-7, NULL, true)) AS t(model, i, cc, cr, cca, e)"""
+    _BRANDS + """SELECT model, round(CASE WHEN digit IN (1, 2) THEN n * 2 ELSE n END, 4)::DOUBLE AS input, round(CASE WHEN digit = 1 THEN n * 2.5 ELSE n * 1.25 END, 4)::DOUBLE AS cache_create, round(CASE WHEN digit = 1 THEN n * 0.2 WHEN digit = 2 THEN s WHEN digit = 3 THEN 9 ELSE n * 0.1 END, 4)::DOUBLE AS cache_read, round(CASE WHEN digit = 1 THEN s * 6 WHEN digit = 2 THEN s * 3 ELSE s * 3 END, 4)::DOUBLE AS cache_create_above, digit IN (2, 3) AS explicit FROM b"""
 )
 def price_override_implied(spark, d):
-    """A new input price scales cache prices that were only implied by the old one."""
-    p = pricing.price_table(spark.createDataFrame([("implied", 2e-6, 1e-5, None, 3e-6), ("told", 2e-6, 1e-5, 1e-7, None), ("kept", 2e-6, 1e-5, None, None)], "model string, input double, output double, cache_read double, cache_create_above double"))
-    o = spark.createDataFrame([("implied", 4e-6, None), ("told", 4e-6, None), ("kept", None, 9e-7)], "model string, input double, cache_read double")
+    """A new input price scales cache prices that were only implied by the old one: brands of digit 1, but not 2, whose cache price was told; 3 gets a cache price of its own."""
+    digit = F.right("model", F.lit(1))
+    p = _brand_prices(spark, d, cache_read=F.when(F.right("model", F.lit(1)) == "2", _per_token("s")), cache_create_above=F.col("s") * 3 / 1e6)
+    o = brands(spark, d).where(F.col("digit").isin(1, 2, 3)).select("model", F.when(F.col("digit") < 3, F.col("n") * 2 / 1e6).alias("input"), F.when(digit == "3", F.lit(9e-6)).alias("cache_read"))
     r = pricing.apply_overrides(p, o)
-    return r.select("model", money("input", 10).alias("input"), money("cache_create", 10).alias("cache_create"), money("cache_read", 10).alias("cache_read"), money("cache_create_above", 10).alias("cache_create_above"), F.col("cache_read_explicit").alias("explicit"))
+    return r.select("model", *[F.round(F.col(c) * 1e6, 4).alias(c) for c in ("input", "cache_create", "cache_read", "cache_create_above")], F.col("cache_read_explicit").alias("explicit"))
+
+
+@query(
+    _BRANDS + """SELECT coalesce(b.model, o.model) AS model, round(CASE WHEN o.digit = 1 THEN o.s WHEN o.digit = 4 THEN 7 ELSE b.n END, 4)::DOUBLE AS input, round(coalesce(b.s, 0), 4)::DOUBLE AS output, round(CASE WHEN o.digit = 1 THEN b.n * 1.25 * (o.s::DOUBLE / b.n) WHEN b.model IS NULL THEN 0 ELSE b.n * 1.25 END, 4)::DOUBLE AS cache_create, round(CASE WHEN o.digit = 1 THEN b.n * 0.1 * (o.s::DOUBLE / b.n) WHEN o.digit = 2 THEN 3 WHEN b.model IS NULL THEN 0 ELSE b.n * 0.1 END, 4)::DOUBLE AS cache_read
+FROM (SELECT * FROM b WHERE digit <> 4) AS b FULL JOIN (SELECT * FROM b WHERE digit IN (1, 2, 4)) AS o ON b.model = o.model"""
+)
+def price_override(spark, d):
+    """Overrides of brands of digit 1 (input), 2 (cache reads) and 4, which have no price before."""
+    o = brands(spark, d).where(F.col("digit").isin(1, 2, 4)).select("model", F.when(F.col("digit") == 1, _per_token("s")).when(F.col("digit") == 4, F.lit(7e-6)).alias("input"), F.when(F.col("digit") == 2, F.lit(3e-6)).alias("cache_read"))
+    p = _brand_prices(spark, d).where(F.right("model", F.lit(1)) != "4")
+    return pricing.apply_overrides(p, o).select("model", *[F.round(F.col(c) * 1e6, 4).alias(c) for c in ("input", "output", "cache_create", "cache_read")])
+
+
+@query(
+    _BRANDS + """SELECT model, CASE WHEN digit % 2 = 1 THEN s ELSE n END::DOUBLE AS input, CASE WHEN digit % 2 = 1 THEN n ELSE s END::DOUBLE AS output, CASE WHEN digit % 2 = 1 THEN s * 1.25 ELSE n * 1.25 END::DOUBLE AS cache_create, round(CASE WHEN digit = 1 THEN n WHEN digit % 2 = 1 THEN s * 0.1 ELSE n * 0.1 END, 4)::DOUBLE AS cache_read, CASE WHEN digit IN (1, 2) THEN s END AS context_limit FROM b"""
+)
+def config_over_builtin(spark, d):
+    """A config's prices (brands of odd digits) before a base table's (all brands); context limits are filled in."""
+    entry = F.struct(F.struct(_per_token("s").alias("input"), _per_token("n").alias("output"), F.when(F.col("digit") == 1, _per_token("n")).alias("cacheRead")).alias("e"))["e"]
+    config = pricing.from_config(spark, document(spark, brands(spark, d).where("digit % 2 = 1"), entry, within="pricing"))
+    base = _brand_prices(spark, d, context_limit=F.when(F.col("digit").isin(1, 2), F.col("s")))
+    return pricing.fill_missing(config, base).select("model", *[F.round(F.col(c) * 1e6, 4).alias(c) for c in ("input", "output", "cache_create", "cache_read")], "context_limit")
+
+
+_BUILT_IN_MODELS = ["claude-sonnet-4", "gpt-5.5", "zai/glm-4.5-flash", "unlisted"]
+
+
+@query("SELECT event_id, round(CASE event_id % 4 WHEN 0 THEN input_tokens * 3e-6 + output_tokens * 15e-6 WHEN 1 THEN (input_tokens * 5e-6 + output_tokens * 30e-6) * 2.5 ELSE 0 END, 8) AS cost, event_id % 4 = 3 AS missing FROM e0")
+def built_in_prices(spark, d):
+    """Events priced by the built-in table."""
+    u = events_usage(spark, d).withColumn("price_model", F.element_at(F.array(*map(F.lit, _BUILT_IN_MODELS)), (F.col("row_id") % 4 + 1).cast("int")))
+    return pricing.price_usage(u, pricing.built_in(spark)).select(F.col("row_id").alias("event_id"), money("cost", 8).alias("cost"), F.col("missing_pricing_model").isNotNull().alias("missing"))
 
 
 _FAST = [("gpt-5.5", 2.5), ("gpt-5.3-codex", 2.0), ("gpt-5.5-mini", 0.0), ("us/claude-opus-4.6:beta", 6.0), ("claude-opus-4-7-20260101", 6.0), ("claude-opus-4@8", 2.0), ("claude-opus-4-80", 0.0), ("x", 0.0)]
@@ -434,11 +495,6 @@ def fast_multipliers(spark, d):
     return e0(spark, d).select("event_id", pricing.fast_multiplier(variant(len(_FAST), *[m for m, _ in _FAST])).alias("multiplier"))
 
 
-@query("SELECT model, i::DOUBLE AS input, o::DOUBLE AS output, cc::DOUBLE AS cache_create, cr::DOUBLE AS cache_read, above::DOUBLE AS input_above, m::DOUBLE AS multiplier, ctx AS context_limit FROM (VALUES ('claude-sonnet-4', 3, 15, 3.75, 0.3, 6.0, 1.0, 200000::BIGINT), ('gpt-5.5', 5, 30, 5, 0.5, NULL, 2.5, 1050000::BIGINT), ('zai/glm-4.5-flash', 0, 0, 0, 0, NULL, 1.0, NULL), ('claude-opus-4-8', 5, 25, 6.25, 0.5, NULL, 2.0, 1000000::BIGINT)) AS t(model, i, o, cc, cr, above, m, ctx)")
-def built_in_prices(spark, d):
-    return _rates(pricing.built_in(spark)).where(F.col("model").isin("claude-sonnet-4", "gpt-5.5", "zai/glm-4.5-flash", "claude-opus-4-8"))
-
-
 # Dates, numbers and names.
 
 _STAMPS = ["2024-03-10T23:30:00Z", "2024-03-10T23:30:00.25-05:00", "2024-03-10T23:30:00", "2024-03-10 23:30:00", "1710113400", "1710113400123", " 2024-03-10 x", "nonsense", ""]
@@ -512,11 +568,25 @@ def project_names(spark, d):
     return e0(spark, d).select("user_id").distinct().select("user_id", text.project_name(path, aliases).alias("project"))
 
 
-@query("SELECT lower(model) AS model FROM e0 WHERE false UNION ALL SELECT unnest(['amp', 'claude', 'codebuff', 'codex', 'copilot', 'droid', 'gemini', 'goose', 'hermes', 'kilo', 'kimi', 'openclaw', 'opencode', 'pi', 'qwen']) AS model")
+@query("SELECT n.names[1 + event_id % len(n.names)] AS agent, count(*) AS records, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM e0, (SELECT ['amp', 'claude', 'codebuff', 'codex', 'copilot', 'droid', 'gemini', 'goose', 'hermes', 'kilo', 'kimi', 'openclaw', 'opencode', 'pi', 'qwen'] AS names) AS n GROUP BY 1")
 def registered_sources(spark, d):
+    """Events dealt to all registered sources, as the report of all agents sums them."""
     from tokentally.sources import all as sources
 
-    return spark.createDataFrame([(s.name,) for s in sources.get_all()], "model string")
+    names = [s.name for s in sources.get_all()]
+    u = events_usage(spark, d).withColumn("agent", F.element_at(F.array(*map(F.lit, names)), (F.col("row_id") % len(names) + 1).cast("int")))
+    return report.summarize(u, ["agent"], breakdown=False).select("agent", "records", "output_tokens")
+
+
+@query("SELECT date, agent, count(*) AS records, CAST(sum(CASE WHEN date = '2024-01-10' THEN 2 ELSE 1 END * output_tokens) AS BIGINT) AS output_tokens FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS agent FROM e0) WHERE date BETWEEN '2024-01-08' AND '2024-01-12' AND (date <> '2024-01-10' OR agent = 'even' OR event_id % 4 = 1) GROUP BY ALL")
+def usage_store(spark, d):
+    """Records stored by date and agent; a second load of one day rewrites that day alone, and a report reads the days it asks for."""
+    folder = f"{scratch(spark)}/store-{uuid.uuid4().hex}"
+    u = events_usage(spark, d).withColumn("agent", F.when(F.col("row_id") % 2 == 0, "even").otherwise("odd"))
+    store.write_usage(u, folder)
+    again = u.where("date = '2024-01-10' AND (agent = 'even' OR row_id % 4 = 1)").withColumn("output_tokens", F.col("output_tokens") * 2)
+    store.write_usage(again, folder)
+    return report.period_report(store.read_usage(spark, folder, "2024-01-08", "20240112"), by=("agent",), breakdown=False).select("date", "agent", "records", "output_tokens")
 
 
 # Rendering.
@@ -529,31 +599,26 @@ def statusline(spark, d):
     return spark.createDataFrame([(render.statusline(global_blocks(spark, d), F.lit(last) + F.expr("INTERVAL 90 MINUTES")),)], "line string")
 
 
-@query("SELECT date, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, count(*) AS records, string_agg(DISTINCT model, ',' ORDER BY model) AS models FROM e WHERE date < '2024-01-11' GROUP BY date")
+@query("SELECT date, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, count(*) AS records, string_agg(DISTINCT model, ',' ORDER BY model) AS models, false AS has_cost FROM e GROUP BY date")
 def json_report(spark, d):
-    """The JSON document itself, without costs, read back by Spark."""
-    rows = report.period_report(report.filter_dates(events(spark, d), until="2024-01-10"))
-    doc = render.report_json("daily", report.sort_report(rows), report.grand_totals(rows), no_cost=True, path=".daily")
-    if "cost" in doc.lower():
-        raise ValueError("costs were to be left out")
-    entry = "array<struct<date: string, input_tokens: bigint, output_tokens: bigint, records: bigint, models_used: array<string>>>"
-    one = spark.createDataFrame([(doc,)], "doc string").select(F.explode(F.from_json("doc", entry)).alias("r"))
-    return one.select("r.date", "r.input_tokens", "r.output_tokens", "r.records", F.array_join("r.models_used", ",").alias("models"))
+    """The report's JSON lines, without costs, read back."""
+    lines = render.json_lines(report.period_report(events(spark, d)), no_cost=True)
+    one = lines.select(F.from_json("value", "date string, input_tokens bigint, output_tokens bigint, records bigint, models_used array<string>").alias("r"), F.contains(F.lower("value"), F.lit("cost")).alias("has_cost"))
+    return one.select("r.date", "r.input_tokens", "r.output_tokens", "r.records", F.array_join("r.models_used", ",").alias("models"), "has_cost")
 
 
 @query(_GLOBAL + "SELECT block_start, tokens, is_active, CASE WHEN NOT is_active THEN block_end END AS actual_end FROM blk")
 def blocks_json(spark, d):
-    found = global_blocks(spark, d)
-    doc = json.loads(render.blocks_json(found, blocks.gap_rows(found, session_seconds=180), 5000))
-    one = spark.createDataFrame([(json.dumps(b),) for b in doc["blocks"]], "doc string")
-    j = one.select(F.from_json("doc", "block_start timestamp, actual_end timestamp, tokens bigint, is_active boolean").alias("r"))
+    """The blocks' JSON lines read back."""
+    lines = render.json_lines(blocks.projection(blocks.burn_rate(global_blocks(spark, d)), 5000))
+    j = lines.select(F.from_json("value", "block_start timestamp, actual_end timestamp, tokens bigint, is_active boolean").alias("r"))
     return j.select(F.col("r.block_start").cast("timestamp_ntz").alias("block_start"), "r.tokens", "r.is_active", F.col("r.actual_end").cast("timestamp_ntz").alias("actual_end"))
 
 
-@query("SELECT strftime(date_trunc('month', ts), '%Y-%m') AS date, 'amp' AS agent, CAST(sum(input_tokens + 1 + output_tokens) AS BIGINT) AS total_tokens, count(*) AS records FROM e0 WHERE event_id % 6 NOT IN (1, 2, 3) GROUP BY 1 UNION ALL SELECT date[1:7], 'codex', CAST(sum(input_tokens + 2 * output_tokens + 1) AS BIGINT), count(*) FROM e0 WHERE event_id % 11 <> 0 GROUP BY 1")
+@query("SELECT strftime(date_trunc('month', CASE WHEN event_id % 6 = 1 THEN ts + INTERVAL 5 HOUR ELSE ts END), '%Y-%m') AS date, 'amp' AS agent, CAST(sum(input_tokens + 1 + output_tokens) AS BIGINT) AS total_tokens, count(*) AS records FROM e0 WHERE event_id % 6 NOT IN (2, 3) GROUP BY 1 UNION ALL SELECT date[1:7], 'codex', CAST(sum(input_tokens + 2 * output_tokens + 1) AS BIGINT), count(*) FROM e0 WHERE event_id % 11 <> 0 GROUP BY 1")
 def agents_monthly(spark, d):
     """Records of two agents' parsers in one report."""
-    frames = [pricing.price_usage(_generic(spark, d).where("row_id % 6 != 1"), prices(spark), "logged"), codex.to_usage(_codex_events(spark, d), prices(spark))]
+    frames = [pricing.price_usage(_generic(spark, d), prices(spark), "logged"), codex.to_usage(_codex_events(spark, d), prices(spark))]
     return report.all_agents(frames, "monthly", breakdown=False).select("date", "agent", "total_tokens", "records")
 
 

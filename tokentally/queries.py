@@ -312,29 +312,6 @@ def price_candidates(spark, d):
     return pricing.price_by_candidates(u, p).select(F.col("row_id").alias("event_id"), money("cost", 8).alias("cost"))
 
 
-_CONFIG = '{"pricing": {"click": {"input": 1e-5, "output": 2e-5}, "error": {"input": 4e-6, "output": 8e-6, "cacheRead": 1e-6}, "gpt-5.5": {"input": 1e-6, "output": 1e-6}}}'
-
-
-@query(
-    """, cfg(model, input, output, cache_create, cache_read, explicit, multiplier) AS (VALUES ('click', 1e-5, 2e-5, 1.25e-5, 1e-6, false, 1.0), ('error', 4e-6, 8e-6, 5e-6, 1e-6, true, 1.0), ('gpt-5.5', 1e-6, 1e-6, 1.25e-6, 1e-7, false, 2.5)),
-b(model, input, output, cache_create, cache_read) AS (VALUES ('click', 2e-6, 1e-5, 3e-6, 5e-7), ('view', 1e-6, 4e-6, 1.25e-6, 1e-7), ('purchase', 5e-6, 2.5e-5, 6.25e-6, 5e-7), ('signup', 3e-6, 1.5e-5, 3.75e-6, 3e-7))
-SELECT model, round(input, 10) AS input, round(output, 10) AS output, round(cache_create, 10) AS cache_create, round(cache_read, 10) AS cache_read FROM (SELECT model, input, output, cache_create, cache_read FROM cfg UNION ALL SELECT * FROM b WHERE model NOT IN (SELECT model FROM cfg))"""
-)
-def config_over_builtin(spark, d):
-    rates = ["input", "output", "cache_create", "cache_read"]
-    return pricing.fill_missing(pricing.from_config(spark, _CONFIG), prices(spark)).select("model", *[money(c, 10).alias(c) for c in rates])
-
-
-@query(
-    """, o(model, input, cache_read) AS (VALUES ('click', 4e-6, NULL), ('view', NULL, 9e-7), ('new', 7e-6, NULL)),
-b(model, input, output, cache_create, cache_read) AS (VALUES ('click', 2e-6, 1e-5, 3e-6, 5e-7), ('view', 1e-6, 4e-6, 1.25e-6, 1e-7), ('purchase', 5e-6, 2.5e-5, 6.25e-6, 5e-7), ('signup', 3e-6, 1.5e-5, 3.75e-6, 3e-7))
-SELECT coalesce(b.model, o.model) AS model, round(coalesce(o.input, b.input, 0), 10) AS input, round(coalesce(b.output, 0), 10) AS output, round(coalesce(b.cache_create, 0), 10) AS cache_create, round(coalesce(o.cache_read, b.cache_read, 0), 10) AS cache_read FROM b FULL JOIN o ON b.model = o.model"""
-)
-def price_override(spark, d):
-    o = spark.createDataFrame([("click", 4e-6, None), ("view", None, 9e-7), ("new", 7e-6, None)], "model string, input double, cache_read double")
-    return pricing.apply_overrides(prices(spark), o).select("model", *[money(c, 10).alias(c) for c in ("input", "output", "cache_create", "cache_read")])
-
-
 @query("SELECT l_orderkey AS k, l_linenumber AS line, round(CASE WHEN t <= 200000 THEN t * 1e-6 ELSE 0.2 + (t - 200000) * 2e-6 END, 6) AS cost FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * 10000 AS t FROM lineitem)")
 def tiered_cost(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), (F.col("l_quantity").cast("bigint") * 10_000).alias("t"))

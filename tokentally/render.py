@@ -8,8 +8,9 @@ import re
 import unicodedata
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokentally.functions import dates, text
 
@@ -80,6 +81,23 @@ def report_json(kind: str, rows: DataFrame, totals: DataFrame, no_cost: bool = F
     return dump(pick(strip_costs(doc) if no_cost else doc, path))
 
 
+def json_lines(rows: DataFrame, no_cost: bool = False) -> DataFrame:
+    """A report's rows as JSON lines (value), with numbers cut as in report_json(); nothing comes to the driver."""
+
+    def plain(c: Column, t: T.DataType, depth: int = 8) -> Column:
+        if isinstance(t, T.DoubleType):
+            return F.when(c.isNotNull(), text.truncate_9(c))
+        if isinstance(t, T.StructType) and depth:
+            kept = [f for f in t.fields if not (no_cost and "cost" in f.name.lower())]
+            return F.when(c.isNotNull(), F.struct(*[plain(c[f.name], f.dataType, depth - 1).alias(f.name) for f in kept]))
+        if isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StructType) and depth:
+            return F.transform(c, lambda x: plain(x, t.elementType, depth - 1))
+        return c
+
+    own = [f for f in rows.schema.fields if not (no_cost and "cost" in f.name.lower())]
+    return rows.select(F.to_json(F.struct(*[plain(F.col(f.name), f.dataType).alias(f.name) for f in own]), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value"))
+
+
 def codex_json(kind: str, rows: DataFrame, no_cost: bool = False, path: str | None = None) -> str:
     """{<kind>: rows with a map of models, totals} of Codex's own report."""
     shown = report_rows(rows)
