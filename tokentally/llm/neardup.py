@@ -55,10 +55,19 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
             c = flat[at : at + n]
             at += n
             if n >= WORDS:
-                h = c[: n - WORDS + 1] * _POWERS[WORDS - 1]
-                for k in range(1, WORDS):
-                    h = h + c[k : n - WORDS + 1 + k] * _POWERS[WORDS - 1 - k]
-                out.append(np.unique(mix64(h, 1)))
+                # A shingle takes its first word's place: a million at a time, so that a long text needs no other arrays of its length.
+                for a in range(0, n - WORDS + 1, 1 << 20):
+                    b = min(n - WORDS + 1, a + (1 << 20))
+                    h = c[a:b] * _POWERS[WORDS - 1]
+                    for k in range(1, WORDS):
+                        h += c[a + k : b + k] * _POWERS[WORDS - 1 - k]
+                    c[a:b] = mix64(h, 1)
+                h = c[: n - WORDS + 1]
+                h.sort()
+                new = np.empty(len(h), dtype=bool)
+                new[0] = True
+                np.not_equal(h[1:], h[:-1], out=new[1:])
+                out.append(h[new])
             elif n:
                 out.append(np.array([xxhash.xxh64_intdigest(c.tobytes(), seed=n)], dtype=np.uint64))
             else:

@@ -368,5 +368,10 @@ def pseudonymise(docs: DataFrame, key: bytes, back: bool = False, counted: str |
 
 
 def pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
-    """doc_id, text, n_replaced."""
+    """doc_id, text, n_replaced.
+
+    A null text stays null, with nothing replaced, an empty one empty; null ids and repeated rows are rows like
+    others, and equal values have equal pseudonyms in all of them; texts are read whole; other columns, whatever their names, are
+    left out; an empty table gives an empty result.
+    """
     return pseudonymise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key, counted="n_replaced")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokentally.llm.shared import give_back, materialize, prepare, remainder, segment_sums, word_hashes
+from tokentally.llm.shared import AT_ONCE, give_back, materialize, prepare, remainder, segment_sums, segments, word_hash_parts
 
 ORDER, BITS, END, SYMBOLS = 5, 9, 257, 257
 FOLDS, HELD_OUT = 10, 0
@@ -94,15 +94,43 @@ def grams(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def gram_parts(raw: list[bytes], size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, end, grams, starts of the texts' grams) of texts together, about ``size`` bytes at a time; of a long text, a piece at a time."""
+    at = 0
+    while at < len(raw):
+        if len(raw[at]) > size:
+            t = raw[at]
+            for a in range(0, len(t), size):
+                b = min(len(t), a + size)
+                s = np.zeros(ORDER + b - a + (b == len(t)), dtype=np.uint64)
+                lead = t[max(0, a - ORDER) : b]  # a piece begins with the context that comes before it
+                s[ORDER - min(a, ORDER) : ORDER + b - a] = np.frombuffer(lead, dtype=np.uint8).astype(np.uint64) + np.uint64(1)
+                if b == len(t):
+                    s[-1] = END
+                g = grams(s)
+                yield at, at + 1, g, np.array([0, len(g)])
+            at += 1
+            continue
+        to, total = at, 0
+        while to < len(raw) and len(raw[to]) <= size and (to == at or total + len(raw[to]) < size):
+            total += len(raw[to])
+            to += 1
+        s, starts = symbols(raw[at:to])
+        yield at, to, grams(s), np.maximum(starts - ORDER, 0)
+        at = to
+
+
 def _real(g: np.ndarray) -> np.ndarray:
     return (g & np.uint64(MASK)) != 0
 
 
-def count_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    if not texts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    g = grams(symbols(texts)[0])
-    return np.unique(g[_real(g)], return_counts=True)
+def count_grams(texts: list[bytes], size: int = AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
+    held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for _, _, g, _ in gram_parts(texts, size):
+        held.append(np.unique(g[_real(g)], return_counts=True))
+        if len(held) > 4:
+            held = [merge_counts(held)]
+    return merge_counts(held)
 
 
 def merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -263,16 +291,21 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
             if len(held[kind]) > 1:
                 held[kind] = [merge_counts(held[kind])]
 
+        def add(kind: int, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+            held[kind].append(np.unique(values, return_counts=True))
+            limit = (1_000_000, 3_000_000)[kind]
+            if len(held[kind]) >= 8 or sum(len(k) for k, _ in held[kind]) > limit:
+                merged(kind)
+                if len(held[kind][0][0]) > limit:
+                    yield from rows(kind, *held[kind].pop())
+
         for batch in batches:
             texts = batch.column(0).to_pylist()
             ends += len(texts)
-            held[0].append(np.unique(word_hashes(texts)[0], return_counts=True))
-            held[1].append(count_grams([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]))
-            for kind, limit in ((0, 1_000_000), (1, 3_000_000)):
-                if len(held[kind]) >= 8 or sum(len(k) for k, _ in held[kind]) > limit:
-                    merged(kind)
-                    if len(held[kind][0][0]) > limit:
-                        yield from rows(kind, *held[kind].pop())
+            for hashes, _, _ in word_hash_parts(texts):
+                yield from add(0, hashes)
+            for _, _, g, _ in gram_parts([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts], AT_ONCE):
+                yield from add(1, g[_real(g)])
         for kind in (0, 1):
             merged(kind)
             for part in held[kind]:
@@ -405,13 +438,15 @@ def _scored(ids: DataFrame, shared) -> DataFrame:
 
     def base(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         m = shared.value[0]
-        hashes, n = word_hashes(texts)
-        n = n + 1
+        n, known, total = np.ones(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
+        for hashes, numbers, many in word_hash_parts(texts):
+            np.add.at(n, numbers, many)
+            if m is not None:
+                row, starts = m.rows(hashes), segments(many)
+                np.add.at(total, numbers, segment_sums(m.logs(row), starts))
+                np.add.at(known, numbers, segment_sums((m.counts[row] * (row >= 0) > 0).astype(np.float64), starts))
         if m is None:
             return n, np.zeros(len(n), np.int64), np.zeros(len(n))
-        row = m.rows(hashes)
-        starts = np.concatenate([[0], np.cumsum(n - 1)])
-        total, known = segment_sums(m.logs(row), starts), segment_sums((m.counts[row] * (row >= 0) > 0).astype(np.float64), starts)
         if m.low <= 0 <= m.high:  # the part that has the end also takes every token's denominator
             end = m.rows(np.zeros(1, np.uint64))
             total += m.logs(end)[0] - n * np.log10(m.n + 0.1 * (m.v + 1))
@@ -422,22 +457,14 @@ def _scored(ids: DataFrame, shared) -> DataFrame:
         if shared.value[1] is None:
             return np.zeros(len(texts))
         model, own = shared.value[1]
-        out, at = np.zeros(len(texts)), 0
-        raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-        while at < len(raw):  # parts bound the memory
-            to, size = at, 0
-            while to < len(raw) and (to == at or size + len(raw[to]) < _AT_ONCE):
-                size += len(raw[to])
-                to += 1
-            s, starts = symbols(raw[at:to])
-            g = grams(s)
+        out = np.zeros(len(texts))
+        for at, to, g, starts in gram_parts([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts], _AT_ONCE):
             real = _real(g)
             if own is not None:
                 real &= own.own(g)
             score = np.zeros(len(g))
             score[real] = model.score(g[real])
-            out[at:to] = segment_sums(score, np.maximum(starts - ORDER, 0))
-            at = to
+            out[at:to] += segment_sums(score, starts)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,7 +482,12 @@ def _scored(ids: DataFrame, shared) -> DataFrame:
 
 
 def language_model_scores(docs: DataFrame) -> DataFrame:
-    """Train on the rows outside the held-out fold, score all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """Train on the rows outside the held-out fold, score all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    A null or empty text has the end alone; rows that repeat are learnt from and scored each for itself, a null id counts as the
+    empty text for its fold; texts are read whole; other columns, whatever their names, are left out; an empty table gives an
+    empty result.
+    """
     fold = remainder(F.col("doc_id"), FOLDS) == HELD_OUT
     scored = score_documents(docs, docs.where(~fold))
     return scored.select("doc_id", fold.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokentally.llm.shared import Codes, hash64, mix64, per_process, release, remainder, segment_sums, segments, split_words
+from tokentally.llm.shared import AT_ONCE, Codes, hash64, mix64, per_process, release, remainder, segment_sums, segments, split_words
 from tokentally.llm.supervised import Sample, keep_scored, sigmoid, training_sample, with_scores
 
 BITS = 18
@@ -34,6 +34,10 @@ def _code(word: str) -> int:
     return hash64(core.lower()) >> 16 << 16 | hash64(kind + " " + _MARKS.sub("w", word)) >> 48
 
 
+#: Where a long text is cut.
+_CUT = re.compile("[\t-\r ]")
+
+
 def features(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """Groups of (weight index, document) arrays, and each document's number of words."""
     codes = per_process("quality codes", lambda: Codes(_code))
@@ -61,12 +65,39 @@ class QualityModel:
         """The probability of label 1 of each text; a text without words has the bias alone."""
         if not texts:
             return np.zeros(0)
+        total, n = self._sums([t if len(t) <= AT_ONCE else "" for t in texts])
+        for i, t in enumerate(texts):
+            if len(t) > AT_ONCE:
+                total[i], n[i] = self._long(t)
+        return sigmoid(self.bias + total / np.maximum(n, 1))
+
+    def _sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of weights, and numbers of words."""
         groups, n = features(texts)
         total = np.zeros(len(texts))
         for index, doc in groups:
             starts = np.searchsorted(doc, np.arange(len(texts) + 1))
             total += segment_sums(self.weights[index], starts)
-        return sigmoid(self.bias + total / np.maximum(n, 1))
+        return total, n
+
+    def _long(self, text: str) -> tuple[float, int]:
+        """The same of one text, a piece at a time: each piece but the first is led by the last word before it, which counts once."""
+        total, n, last = 0.0, 0, ""
+        at = 0
+        while at < len(text):
+            cut = _CUT.search(text, at + AT_ONCE)
+            end = cut.start() if cut else len(text)
+            piece = text[at:end]
+            own = split_words(piece)
+            if own:
+                (more,), (k,) = self._sums([f"{last} {piece}" if last else piece])
+                total, n = total + more, n + int(k)
+                if last:
+                    (once,), (k,) = self._sums([last])
+                    total, n = total - once, n - int(k)
+                last = own[-1]
+            at = end
+        return total, n
 
 
 def fit(sample: Sample, alpha: float = 0.5, beta: float = 1e-4, l1: float = 1e-4, l2: float = 1e-3, epochs: int = 4) -> QualityModel:
@@ -127,6 +158,11 @@ def keep_quality(docs: DataFrame, model: QualityModel, threshold: float = THRESH
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document."""
+    """doc_id, held_out, score, predicted of every document.
+
+    Null and empty texts have the bias's score; rows that repeat are scored each for itself, a null id counts as
+    the empty text for its fold; texts are read whole; other columns, whatever their names, are left out; an empty table gives an
+    empty result.
+    """
     scored = score_quality(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train_quality(docs, labels))
     return scored.select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))

@@ -11,7 +11,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -206,20 +206,36 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return held[0], held[1]
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (A-Z lower-cased, see split_words()) in order, and the number of words of each text.
-
-    A word's hash is a polynomial in random codes of its bytes, taken from prefix
-    sums over the whole batch, so no word is looked at alone.
-    """
-    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-    out, counts, at = [], np.zeros(len(raw), dtype=np.int64), 0
-    while at < len(raw):  # parts of about a megabyte bound the memory
-        to, size = at, 0
-        while to < len(raw) and (to == at or size + len(raw[to]) < 1_000_000):
-            size += len(raw[to]) + 1
-            to += 1
-        b = np.frombuffer(b"\n".join(raw[at:to]) + b"\n", dtype=np.uint8)
+#: Bytes that are hashed, and symbols that are looked at, at a time: a long text is cut, and a part's arrays are many times its bytes.
+AT_ONCE = 1_000_000
+_SEPARATOR = re.compile(rb"[\t-\r ]")
+
+
+def raw_parts(raw: Iterable[bytes], size: int = AT_ONCE) -> Iterator[list[tuple[int, bytes]]]:
+    """(text number, bytes) of texts, or pieces of long ones cut at separators, together about ``size`` bytes at a time."""
+    held, total = [], 0
+    for i, r in enumerate(raw):
+        at = 0
+        while True:
+            end = len(r)
+            if end - at > size and (cut := _SEPARATOR.search(r, at + size)) is not None:
+                end = cut.start()
+            held.append((i, r[at:end] if at or end < len(r) else r))
+            total += end - at + 1
+            at = end
+            if total >= size:
+                yield held
+                held, total = [], 0
+            if at >= len(r):
+                break
+    if held:
+        yield held
+
+
+def word_hash_parts(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hashes, text numbers, words of each of these) a part at a time; see word_hashes().  A text may lie in several parts."""
+    for part in raw_parts((t or "").encode("utf-8", "surrogatepass").lower() for t in texts):
+        b = np.frombuffer(b"\n".join([r for _, r in part]) + b"\n", dtype=np.uint8)
         gap = _SEPARATOR_BYTES[b]
         edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
         if not gap[0]:
@@ -228,11 +244,22 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         up, down = powers(len(b))
         with np.errstate(over="ignore"):
             prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_CODES[b] * up[: len(b)], dtype=np.uint64)])
-            out.append(mix64((prefix[end] - prefix[first]) * down[first] + (end - first).astype(np.uint64), 5))
-        bounds = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw[at:to]])])
-        counts[at:to] = np.diff(np.searchsorted(first, bounds))
-        at = to
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), counts
+            hashes = mix64((prefix[end] - prefix[first]) * down[first] + (end - first).astype(np.uint64), 5)
+        bounds = np.concatenate([[0], np.cumsum([len(r) + 1 for _, r in part])])
+        yield hashes, np.array([i for i, _ in part], dtype=np.int64), np.diff(np.searchsorted(first, bounds))
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (A-Z lower-cased, see split_words()) in order, and the number of words of each text.
+
+    A word's hash is a polynomial in random codes of its bytes, taken from prefix
+    sums over a part of the batch, so no word is looked at alone.
+    """
+    out, counts = [], np.zeros(len(texts), dtype=np.int64)
+    for hashes, numbers, n in word_hash_parts(texts):
+        out.append(hashes)
+        np.add.at(counts, numbers, n)
+    return (np.concatenate(out) if len(out) > 1 else out[0] if out else np.zeros(0, np.uint64)), counts
 
 
 def segments(lengths: Iterable[int]) -> np.ndarray:
