@@ -71,6 +71,59 @@ def test_toxicity(spark, documents, words):
     assert toxicity.toxicity_scores(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_toxicity_averages_shards(spark, documents, words):
+    """Each parameter's change is the mean over the shards that changed it: every shard trained by itself here, and averaged in a plain loop."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(words[:30], k=rng.randrange(1, 25)) + ["vile"] * (i % 2))) for i in range(90)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, toxic int")
+    codes = toxicity.coded(supervised.labelled_texts(documents(rows), labels, "toxic", 4, 2))
+    shard = F.pmod(F.col("doc_id"), F.lit(3)).cast("int")
+    held = codes.withColumn("shard", shard).withColumn("place", F.xxhash64("doc_id", F.lit(7))).collect()
+    seen = np.zeros((2, toxicity.BUCKETS))
+    for r in held:
+        seen[r.label, np.unique(np.frombuffer(r.codes, np.int32))] += 1
+    known, rows_of = toxicity.known_rows(seen)
+    p = toxicity.start(seen[:, known], np.array([45, 45]), np.random.default_rng(1))
+    p.emb = p.emb.astype(np.float32)
+    total, many = {}, Counter()
+    for k in range(3):
+        own = sorted((r.place, r.doc_id, r) for r in held if r.shard == k)
+        docs = [rows_of[np.frombuffer(r.codes, np.int32)] for *_, r in own]
+        mine = toxicity.Parameters(p.emb.astype(np.float64), [f.copy() for f in p.filters], p.hidden.copy(), p.out.copy(), p.bias)
+        toxicity.train(mine, docs, np.array([float(r.label) for *_, r in own]), np.random.default_rng([5, k]))
+        moved = (mine.emb - p.emb).astype(np.float32)
+        dense = (mine.dense() - p.dense()).astype(np.float32)
+        dense = np.pad(dense, (0, -len(dense) % toxicity.DIM)).reshape(-1, toxicity.DIM)
+        changes = {i: moved[i] for i in range(len(moved)) if moved[i].any()} | {-1 - i: d for i, d in enumerate(dense)}
+        for i, c in changes.items():
+            total[i] = total.get(i, 0) + c.astype(np.float64)
+            many[i] += 1
+    shared = spark.sparkContext.broadcast((rows_of, p))
+    got = {r.row: np.array([r[f"d{k}"] for k in range(toxicity.DIM)]) for r in toxicity.shard_changes(codes, shard, shared, 5).collect()}
+    assert set(got) == set(total) and {2, 3} & set(many.values())
+    for i, c in got.items():
+        assert np.allclose(c, total[i] / many[i], rtol=1e-9, atol=1e-12)
+
+
+def test_toxicity_cuts_of_many_languages(spark):
+    """Those of one grouped pass are those of each language by itself; languages with too few documents have none."""
+    rng = random.Random(6)
+    docs = [(f"l{k % 37}", y, min(15_999, max(0, int(rng.gauss(8000 + 900 * y, 700))))) for k in range(4000) for y in [int(rng.random() < 0.3)]]
+    docs += [("few", 1, 5), ("one-sided", 0, 7)] + [("zeros", 0, rng.randrange(100)) for _ in range(90)]
+    rows = spark.createDataFrame(docs, "lang string, label int, step int").withColumn("score", F.col("step") / 16_384)
+    steps = rows.groupBy("lang", "step").agg(F.sum("label").alias("ones"), F.sum(1 - F.col("label")).alias("zeros"), F.min("score").alias("low"), F.max("score").alias("high"))
+    got = {r.lang: r.threshold for r in toxicity.cuts_by_language(steps).collect()}
+    want = {}
+    for lang in {d[0] for d in docs}:
+        own = [(s / 16_384, y) for x, y, s in docs if x == lang]
+        if len(own) >= toxicity.LEAST_CALIBRATION and min(sum(y for _, y in own), sum(1 - y for _, y in own)) >= 5:
+            tops = sorted({s for s, _ in own}, reverse=True)
+            f1 = [2 * sum(y for s, y in own if s >= t) / (sum(1 for s, _ in own if s >= t) + sum(y for _, y in own)) for t in tops]
+            k = f1.index(max(f1))
+            want[lang] = (tops[k] + (tops[k + 1] if k + 1 < len(tops) else 0.0)) / 2
+    assert got.keys() == want.keys() and len(want) == 37 and all(abs(got[x] - want[x]) < 1e-12 for x in want)
+
+
 def test_toxicity_by_a_plain_forward_pass(words):
     """Scores word by word, window by window; gradients by differences; thresholds by trying all."""
     rng = random.Random(2)

@@ -319,7 +319,8 @@ def shard_changes(codes: DataFrame, shard: Column, shared, seed: int) -> DataFra
     """row, d0 to d7, shards: each parameter's change, averaged over the shards that changed it.  Rows from 0 are the embedding's, row -1 - k is the k-th block of the others.
 
     A shard takes the same documents in the same order wherever it runs.  Changes are rounded
-    to 32 bits, so that sums don't depend on their order.
+    to 32 bits, so that sums in 64 bits don't depend on their order as long as the changes of a parameter are within a factor of
+    2 ** 29 of each other; beyond that the last bits may differ.
     """
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
@@ -361,8 +362,27 @@ def _cut_of(steps: DataFrame) -> float:
     return _cut(*[t.column(c).to_numpy() for c in ("ones", "zeros", "low", "high")])
 
 
+def cuts_by_language(steps: DataFrame) -> DataFrame:
+    """lang, threshold of the languages with documents enough, from the scores' steps: STEPS rows a language at most, all languages in one job."""
+
+    def cut(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("step", "descending")])
+        ones, zeros, low, high = (t.column(c).to_numpy() for c in ("ones", "zeros", "low", "high"))
+        own = _enough(int(ones.sum() + zeros.sum()), int(ones.sum()))
+        return pa.table([t.column("lang").slice(0, int(own)), pa.array([_cut(ones, zeros, low, high)] * own, pa.float64())], names=["lang", "threshold"])
+
+    return steps.groupBy("lang").applyInArrow(cut, "lang string, threshold double")
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, seed: int = 5) -> ToxicityModel:
-    """Learn from all labelled rows outside the held-out fold (labelled_texts()); lang only groups the thresholds.  Without labels, scores are those of an untrained model.
+    """The model of learn(), whose threshold is that of all languages."""
+    return learn(docs, labels, seed)[0]
+
+
+def learn(docs: DataFrame, labels: DataFrame, seed: int = 5) -> tuple[ToxicityModel, DataFrame]:
+    """A model, and lang, threshold of the languages that have one of their own.
+
+    Learns from all labelled rows outside the held-out fold (labelled_texts()); lang only groups the thresholds.  Without labels, scores are those of an untrained model.
 
     The driver sees sums for each bucket, parameter and step of the scores, whose number is
     fixed, and none of the texts.  Languages with fewer than LEAST_CALIBRATION documents
@@ -397,11 +417,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, seed: int = 5) -> Toxicit
     steps = materialize(calibration(rest, shared), "steps")
     shared.destroy()
     model.threshold = _cut_of(steps)
-    langs = steps.groupBy("lang").agg(F.sum("ones").alias("ones"), F.sum(F.col("ones") + F.col("zeros")).alias("n")).where(F.col("n") >= LEAST_CALIBRATION).collect()
-    for r in langs:
-        if _enough(r.n, r.ones):
-            model.thresholds[r.lang] = _cut_of(steps.where(F.col("lang") == r.lang))
-    return model
+    return model, materialize(cuts_by_language(steps), "cuts")
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -417,9 +433,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     like others; a language without a threshold of its own takes that of all; where the
     labels have one value only, or none, thresholds are 0.3.  Further columns are ignored.
     """
-    model = train_toxicity(docs, labels)
+    model, cuts = learn(docs, labels)
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
     scored = score_toxicity(docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), "text"), model)
-    limits = F.create_map(*[F.lit(x) for kv in model.thresholds.items() for x in kv]) if model.thresholds else F.create_map(F.lit(""), F.lit(model.threshold))
-    limit = F.coalesce(F.try_element_at(limits, F.col("lang")), F.lit(model.threshold))
+    scored = scored.join(cuts, "lang", "left")
+    limit = F.coalesce("threshold", F.lit(model.threshold))
     return scored.select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"), limit.alias("lang_threshold"), (F.col("score") >= limit).alias("flagged"))
