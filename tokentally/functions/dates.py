@@ -69,6 +69,25 @@ def millis_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+def minute_text(ts: Column) -> Column:
+    """To the minute, in UTC."""
+    return F.date_format(ts, "yyyy-MM-dd HH:mm")
+
+
+def second_text(ts: Column) -> Column:
+    """To the second, in UTC."""
+    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+
+
+def date_text(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd")
+
+
+def iso_date(c: Column) -> Column:
+    """A date from YYYY-MM-DD, null from anything else."""
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c.try_cast("date"))
+
+
 def flexible_timestamp(c: Column) -> Column:
     """Log timestamps as text: a text with a date prefix stays, an ISO text or a number (above 1e10 milliseconds, else seconds) becomes ISO text.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokentally import render
@@ -211,6 +211,63 @@ def codex_headless(spark, d):
     return out.select(F.col("row_id").alias("event_id"), "session_id", "model", "input_tokens", "cached_tokens", "output_tokens", "reasoning_tokens", "total_tokens", "ts_text")
 
 
+def _written(rows: DataFrame, base: str) -> None:
+    """Each file (a path below ``base``) of rows (file, event_id, value), whole, by one task; the files of a task are a share of all."""
+
+    def write(t):
+        import os
+
+        found: dict[str, list] = {}
+        for r in t.sort_by("event_id").to_pylist():
+            found.setdefault(r["file"], []).append(r["value"])
+        for name, values in found.items():
+            os.makedirs(os.path.dirname(f"{base}/{name}"), exist_ok=True)
+            with open(f"{base}/{name}", "w") as f:
+                f.write("".join(v + "\n" for v in values))
+        return t.slice(0, 1).select(["file"])
+
+    rows.withColumn("share", F.pmod(F.xxhash64("file"), F.lit(8))).groupBy("share").applyInArrow(write, "file string").count()
+
+
+def _shared_folder(spark, name: str) -> str:
+    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}".removeprefix("file://").removeprefix("file:")
+
+
+@query("SELECT event_id, 'g' || (user_id % 4) || '/u' || user_id AS session_id, CASE WHEN user_id % 5 = 4 THEN 1000 ELSE 0 END + input_tokens + 1 AS input_tokens, output_tokens FROM e0")
+def codex_folders(spark, d):
+    """A file for each user in a home's sessions or archive; of those in both, the session's is read.  Ids are paths relative to the folder."""
+    e, base = e0(spark, d), _shared_folder(spark, "codex")
+    line = lambda more: joined('{"timestamp":"', iso("yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), '","type":"event_msg","payload":{"type":"token_count","info":{"model":"', F.coalesce("model", F.lit("m")), '","last_token_usage":{"input_tokens":', F.col("k") + 1 + more, ',"output_tokens":', F.col("o"), "}}},\"id\":", F.col("event_id"), "}")
+    rest = joined("/g", F.col("user_id") % 4, "/u", F.col("user_id"), ".jsonl")
+    live = e.where("user_id % 5 != 4").select(F.concat(F.lit("sessions"), rest).alias("file"), "event_id", line(0).alias("value"))
+    kept = e.where("user_id % 3 = 0 OR user_id % 5 = 4").select(F.concat(F.lit("archived_sessions"), rest).alias("file"), "event_id", line(1000).alias("value"))
+    _written(live.unionByName(kept), base)
+    found = codex.CodexSource().events(spark, [(f"{base}/sessions", base, 0), (f"{base}/archived_sessions", base, 1)])
+    # A file's lines are in order of events, so the n-th line is the user's n-th event.
+    nth = lambda df, *by: df.withColumn("n", F.row_number().over(Window.partitionBy("session_id").orderBy(*by)))
+    ids = nth(e.select("event_id", joined("g", F.col("user_id") % 4, "/u", F.col("user_id")).alias("session_id")), "event_id")
+    return nth(found, "file_block_start", "row_id").join(ids, ["session_id", "n"]).select("event_id", "session_id", "input_tokens", "output_tokens")
+
+
+@query("SELECT 'u' || user_id AS session_id, 'p3' AS project, count(*) AS records, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, (SELECT count(DISTINCT user_id) FROM e0 WHERE user_id % 7 = 3) AS files FROM e0 WHERE user_id % 7 = 3 GROUP BY user_id")
+def claude_project(spark, d):
+    """The logs of one project: the roots come from the environment, and other projects' folders aren't read."""
+    import os
+
+    e, base = e0(spark, d), _shared_folder(spark, "claude")
+    value = joined('{"timestamp":"', iso(), '","requestId":"r","message":{"id":"m', F.col("event_id"), '","model":"', F.coalesce("model", F.lit("m")), '","usage":{"input_tokens":', F.col("k"), ',"output_tokens":1}}}')
+    _written(e.select(joined("projects/p", F.col("user_id") % 7, "/u", F.col("user_id"), ".jsonl").alias("file"), "event_id", value.alias("value")), base)
+    before = os.environ.get("CLAUDE_CONFIG_DIR")
+    os.environ["CLAUDE_CONFIG_DIR"] = base
+    try:
+        paths = claude.ClaudeSource().paths("p3")
+    finally:
+        os.environ.pop("CLAUDE_CONFIG_DIR") if before is None else os.environ.update(CLAUDE_CONFIG_DIR=before)
+    read = files.lines(spark, paths).select(F.count_distinct("file_path")).first()[0]
+    u = claude.ClaudeSource().read(spark, files.Options(prices(spark), project="p3"), paths)
+    return report.session_report(u, breakdown=False).select("session_id", F.lit("p3").alias("project"), "records", "input_tokens", F.lit(read).cast("bigint").alias("files"))
+
+
 def _codex_events(spark, d) -> DataFrame:
     e = e0(spark, d)
     return e.select(F.col("user_id").cast("string").alias("session_id"), iso().alias("ts_text"), F.when(F.col("event_id") % 11 == 0, "").otherwise(F.col("model")).alias("model"), (F.col("k") + F.col("o")).alias("input_tokens"), F.col("k").alias("cached_tokens"), F.col("o").alias("output_tokens"), F.lit(1).cast("bigint").alias("reasoning_tokens"), (F.col("k") + 2 * F.col("o")).alias("total_tokens"), (F.col("event_id") % 50 == 0).alias("is_fallback"), F.lit("/x").alias("file_path"), F.lit(0).cast("bigint").alias("file_block_start"), F.col("event_id").alias("row_id"))
@@ -521,6 +578,18 @@ def week_starts(spark, d):
     return e0(spark, d).select(date.alias("date"), *[dates.bucket(date, "weekly", name).alias(f"w{k}") for k, name in enumerate(_DAYS)]).distinct()
 
 
+@query(
+    """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS minute, strftime(ts, '%Y-%m-%d %H:%M:%S') AS second, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(ts) // 1000 % 1000 AS VARCHAR), 3, '0') || 'Z' AS millis, date, CASE WHEN event_id % 2 = 0 THEN CAST(date AS DATE) END AS day,
+make_timestamp(epoch_us(ts) // 1000 * 1000) AS back, strftime(CASE event_id % 3 WHEN 0 THEN (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' ELSE ts END, '%Y-%m-%d') AS zoned FROM e0"""
+)
+def time_formats(spark, d):
+    """Times as texts and back: minutes, seconds, milliseconds, dates, epoch milliseconds, and zones by odd and unknown names."""
+    zones = [dates.zone(n) for n in ("America/New York", "No/Where", "")]
+    zoned = variant(3, *[dates.date_in_zone(F.col("ts"), z) for z in zones])
+    day = dates.iso_date(F.when(F.col("event_id") % 2 == 0, dates.date_text(F.col("ts"))).otherwise(dates.minute_text(F.col("ts"))))
+    return e0(spark, d).select("event_id", dates.minute_text(F.col("ts")).alias("minute"), dates.second_text(F.col("ts")).alias("second"), dates.millis_text(F.col("ts")).alias("millis"), dates.date_text(F.col("ts")).alias("date"), day.alias("day"), dates.from_millis(F.unix_millis("ts")).cast("timestamp_ntz").alias("back"), zoned.alias("zoned"))
+
+
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'undated' WHEN event_id % 3 = 1 THEN date[1:7] ELSE strftime(date_trunc('week', ts), '%Y-%m-%d') END AS period FROM e0")
 def period_keys(spark, d):
     date = F.date_format("ts", "yyyy-MM-dd")
