@@ -139,3 +139,12 @@ def test_large_tables_are_matched_by_an_index(spark):
     for df in (pricing.resolve(m, prices), pricing.context_limits(m, prices.withColumn("context_limit", F.lit(5).cast("bigint")))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_index_is_not_sent_to_executors(spark):
+    """However few bytes the names shuffle, no side of the index is broadcast."""
+    models = spark.range(2000).selectExpr("concat('us/part@', id) AS model")
+    keys = pricing.price_table(spark.range(2000).selectExpr("concat('part-', id) AS model", "1.0 AS input", "1.0 AS output"))
+    found = pricing.resolve(models, keys)
+    assert {(r.model, r.key) for r in found.collect()} == {(f"us/part@{i}", f"part-{i}") for i in range(2000)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
