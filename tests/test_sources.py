@@ -273,3 +273,27 @@ def test_store_rewrites_a_day_alone(spark, tmp_path):
     plan = some._jdf.queryExecution().executedPlan().toString()
     at = plan.index("PartitionFilters: [")
     assert "date" in plan[at : plan.index("]", at)] and "ReadSchema: struct<input_tokens:bigint>" in plan and some.count() == 3
+
+
+def test_written_files_hold_a_batch(tmp_path):
+    """However long a file is, its writer keeps one batch of its lines; a file is there once it is whole."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    import tokentally.queries  # noqa: F401
+    from tokentally.log_queries import _file_writer
+
+    def batches():
+        for n in range(300):
+            name = "a/x.jsonl" if n < 299 else "b/y.jsonl"
+            assert not (tmp_path / "a/x.jsonl").exists() or n == 299
+            yield pa.RecordBatch.from_pydict({"file": [name] * 100, "value": [f"{n}-{i}".ljust(1000, ".") for i in range(100)]})
+
+    tracemalloc.start()
+    done = list(_file_writer(str(tmp_path))(batches()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20 and done[0].to_pydict() == {"files": [2]}
+    assert [len((tmp_path / f).read_text().splitlines()) for f in ("a/x.jsonl", "b/y.jsonl")] == [29900, 100]
+    assert sorted(p.name for p in tmp_path.rglob("*") if p.is_file()) == ["x.jsonl", "y.jsonl"]
