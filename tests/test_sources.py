@@ -297,3 +297,14 @@ def test_written_files_hold_a_batch(tmp_path):
     assert peak < 8 << 20 and done[0].to_pydict() == {"files": [2]}
     assert [len((tmp_path / f).read_text().splitlines()) for f in ("a/x.jsonl", "b/y.jsonl")] == [29900, 100]
     assert sorted(p.name for p in tmp_path.rglob("*") if p.is_file()) == ["x.jsonl", "y.jsonl"]
+
+
+def test_a_long_file_among_short_ones_is_written_in_order(spark, tmp_path):
+    import tokentally.queries  # noqa: F401
+    from tokentally.log_queries import _written
+
+    rows = spark.range(20000).selectExpr("CASE WHEN id % 100 = 0 THEN concat('s/', id % 7) ELSE 'l/0' END AS file", "20000 - id AS event_id", "cast(id AS string) AS value")
+    _written(rows, str(tmp_path))
+    long = [int(v) for v in (tmp_path / "l/0").read_text().split()]
+    assert len(long) == 19800 and long == sorted(long, reverse=True)
+    assert sum(len((tmp_path / f"s/{k}").read_text().split()) for k in range(7)) == 200
