@@ -308,3 +308,28 @@ def test_a_long_file_among_short_ones_is_written_in_order(spark, tmp_path):
     long = [int(v) for v in (tmp_path / "l/0").read_text().split()]
     assert len(long) == 19800 and long == sorted(long, reverse=True)
     assert sum(len((tmp_path / f"s/{k}").read_text().split()) for k in range(7)) == 200
+
+
+def test_databases_are_written_by_batches(tmp_path):
+    """However many rows a database takes, its writer keeps a batch of them; folders may change within a batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    import tokentally.queries  # noqa: F401
+    from tokentally.log_queries import _database_writer
+
+    def batches():
+        for n in range(300):
+            folders = [1] * 100 if n < 299 else [1] * 50 + [3] * 50
+            yield pa.RecordBatch.from_pydict({"folder": folders, "id": [f"m{n}-{i}" for i in range(100)], "session_id": ["s"] * 100, "data": ["{}".ljust(1000)] * 100})
+
+    tracemalloc.start()
+    for _ in _database_writer(str(tmp_path))(batches()):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
+    assert sorted(p.name for p in tmp_path.rglob("*") if p.is_file()) == ["opencode.db"] * 2
+    count = lambda k: sqlite3.connect(tmp_path / str(k) / "opencode.db").execute("SELECT count(*), count(DISTINCT id) FROM message").fetchone()
+    assert count(1) == (29950, 29950) and count(3) == (50, 50)
