@@ -153,6 +153,65 @@ def test_streamed_side_chain(spark, tmp_path):
     assert sizes[2] > 50 and sizes[3] < 5
 
 
+
+def test_state_of_a_message_is_read_and_written_once():
+    """Each access of state is a round trip: a message of a few requests takes the same number as one of one; further requests have entries of their own."""
+    from collections import Counter
+
+    from pyspark.sql import Row
+    from pyspark.sql import types as T
+
+    from tokentally.streaming.changes import NEAR, BestRecords
+
+    calls: Counter = Counter()
+
+    class State:
+        def __init__(self):
+            self.held = {}
+
+        def getValue(self, k):
+            calls["state"] += 1
+            return self.held.get(k)
+
+        def updateValue(self, k, v):
+            calls["state"] += 1
+            self.held[k] = v
+
+        def get(self):
+            return self.getValue(None)
+
+        def update(self, v):
+            self.updateValue(None, v)
+
+    class Handle:
+        def getMapState(self, *_):
+            return State()
+
+        getValueState = getMapState
+
+        def registerTimer(self, ms):
+            pass
+
+        deleteTimer = registerTimer
+
+    kind = T.StructType().add("request_id", T.StringType()).add("is_sidechain", T.BooleanType()).add("input_tokens", T.LongType()).add("speed", T.StringType()).add("ts", T.TimestampType()).add("row_id", T.LongType())
+
+    def waves(n):
+        p = BestRecords(kind, ("row_id",), 1000, "ts")
+        p.init(Handle())
+        out, taken = [], []
+        for tokens in (1, 2, 2):
+            calls.clear()
+            rows = [Row(**dict(zip(kind.names, (f"r{i}", False, tokens, None, datetime.datetime(2025, 1, 1, tokens), i), strict=True))) for i in range(n)]
+            out.append(sum(r.change for r in p.handleInputRows(("m",), iter(rows), None)))
+            taken.append(calls["state"])
+        return out, taken
+
+    assert waves(1) == ([1, 0, 0], waves(20)[1])
+    assert waves(20)[0] == [20, 0, 0] and max(waves(20)[1]) <= 4
+    assert waves(NEAR + 5)[0] == [NEAR + 5, 0, 0]
+
+
 def test_cycles_are_written_once(spark, tmp_path):
     """A batch that fails after some rows leaves nothing; run again it is written once; a batch that is committed twice changes nothing."""
     from pyspark.sql import functions as F

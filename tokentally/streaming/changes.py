@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Iterator
 from typing import Any
@@ -14,12 +15,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tokentally.schema import ORDER
 
 _TOKENS = ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "extra_tokens")
+#: So many requests of a message, with its side-chain record, are one entry of state, read and written at once; further ones have an entry each.
+NEAR = 64
 #: Where transformWithState keeps its state.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class BestRecords(StatefulProcessor):
-    """A message's kept records: a map of its requests' main ones, and its side-chain one; a timer drops both.
+    """A message's kept records: its requests' main ones, and its side-chain one; a timer drops all.
+
+    State costs a round trip for each access, so what most messages have is read and written as one value.
 
     The rules are those of operators.dedup.best_records().
     """
@@ -32,7 +37,7 @@ class BestRecords(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.main = handle.getMapState("main", T.StructType([T.StructField("rid", T.StringType())]), self.record)
-        self.side = handle.getValueState("side", self.record)
+        self.near = handle.getValueState("near", T.StructType([T.StructField("held", T.BinaryType())]))
         self.until = handle.getValueState("until", T.StructType([T.StructField("ms", T.LongType())]))
 
     def _rank(self, r: tuple) -> tuple:
@@ -46,17 +51,21 @@ class BestRecords(StatefulProcessor):
         if key[0].startswith("\0"):  # no message id: all stay, nothing is remembered
             yield from (self.out(*r, 1) for r in new)
             return
+        found = self.near.get()
+        near, had, more = pickle.loads(bytes(found[0])) if found is not None else ({}, None, False)
+        was = (dict(near), had, more)
         before: dict[str, tuple | None] = {}  # main records of the requests at hand, as they were
         now: dict[str, tuple | None] = {}
 
         def main(rid: str) -> tuple | None:
             if rid not in now:
-                held = self.main.getValue((rid,))
+                held = near.get(rid)
+                if held is None and more:
+                    held = self.main.getValue((rid,))
                 before[rid] = now[rid] = tuple(held) if held is not None else None
             return now[rid]
 
-        had = self.side.get()
-        had = side = tuple(had) if had is not None else None
+        side = had
         for r in new:
             rid = r[at["request_id"]] or ""
             held = main(rid)
@@ -69,11 +78,13 @@ class BestRecords(StatefulProcessor):
                 side = r
         for rid, r in now.items():
             if r is not None and r != before[rid]:
-                self.main.updateValue((rid,), r)
-        if side is None and had is not None:
-            self.side.clear()
-        elif side is not None and side != had:
-            self.side.update(side)
+                if rid in near or (before[rid] is None and len(near) < NEAR):
+                    near[rid] = r
+                else:
+                    self.main.updateValue((rid,), r)
+                    more = True
+        if (near, side, more) != was:
+            self.near.update((pickle.dumps((near, side, more)),))
         times = [int(r[self.time].timestamp() * 1000) for r in every if r[self.time] is not None]
         if times:
             ms = max(times) + self.keep_ms
@@ -92,7 +103,7 @@ class BestRecords(StatefulProcessor):
                     yield self.out(*kept, 1)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        for state in (self.main, self.side, self.until):
+        for state in (self.main, self.near, self.until):
             if state.exists():
                 state.clear()
         return iter([])
