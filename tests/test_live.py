@@ -246,3 +246,74 @@ def test_cycles_are_written_once(spark, tmp_path):
     again = w.write(iter([spark.range(1).first()]))
     w.commit([again, None], 1)
     assert sorted((r.batch, r.value) for r in tail.cycles(spark, str(tmp_path / "out")).collect()) == got and not os.path.exists(again.file)
+
+
+def test_kept_records_as_tables(spark, tmp_path):
+    """After each batch what is kept is what going through all records one by one keeps; a batch that runs again changes nothing; a message that wasn't read for long is forgotten."""
+    import random
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from tests.test_operators import fold
+    from tokentally.schema import canonical
+
+    rng, folder, kept, records = random.Random(4), f"file://{tmp_path}/kept", Counter(), []
+    for batch in range(4):
+        # Messages below 15 have no side chains.
+        wave = [(m, f"r{rng.randrange(3)}" if rng.random() < 0.9 else None, m >= 15 and rng.random() < 0.4, rng.randrange(1, 6), rng.choice([None, "fast"])) for m in [rng.randrange(30) for _ in range(150)]]
+        rows = [(f"m{m}", q, side, n, speed, f"f{i // 50}", i) for i, (m, q, side, n, speed) in enumerate(wave)]
+        records += [(f"m{m}", q or "", side, n, speed) for m, q, side, n, speed in wave]
+        rows += [(None, "r", False, 1, None, "f", 1000), ("", None, True, 1, None, "f", 1001), ("", None, True, 1, None, "f", 1002)]
+        new = canonical(spark.createDataFrame(rows, "message_id string, request_id string, is_sidechain boolean, input_tokens long, speed string, file_path string, row_id long").withColumn("file_block_start", F.lit(0)).orderBy(F.rand(1)))
+
+        def changes():
+            got = live.fold_kept(new, batch, folder).collect()  # noqa: B023
+            return Counter({k: n for k, n in sum((Counter({(r.message_id or "", r.request_id or "", r.is_sidechain, r.input_tokens, r.speed): r.change}) if r.change > 0 else Counter() for r in got), Counter()).items()}), Counter((r.message_id or "", r.request_id or "", r.is_sidechain, r.input_tokens, r.speed) for r in got if r.change < 0)
+
+        added, taken = changes()
+        assert (added, taken) == changes()
+        kept = kept + added
+        assert not taken - kept
+        kept = kept - taken
+        want = Counter()
+        for m in {r[0] for r in records}:
+            want.update((m, *k[:4]) for k in fold([r[1:] for r in records if r[0] == m]))
+        want.update({("", "r", False, 1, None): batch + 1, ("", "", True, 1, None): 2 * (batch + 1)})
+        assert kept == want
+    assert sorted(p.name for p in (tmp_path / "kept").iterdir()) == ["kept-2", "kept-3"]
+    late = live.fold_kept(new.where("message_id = 'm0'").limit(1), 4, folder, keep_days=0).collect()
+    assert [r.change for r in late] == [1]
+
+
+def test_the_watcher_keeps_no_state_in_python(spark, tmp_path):
+    """Every line is read once, duplicates in other files and waves count once, a restart goes on, and what an earlier version wrote isn't continued."""
+    import json
+    import shutil
+
+    import pytest
+
+    from tokentally.queries import prices
+    from tokentally.sources import claude
+    from tokentally.sources.files import Options
+
+    logs, base = tmp_path / "projects" / "p", f"file://{tmp_path}/ck"
+    logs.mkdir(parents=True)
+
+    def line(m, r, n, side=False):
+        return json.dumps({"timestamp": "2025-01-10T10:00:00Z", "requestId": r, "version": "1.0.0", "isSidechain": side, "message": {"id": m, "model": "click", "usage": {"input_tokens": n, "output_tokens": 0}}}, separators=(",", ":")) + "\n"
+
+    def look():
+        q = live.watch_records(claude.ClaudeSource().records(spark, Options(prices(spark)), [str(tmp_path / "projects")]), lambda *_: None, base, once=True)
+        q.awaitTermination()
+        last = live.last_totals(spark, base).first()
+        return (last.records, last.input_tokens, round(last.cost, 9)), [(p.numInputRows, len(p.stateOperators)) for p in q.recentProgress if p.numInputRows]
+
+    (logs / "a.jsonl").write_text(line("m", "r", 5) + line("m", "q", 1) + line("n", "s", 7, True))
+    assert look() == ((3, 13, 0.000026), [(3, 0)])
+    (logs / "b.jsonl").write_text(line("m", "r", 4) + line("m", "q", 9) + line("n", "s", 2))
+    assert look() == ((3, 16, 0.000032), [(3, 0)])
+    shutil.rmtree(tmp_path / "ck-kept")
+    (logs / "c.jsonl").write_text(line("o", "t", 1))
+    with pytest.raises(Exception, match="earlier version"):
+        look()

@@ -213,13 +213,13 @@ def watch(spark: SparkSession, o: argparse.Namespace, agents: list[str], log: Lo
     if threading.current_thread() is threading.main_thread():
         for s in (signal.SIGINT, signal.SIGTERM):
             signal.signal(s, lambda *_: stop.set())
-    followed = [a for a in agents if hasattr(sources.get(a), "changes")]
+    followed = [a for a in agents if hasattr(sources.get(a), "records")]
     checkpoint = o.checkpoint or f"{scratch(spark)}/daemon-{uuid.uuid4().hex}"
     query = None
     if followed:
         opt = load_options(spark, o)
-        stream = report.union_all([sources.get(a).changes(spark, opt) for a in followed])
-        query = live.watch_changes(stream, lambda totals, n: log("followed", batch=n), checkpoint, f"{max(1, o.interval)} seconds")
+        stream = report.union_all([sources.get(a).records(spark, opt) for a in followed])
+        query = live.watch_records(stream, lambda totals, n: log("followed", batch=n), checkpoint, f"{max(1, o.interval)} seconds")
         query.processAllAvailable()
     seen, read = {}, {}
     try:

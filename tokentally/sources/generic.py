@@ -54,12 +54,12 @@ class GenericSource:
         prices = o.prices if o.prices is not None else default_prices(spark)
         return filter_dates(price_usage(usage, prices, "logged", o.fast_multiplier_when, o.match_dated_models), o.since, o.until)
 
-    def changes(self, spark: SparkSession, options: Options | None = None, paths: list[str] | None = None) -> DataFrame:
-        """A stream of the records that the logs add (``change`` is 1), as they are written."""
+    def records(self, spark: SparkSession, options: Options | None = None, paths: list[str] | None = None) -> DataFrame:
+        """A stream of the records that the logs add, as they are written."""
         o = options or Options()
         usage = parse_generic(tail(spark, paths if paths is not None else self.paths()), self.name, "log" if o.timezone == "log" else zone(o.timezone))
         prices = o.prices if o.prices is not None else default_prices(spark)
-        return price_usage(usage, prices, "logged", o.fast_multiplier_when, o.match_dated_models).withColumn("change", F.lit(1))
+        return price_usage(usage, prices, "logged", o.fast_multiplier_when, o.match_dated_models)
 
 
 #: The agents and their folders.

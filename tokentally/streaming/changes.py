@@ -7,11 +7,12 @@ import sys
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tokentally.operators.dedup import best_records, total_tokens
 from tokentally.schema import ORDER
 
 _TOKENS = ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "extra_tokens")
@@ -131,3 +132,47 @@ def best_changes(stream: DataFrame, order: tuple[str, ...] = ORDER, watermark: s
     out = T.StructType([*stream.schema.fields, T.StructField("change", T.IntegerType())])
     processor = BestRecords(T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema.fields]), order, int(keep_days * 86_400_000), "ts" if watermark else "_read")
     return keyed.groupBy("_key").transformWithState(processor, out, "append", "eventTime")
+
+
+def fold_batch(new: DataFrame, kept: DataFrame | None, path: str, order: tuple[str, ...] = ORDER) -> DataFrame:
+    """What a batch's records do to the ``kept`` ones, by the rules of best_changes() but as one table after another, without Python.
+
+    ``new`` has canonical columns and read_at; ``kept`` has the same, and at most one main record for each request of a message and one
+    side-chain one, as results where ``change`` is not -1 have.  The result is written to ``path`` and read from there:
+    the records with ``change``, 1 or -1 as in best_changes(), 0 for one that stays.  There read_at is the message's last, and ``order``
+    may be null, since what was kept before precedes all that is new.
+
+    ``new`` is evaluated once.  One shuffle by message and one sort tell a request's best main record.  A message that has
+    side chains is written with all its records, and best_records() goes on from there.
+    """
+    rows = new.withColumn("_old", F.lit(False))
+    if kept is not None:
+        rows = kept.select(*new.columns, F.lit(True).alias("_old")).unionByName(rows)
+    named = F.coalesce(F.col("message_id") != "", F.lit(False))
+    place = F.concat_ws(":", F.lit("\0"), *[F.col(c).cast("string") for c in order])
+    request, side = F.coalesce("request_id", F.lit("")), F.coalesce("is_sidechain", F.lit(False))
+    keyed = rows.withColumn("_key", F.when(named, F.col("message_id")).otherwise(place)).withColumn("_request", request).repartition("_key")
+    best = Window.partitionBy("_key", "_request").orderBy(total_tokens().desc(), F.col("speed").isNotNull().desc(), F.col("_old").desc(), *order)
+    message = Window.partitionBy("_key")
+    ranked = keyed.withColumn("_n", F.row_number().over(best)).withColumn("_chained", named & F.bool_or(side).over(message)).withColumn("read_at", F.max("read_at").over(message))
+    change = F.when(~F.col("_chained"), F.when(F.col("_n") > 1, -1).when(F.col("_old"), 0).otherwise(1))
+    placed = [F.when(F.col("_chained"), F.col(c)).alias(c) if c in order else F.col(c) for c in new.columns]
+    ranked.where("_chained OR _n = 1 OR _old").select(*placed, "_old", "_chained", change.alias("change")).write.mode("overwrite").parquet(f"{path}/records")
+    every = _written(new, path, "records").where("_chained").withColumn("_new", ~F.col("_old"))
+    left = best_records(every, ("_new", *order)).withColumn("change", F.when(F.col("_old"), 0).otherwise(1))
+    one = ["message_id", "_request", "_side"]
+    of = lambda df: df.where("_old").withColumn("_request", request).withColumn("_side", side)
+    gone = of(every).join(of(left).select(*one), one, "left_anti").withColumn("change", F.lit(-1))
+    left.unionByName(gone.select(*left.columns)).drop("_new").write.mode("overwrite").parquet(f"{path}/chained")
+    return folded(new, path)
+
+
+def folded(new: DataFrame, path: str) -> DataFrame:
+    """fold_batch()'s result read again; ``new`` gives the columns."""
+    return _written(new, path, "records").where("NOT _chained").unionByName(_written(new, path, "chained")).select(*new.columns, "change")
+
+
+def _written(new: DataFrame, path: str, part: str) -> DataFrame:
+    """One of the two tables of fold_batch()."""
+    schema = T.StructType([*new.schema.fields, T.StructField("_old", T.BooleanType()), T.StructField("_chained", T.BooleanType()), T.StructField("change", T.IntegerType())])
+    return new.sparkSession.read.schema(schema).parquet(f"{path}/{part}")

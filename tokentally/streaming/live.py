@@ -6,6 +6,7 @@ Rows behind the watermark are dropped, so choose it longer than logs lag.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tokentally.schema import ORDER
+from tokentally.streaming.changes import fold_batch, folded
 
 _TOKENS = {"input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "extra_tokens"}
 
@@ -122,23 +125,47 @@ def fold_totals(changes: DataFrame, batch: int, folder: str, keys: tuple[str, ..
     if before is not None:
         signed = spark.read.schema(signed.schema).parquet(known[before]).unionByName(signed)
     signed.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in TOTALS]).write.mode("overwrite").parquet(f"{folder}/totals-{batch}")
-    for b, path in known.items():
-        if before is not None and b < before:
-            _hadoop(spark, path)[1].delete(_hadoop(spark, path)[0], True)
+    _delete(spark, [path for b, path in known.items() if before is not None and b < before])
     return spark.read.schema(signed.schema).parquet(f"{folder}/totals-{batch}")
 
 
+def fold_kept(records: DataFrame, batch: int, folder: str, keep_days: float = 7.0) -> DataFrame:
+    """What this batch's records add to the kept ones and take back (``change``); those kept after it are remembered in ``folder``.
+
+    What is remembered is that of the last number below the batch's, so a batch that runs again gives the same.  A message is
+    forgotten ``keep_days`` after its last record was read; what comes later is a message of its own.  Records without a message id all
+    stay and aren't remembered.  A batch goes through all that is remembered.
+    """
+    spark = records.sparkSession
+    now = datetime.datetime.now(datetime.timezone.utc)
+    new = records.withColumn("read_at", F.lit(now))
+    known = _numbered(spark, folder, "kept-")
+    before = max((b for b in known if b < batch), default=None)
+    kept = None
+    if before is not None:
+        kept = folded(new, known[before]).where("change >= 0 AND message_id != ''").where(F.col("read_at") > F.lit(now - datetime.timedelta(days=keep_days)))
+    changes = fold_batch(new, kept, f"{folder}/kept-{batch}").where("change != 0")
+    _delete(spark, [path for b, path in known.items() if before is not None and b < before])
+    return changes
+
+
+def _delete(spark: SparkSession, folders: list[str]) -> None:
+    for path in folders:
+        p, system = _hadoop(spark, path)
+        system.delete(p, True)
+
+
 def _hadoop(spark: SparkSession, path: str):
     """(path, file system) of Hadoop."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _numbered(spark: SparkSession, folder: str) -> dict[int, str]:
-    """The folders of totals by batch."""
+def _numbered(spark: SparkSession, folder: str, prefix: str = "totals-") -> dict[int, str]:
+    """The folders below by batch."""
     p, system = _hadoop(spark, folder)
     names = [f.getPath().getName() for f in (system.listStatus(p) if system.exists(p) else [])]
-    return {int(n.removeprefix("totals-")): f"{folder}/{n}" for n in names if n.startswith("totals-")}
+    return {int(n.removeprefix(prefix)): f"{folder}/{n}" for n in names if n.startswith(prefix)}
 
 
 def totals_snapshot(totals: DataFrame) -> DataFrame:
@@ -147,17 +174,25 @@ def totals_snapshot(totals: DataFrame) -> DataFrame:
     return own.agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), (F.sum("input_tokens") + F.sum("output_tokens")).alias("in_out_tokens"), F.sum("cost").alias("cost"), F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.sort_array(F.collect_set("model")).alias("models"), F.sort_array(F.collect_set("project")).alias("projects"))
 
 
-def watch_changes(changes: DataFrame, show: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "30 seconds", once: bool = False) -> StreamingQuery:
-    """Run ``show`` on the running totals after each interval in which something changed.
+#: What the watcher needs of a record: what it is summed by, and what its rank among its message's is.
+_WATCHED = ("agent", "project", "model", "message_id", "request_id", "is_sidechain", "speed", "input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "extra_tokens", "cost", *ORDER)
+
+
+def watch_records(records: DataFrame, show: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "30 seconds", once: bool = False, keep_days: float = 7.0) -> StreamingQuery:
+    """Run ``show`` on the running totals of the best records (operators.dedup) after each interval in which some were added.
 
     New lines alone are read and parsed; cycles never overlap; after a restart on the same
     checkpoint, counting goes on where it ended.  Stop with query.stop().
     """
+    base = checkpoint.rstrip("/")
 
     def cycle(df: DataFrame, batch: int) -> None:
-        show(fold_totals(df, batch, f"{checkpoint.rstrip('/')}-totals"), batch)
+        spark = df.sparkSession
+        if any(b < batch for b in _numbered(spark, f"{base}-totals")) and not any(b < batch for b in _numbered(spark, f"{base}-kept", "kept-")):
+            raise ValueError(f"{checkpoint} has totals without the records they are of: it was written by an earlier version, or files are gone")
+        show(fold_totals(fold_kept(df, batch, f"{base}-kept", keep_days), batch, f"{base}-totals"), batch)
 
-    writer = changes.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(cycle)
+    writer = records.select(*_WATCHED).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(cycle)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 
